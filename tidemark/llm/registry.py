@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import byte_bpe, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_packing": packing.op2_packing,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
