@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, langid, mixing, nn_descent, ogg, packing, simhash
+from tidemark.llm import byte_bpe, langid, mixing, nn_descent, ogg, packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
     "op3_langid": langid.op3_langid,
     "op4_nn_descent": nn_descent.op4_nn_descent,
+    "op5_substring": substring.op5_substring,
     "op6_ogg": ogg.op6_ogg,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
