@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, langid, mixing, nn_descent, ogg, packing, simhash, substring
+from tidemark.llm import byte_bpe, html_extract, langid, licenses, mixing, nn_descent, ogg, packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg": ogg.op6_ogg,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_html": html_extract.op9_html,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {}
