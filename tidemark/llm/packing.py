@@ -15,6 +15,7 @@ task that is run again leaves nothing twice.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -80,6 +81,13 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [self.whole(t) for t in texts]
+        gc.disable()  # millions of strings, no cycles
+        try:
+            return self.chunks(texts)
+        finally:
+            gc.enable()
+
+    def chunks(self, texts: list[str]) -> list[bytes]:
         out, some, size = [], [], 0
         for t in texts:  # a bounded amount of split text at a time
             some.append(t)
@@ -92,7 +100,7 @@ class WordEncoder:
     def chunk(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         split = [() if i in odd else self.units(t) for i, t in enumerate(texts)]
-        new = set().union(*split) - self.words.keys()
+        new = set().union(*split).difference(self.words)
         if new:
             if len(self.words) + len(new) > self.keep:
                 self.words.clear()
@@ -111,20 +119,26 @@ class WordEncoder:
         parts, find = {}, self.pattern.findall
         for w in words:
             if w.isascii():
-                parts[w] = find(w.lower())
+                if w.isalpha():
+                    parts[w] = (w.lower(),)
+                elif w[:-1].isalpha():  # a word and one sign or digit, the commonest other form
+                    parts[w] = (w[:-1].lower(), w[-1])
+                else:
+                    parts[w] = find(w.lower())
             elif _PLAIN.fullmatch(w):
                 parts[w] = find("".join([c.lower() for c in unicodedata.normalize("NFC", w)]))
             else:  # lower-casing beyond Latin is left to the library
                 self.words[w] = self.whole(w)
-        every = {p for got in parts.values() for p in got}
-        new = every - self.pieces.keys()
+        every = set().union(*parts.values())
+        new = every.difference(self.pieces)
         if len(self.pieces) + len(new) > self.keep:
             self.pieces.clear()
             new = every
         self.encode_pieces(list(new))
         pieces, out = self.pieces, self.words
         for w, got in parts.items():
-            out[w] = pieces[got[0]] if len(got) == 1 else b"".join([pieces[p] for p in got])
+            n = len(got)
+            out[w] = pieces[got[0]] if n == 1 else pieces[got[0]] + pieces[got[1]] if n == 2 else b"".join([pieces[p] for p in got])
 
     def encode_pieces(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
