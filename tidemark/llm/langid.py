@@ -12,10 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm._common import read
+from tidemark.llm._common import free_name, read
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -160,48 +162,71 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return train(data, np.array([index[x] for x, _ in got]), languages, seed=seed, epochs=epochs)
 
 
-def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text",
-             carry: tuple[str, ...] = ()) -> DataFrame:
-    """Language and score of every whole text; one row per row, without a shuffle.
+def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with the language and the score of every whole text, and the names of those two columns.
 
-    Returns doc_id, held_out, lang_pred, score and the ``carry`` columns. Texts that are null, empty or without a letter
-    are ``und`` with score 0, as is everything if there is no network. Repeated rows stay; null ids aren't held out.
+    The names are new to ``docs``. Texts that are null, empty or without a letter are ``und`` with score 0, as is
+    everything if there is no network.
     """
+    pred_col, score_col = free_name(docs, "lang_pred"), free_name(docs, "score")
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for b in batches:
-            texts = ["" if pd.isna(t) else t for t in b["_text"]]
-            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
-            at = 0
-            while at < len(known):  # about a megabyte of whole texts at a time
-                part, size = [], 0
-                while at < len(known) and (not part or size < 1 << 20):
-                    part.append(known[at])
-                    size += len(texts[known[at]])
-                    at += 1
-                raw = [texts[i].encode("utf-8", "surrogatepass") for i in part]
-                x, n = cut(raw)
-                starts = np.cumsum(n) - n
-                fill = np.full(len(x), float(WINDOW))
-                fill[starts + n - 1] = [len(r) - WINDOW * (k - 1) for r, k in zip(raw, n.tolist(), strict=True)]
-                p = np.add.reduceat(net.predict(x, tables) * fill[:, None], starts) / np.add.reduceat(fill, starts)[:, None]
-                best = p.argmax(axis=1)
-                pred[part] = [net.languages[i] for i in best]
-                score[part] = np.clip(p[np.arange(len(p)), best], 0, 1)
-            out = b.drop(columns="_text")
-            out["lang_pred"], out["score"] = pred, score
-            yield out
-
-    cols = [F.col(c) for c in carry]
-    frame = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), *cols, F.col(text_col).alias("_text")
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("_text").schema)
-    return frame.mapInPandas(run, f"{schema}, lang_pred string, score double").select(
-        "doc_id", "held_out", "lang_pred", "score", *carry
+            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
+            pred, score = label(texts, net, tables)
+            cols = [*b.columns, pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, pred_col, score_col])
+
+    schema = T.StructType([*docs.schema.fields]).add(pred_col, "string").add(score_col, "double")
+    return docs.mapInArrow(run, schema), pred_col, score_col
+
+
+def label(texts: list[str], net: Network | None, tables) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
+    at = 0
+    while at < len(known):  # about a megabyte of whole texts at a time
+        part, size = [], 0
+        while at < len(known) and (not part or size < 1 << 20):
+            part.append(known[at])
+            size += len(texts[known[at]])
+            at += 1
+        raw = [texts[i].encode("utf-8", "surrogatepass") for i in part]
+        x, n = cut(raw)
+        starts = np.cumsum(n) - n
+        fill = np.full(len(x), float(WINDOW))
+        fill[starts + n - 1] = [len(r) - WINDOW * (k - 1) for r, k in zip(raw, n.tolist(), strict=True)]
+        p = np.add.reduceat(net.predict(x, tables) * fill[:, None], starts) / np.add.reduceat(fill, starts)[:, None]
+        best = p.argmax(axis=1)
+        pred[part] = [net.languages[i] for i in best]
+        score[part] = np.clip(p[np.arange(len(p)), best], 0, 1)
+    return pred, score
+
+
+def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, without a shuffle.
+
+    See ``annotate`` for texts without a language. Repeated rows stay; null ids aren't held out; other columns are not
+    read; an empty table gives no rows.
+    """
+    own = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
     )
+    return annotate(own, net)[0].select("doc_id", "held_out", "lang_pred", "score")
+
+
+def reject(docs: DataFrame, net: Network | None, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """``docs`` without texts that have no language (``und``) or whose best language scores below ``least``.
+
+    All columns stay as they are. Without a network nothing can be judged and only texts without a letter go.
+    """
+    if net is None:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    got, pred, score = annotate(docs, net, text_col=text_col)
+    return got.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

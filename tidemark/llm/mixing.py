@@ -244,6 +244,25 @@ def narrow(own: DataFrame, state: DataFrame, width: float) -> DataFrame:
     )
 
 
+def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                **settings) -> DataFrame:
+    """``docs`` as the mix takes them: every row as often as its copies say, rows without copies left out.
+
+    Columns stay as they are. Settings are those of ``mix``.
+    """
+    got = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    got = got.filter("copies > 0").select(
+        F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
+    ).distinct()
+    same = (
+        F.col(id_col).eqNullSafe(F.col("_id"))
+        & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+        & (sizes(docs, text_col) == F.col("_size"))
+    )
+    out = docs.join(got, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all ``documents`` at production settings."""
     got = mix(read(spark, sf_dir, "documents"))

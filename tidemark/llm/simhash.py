@@ -52,6 +52,19 @@ def mask_levels(radius: int) -> list[list[int]]:
             return levels
 
 
+def word_fingerprints(text: str, seeds: tuple[int, ...]) -> list[int]:
+    """SimHash of the XXH64 values of a text's distinct words, one for each seed; 0 without words."""
+    import xxhash
+
+    own = set(text.encode("utf-8", "surrogatepass").lower().split())
+    out = []
+    for seed in seeds:
+        raw = b"".join([xxhash.xxh64_digest(w, seed) for w in own])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(own)).tobytes(), "big") if own else 0)
+    return out
+
+
 def fingerprint(text: str, words: int, seed: int = 42) -> int:
     """SimHash of the XXH64 values of a text's word shingles, repeats included; 0 without words."""
     import xxhash
@@ -154,6 +167,103 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     )
 
 
+def similar_groups(docs: DataFrame, *, radius: int = 3, seeds: tuple[int, ...] = (42, 43, 44), id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """Candidate groups for a similarity test: (node, root) of documents linked under any of several fingerprints.
+
+    Fingerprints of distinct words stay within few bits where few words were changed, while those of unrelated texts are
+    some twenty bits apart; several seeds find the pairs that one happens to put too far apart.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = [[_signed(x) for x in word_fingerprints("" if pd.isna(t) else t, seeds)] for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fps": fps})
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    base = durable(own.mapInPandas(run, "doc_id long, fps array<long>"), "simhash")
+    found = []
+    for i in range(len(seeds)):
+        one = base.select("doc_id", F.col("fps")[i].alias("fp"))
+        nodes = durable(one.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
+        near = links(nodes.select("fp"), radius)
+        a, b = nodes.toDF("a", "first_a"), nodes.toDF("b", "first_b")
+        found.append(near.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+        found.append(one.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    return components(union_all(found), "a", "b")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, root and the sorted distinct 64-bit hashes of a text's shingles of lower-cased words, as bytes."""
+    import xxhash
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text in b["text"].fillna(""):
+                own = text.lower().split()
+                n = max(1, len(own) - words + 1)
+                hs = {xxhash.xxh64_intdigest(" ".join(own[i : i + words]), 7) for i in range(n)}
+                out.append(np.sort(np.fromiter(hs, "u8", len(hs))).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "root": b["root"], "shingles": out})
+
+    return docs.mapInPandas(run, "doc_id long, root long, shingles binary")
+
+
+def duplicates_of(members: DataFrame, least: float, rounds: int = 8) -> DataFrame:
+    """doc_id of members (doc_id, root, shingles) to drop: each resembles a smaller member that stays, by Jaccard.
+
+    In every round the smallest member left of a group stays and drops those that resemble it; the others go on. A group
+    costs one comparison a member and round, whatever its size. Members that are left after all rounds stay.
+    """
+    left, gone = members, []
+    for _ in range(rounds):
+        first = left.groupBy(F.col("root").alias("r2")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        first = first.filter("n > 1").select("r2", "first")
+        if first.isEmpty():
+            break
+        rep = left.join(first, F.col("doc_id") == F.col("first")).select("r2", "first", F.col("shingles").alias("own"))
+        pairs = left.join(rep, F.col("root") == F.col("r2")).filter("doc_id <> first")
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                sims = []
+                for x, y in zip(b["shingles"], b["own"], strict=True):
+                    x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                    if min(len(x), len(y)) < least * max(len(x), len(y)):
+                        sims.append(False)
+                        continue
+                    both = len(x) if len(x) == len(y) and (x == y).all() else len(np.intersect1d(x, y, assume_unique=True))
+                    sims.append(both >= least * (len(x) + len(y) - both))
+                yield pd.DataFrame({"doc_id": b["doc_id"], "root": b["root"], "like": sims, "shingles": b["shingles"]})
+
+        seen = pairs.select("doc_id", "root", "shingles", "own").mapInPandas(
+            compare, "doc_id long, root long, like boolean, shingles binary"
+        )
+        seen = durable(seen, "simhash")
+        gone.append(seen.filter("like").select("doc_id"))
+        left = seen.filter("not like").select("doc_id", "root", "shingles")
+    return union_all(gone) if gone else members.select("doc_id").limit(0)
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """``docs`` with one document left of each group of near-duplicates, the smallest id.
+
+    Groups are candidates from covering hashing; a document goes if the Jaccard similarity of its ``words``-word shingles
+    with one that stays is ``least`` or more. Rows that repeat an id are one document, of which one row stays. Rows
+    without an id stay. Empty texts are copies of each other. All columns stay as they are.
+    """
+    roots = durable(similar_groups(docs, id_col=id_col, text_col=text_col), "simhash")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.join(roots, F.col("doc_id") == F.col("node")).select("doc_id", "root", "text")
+    members = durable(shingle_sets(own, words).dropDuplicates(["doc_id"]), "simhash")
+    gone = duplicates_of(members, least).withColumnRenamed("doc_id", "_gone")
+    known = docs.filter(F.col(id_col).isNotNull())
+    kept = known.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents``."""
     return near_duplicates(read(spark, sf_dir, "documents"))

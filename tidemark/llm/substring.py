@@ -337,6 +337,25 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     return cut(own, found.join(sure, key).select("batch", "row", "start", "edges"), k, texts)
 
 
+def drop_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                 size_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` (one row an id) without passages of ``k`` words or more that a document with a smaller id holds.
+
+    The text column changes, and with ``size_col`` that column becomes its length where something was cut; all others
+    stay as they are. A document of which nothing is left goes. Rows without an id and unchanged rows stay as they are.
+    """
+    got = remove_repeats(docs.filter(F.col(id_col).isNotNull()), k=k, id_col=id_col, text_col=text_col)
+    changed = got.filter("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text").alias("_left"), (F.col("n_removed") < F.col("n_words")).alias("_some")
+    )
+    out = docs.join(changed, F.col(id_col).cast("long") == F.col("_id"), "left").filter("_some or _some is null")
+    new = {text_col: F.coalesce("_left", text_col)}
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        new[size_col] = F.when(F.col("_id").isNotNull(), F.length("_left").cast(kind)).otherwise(F.col(size_col))
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` without the 13-word windows of smaller documents."""
     return remove_repeats(read(spark, sf_dir, "documents"), texts=False)
