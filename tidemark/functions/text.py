@@ -121,13 +121,13 @@ def analyze(c: Column) -> Column:
 
 def char_ngrams(own: Column, least: int, most: int) -> Column:
     """All runs of least ... most characters of each token."""
+    def runs(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - n + 1)
+        own = F.transform(starts, lambda i: F.substr(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, own).otherwise(F.array().cast("array<string>"))
+
     def grams(t: Column) -> Column:
-        each = [
-            F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(
-                F.array().cast("array<string>"))
-            for n in range(least, most + 1)
-        ]
-        return F.concat(*each)
+        return F.concat(*[runs(t, n) for n in range(least, most + 1)])
 
     return F.flatten(F.transform(own, grams))
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-V = F.col("value")
+
+def _v() -> Column:
+    return F.col("value")
 
 
 def lp_norm(m: DataFrame, by: str, p: float = 2.0) -> DataFrame:
@@ -30,18 +32,18 @@ class Fitted:
     drop: Column | None = None
 
     def apply(self, m: DataFrame) -> DataFrame:
-        out = m.join(self.params, "col", "left").withColumn("value", self.value)
+        out = m.join(self.params, "col", "left")
         out = out if self.drop is None else out.filter(~F.coalesce(self.drop, F.lit(False)))
-        return out.select(*m.columns)
+        return out.withColumn("value", self.value).select(*m.columns)
 
 
 def column_norm(m: DataFrame, p: float = 2.0) -> Fitted:
-    return Fitted(lp_norm(m, "col", p), F.when(F.col("norm") > 1e-10, V / F.col("norm")).otherwise(V))
+    return Fitted(lp_norm(m, "col", p), F.when(F.col("norm") > 1e-10, _v() / F.col("norm")).otherwise(_v()))
 
 
 def row_norm(m: DataFrame, p: float = 2.0) -> DataFrame:
     norms = lp_norm(m, "row", p)
-    return m.join(norms, "row").withColumn("value", F.when(F.col("norm") < 1e-5, V).otherwise(V / F.col("norm"))).drop("norm")
+    return m.join(norms, "row").withColumn("value", F.when(F.col("norm") < 1e-5, _v()).otherwise(_v() / F.col("norm"))).drop("norm")
 
 
 def min_max(m: DataFrame) -> Fitted:
@@ -55,7 +57,7 @@ def min_max(m: DataFrame) -> Fitted:
         "col", F.when(zero, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
         F.when(zero, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
     )
-    return Fitted(params, F.when(F.col("hi") > F.col("lo"), (V - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0))
+    return Fitted(params, F.when(F.col("hi") > F.col("lo"), (_v() - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0))
 
 
 def power(m: DataFrame, k: float) -> DataFrame:
@@ -73,16 +75,16 @@ def outlier_clip(m: DataFrame, share: float, *, exact: bool = True) -> Fitted:
         up, down = W.partitionBy("col").orderBy("value"), W.partitionBy("col").orderBy(F.desc("value"))
         r = F.least(F.ceil(F.count("*").over(W.partitionBy("col")) * share) + 1, F.count("*").over(W.partitionBy("col")))
         ranked = m.select("col", "value", F.row_number().over(up).alias("u"), F.row_number().over(down).alias("d"), r.alias("r"))
-        params = ranked.groupBy("col").agg(F.max(F.when(F.col("u") == F.col("r"), V)).alias("lo"), F.max(F.when(F.col("d") == F.col("r"), V)).alias("hi"))
-    return Fitted(params, F.least(F.greatest(V, F.col("lo")), F.col("hi")))
+        params = ranked.groupBy("col").agg(F.max(F.when(F.col("u") == F.col("r"), _v())).alias("lo"), F.max(F.when(F.col("d") == F.col("r"), _v())).alias("hi"))
+    return Fitted(params, F.least(F.greatest(_v(), F.col("lo")), F.col("hi")))
 
 
 def standardise(m: DataFrame, clip: float | None = None) -> Fitted:
     """By mean and deviation of a column's nonzeros; values within 1e-5 of the mean go."""
     params = m.groupBy("col").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    z = F.when(F.col("std") > 0, (V - F.col("mean")) / F.col("std")).otherwise(V - F.col("mean"))
+    z = F.when(F.col("std") > 0, (_v() - F.col("mean")) / F.col("std")).otherwise(_v() - F.col("mean"))
     z = z if clip is None else F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))
-    return Fitted(params, z, F.abs(z) < 1e-5)
+    return Fitted(params, z, F.abs(_v() - F.col("mean")) < 1e-5)
 
 
 def dense_standardise(df: DataFrame, cols: list[str], clip: float = 5.0) -> DataFrame:
@@ -100,7 +102,7 @@ def dense_standardise(df: DataFrame, cols: list[str], clip: float = 5.0) -> Data
 def tf_idf(m: DataFrame, rows: int) -> Fitted:
     """ln(1 + tf) ln(N / df)."""
     params = m.groupBy("col").agg(F.count("*").alias("df"))
-    return Fitted(params, F.log(1 + V) * F.log(F.lit(float(rows)) / F.col("df")))
+    return Fitted(params, F.log(1 + _v()) * F.log(F.lit(float(rows)) / F.col("df")))
 
 
 def yeo_johnson(v: Column, lam: Column) -> Column:
@@ -114,13 +116,13 @@ def fit_yeo_johnson(m: DataFrame, grid: list[float] | None = None) -> Fitted:
     grid = grid or [round(-2 + 0.1 * i, 1) for i in range(41)]
     lam = F.col("lam")
     each = m.select("col", "value", F.explode(F.array(*[F.lit(g) for g in grid])).alias("lam"))
-    y = yeo_johnson(V, lam)
+    y = yeo_johnson(_v(), lam)
     sums = each.groupBy("col", "lam").agg(
         F.avg(y).alias("mean"), F.var_pop(y).alias("var"), F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("jac"), F.count("*").alias("n")
     )
     like = -F.col("n") / 2 * F.log(F.greatest("var", F.lit(1e-300))) + (lam - 1) * F.col("jac")
     params = sums.groupBy("col").agg(F.max_by(F.struct("lam", "mean", "var"), like).alias("x")).select("col", "x.*")
-    z = yeo_johnson(V, lam) - F.col("mean")
+    z = yeo_johnson(_v(), lam) - F.col("mean")
     return Fitted(params, F.when(F.col("var") > 0, z / F.sqrt("var")).otherwise(z))
 
 
