@@ -104,6 +104,12 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns c0, c1, ... and their names by the old ones, so that no name of a caller's can clash."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL of frames with the same columns."""
     return reduce(DataFrame.unionByName, frames)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import partitions_for, read
+from tidemark.llm._common import numbered, partitions_for, read
 
 #: Characters of text in a batch, about.
 BATCH_CHARS = 8_000_000
@@ -50,7 +50,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 class Hasher:
-    """64-bit hashes of words, remembered, and of runs of words by a polynomial over them."""
+    """64-bit hashes of words, remembered in the Python worker."""
 
     def __init__(self, keep: int = 500_000):
         self.seen: dict[bytes, int] = {}
@@ -59,23 +59,28 @@ class Hasher:
     def words(self, own: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.seen) > self.keep:
-            self.seen.clear()
         seen = self.seen
-        for w in set(own).difference(seen):
-            seen[w] = xxhash.xxh64_intdigest(w, 1)
+        new = set(own).difference(seen)
+        if len(seen) + len(new) > self.keep:
+            seen.clear()
+            new = set(own)
+        digest = xxhash.xxh64_intdigest
+        for w in new:
+            seen[w] = digest(w, 1)
         return np.fromiter(map(seen.__getitem__, own), np.uint64, len(own))
 
-    @staticmethod
-    def runs(hashes: np.ndarray, k: int) -> np.ndarray:
-        """Hash of every run of k words."""
-        n = len(hashes) - k + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        for j in range(k):
-            out += hashes[j : j + n] * np.uint64(pow(int(_M1), j, 1 << 64))
-        return _mix(out)
+
+HASHER = Hasher()
+
+
+def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of k - 1 words, and of those k words that start with it (one fewer): a polynomial over words."""
+    n = max(0, len(hashes) - k + 2)
+    node = np.zeros(n, np.uint64)
+    for j in range(k - 1):
+        node += hashes[j : j + n] * np.uint64(pow(int(_M1), j, 1 << 64))
+    edge = node[:-1] + hashes[k - 1 :] * np.uint64(pow(int(_M1), k - 1, 1 << 64)) if n else node
+    return _mix(node), _mix(edge)
 
 
 def ordered(docs: pd.DataFrame) -> pd.DataFrame:
@@ -96,22 +101,22 @@ class Batch:
     """
 
     def __init__(self, docs: pd.DataFrame, k: int):
-        docs, hasher = ordered(docs), Hasher()
+        docs = ordered(docs)
         self.ids, self.words = ids_of(docs), [_words(t) for t in docs["text"]]
-        own, ends, ended = [], [], []
-        for i, words in enumerate(self.words):
-            e, end = self.edges_of(words, k, hasher)
-            own.append(e)
-            if len(end):
-                ends.append(end)
-                ended.append(i)
-        size = np.array([len(e) for e in own], "i8")
-        self.edge = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        self.starts = np.cumsum(size) - size
-        self.doc = np.repeat(np.arange(len(size), dtype="i4"), size)
-        every = np.concatenate([self.edge, *ends])
-        doc = np.concatenate([self.doc, np.array(ended, "i4")])
-        order = np.argsort(every, kind="stable")  # equal edges stay by document
+        size = np.array([len(w) for w in self.words], "i8")
+        ends = np.cumsum(size)
+        hashes = [HASHER.words(w) for w in self.words]
+        # all texts in one array; runs that reach into the next text are left out
+        node, edge = runs(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), k)
+        whole = np.repeat(np.arange(len(size), dtype="i4"), size)[: len(edge)]
+        inside = np.arange(len(edge)) + k <= ends[whole] if len(edge) else np.zeros(0, bool)
+        self.edge, self.doc = self.join(node[: len(edge)][inside], edge[inside]), whole[inside]
+        count = np.maximum(size - k + 1, 0)
+        self.starts = np.cumsum(count) - count
+        closed = np.flatnonzero(size >= k - 1)
+        every = np.concatenate([self.edge, node[ends[closed] - (k - 1)] & ~_LOW])
+        doc = np.concatenate([self.doc, closed.astype("i4")])
+        order = np.argsort(every)
         e = every[order]
         first = np.ones(len(e), bool)
         first[1:] = e[1:] != e[:-1]
@@ -119,14 +124,18 @@ class Batch:
         back = np.empty(len(e), "i8")
         back[order] = np.cumsum(first) - 1
         self.back = back[: len(self.edge)]
-        self.low = self.ids[doc[order[first]]]  # smallest document of each distinct edge
+        # documents are in the order of their ids: the smallest of each distinct edge
+        self.low = self.ids[np.minimum.reduceat(doc[order], np.flatnonzero(first))] if len(e) else self.ids[:0]
 
     @staticmethod
-    def edges_of(words: list[bytes], k: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-        """Edges of a text and the edge that ends it."""
-        h = hasher.words(words)
-        e, node = hasher.runs(h, k), hasher.runs(h, k - 1) & ~_LOW
-        return node[: len(e)] | np.maximum(e & _LOW, np.uint64(1)), node[len(node) - 1 :] if len(node) else node
+    def join(node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        return node & ~_LOW | np.maximum(edge & _LOW, np.uint64(1))
+
+    @classmethod
+    def edges_of(cls, words: list[bytes], k: int) -> np.ndarray:
+        """Edges of one text."""
+        node, edge = runs(HASHER.words(words), k)
+        return cls.join(node[: len(edge)], edge)
 
     def slices(self, buckets: int) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of the distinct edges: buckets are equal ranges of nodes."""
@@ -203,7 +212,7 @@ def repeats(sent: DataFrame) -> DataFrame:
         size = np.array([len(e) for e in es], "i8")
         starts = np.cumsum(size) - size
         e, doc = np.concatenate(es), np.concatenate(ds)
-        order = np.argsort(e, kind="stable")
+        order = np.argsort(e)
         e = e[order]
         first = np.ones(len(e), bool)
         first[1:] = e[1:] != e[:-1]
@@ -267,7 +276,7 @@ def confirmed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     cols = ["source", "first", "edges", "digest"]
 
     def check(key, got: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        out, hasher = [], Hasher()
+        out = []
         if len(want):
             ids = ids_of(got)
             texts = got["text"][np.isin(ids, want["source"].to_numpy("i8"))]
@@ -277,7 +286,7 @@ def confirmed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for source, group in want.groupby("source"):
                 firsts = group["first"].to_numpy("i8")
                 for words in by.get(int(source), []):
-                    e = Batch.edges_of(words, k, hasher)[0].view("i8")
+                    e = Batch.edges_of(words, k).view("i8")
                     order = np.argsort(e, kind="stable")
                     lo, hi = (np.searchsorted(e, firsts, side, sorter=order).tolist() for side in ("left", "right"))
                     for r, a, z in zip(group.itertuples(index=False), lo, hi, strict=True):
@@ -329,11 +338,16 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     """
     own, n = dealt(docs, id_col, text_col)
     buckets = partitions_for(docs)
-    found = paths(own, repeats(edges(own, k, buckets)), k, buckets)
+    # dealt by batch once more, so that both uses of the paths read one exchange
     key = ["source", "first", "edges", "digest"]
-    wanted = found.groupBy(*key).agg(F.count("*").alias("uses"))
+    found = paths(own, repeats(edges(own, k, buckets)), k, buckets)
+    found = found.filter(" and ".join(f"{c} is not null" for c in key)).repartition(buckets, "batch")
+    # an occurrence of each path goes along, and the join's null checks come before the exchange: with equal columns and
+    # filters both readers of the paths share it
+    holder = F.min(F.col("batch").cast("long") * (1 << 31) + F.col("row")).alias("holder")
+    wanted = found.groupBy(*key).agg(holder, F.min("start").alias("start"))
     source = F.when(F.col("source") != _NULL, F.col("source"))
-    sure = confirmed(own, wanted.select(batch_of(source, n).alias("batch"), *key), k)
+    sure = confirmed(own, wanted.select(batch_of(source, n).alias("batch"), *key, "holder", "start"), k)
     return cut(own, found.join(sure, key).select("batch", "row", "start", "edges"), k, texts)
 
 
@@ -344,16 +358,18 @@ def drop_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_c
     The text column changes, and with ``size_col`` that column becomes its length where something was cut; all others
     stay as they are. A document of which nothing is left goes. Rows without an id and unchanged rows stay as they are.
     """
-    got = remove_repeats(docs.filter(F.col(id_col).isNotNull()), k=k, id_col=id_col, text_col=text_col)
+    own, name = numbered(docs)
+    key, text = name[id_col], name[text_col]
+    got = remove_repeats(own.filter(F.col(key).isNotNull()), k=k, id_col=key, text_col=text)
     changed = got.filter("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("text").alias("_left"), (F.col("n_removed") < F.col("n_words")).alias("_some")
     )
-    out = docs.join(changed, F.col(id_col).cast("long") == F.col("_id"), "left").filter("_some or _some is null")
-    new = {text_col: F.coalesce("_left", text_col)}
-    if size_col in docs.columns:
+    out = own.join(changed, F.col(key).cast("long") == F.col("_id"), "left").filter("_some or _some is null")
+    new = {text: F.coalesce("_left", text)}
+    if size_col in name:
         kind = docs.schema[size_col].dataType
-        new[size_col] = F.when(F.col("_id").isNotNull(), F.length("_left").cast(kind)).otherwise(F.col(size_col))
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[name[size_col]] = F.when(F.col("_id").isNotNull(), F.length("_left").cast(kind)).otherwise(F.col(name[size_col]))
+    return out.withColumns(new).select(*name.values()).toDF(*docs.columns)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
