@@ -45,6 +45,8 @@ _NOISE = re.compile(
     r"widget|widgets)(?=$|[\s_-])", re.I,
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
+#: Names of elements that hold an article, whose own header belongs to the text.
+_BODY = re.compile(r"[.#](?:article|content|post|entry|story)(?:-(?:body|content|text))?(?=[.#]|$)|(?:^|/)(?:article|main)(?=[.#/]|$)")
 _SPACE = re.compile(r"\s+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -54,7 +56,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is page furniture; headers only outside an article."""
+    """Whether an element is page furniture; headers only outside an element that holds an article."""
     if tag in _SKIP or tag == "header" and not inside:
         return True
     if not attrs:
@@ -126,7 +128,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
         block = tag in _BLOCK
         if tag == "a":
             link = 1
-        inside = any(t in ("article", "main") for t, _, _, _ in stack)
+        inside = bool(stack) and tag == "header" and any(_BODY.search(p) for p in stack[-1][1].split("/"))
         noise = quiet or _noise(tag, attrs, inside)
         if not block and not (noise and not quiet):
             continue  # inline elements don't cut text, unless they are furniture

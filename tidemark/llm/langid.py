@@ -69,9 +69,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, epochs: int = 12, batch: int = 256,
-          rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
-    """Minimise cross-entropy with Adam; the order and the start follow from ``seed``."""
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, epochs: int = 12, steps: int = 400,
+          batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> Network:
+    """Minimise cross-entropy with Adam in ``epochs``, or in more that make ``steps``; order and start follow from ``seed``."""
+    epochs = max(epochs, -(-steps // -(-len(labels) // batch)))
     rng = np.random.default_rng(seed)
     conv = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype("f4") for w in WIDTHS]
     net = Network(languages, conv, rng.normal(0, 0.1, (len(WIDTHS) * FILTERS + 1, len(languages))).astype("f4"))
@@ -218,9 +219,11 @@ def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", te
     return annotate(own, net)[0].select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject(docs: DataFrame, net: Network | None, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def reject(docs: DataFrame, net: Network | None, *, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """``docs`` without texts that have no language (``und``) or whose best language scores below ``least``.
 
+    By default a text in some language stays however unsure which: texts that mix languages score low but are clean.
+
     All columns stay as they are. Without a network nothing can be judged and only texts without a letter go.
     """
     if net is None:

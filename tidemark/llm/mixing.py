@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import WORD, durable, read
+from tidemark.llm._common import WORD, durable, numbered, read
 
 #: Bins of a rounding histogram; two passes give BINS * BINS thresholds.
 BINS = 512
@@ -250,17 +250,19 @@ def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Columns stay as they are. Settings are those of ``mix``.
     """
-    got = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
+    own, name = numbered(docs)
+    key, text, source = name[id_col], name[text_col], name[source_col]
+    got = mix(own, id_col=key, text_col=text, source_col=source, **settings)
     got = got.filter("copies > 0").select(
         F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
     ).distinct()
     same = (
-        F.col(id_col).eqNullSafe(F.col("_id"))
-        & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-        & (sizes(docs, text_col) == F.col("_size"))
+        F.col(key).eqNullSafe(F.col("_id"))
+        & F.col(source).cast("string").eqNullSafe(F.col("_source"))
+        & (sizes(own, text) == F.col("_size"))
     )
-    out = docs.join(got, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = own.join(got, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*name.values()).toDF(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

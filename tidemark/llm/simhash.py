@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import components, durable, read, union_all
+from tidemark.llm._common import components, durable, numbered, read, union_all
 
 BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     )
 
 
-def similar_groups(docs: DataFrame, *, radius: int = 3, seeds: tuple[int, ...] = (42, 43, 44), id_col: str = "doc_id",
+def similar_groups(docs: DataFrame, *, radius: int = 3, seeds: tuple[int, ...] = (42, 43, 44, 45, 46), id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Candidate groups for a similarity test: (node, root) of documents linked under any of several fingerprints.
 
@@ -254,14 +254,16 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8,
     with one that stays is ``least`` or more. Rows that repeat an id are one document, of which one row stays. Rows
     without an id stay. Empty texts are copies of each other. All columns stay as they are.
     """
-    roots = durable(similar_groups(docs, id_col=id_col, text_col=text_col), "simhash")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    every, name = numbered(docs)
+    key = name[id_col]
+    own = every.select(F.col(key).cast("long").alias("doc_id"), F.col(name[text_col]).alias("text"))
+    roots = durable(similar_groups(own), "simhash")
     own = own.join(roots, F.col("doc_id") == F.col("node")).select("doc_id", "root", "text")
     members = durable(shingle_sets(own, words).dropDuplicates(["doc_id"]), "simhash")
     gone = duplicates_of(members, least).withColumnRenamed("doc_id", "_gone")
-    known = docs.filter(F.col(id_col).isNotNull())
-    kept = known.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    known = every.filter(F.col(key).isNotNull())
+    kept = known.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti").dropDuplicates([key])
+    return kept.unionByName(every.filter(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
