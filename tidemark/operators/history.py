@@ -90,14 +90,11 @@ def interactions(hist: DataFrame) -> DataFrame:
 def first_distinct_items(hist: DataFrame, most: int = 10) -> DataFrame:
     """Per (user, action): items in row order up to the ``most``-th distinct one, repeats included, cut to ``most``.
 
-    First occurrences are numbered, so only rows up to the last needed one are gathered: at most ``most`` of them stay.
+    The cut makes that the first ``most`` rows, so each task passes on no more than those of a user, however many it has.
     """
     rows = unpivot_actions(hist).select("user_id", "action", "engage_index", "tweet_id")
-    own = W.partitionBy("user_id", "action", "tweet_id").orderBy("engage_index")
-    run = W.partitionBy("user_id", "action").orderBy("engage_index")
-    rows = rows.withColumn("new", (F.row_number().over(own) == 1).cast("int"))
-    rows = rows.withColumns({"kinds": F.sum("new").over(run), "at": F.row_number().over(run)})
-    rows = rows.filter(((F.col("kinds") < most) | (F.col("kinds") == most) & (F.col("new") == 1)) & (F.col("at") <= most))
+    rank = F.row_number().over(W.partitionBy("user_id", "action").orderBy("engage_index"))
+    rows = rows.withColumn("at", rank).filter(F.col("at") <= most)
     got = rows.groupBy("user_id", "action").agg(F.sort_array(F.collect_list(F.struct("engage_index", "tweet_id"))).alias("x"))
     return got.select("user_id", "action", F.col("x.tweet_id").alias("items"))
 

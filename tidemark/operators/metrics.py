@@ -1,7 +1,7 @@
 """Ranking metrics per action over (action, label, score) rows.
 
-Curves are built from counts per distinct score, so the running sums go over scores and not over rows; sums over the
-score axis run inside ranges of scores with the totals of the ranges before, never in one task for all rows.
+Running sums over falling scores are made inside ranges of scores, cut at quantiles, and shifted by the totals of the
+ranges before, so no task sees all rows of an action. What a row's predecessor had follows from the sums themselves.
 """
 
 from __future__ import annotations
@@ -13,47 +13,47 @@ from pyspark.sql import Window as W
 PARTS = 64
 
 
-def running(rows: DataFrame, by: str, order: str, sums: list[str]) -> DataFrame:
-    """Adds ``<c>_upto``: running sums per group over falling ``order``. Scores are cut into PARTS ranges of a group."""
-    at = F.least(F.floor((1 - F.col(order)) * PARTS), F.lit(PARTS - 1))
-    own = rows.withColumn("_part", F.greatest(at, F.lit(0)))
+def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: list[str] | None = None) -> DataFrame:
+    """Adds ``<c>_upto``: running sums per group over falling ``order``, ties in the order given."""
+    at = F.percentile_approx(order, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(100 * PARTS))
+    cuts = rows.groupBy(by).agg(at.alias("_cuts"))
+    own = rows.join(F.broadcast(cuts), by)  # a row a group
+    own = own.withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(order)))).drop("_cuts")
     totals = own.groupBy(by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(by, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums])
-    inside = W.partitionBy(by, "_part").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(totals, [by, "_part"])
-    return out.withColumns({f"{c}_upto": F.col(f"_{c}_in") + F.col(f"_{c}_before") for c in sums}).select(*rows.columns, *[f"{c}_upto" for c in sums])
+    inside = W.partitionBy(by, "_part").orderBy(F.desc(order), *(ties or [])).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), [by, "_part"])
+    new = {f"{c}_upto": F.col(f"_{c}_in") + F.col(f"_{c}_before") for c in sums}
+    return out.withColumns(new).select(*rows.columns, *new)
+
+
+def _area(steps: DataFrame, rows: DataFrame, by: str, first_counts: bool) -> DataFrame:
+    """Sum of trapezoids between each step of (tp, n) and the one before it; the first one starts at (0, 1) or not at all."""
+    total = rows.groupBy(by).agg(F.sum("label").alias("_total"))
+    steps = steps.join(F.broadcast(total), by)
+    tp0, n0 = F.col("tp_upto") - F.col("tp"), F.col("n_upto") - F.col("n")
+    p, p0 = F.col("tp_upto") / F.col("n_upto"), F.when(n0 > 0, F.try_divide(tp0, n0)).otherwise(1.0)
+    r, r0 = (F.coalesce(F.try_divide(x, F.col("_total")), F.lit(0.0)) for x in (F.col("tp_upto"), tp0))
+    area = (r - r0) * (p + p0) / 2
+    area = area if first_counts else F.when(n0 > 0, area).otherwise(0.0)
+    return steps.groupBy(by).agg(F.sum(area).alias("pr_auc"))
 
 
 def curve(rows: DataFrame, by: str = "action") -> DataFrame:
-    """Precision and recall at each distinct score, falling."""
-    steps = rows.groupBy(by, "score").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
-    steps = running(steps, by, "score", ["tp", "n"])
-    total = rows.groupBy(by).agg(F.sum("label").alias("total"))
-    return steps.join(F.broadcast(total), by).select(
-        by, "score", (F.col("tp_upto") / F.col("n_upto")).alias("precision"), F.coalesce(F.try_divide(F.col("tp_upto"), F.col("total")), F.lit(0.0)).alias("recall"),
-    )
+    """tp, n, and their running sums at each distinct score, falling."""
+    return running(rows.groupBy(by, "score").agg(F.sum("label").alias("tp"), F.count("*").alias("n")), by, "score", ["tp", "n"])
 
 
 def pr_auc(rows: DataFrame, by: str = "action") -> DataFrame:
     """Area under the threshold curve with the point (0, 1), by trapezoids over distinct scores."""
-    own = W.partitionBy(by).orderBy(F.desc("score"))
-    c = curve(rows, by)
-    r0, p0 = F.coalesce(F.lag("recall").over(own), F.lit(0.0)), F.coalesce(F.lag("precision").over(own), F.lit(1.0))
-    c = c.withColumn("area", (F.col("recall") - r0) * (F.col("precision") + p0) / 2)
-    return c.groupBy(by).agg(F.sum("area").alias("pr_auc"))
+    return _area(curve(rows, by), rows, by, True)
 
 
 def pr_auc_rows(rows: DataFrame, key: str, by: str = "action") -> DataFrame:
     """Area by trapezoids between consecutive rows of falling score (ties by key), from the second row on."""
-    order = W.partitionBy(by).orderBy(F.desc("score"), key)
-    run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    n, tp = F.row_number().over(order), F.sum("label").over(run)
-    total = F.sum("label").over(W.partitionBy(by))
-    c = rows.select(by, key, "score", (tp / n).alias("precision"), F.coalesce(F.try_divide(tp, total), F.lit(0.0)).alias("recall"))
-    r0, p0 = F.lag("recall").over(order), F.lag("precision").over(order)
-    area = (F.col("recall") - r0) * (F.col("precision") + p0) / 2
-    return c.withColumn("area", F.coalesce(area, F.lit(0.0))).groupBy(by).agg(F.sum("area").alias("pr_auc"))
+    steps = rows.select(by, key, "score", F.col("label").alias("tp"), F.lit(1).alias("n"))
+    return _area(running(steps, by, "score", ["tp", "n"], [key]), rows, by, False)
 
 
 def relative_cross_entropy(rows: DataFrame, by: str = "action", *, inside: float | None = None) -> DataFrame:
