@@ -105,9 +105,7 @@ def fidelity(df: DataFrame, found: Column, given: Column) -> DataFrame:
 
 def shares(df: DataFrame, col: str) -> DataFrame:
     """Counts of a column's values and their shares of all rows."""
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("total")).alias("share"))
+    return df.groupBy(col).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(float(df.count())))
 
 
 def analyze(c: Column) -> Column:

@@ -59,11 +59,14 @@ def split_random_negatives(imps: DataFrame, *, train: int, valid: int, key: str
     return pos.unionByName(drawn.drop("_rank"))
 
 
-def window_sets(imps: DataFrame, windows: DataFrame, cutoff: int) -> DataFrame:
+def window_sets(imps: DataFrame, *, cutoff: int, interval: int = DAY, n: int = 5) -> DataFrame:
     """Every window's own train rows, and the validation rows with window 0 only: adds chunk, split."""
-    rows = imps.crossJoin(F.broadcast(windows))  # a handful of windows
-    rows = rows.withColumn("split", split_by_create_date(imps, start=F.col("start"), end=F.col("end"), cutoff=cutoff))
-    return rows.filter((F.col("split") == "train") | (F.col("split") == "valid") & (F.col("chunk") == 0)).drop("start", "end")
+    each = [
+        F.struct(F.lit(i).alias("chunk"), split_by_create_date(imps, start=cutoff - (i + 1) * interval, end=cutoff - i * interval, cutoff=cutoff).alias("split"))
+        for i in range(n)
+    ]
+    mine = F.filter(F.array(*each), lambda w: (w["split"] == "train") | (w["split"] == "valid") & (w["chunk"] == 0))
+    return imps.withColumn("_w", F.explode(mine)).select(*imps.columns, "_w.chunk", "_w.split")
 
 
 def action_window(actions: DataFrame, *, cutoff: int, interval: int = DAY, n: int = 5) -> DataFrame:

@@ -48,9 +48,9 @@ def row_norm(m: DataFrame, p: float = 2.0) -> DataFrame:
 
 def min_max(m: DataFrame) -> Fitted:
     """By the nonzeros of all rows and the zeros of the first row; a constant column becomes 1."""
-    first = m.agg(F.min("row").alias("first"))
-    ext = m.crossJoin(F.broadcast(first)).groupBy("col").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.max((F.col("row") == F.col("first")).cast("int")).alias("in_first")
+    first = m.agg(F.min("row")).first()[0]
+    ext = m.groupBy("col").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.max((F.col("row") == F.lit(first)).cast("int")).alias("in_first")
     )
     zero = F.col("in_first") == 0
     params = ext.select(
@@ -89,14 +89,13 @@ def standardise(m: DataFrame, clip: float | None = None) -> Fitted:
 
 def dense_standardise(df: DataFrame, cols: list[str], clip: float = 5.0) -> DataFrame:
     """Centred and scaled columns, clipped; a constant one is only centred. Statistics are one row."""
-    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = df.crossJoin(F.broadcast(stats))
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     new = {}
     for c in cols:
-        z = F.col(c) - F.col(f"_m_{c}")
-        z = F.when(F.col(f"_s_{c}") > 0, z / F.col(f"_s_{c}")).otherwise(z)
+        z = F.col(c) - F.lit(stats[f"m_{c}"])
+        z = z / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else z
         new[c] = F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))
-    return out.withColumns(new).select(*df.columns)
+    return df.withColumns(new)
 
 
 def tf_idf(m: DataFrame, rows: int) -> Fitted:

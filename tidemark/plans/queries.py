@@ -310,7 +310,7 @@ def window_sets(spark, d):
     """Train rows of each window, validation rows with the first."""
     imps = from_events(spark, d)
     cut = bounds(imps)[1] - splits.CUTOFF_BEFORE_END
-    return splits.window_sets(imps, splits.date_windows(spark, cutoff=cut), cut).select("chunk", "engage_index", "split")
+    return splits.window_sets(imps, cutoff=cut).select("chunk", "engage_index", "split")
 
 
 @query("chunks_and_holdout", BASE + """SELECT engage_index, CAST(least(i // (n // 3), 2) AS INT) AS chunk, CAST('0x' || substr(md5(engage_index || ':0'), 1, 8) AS BIGINT) < 1717986918 AS eval
@@ -397,7 +397,5 @@ def cold_start(spark, d):
     rows = target.join(u.withColumn("hu", F.lit(1)), "user_id", "left").join(c.withColumn("hc", F.lit(1)), "creator_id", "left")
     out = rows.agg(F.avg(F.col("hu").isNull().cast("int")).alias("new_users"), F.avg(F.col("hc").isNull().cast("int")).alias("new_creators"), F.count("*").alias("n"))
     a, b = u.select(F.col("user_id").alias("i")), c.select(F.col("creator_id").alias("i"))
-    sizes = [u.agg(F.count("*").alias("users")), a.intersect(b).agg(F.count("*").alias("both_roles")), a.union(b).distinct().agg(F.count("*").alias("all_ids"))]
-    for s in sizes:
-        out = out.crossJoin(F.broadcast(s))  # one row each
-    return out
+    sizes = {"users": u.count(), "both_roles": a.intersect(b).count(), "all_ids": a.union(b).distinct().count()}
+    return out.withColumns({k: F.lit(v).cast("long") for k, v in sizes.items()})
