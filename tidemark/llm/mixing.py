@@ -43,8 +43,8 @@ def source_targets(per_source: DataFrame, weights: list[float], share: float, li
     )
     order = W.partitionBy("part").orderBy(F.col("src").asc_nulls_last())
     starts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = starts.alias("a").join(starts.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-    before = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    before = starts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranged.join(before, "part").withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     ranked = ranked.withColumn("wt", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
@@ -146,7 +146,8 @@ def mix(
     )
     full = F.col("target") >= F.col("most") * (1 - 1e-12)
     rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), F.lit(0.0)).when(full, F.lit(float(limit)))
-    rate = rate.otherwise(tilt(F.col("lam"), F.col("size"), F.col("mean"), limit))
+    # rounded, as sums of doubles in another order differ in their last bits and reruns must agree
+    rate = rate.otherwise(tilt(F.round("lam", 9), F.col("size"), F.col("mean"), limit))
     rated = base.join(goal, F.col("src").eqNullSafe(F.col("s2")), "left").withColumn("rate", rate)
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.least(F.floor("rate"), F.lit(int(limit)))
@@ -202,7 +203,6 @@ def thresholds(rated: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
         for _ in range(2):
             lo = durable(narrow(own, lo, width), "mix")
             width /= BINS
-        # lo is the start of the finest bin; its end may be nearer to the aim
         part = lo.select("s2", F.lit(k).alias("k2"), F.col("cut"))
         cuts = part if cuts is None else cuts.unionByName(part)
         left = lo.select("s2", (F.col("due") - F.col("took")).alias("due"))
