@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +84,35 @@ def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return _mix(node), _mix(edge)
 
 
-def ordered(docs: pd.DataFrame) -> pd.DataFrame:
-    """A batch in the order all steps agree on: by id (null first), then text."""
-    return docs.sort_values(["doc_id", "text"], na_position="first", ignore_index=True)
+def batch_frame(table: pa.Table) -> pd.DataFrame:
+    """ids (null: before all others), texts and places in the table, in the order all steps agree on: by id, then text."""
+    docs = pd.DataFrame({"doc_id": table["doc_id"].fill_null(_NULL).to_numpy(), "text": table["text"].to_pandas()})
+    return docs.sort_values(["doc_id", "text"], na_position="first")
 
 
-def ids_of(docs: pd.DataFrame) -> np.ndarray:
-    return docs["doc_id"].astype("Int64").fillna(_NULL).to_numpy("i8")
+def grouped(docs: DataFrame, f, schema: str, other: DataFrame | None = None) -> DataFrame:
+    """``f(batch number, Arrow table of the batch[, frame of its rows of other])`` for every batch, on Arrow tables: columns
+    that a step doesn't touch pass as they are. The functions return frames or tables."""
+    kinds = pa_schema(schema)
+
+    def one(key, table):
+        return out(f(key[0].as_py(), table))
+
+    def two(key, table, more):
+        return out(f(key[0].as_py(), table, more.to_pandas()))
+
+    def out(got) -> pa.Table:
+        return got if isinstance(got, pa.Table) else pa.Table.from_pandas(got, schema=kinds, preserve_index=False)
+
+    if other is None:
+        return docs.groupBy("batch").applyInArrow(one, schema)
+    return docs.groupBy("batch").cogroup(other.groupBy("batch")).applyInArrow(two, schema)
+
+
+def pa_schema(schema: str) -> pa.Schema:
+    """Arrow types of a schema string of plain columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.rsplit(" ", 1) for c in schema.split(", "))])
 
 
 class Batch:
@@ -100,9 +123,9 @@ class Batch:
     that doesn't branch follows wherever the edge before it is found.
     """
 
-    def __init__(self, docs: pd.DataFrame, k: int):
-        docs = ordered(docs)
-        self.ids, self.words = ids_of(docs), [_words(t) for t in docs["text"]]
+    def __init__(self, table: pa.Table, k: int):
+        docs = batch_frame(table)
+        self.ids, self.words = docs["doc_id"].to_numpy(), [_words(t) for t in docs["text"]]
         size = np.array([len(w) for w in self.words], "i8")
         ends = np.cumsum(size)
         hashes = [HASHER.words(w) for w in self.words]
@@ -151,32 +174,44 @@ def twins(distinct: np.ndarray) -> np.ndarray:
     return np.append(same, False) | np.insert(same, 0, False) if len(node) else np.zeros(0, bool)
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed: small numbers leave their upper planes empty."""
+    import zstandard
+
+    planes = np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _opened(raw: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1")
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of ascending integers as differences, all lowest bytes first: the shuffle's compression removes the rest."""
-    x = np.diff(x, prepend=x[:1] * 0)
-    return np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes()
+    """Ascending integers as differences."""
+    return _squeezed(np.diff(x, prepend=x[:1] * 0))
 
 
 def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    x = np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(x, dtype=kind)
+    return np.cumsum(_opened(raw, kind), dtype=kind)
 
 
 def _packed(values: np.ndarray) -> tuple[bytes, bytes]:
     """Few distinct values as their list and two-byte (or four-byte) places in it."""
     own, place = np.unique(values, return_inverse=True)
-    return _planes(own), place.astype("u2" if len(own) <= 65536 else "u4").tobytes()
+    return _planes(own), _squeezed(place.astype("u2" if len(own) <= 65536 else "u4"))
 
 
 def _unpacked(own: bytes, place: bytes) -> np.ndarray:
     own = _from_planes(own, "i8")
-    return own[np.frombuffer(place, "u2" if len(own) <= 65536 else "u4")]
+    return own[_opened(place, "u2" if len(own) <= 65536 else "u4")]
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """doc_id, text, batch and the number of batches. Rows with one id share a batch."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def dealt(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, int]:
+    """doc_id, text, carried columns, batch; and the number of batches. Rows with one id share a batch."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(partitions_for(docs), -(-chars // BATCH_CHARS))
     return own.withColumn("batch", batch_of(F.col("doc_id"), n)), n
@@ -189,16 +224,16 @@ def batch_of(doc_id: Column, n: int) -> Column:
 def edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """Distinct edges of every batch, packed by bucket of nodes: batch, bucket, high, low, docs, place."""
 
-    def send(key, got: pd.DataFrame) -> pd.DataFrame:
-        b, out = Batch(got, k), []
+    def send(batch: int, table: pa.Table) -> pd.DataFrame:
+        b, out = Batch(table, k), []
         for bucket, a, z in b.slices(buckets):
             e = b.distinct[a:z]
             high, low = (e >> np.uint64(32)).astype("u4"), (e & _WORD32).astype("u4")
-            out.append((int(key[0]), bucket, _planes(high), low.tobytes(), *_packed(b.low[a:z])))
+            out.append((batch, bucket, _planes(high), low.tobytes(), *_packed(b.low[a:z])))
         return pd.DataFrame(out, columns=["batch", "bucket", "high", "low", "docs", "place"])
 
     schema = "batch int, bucket int, high binary, low binary, docs binary, place binary"
-    return docs.groupBy("batch").applyInPandas(send, schema)
+    return grouped(docs, send, schema)
 
 
 def repeats(sent: DataFrame) -> DataFrame:
@@ -239,10 +274,10 @@ def paths(docs: DataFrame, answers: DataFrame, k: int, buckets: int) -> DataFram
     """Paths of every document: doc_id, row (in its batch), start, edges, source, first edge, digest of the words."""
     cols = ["batch", "row", "start", "edges", "source", "first", "digest"]
 
-    def chain(key, got: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(got):
+    def chain(batch: int, table: pa.Table, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(table):
             return pd.DataFrame(columns=cols)
-        b, rows = Batch(got, k), []
+        b, rows = Batch(table, k), []
         source, branch = b.low.copy(), twins(b.distinct)
         base = {bucket: a for bucket, a, _ in b.slices(buckets)}
         for r in answers.itertuples(index=False):
@@ -259,12 +294,12 @@ def paths(docs: DataFrame, answers: DataFrame, k: int, buckets: int) -> DataFram
             for s, n in zip(at[begin].tolist(), np.diff(np.append(begin, len(at))).tolist(), strict=True):
                 d = int(b.doc[s])
                 w = s - int(b.starts[d])
-                rows.append((int(key[0]), d, w, n, int(source[s]), int(b.edge[s].view("i8")),
+                rows.append((batch, d, w, n, int(source[s]), int(b.edge[s].view("i8")),
                              _digest(b.words[d][w : w + n + k - 1])))
         return pd.DataFrame(rows, columns=cols)
 
     schema = "batch int, row int, start int, edges int, source long, first long, digest binary"
-    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(chain, schema)
+    return grouped(docs, chain, schema, answers)
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -275,13 +310,13 @@ def confirmed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Of compacted paths (batch of the source, source, first, edges, digest) those that the source's words confirm."""
     cols = ["source", "first", "edges", "digest"]
 
-    def check(key, got: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+    def check(batch: int, table: pa.Table, want: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(want):
-            ids = ids_of(got)
-            texts = got["text"][np.isin(ids, want["source"].to_numpy("i8"))]
+            docs = batch_frame(table)
+            docs = docs[docs["doc_id"].isin(want["source"])]
             by = {}
-            for i, t in zip(ids[texts.index].tolist() if len(texts) else [], texts, strict=True):
+            for i, t in zip(docs["doc_id"].tolist(), docs["text"], strict=True):
                 by.setdefault(i, []).append(_words(t))
             for source, group in want.groupby("source"):
                 firsts = group["first"].to_numpy("i8")
@@ -295,18 +330,17 @@ def confirmed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(sorted(set(out)), columns=cols)
 
     schema = "source long, first long, edges int, digest binary"
-    return docs.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInPandas(check, schema)
+    return grouped(docs, check, schema, wanted)
 
 
-def cut(docs: DataFrame, gone: DataFrame, k: int, texts: bool) -> DataFrame:
+def cut(docs: DataFrame, gone: DataFrame, k: int, texts: bool, carry: list[str]) -> DataFrame:
     """What is left of every document when paths (batch, row, start, edges) are taken out."""
-    cols = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if texts else [])]
 
-    def leave(key, got: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        got, spans, rows = ordered(got), {}, []
+    def leave(batch: int, table: pa.Table, gone: pd.DataFrame) -> pa.Table:
+        own, spans, rows = batch_frame(table), {}, []
         for r in gone.itertuples(index=False):
             spans.setdefault(r.row, []).append((r.start, r.start + r.edges + k - 1))
-        for i, (doc_id, text) in enumerate(zip(got["doc_id"].astype("Int64"), got["text"], strict=True)):
+        for i, text in enumerate(own["text"]):
             words, kept = _words(text), text
             n = len(words)
             if i in spans:
@@ -318,25 +352,36 @@ def cut(docs: DataFrame, gone: DataFrame, k: int, texts: bool) -> DataFrame:
                 if texts:
                     ends = [m.span() for m in _WORD.finditer(text)]
                     kept = text[: ends[0][0]] + "".join([text[ends[j][0] : ends[j][1]] for j in at])
-            row = (doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest())
-            rows.append((*row, kept) if texts else row)
-        return pd.DataFrame(rows, columns=cols)
+            rows.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), kept))
+        table = table.take(pa.array(own.index.to_numpy()))
+        n_words, n_removed, digest, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
+        new = {
+            "doc_id": table["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_sha256": pa.array(digest, pa.string()),
+        }
+        if texts:
+            new["text"] = pa.array([None if t is None or t != t else t for t in kept], pa.string())
+        return pa.table(new | {c: table[c] for c in carry})
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
-    return docs.groupBy("batch").cogroup(gone.groupBy("batch")).applyInPandas(leave, schema)
+    for c in carry:
+        schema += f", {c} {docs.schema[c].dataType.simpleString()}"
+    left = docs.groupBy("batch").cogroup(gone.groupBy("batch"))
+    return left.applyInArrow(lambda key, t, more: leave(key[0].as_py(), t, more.to_pandas()), schema)
 
 
 def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text_col: str = "text",
-                   texts: bool = True) -> DataFrame:
+                   texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut every word that lies in a window of ``k`` words which also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) and, with ``texts``,
     text: unchanged if nothing was cut, else without the cut words and the white space after them (null stays null).
     Null, empty and short texts keep all; rows that repeat an id are judged by that id, so they don't count against each
     other; rows without an id come before all ids. Rows stay, in number and with repeats; an empty table gives no rows;
-    other columns are not read.
+    columns of ``carry`` come along, others are not read.
     """
-    own, n = dealt(docs, id_col, text_col)
+    carry = list(carry)
+    own, n = dealt(docs, id_col, text_col, carry)
     buckets = partitions_for(docs)
     # dealt by batch once more, so that both uses of the paths read one exchange
     key = ["source", "first", "edges", "digest"]
@@ -348,7 +393,7 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     wanted = found.groupBy(*key).agg(holder, F.min("start").alias("start"))
     source = F.when(F.col("source") != _NULL, F.col("source"))
     sure = confirmed(own, wanted.select(batch_of(source, n).alias("batch"), *key, "holder", "start"), k)
-    return cut(own, found.join(sure, key).select("batch", "row", "start", "edges"), k, texts)
+    return cut(own, found.join(sure, key).select("batch", "row", "start", "edges"), k, texts, carry)
 
 
 def drop_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_col: str = "text",
@@ -360,16 +405,13 @@ def drop_repeats(docs: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_c
     """
     own, name = numbered(docs)
     key, text = name[id_col], name[text_col]
-    got = remove_repeats(own.filter(F.col(key).isNotNull()), k=k, id_col=key, text_col=text)
-    changed = got.filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text").alias("_left"), (F.col("n_removed") < F.col("n_words")).alias("_some")
-    )
-    out = own.join(changed, F.col(key).cast("long") == F.col("_id"), "left").filter("_some or _some is null")
-    new = {text: F.coalesce("_left", text)}
+    got = remove_repeats(own.filter(F.col(key).isNotNull()), k=k, id_col=key, text_col=text, carry=tuple(c for c in name.values() if c != text))
+    got = got.filter("n_removed < n_words or n_removed = 0").withColumn(text, F.col("text"))
     if size_col in name:
-        kind = docs.schema[size_col].dataType
-        new[name[size_col]] = F.when(F.col("_id").isNotNull(), F.length("_left").cast(kind)).otherwise(F.col(name[size_col]))
-    return out.withColumns(new).select(*name.values()).toDF(*docs.columns)
+        old, kind = F.col(name[size_col]), docs.schema[size_col].dataType
+        got = got.withColumn(name[size_col], F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(old))
+    out = got.select(*name.values()).unionByName(own.filter(F.col(key).isNull()))
+    return out.toDF(*docs.columns)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
