@@ -98,42 +98,45 @@ def fingerprints(docs: DataFrame, *, words: int = 3, id_col: str = "doc_id", tex
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints exactly as all pairs within the radius do.
+    """Edges (s, a, b) that connect distinct fingerprints (s, fp) of one seed s exactly as all pairs within the radius do.
+    Without a column s all have one seed.
 
     Buckets of two are decided by their smallest and largest member, buckets up to BUCKET by comparing their members,
     larger ones are split. Within a bucket only a spanning forest comes out.
     """
     levels, fan = mask_levels(radius), (1 << (radius + 1)) - 1
-    rows, found = None, []
+    rows, found, bucket = None, [], ["s", "t", "key"]
+    fps = fps if "s" in fps.columns else fps.withColumn("s", F.lit(0))
     for depth, masks in enumerate(levels):
         literal = F.array(*[F.lit(_signed(m)) for m in masks])
         if rows is None:
-            keyed = fps.select("fp", F.posexplode(F.transform(literal, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "key"))
+            keys = F.transform(literal, lambda m: F.col("fp").bitwiseAND(m))
+            keyed = fps.select("s", "fp", F.posexplode(keys).alias("t", "key"))
         else:
             step = F.explode(F.sequence(F.col("t") * fan, F.col("t") * fan + fan - 1)).alias("t")
-            keyed = rows.select("fp", step)
-            keyed = keyed.select("fp", "t", F.col("fp").bitwiseAND(F.element_at(literal, F.col("t") + 1)).alias("key"))
+            keyed = rows.select("s", "fp", step)
+            keyed = keyed.select("s", "fp", "t", F.col("fp").bitwiseAND(F.element_at(literal, F.col("t") + 1)).alias("key"))
         keyed = durable(keyed, "simhash") if depth else keyed
-        sized = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+        sized = keyed.groupBy(bucket).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         sized = durable(sized.filter("n > 1"), "simhash")
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-        found.append(sized.filter(F.col("n") == 2).filter(near).select("a", "b"))
+        found.append(sized.filter(F.col("n") == 2).filter(near).select("s", "a", "b"))
         last = depth == len(levels) - 1
         most = max(BUCKET, 1 << max(BITS - m.bit_count() for m in masks)) if last else BUCKET
-        some = sized.filter(F.col("n").between(3, most)).select("t", "key")
-        groups = keyed.join(some, ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-        found.append(groups.select("fps").mapInPandas(lambda it: _forests(it, radius), "a long, b long"))
-        large = sized.filter(F.col("n") > BUCKET).select("t", "key")
+        some = sized.filter(F.col("n").between(3, most)).select(bucket)
+        groups = keyed.join(some, bucket).groupBy(bucket).agg(F.collect_list("fp").alias("fps"))
+        found.append(groups.select("s", "fps").mapInPandas(lambda it: _forests(it, radius), "s int, a long, b long"))
+        large = sized.filter(F.col("n") > BUCKET).select(bucket)
         if last or large.isEmpty():
             break
-        rows = durable(keyed.join(large, ["t", "key"]).select("fp", "t"), "simhash")
+        rows = durable(keyed.join(large, bucket).select("s", "fp", "t"), "simhash")
     return union_all(found).distinct()
 
 
 def _forests(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for fps in b["fps"]:
+        for s, fps in zip(b["s"].tolist(), b["fps"], strict=True):
             x = np.asarray(fps, "i8").view("u8")
             near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
             label = np.arange(len(x))
@@ -142,8 +145,8 @@ def _forests(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFr
                 if np.array_equal(new, label):
                     break
                 label = new
-            out += [(int(fps[label[i]]), int(fps[i])) for i in range(len(x)) if label[i] != i]
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="i8")
+            out += [(s, int(fps[label[i]]), int(fps[i])) for i in range(len(x)) if label[i] != i]
+        yield pd.DataFrame(out, columns=["s", "a", "b"], dtype="i8")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col: str = "doc_id",
@@ -182,15 +185,13 @@ def similar_groups(docs: DataFrame, *, radius: int = 3, seeds: tuple[int, ...] =
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     base = durable(own.mapInPandas(run, "doc_id long, fps array<long>"), "simhash")
-    found = []
-    for i in range(len(seeds)):
-        one = base.select("doc_id", F.col("fps")[i].alias("fp"))
-        nodes = durable(one.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
-        near = links(nodes.select("fp"), radius)
-        a, b = nodes.toDF("a", "first_a"), nodes.toDF("b", "first_b")
-        found.append(near.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
-        found.append(one.join(nodes, "fp").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    return components(union_all(found), "a", "b")
+    each = base.select("doc_id", F.posexplode("fps").alias("s", "fp"))
+    nodes = durable(each.groupBy("s", "fp").agg(F.min("doc_id").alias("first")), "simhash")
+    a, b = nodes.toDF("s", "a", "first_a"), nodes.toDF("s", "b", "first_b")
+    near = links(nodes.select("s", "fp"), radius).join(a, ["s", "a"]).join(b, ["s", "b"])
+    near = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = each.join(nodes, ["s", "fp"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    return components(near.unionByName(same), "a", "b")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -235,14 +236,12 @@ def duplicates_of(members: DataFrame, least: float, rounds: int = 8) -> DataFram
                         continue
                     both = len(x) if len(x) == len(y) and (x == y).all() else len(np.intersect1d(x, y, assume_unique=True))
                     sims.append(both >= least * (len(x) + len(y) - both))
-                yield pd.DataFrame({"doc_id": b["doc_id"], "root": b["root"], "like": sims, "shingles": b["shingles"]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "like": sims})
 
-        seen = pairs.select("doc_id", "root", "shingles", "own").mapInPandas(
-            compare, "doc_id long, root long, like boolean, shingles binary"
-        )
+        seen = pairs.select("doc_id", "shingles", "own").mapInPandas(compare, "doc_id long, like boolean")
         seen = durable(seen, "simhash")
         gone.append(seen.filter("like").select("doc_id"))
-        left = seen.filter("not like").select("doc_id", "root", "shingles")
+        left = members.join(seen.filter("not like").select("doc_id"), "doc_id")
     return union_all(gone) if gone else members.select("doc_id").limit(0)
 
 
