@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
-    if isinstance(v, bool) or v is None or isinstance(v, str):
+    if isinstance(v, (bool, str, list)) or v is None:
         return str(v)
     return "%.6g" % float(v)
 
