@@ -198,6 +198,25 @@ def test_near_duplicates_are_dropped_by_similarity(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def greedy(rows, least=0.8):
+    """Ids that stay when each document in turn goes if it resembles one that stays."""
+    sets, stay = {i: shingles(t) for i, t in rows}, []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def test_every_leader_of_a_group_drops_its_copies(spark):
+    """Texts of the same words in other orders are unlike each other; each has copies, however many there are."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rnd.sample(words, 60)) for _ in range(20)]
+    rows = list(enumerate(base)) + [(100 + i, t) for i, t in enumerate(base)] + [(200 + i, f"{t} end") for i, t in enumerate(base)]
+    assert greedy(rows) == list(range(20))
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == list(range(20))
+
+
 def slow_repeats(rows, k):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}

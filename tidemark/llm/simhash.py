@@ -7,16 +7,20 @@ them, so they agree under that mask: every pair within the radius collides in at
 A bucket with more fingerprints than a limit is split by the same construction over the bits its mask leaves free,
 again and again; the guarantee holds at each level and free bits run out, so no bucket is ever compared whole when it is
 large and no pair within the radius is lost.
+
+The pipeline drops near-duplicates by the similarity of shingles itself; see ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm._common import components, durable, numbered, read, union_all
 
@@ -24,6 +28,8 @@ BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
 BUCKET = 64
 CHUNK = 50_000
+#: Documents up to which those that share a shingle are broadcast: about 24 MB.
+BROADCAST_IDS = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -52,19 +58,6 @@ def mask_levels(radius: int) -> list[list[int]]:
             return levels
 
 
-def word_fingerprints(text: str, seeds: tuple[int, ...]) -> list[int]:
-    """SimHash of the XXH64 values of a text's distinct words, one for each seed; 0 without words."""
-    import xxhash
-
-    own = set(text.encode("utf-8", "surrogatepass").lower().split())
-    out = []
-    for seed in seeds:
-        raw = b"".join([xxhash.xxh64_digest(w, seed) for w in own])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        out.append(int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.uint32) * 2 > len(own)).tobytes(), "big") if own else 0)
-    return out
-
-
 def fingerprint(text: str, words: int, seed: int = 42) -> int:
     """SimHash of the XXH64 values of a text's word shingles, repeats included; 0 without words."""
     import xxhash
@@ -170,98 +163,127 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     )
 
 
-def similar_groups(docs: DataFrame, *, radius: int = 3, seeds: tuple[int, ...] = (42, 43, 44, 45, 46), id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """Candidate groups for a similarity test: (node, root) of documents linked under any of several fingerprints.
+def shingle_order(docs: DataFrame, words: int, sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``sample`` documents hold, ascending, and how many do.
 
-    Fingerprints of distinct words stay within few bits where few words were changed, while those of unrelated texts are
-    some twenty bits apart; several seeds find the pairs that one happens to put too far apart.
+    They only say which shingles come last in the order of ``shingle_sets``. Results are the same under any order.
     """
+    n = docs.count()
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    some = shingle_sets(docs.filter(draw), words, (np.zeros(0, "i8"), np.zeros(0, "i8")))
+    often = some.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    got = sorted((r["key"], r["n"]) for r in often.orderBy(F.desc("n"), "key").limit(100_000).collect())
+    return np.array([k for k, _ in got], "i8"), np.array([k for _, k in got], "i8")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = [[_signed(x) for x in word_fingerprints("" if pd.isna(t) else t, seeds)] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fps": fps})
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    base = durable(own.mapInPandas(run, "doc_id long, fps array<long>"), "simhash")
-    each = base.select("doc_id", F.posexplode("fps").alias("s", "fp"))
-    nodes = durable(each.groupBy("s", "fp").agg(F.min("doc_id").alias("first")), "simhash")
-    a, b = nodes.toDF("s", "a", "first_a"), nodes.toDF("s", "b", "first_b")
-    near = links(nodes.select("s", "fp"), radius).join(a, ["s", "a"]).join(b, ["s", "b"])
-    near = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    same = each.join(nodes, ["s", "fp"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    return components(near.unionByName(same), "a", "b")
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, root and the sorted distinct 64-bit hashes of a text's shingles of lower-cased words, as bytes."""
+
+def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> DataFrame:
+    """doc_id, the distinct 64-bit hashes of a text's shingles of lower-cased words, n of them, and a digest of the set.
+
+    Hashes are in an order that all documents share: those of ``order`` last, by their number, others first, by value.
+    With ``least`` only the first hashes come out, one of which any set that is ``least`` alike has among its own. If
+    ``docs`` has a column digest, only rows whose set has it come out.
+    """
     import xxhash
 
+    common, times = order
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, digests, sizes = [], [], []
             for text in b["text"].fillna(""):
                 own = text.lower().split()
                 n = max(1, len(own) - words + 1)
-                hs = {xxhash.xxh64_intdigest(" ".join(own[i : i + words]), 7) for i in range(n)}
-                out.append(np.sort(np.fromiter(hs, "u8", len(hs))).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "root": b["root"], "shingles": out})
-
-    return docs.mapInPandas(run, "doc_id long, root long, shingles binary")
-
-
-def duplicates_of(members: DataFrame, least: float, rounds: int = 8) -> DataFrame:
-    """doc_id of members (doc_id, root, shingles) to drop: each resembles a smaller member that stays, by Jaccard.
-
-    In every round the smallest member left of a group stays and drops those that resemble it; the others go on. A group
-    costs one comparison a member and round, whatever its size. Members that are left after all rounds stay.
+                hs = {xxhash.xxh64_intdigest(" ".join(own[i : i + words]).encode("utf-8", "surrogatepass"), 7) for i in range(n)}
+                x = np.sort(np.fromiter(hs, "u8", len(hs)).view("i8"))
+                if len(common):
+                    at = np.searchsorted(common, x).clip(max=len(common) - 1)
+                    x = x[np.argsort(np.where(common[at] == x, times[at], 0), kind="stable")]
+                sizes.append(len(x))
+                digests.append(xxhash.xxh128_digest(x.tobytes()))
+                out.append(x[: len(x) - math.ceil(least * len(x) - 1e-9) + 1])
+            got = pd.DataFrame({"doc_id": b["doc_id"], "n": sizes, "digest": digests, "shingles": out})
+            yield got[[bytes(x) == y for x, y in zip(b["digest"], digests, strict=True)]] if "digest" in b else got
+
+    return docs.mapInPandas(run, "doc_id long, n int, digest binary, shingles array<long>")
+
+
+def buckets(prefixes: DataFrame) -> DataFrame:
+    """key, id, n, pos: the first shingles (doc_id, n, shingles) that several documents have among their own."""
+    rows = prefixes.select(F.posexplode("shingles").alias("pos", "key"), F.col("doc_id").alias("id"), "n")
+    by = W.partitionBy("key").orderBy("id")
+    rows = rows.select("*", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
+    return rows.filter("before is not null or after is not null").select("key", "id", "n", "pos")
+
+
+def duplicates_of(left: DataFrame, sets: DataFrame, least: float, first: int = 4) -> DataFrame:
+    """doc_id of sets (doc_id, shingles) to drop: each resembles a smaller one that stays, by Jaccard.
+
+    Two sets that are ``least`` alike share one of their first ``n - ceil(least * n) + 1`` shingles in the common order,
+    so the buckets ``left`` of equal such shingles hold every pair. In a round all members of a bucket are compared with its ``first``
+    smallest. A member that is among those in all its buckets has met every smaller candidate: it stays once none of
+    those that it resembles can stay, and what resembles it goes. The others go on to a round that compares with eight
+    times as many, until none is left. Groups of copies end in the first rounds; no pair is left out.
     """
-    left, gone = members, []
-    for _ in range(rounds):
-        first = left.groupBy(F.col("root").alias("r2")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        first = first.filter("n > 1").select("r2", "first")
-        if first.isEmpty():
+    gone = []
+    low, high = F.least("n", "n2"), F.greatest("n", "n2")
+    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # all that may be shared from the first one on
+    able = (low >= F.lit(least) * high - 1e-9) & (room * (1 + least) >= F.lit(least) * (F.col("n") + F.col("n2")) - 1e-9)
+    own = sets.select(F.col("doc_id").alias("id"), "shingles")
+    other = sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("with"))
+    both = F.size(F.array_intersect("shingles", "with"))
+    while not left.isEmpty():
+        rank = F.row_number().over(W.partitionBy("key").orderBy("id"))
+        lead = left.withColumn("rank", rank).filter(F.col("rank") <= first)
+        lead = durable(lead.select("key", F.col("id").alias("m"), F.col("n").alias("n2"), F.col("pos").alias("pos2")), "simhash")
+        pairs = left.join(lead, "key").filter(F.col("m") < F.col("id")).filter(able).select("id", "m").distinct()
+        alike = pairs.join(own, "id").join(other, "m").filter(
+            both >= F.lit(least) * (F.size("shingles") + F.size("with") - both)
+        )
+        edges = durable(alike.select("id", "m").distinct(), "simhash")
+        late = left.join(lead, (left["key"] == lead["key"]) & (left["id"] == lead["m"]), "left_anti")
+        late = durable(late.select("id").distinct(), "simhash")
+        while True:  # what resembles one that stays for certain goes
+            unsure = edges.select("id").union(late).distinct().toDF("m")
+            drop = durable(edges.join(unsure, "m", "left_anti").select("id").distinct(), "simhash")
+            if drop.isEmpty():
+                break
+            gone.append(drop)
+            edges = durable(edges.join(drop, "id", "left_anti").join(drop.toDF("m"), "m", "left_anti"), "simhash")
+            late = durable(late.join(drop, "id", "left_anti"), "simhash")
+        if late.isEmpty():
             break
-        rep = left.join(first, F.col("doc_id") == F.col("first")).select("r2", "first", F.col("shingles").alias("own"))
-        pairs = left.join(rep, F.col("root") == F.col("r2")).filter("doc_id <> first")
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sims = []
-                for x, y in zip(b["shingles"], b["own"], strict=True):
-                    x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                    if min(len(x), len(y)) < least * max(len(x), len(y)):
-                        sims.append(False)
-                        continue
-                    both = len(x) if len(x) == len(y) and (x == y).all() else len(np.intersect1d(x, y, assume_unique=True))
-                    sims.append(both >= least * (len(x) + len(y) - both))
-                yield pd.DataFrame({"doc_id": b["doc_id"], "like": sims})
-
-        seen = pairs.select("doc_id", "shingles", "own").mapInPandas(compare, "doc_id long, like boolean")
-        seen = durable(seen, "simhash")
-        gone.append(seen.filter("like").select("doc_id"))
-        left = members.join(seen.filter("not like").select("doc_id"), "doc_id")
-    return union_all(gone) if gone else members.select("doc_id").limit(0)
+        left = durable(left.join(edges.select("id").union(late).distinct(), "id", "left_semi"), "simhash")
+        first *= 8
+    return union_all(gone) if gone else sets.select(F.col("doc_id").alias("id")).limit(0)
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one document left of each group of near-duplicates, the smallest id.
 
-    Groups are candidates from covering hashing; a document goes if the Jaccard similarity of its ``words``-word shingles
-    with one that stays is ``least`` or more. Rows that repeat an id are one document, of which one row stays. Rows
+    By rising id, a document goes if the Jaccard similarity of its ``words``-word shingles with a smaller one that stays
+    is ``least`` or more; all such pairs are found. Rows that repeat an id are one document, of which one row stays. Rows
     without an id stay. Empty texts are copies of each other. All columns stay as they are.
     """
     every, name = numbered(docs)
     key = name[id_col]
-    own = every.select(F.col(key).cast("long").alias("doc_id"), F.col(name[text_col]).alias("text"))
-    roots = durable(similar_groups(own), "simhash")
-    own = own.join(roots, F.col("doc_id") == F.col("node")).select("doc_id", "root", "text")
-    members = durable(shingle_sets(own, words).dropDuplicates(["doc_id"]), "simhash")
-    gone = duplicates_of(members, least).withColumnRenamed("doc_id", "_gone")
+    own = every.select(F.col(key).cast("long").alias("doc_id"), F.col(name[text_col]).alias("text")).filter("doc_id is not null")
+    order = shingle_order(own, words)
+    each = shingle_sets(own, words, order, least).withColumn("row", F.monotonically_increasing_id())
+    each = durable(each, "simhash")
+    one = each.groupBy("doc_id").agg(F.min(F.struct("digest", "row")).alias("d")).select("doc_id", "d.*")
+    # equal sets are one
+    unlike = one.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("d")).select("digest", "d.*")
+    unlike = durable(unlike, "simhash")
+    left = durable(buckets(each.join(unlike.select("row"), "row")), "simhash")
+    met = left.select(F.col("id").alias("doc_id")).distinct().join(unlike.select("doc_id", "digest"), "doc_id")
+    met = durable(met, "simhash")
+    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+    sets = durable(shingle_sets(own.join(met, "doc_id"), words, order).select("doc_id", "shingles"), "simhash")
+    found = duplicates_of(left, sets, least)
+    stay = durable(unlike.select("doc_id").join(found.toDF("doc_id"), "doc_id", "left_anti").toDF("_stay"), "simhash")
     known = every.filter(F.col(key).isNotNull())
-    kept = known.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti").dropDuplicates([key])
+    kept = known.join(stay, F.col(key).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([key])
     return kept.unionByName(every.filter(F.col(key).isNull())).toDF(*docs.columns)
 
 
