@@ -217,6 +217,29 @@ def test_every_leader_of_a_group_drops_its_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == list(range(20))
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    """Edits, appended passages, cuts, repeats and chains of texts from far below to far above the similarity."""
+    rnd = random.Random(12)
+    docs = [[f"w{rnd.randint(0, 4000)}" for _ in range(rnd.choice([12, 60, 150, 400]))] for _ in range(50)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    for i, w in enumerate(docs):
+        for j, share in enumerate([0.05, 0.12, 0.18, 0.22, 0.25, 0.3]):
+            n = max(1, int(len(w) * share))
+            rows.append((1000 + 10 * i + j, " ".join(w + [f"n{rnd.randint(0, 9999)}" for _ in range(n)])))
+            rows.append((2000 + 10 * i + j, " ".join(w[: len(w) - n])))
+            v = list(w)
+            for _ in range(max(1, int(n / 7))):
+                v[rnd.randrange(len(v))] = f"e{rnd.randint(0, 9999)}"
+            rows.append((3000 + 10 * i + j, " ".join(v)))
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(5000 + rnd.randint(0, 10**6), " ".join(chain[i : i + 100])) for i in range(0, 300, 3)]
+    want = greedy(rows)
+    sets = [shingles(t) for _, t in rows]
+    shared = (len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert sum(0.8 <= x <= 0.9 for x in shared) > 300
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()) == want
+
+
 def slow_repeats(rows, k):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
