@@ -332,6 +332,33 @@ def test_embedding_components_beyond_a_block(spark, monkeypatch):
     assert {got[500 + i] for i in range(60)} == {(59, 500)}
 
 
+def test_dense_clusters_with_one_bridge_are_one_component(spark):
+    """All vectors have more links than a list holds; one pair in 3600 links the two clusters of a label."""
+    rng, size, rows = np.random.default_rng(3), 80, []
+    tilt, apart = np.radians(10), np.radians(21)
+    for label in range(10):
+        q = np.linalg.qr(rng.normal(size=(size, size)))[0]
+        for k, centre in enumerate([q[0], np.cos(apart) * q[0] + np.sin(apart) * q[1]]):
+            for i in range(60):
+                side = q[2] if i == 0 else rng.normal(size=size - 3) @ q[3:]
+                side = side / np.linalg.norm(side)
+                rows.append((label * 1000 + k * 100 + i, (np.cos(tilt) * centre + np.sin(tilt) * side).tolist(), label))
+    x = np.array([r[1] for r in rows]).reshape(10, 120, size)
+    near = np.einsum("lid,ljd->lij", x, x) >= 0.93
+    assert near[:, :60, 60:].sum() == 10 and (near.sum(2) > 17).all()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    assert got == {i: (int(n) - 1, label * 1000) for (i, _, label), n in zip(rows, near.sum(2).ravel(), strict=True)}
+
+
+def test_recall_below_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "SETS", 1)
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.5)
+    df = spark.createDataFrame([(i, [1.0, i / 100], 1) for i in range(5)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError):
+        nn_descent.near_duplicates(df)
+
+
 def test_pipeline_stages(spark):
     rnd = random.Random(8)
     real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]

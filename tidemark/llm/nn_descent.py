@@ -4,7 +4,9 @@ A neighbour graph starts from neighbours in sorted random-projection keys and is
 neighbours. Only pairs of cosine ``2 t^2 - 1`` or more are kept on the way: two vectors that both link to a third at the
 threshold ``t`` can't be further apart, so weaker pairs lead to no link. Lists hold K entries; a vector whose list is full
 of links is saturated, and its list is enlarged to its whole component by an exact blocked comparison inside components.
-Recall is audited on a sample of vectors against all others; while it is below target, more keys are added.
+So that saturated vectors of two components can still be joined, every vector then gets a second list, of the K best that
+are in other components, and vectors of two dense components that have edges between them are compared exactly. Recall is audited on a sample of vectors against all others; while it is below target, more keys
+are added, and if that doesn't help there is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tidemark.llm._common import components, durable, partitions_for, read
 
 K = 16
 BLOCK = 512
+#: Sets of keys after which a recall below target is an error.
+SETS = 16
 
 
 def unit_vectors(vecs: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -117,18 +121,24 @@ def sorted_keys(nodes: DataFrame, tables: range, bits: int, floor: float, reach:
     return dealt.mapInPandas(near, "a long, b long, sim double").filter("a <> b")
 
 
-def refine(edges: DataFrame, nodes: DataFrame, threshold: float, floor: float) -> DataFrame:
+def refine(edges: DataFrame, nodes: DataFrame, threshold: float, floor: float, roots: DataFrame | None = None) -> DataFrame:
     """Candidates from one join of neighbours of neighbours: a < b, sim, at or above the floor.
 
     Every vector gathers the K best of its neighbours in both directions. Pairs among them are scored where one of the
-    two edges is new and one end isn't saturated yet.
+    two edges is new and one end isn't saturated yet. With ``roots`` a vector also gathers the K best of other components
+    than its own, and saturated ends are scored where they are in two components.
     """
     both = edges.select(F.col("a").alias("w"), F.col("b").alias("u"), "sim", "new").unionByName(
         edges.select(F.col("b").alias("w"), F.col("a").alias("u"), "sim", "new")
     )
     links = both.groupBy("w").agg(F.count(F.when(F.col("sim") >= threshold, 1)).alias("links"))
-    best = W.partitionBy("w").orderBy(F.desc("sim"), "u")
-    lists = both.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= K).select("w", "u", "new")
+    both = both.withColumn("far", F.lit(False)).withColumn("root", F.lit(0).cast("long"))
+    if roots is not None:
+        own, other = roots.toDF("w", "root_w"), roots.toDF("u", "root_u")
+        both = both.join(own, "w", "left").join(other, "u", "left").withColumn("root", F.coalesce("root_u", "u"))
+        both = both.withColumn("far", F.col("root") != F.coalesce("root_w", "w"))
+    best = W.partitionBy("w", "far").orderBy(F.desc("sim"), "u")
+    lists = both.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= K).select("w", "u", "new", "root")
     full = links.select(F.col("w").alias("u"), (F.col("links") >= K).alias("full"))
     lists = lists.join(full, "u").join(nodes.select(F.col("id").alias("u"), "vec"), "u")
     lists = lists.repartition(partitions_for(edges), "w").sortWithinPartitions("w", "u")
@@ -137,11 +147,13 @@ def refine(edges: DataFrame, nodes: DataFrame, threshold: float, floor: float) -
         out = []
         for g in _groups(batches, ["w"]):
             new, full = g["new"].to_numpy(bool), g["full"].to_numpy(bool)
-            if len(g) < 2 or not new.any() or full.all():
+            root = g["root"].to_numpy("i8")
+            apart = root[:, None] != root[None, :]
+            if len(g) < 2 or not new.any() or full.all() and not apart.any():
                 continue
             x, ids = _matrix(g["vec"]), g["u"].to_numpy("i8")
             s = x @ x.T
-            i, j = np.nonzero(np.triu((s >= floor) & (new[:, None] | new[None, :]) & ~(full[:, None] & full[None, :]), 1))
+            i, j = np.nonzero(np.triu((s >= floor) & (new[:, None] | new[None, :]) & (apart | ~(full[:, None] & full[None, :])), 1))
             out.append(np.column_stack([ids[i], ids[j], s[i, j].view("i8")]))
             if sum(map(len, out)) > 50_000:
                 yield _pairs(out)
@@ -151,6 +163,42 @@ def refine(edges: DataFrame, nodes: DataFrame, threshold: float, floor: float) -
     return lists.mapInPandas(pairs, "a long, b long, sim double")
 
 
+def bridges(edges: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Links between two components of more than K vectors each: a < b, sim.
+
+    Of two such components all vectors with an edge into the other one are compared exactly, in cells of about BLOCK.
+    """
+    dense = roots.groupBy("root").agg(F.count("*").alias("k")).filter(F.col("k") > K).select("root")
+    known = durable(roots.join(dense, "root").select("node", "root"), "nnd")
+    both = edges.join(known.toDF("a", "ra"), "a").join(known.toDF("b", "rb"), "b").filter("ra <> rb")
+    r = [F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")]
+    ends = both.select(F.col("a").alias("id"), *r, (F.col("ra") < F.col("rb")).alias("left")).unionByName(
+        both.select(F.col("b").alias("id"), *r, (F.col("rb") < F.col("ra")).alias("left"))
+    )
+    ends = durable(ends.distinct(), "nnd")
+    parts = [F.ceil(F.count(F.when(F.col("left") == side, 1)) / BLOCK).cast("int").alias(n) for side, n in ((True, "n1"), (False, "n2"))]
+    placed = ends.join(ends.groupBy("r1", "r2").agg(*parts), ["r1", "r2"])
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("left"), F.col("n1")).otherwise(F.col("n2"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(F.col("left"), F.col("n2")).otherwise(F.col("n1")) - 1)
+    sent = placed.select("r1", "r2", "left", "id", mine.alias("mine"), F.explode(meets).alias("its"))
+    p1, p2 = F.when(F.col("left"), F.col("mine")).otherwise(F.col("its")), F.when(F.col("left"), F.col("its")).otherwise(F.col("mine"))
+    sent = sent.select("r1", "r2", p1.alias("p1"), p2.alias("p2"), "left", "id").join(nodes.select("id", "vec"), "id")
+    key = ["r1", "r2", "p1", "p2"]
+    sent = sent.repartition(partitions_for(nodes), *key).sortWithinPartitions(*key)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, key):
+            left = g["left"].to_numpy(bool)
+            if left.all() or not left.any():
+                continue
+            x, ids = _matrix(g["vec"]), g["id"].to_numpy("i8")
+            s = x[left] @ x[~left].T
+            i, j = np.nonzero(s >= threshold)
+            yield _pairs([np.column_stack([ids[left][i], ids[~left][j], s[i, j].view("i8")])])
+
+    return sent.mapInPandas(compare, "a long, b long, sim double")
+
+
 def _pairs(parts: list[np.ndarray]) -> pd.DataFrame:
     x = np.concatenate(parts) if parts else np.zeros((0, 3), "i8")
     return pd.DataFrame({"a": np.minimum(x[:, 0], x[:, 1]), "b": np.maximum(x[:, 0], x[:, 1]),
@@ -270,23 +318,33 @@ def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "
     n = nodes.count()
     bits = max(6, min(40, int(math.log2(max(n, 2))) - 4))
     edges, done = None, 0
-    for _ in range(4):
+    for _ in range(SETS):
         more = sorted_keys(nodes.select("id", "label", "vec"), range(done, done + tables), bits, floor)
         more, done = more.withColumn("new", F.lit(True)), done + tables
         edges = more if edges is None else edges.withColumn("new", F.lit(False)).unionByName(more)
         edges = durable(edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")), "nnd")
-        for _ in range(rounds):
-            had = edges.count()
-            got = refine(edges, nodes, threshold, floor).withColumn("new", F.lit(True))
-            old = edges.withColumn("new", F.lit(False))
-            edges = durable(
-                old.unionByName(got).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")), "nnd"
-            )
-            if edges.count() - had <= had // 200:
-                break
-        roots = durable(components(edges.filter(F.col("sim") >= threshold), "a", "b"), "nnd")
-        if audit(nodes, roots, threshold) >= recall:
+        roots = None
+        for _ in range(2):  # inside components, then between them
+            edges = edges if roots is None else edges.withColumn("new", F.lit(True))
+            for _ in range(rounds):
+                had = edges.count()
+                got = refine(edges, nodes, threshold, floor, roots).withColumn("new", F.lit(True))
+                old = edges.withColumn("new", F.lit(False))
+                edges = durable(
+                    old.unionByName(got).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")), "nnd"
+                )
+                if edges.count() - had <= had // 200:
+                    break
+            roots = durable(components(edges.filter(F.col("sim") >= threshold), "a", "b"), "nnd")
+        more = durable(bridges(edges, nodes, roots, threshold), "nnd")
+        if not more.isEmpty():
+            edges = durable(edges.unionByName(more.withColumn("new", F.lit(True))), "nnd")
+            roots = durable(components(edges.filter(F.col("sim") >= threshold), "a", "b"), "nnd")
+        found = audit(nodes, roots, threshold)
+        if found >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {found:.4f} after {done} keys is below {recall}")
     counts = count_links(nodes, roots, threshold)
     node = nodes.join(roots, F.col("node") == F.col("id"), "left").select(
         "label", "vec", "copies", F.col("id").alias("rep"), F.coalesce("root", "id").alias("component_id")
