@@ -8,7 +8,8 @@ A bucket with more fingerprints than a limit is split by the same construction o
 again and again; the guarantee holds at each level and free bits run out, so no bucket is ever compared whole when it is
 large and no pair within the radius is lost.
 
-The pipeline drops near-duplicates by the similarity of shingles itself; see ``drop_near_duplicates``.
+The pipeline verifies links on the shingles themselves and finds by shared rare shingles what fingerprints can't see; see
+``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import components, durable, numbered, read, union_all
+from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, union_all
 
 BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
 BUCKET = 64
 CHUNK = 50_000
-#: Documents up to which those that share a shingle are broadcast: about 24 MB.
-BROADCAST_IDS = 1_000_000
+#: Characters of text a step works on at once, about.
+CHUNK_CHARS = 4_000_000
+#: Documents of the sample of shingles from which on a shingle counts as frequent, and tasks it is dealt over.
+FREQUENT, SALTS = 60, 64
 
 
 def _signed(x: int) -> int:
@@ -98,7 +103,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     larger ones are split. Within a bucket only a spanning forest comes out.
     """
     levels, fan = mask_levels(radius), (1 << (radius + 1)) - 1
-    rows, found, bucket = None, [], ["s", "t", "key"]
+    rows, found, bucket, keep = None, [], ["s", "t", "key"], Scratch(fps.sparkSession, "simhash")
     fps = fps if "s" in fps.columns else fps.withColumn("s", F.lit(0))
     for depth, masks in enumerate(levels):
         literal = F.array(*[F.lit(_signed(m)) for m in masks])
@@ -109,9 +114,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             step = F.explode(F.sequence(F.col("t") * fan, F.col("t") * fan + fan - 1)).alias("t")
             keyed = rows.select("s", "fp", step)
             keyed = keyed.select("s", "fp", "t", F.col("fp").bitwiseAND(F.element_at(literal, F.col("t") + 1)).alias("key"))
-        keyed = durable(keyed, "simhash") if depth else keyed
+        keyed = keep(keyed) if depth else keyed
         sized = keyed.groupBy(bucket).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        sized = durable(sized.filter("n > 1"), "simhash")
+        sized = keep(sized.filter("n > 1"))
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
         found.append(sized.filter(F.col("n") == 2).filter(near).select("s", "a", "b"))
         last = depth == len(levels) - 1
@@ -122,8 +127,10 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         large = sized.filter(F.col("n") > BUCKET).select(bucket)
         if last or large.isEmpty():
             break
-        rows = durable(keyed.join(large, bucket).select("s", "fp", "t"), "simhash")
-    return union_all(found).distinct()
+        rows = keep(keyed.join(large, bucket).select("s", "fp", "t"))
+    out = keep(union_all(found).distinct())
+    keep.clear(out)
+    return out
 
 
 def _forests(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
@@ -151,142 +158,226 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, radius: int = 2, id_col:
     repeated rows stay; null ids never name a group unless all its ids are null. Other columns are not read.
     Equal fingerprints are one node, so groups of copies cost no pairs.
     """
-    base = durable(fingerprints(docs, words=words, id_col=id_col, text_col=text_col), "simhash")
-    nodes = durable(base.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash")
-    roots = components(links(nodes.select("fp"), radius), "a", "b")
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left")
+    keep = Scratch(docs.sparkSession, "simhash")
+    base = keep(fingerprints(docs, words=words, id_col=id_col, text_col=text_col))
+    nodes = keep(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    near = links(nodes.select("fp"), radius)
+    named = nodes.join(components(near, "a", "b"), F.col("fp") == F.col("node"), "left")
     named = named.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    named = keep(named.join(least, "root").select("fp", "component_id"))
+    keep.clear(base, named)
     return base.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of ``words`` words of every text (fewer words: of the whole sequence), and where each text's end.
+
+    A-Z are lower-cased; words are what the six ASCII white-space characters separate. A text without words has one hash.
+    """
+    import xxhash
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.values.dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    own = np.fromiter((digest(w, 7) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    some = pc.binary_length(split.values).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(some)])[split.offsets.to_numpy()]
+    h = own[coded.indices.to_numpy()[some]]
+    n = max(0, len(h) - words + 1)
+    run = np.zeros(n, np.uint64)
+    for j in range(words):
+        run += h[j : j + n] * np.uint64(pow(int(M1), j, 1 << 64))
+    run = mix(run)
+    size = np.diff(ends)
+    inside = np.ones(n, bool)
+    for back in range(1, words):  # runs that reach into the next text
+        at = ends[1:-1] - back
+        inside[at[(at >= 0) & (at < n)]] = False
+    short = np.flatnonzero(size < words)
+    count = np.where(size < words, 0, size - words + 1)
+    if not len(short):
+        return run[inside], np.cumsum(count)
+    # texts of fewer words: their one hash goes where their runs would be
+    whole = [mix(np.array([sum(int(x) * pow(int(M1), j, 1 << 64) for j, x in enumerate(h[ends[d] : ends[d + 1]])) + 1 & (1 << 64) - 1], np.uint64))[0] for d in short]
+    return np.insert(run[inside], (np.cumsum(count) - count)[short], whole), np.cumsum(np.maximum(count, 1))
+
+
+def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray], least: float | None = None) -> DataFrame:
+    """Of every row: doc_id, a digest of its set of shingles, n of them, and ``shingles``, their ascending hashes.
+
+    With ``least`` not all hashes come out but ``fp``, the set's SimHash, and ``first``, some hashes one of which any set
+    that is ``least`` alike has among its own ``first`` too: those of ``order`` are left out first, the commonest first.
+    """
+    import xxhash
+
+    common, times = order
+
+    def sets(texts: pa.Array) -> Iterator[tuple]:
+        hashes, ends = shingles(texts, words)
+        rank = np.zeros(len(hashes), "i8")
+        if least is not None and len(common):
+            at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
+            rank = np.where(common[at] == hashes, times[at], 0)
+        for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            x, at = np.unique(hashes[a:z], return_index=True)
+            row = (xxhash.xxh128_digest(x.tobytes()), len(x))
+            if least is None:
+                yield *row, x.view("i8")
+                continue
+            bits = np.unpackbits(x.byteswap().view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+            fp = int.from_bytes(np.packbits(bits * 2 > len(x)).tobytes(), "big")
+            by = np.argsort(rank[a:z][at], kind="stable")
+            yield *row, _signed(fp), x[by[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]].view("i8")
+
+    names = ["digest", "n", "shingles"] if least is None else ["digest", "n", "fp", "first"]
+    kinds = {"digest": pa.binary(), "n": pa.int32(), "fp": pa.int64(), "shingles": pa.list_(pa.int64()), "first": pa.list_(pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in bounded(b, "text", CHUNK_CHARS):
+                cols = list(zip(*sets(pc.fill_null(part["text"], "")), strict=True)) or [()] * len(names)
+                table = pa.table({"doc_id": part["doc_id"]} | {c: pa.array(list(v), kinds[c]) for c, v in zip(names, cols, strict=True)})
+                yield from table.to_batches()
+
+    kind = {"digest": "binary", "n": "int", "fp": "long", "shingles": "array<long>", "first": "array<long>"}
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {kind[c]}" for c in names))
+
+
 def shingle_order(docs: DataFrame, words: int, sample: int = 4000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ``sample`` documents hold, ascending, and how many do.
+    """Shingles that several of about ``sample`` documents hold, ascending, and in how many.
 
-    They only say which shingles come last in the order of ``shingle_sets``. Results are the same under any order.
+    They only say which shingles come last in the order that all documents share, and which are known to be frequent.
+    Results are the same under any order.
     """
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    some = shingle_sets(docs.filter(draw), words, (np.zeros(0, "i8"), np.zeros(0, "i8")))
+    some = shingle_sets(docs.filter(draw), words, (np.zeros(0, np.uint64), np.zeros(0, "i8")))
     often = some.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    got = sorted((r["key"], r["n"]) for r in often.orderBy(F.desc("n"), "key").limit(100_000).collect())
-    return np.array([k for k, _ in got], "i8"), np.array([k for _, k in got], "i8")
+    got = [(r["key"], r["n"]) for r in often.orderBy(F.desc("n"), "key").limit(100_000).collect()]
+    keys, times = np.array([k for k, _ in got], "i8").view("u8"), np.array([k for _, k in got], "i8")
+    by = np.argsort(keys)
+    return keys[by], times[by]
 
 
-def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray], least: float = 0.0) -> DataFrame:
-    """doc_id, the distinct 64-bit hashes of a text's shingles of lower-cased words, n of them, and a digest of the set.
+def buckets(first: DataFrame, frequent: list[int]) -> DataFrame:
+    """key, id, n, pos: the first shingles (doc_id, n, first) that several documents have among their own.
 
-    Hashes are in an order that all documents share: those of ``order`` last, by their number, others first, by value.
-    With ``least`` only the first hashes come out, one of which any set that is ``least`` alike has among its own. If
-    ``docs`` has a column digest, only rows whose set has it come out.
+    Keys known to be ``frequent`` are dealt over many tasks; what is left of those needs no neighbour to be kept.
     """
-    import xxhash
+    rows = first.select(F.posexplode("first").alias("pos", "key"), F.col("doc_id").alias("id"), "n")
+    often = F.col("key").isin(frequent) if frequent else F.lit(False)
+    rows = rows.withColumn("often", often).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    by = W.partitionBy("key", "salt").orderBy("id")
+    rows = rows.withColumns({"before": F.lag("id").over(by), "after": F.lead("id").over(by)})
+    return rows.filter("often or before is not null or after is not null").select("key", "id", "n", "pos")
 
-    common, times = order
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out, digests, sizes = [], [], []
-            for text in b["text"].fillna(""):
-                own = text.lower().split()
-                n = max(1, len(own) - words + 1)
-                hs = {xxhash.xxh64_intdigest(" ".join(own[i : i + words]).encode("utf-8", "surrogatepass"), 7) for i in range(n)}
-                x = np.sort(np.fromiter(hs, "u8", len(hs)).view("i8"))
-                if len(common):
-                    at = np.searchsorted(common, x).clip(max=len(common) - 1)
-                    x = x[np.argsort(np.where(common[at] == x, times[at], 0), kind="stable")]
-                sizes.append(len(x))
-                digests.append(xxhash.xxh128_digest(x.tobytes()))
-                out.append(x[: len(x) - math.ceil(least * len(x) - 1e-9) + 1])
-            got = pd.DataFrame({"doc_id": b["doc_id"], "n": sizes, "digest": digests, "shingles": out})
-            yield got[[bytes(x) == y for x, y in zip(b["digest"], digests, strict=True)]] if "digest" in b else got
-
-    return docs.mapInPandas(run, "doc_id long, n int, digest binary, shingles array<long>")
-
-
-def buckets(prefixes: DataFrame) -> DataFrame:
-    """key, id, n, pos: the first shingles (doc_id, n, shingles) that several documents have among their own."""
-    rows = prefixes.select(F.posexplode("shingles").alias("pos", "key"), F.col("doc_id").alias("id"), "n")
-    by = W.partitionBy("key").orderBy("id")
-    rows = rows.select("*", F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"))
-    return rows.filter("before is not null or after is not null").select("key", "id", "n", "pos")
-
-
-def duplicates_of(left: DataFrame, sets: DataFrame, least: float, first: int = 4) -> DataFrame:
-    """doc_id of sets (doc_id, shingles) to drop: each resembles a smaller one that stays, by Jaccard.
-
-    Two sets that are ``least`` alike share one of their first ``n - ceil(least * n) + 1`` shingles in the common order,
-    so the buckets ``left`` of equal such shingles hold every pair. In a round all members of a bucket are compared with its ``first``
-    smallest. A member that is among those in all its buckets has met every smaller candidate: it stays once none of
-    those that it resembles can stay, and what resembles it goes. The others go on to a round that compares with eight
-    times as many, until none is left. Groups of copies end in the first rounds; no pair is left out.
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (id, m) whose sets (doc_id, shingles) have a Jaccard similarity of at least ``least``.
+
+    Both joins are plain equi-joins: a document in very many pairs is a skewed key that adaptive execution splits.
     """
-    gone = []
-    low, high = F.least("n", "n2"), F.greatest("n", "n2")
-    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # all that may be shared from the first one on
-    able = (low >= F.lit(least) * high - 1e-9) & (room * (1 + least) >= F.lit(least) * (F.col("n") + F.col("n2")) - 1e-9)
     own = sets.select(F.col("doc_id").alias("id"), "shingles")
     other = sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("with"))
     both = F.size(F.array_intersect("shingles", "with"))
+    got = pairs.join(own, "id").join(other, "m").select("id", "m", both.alias("both"), (F.size("shingles") + F.size("with")).alias("all"))
+    return got.filter(F.col("both") >= F.lit(least) * (F.col("all") - F.col("both")) - 1e-9).select("id", "m")
+
+
+def rooted(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """``left`` (key, id, n, pos) with the component of every id, without keys whose ids are all in one component."""
+    own = left.drop("root").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    own = own.select("key", "id", "n", "pos", "root")
+    open_ = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return own.join(open_, "key", "left_semi")
+
+
+def links_by_shingles(left: DataFrame, edges: DataFrame, sets: DataFrame, least: float, keep: Scratch,
+                      *others: DataFrame) -> DataFrame:
+    """Roots (node, root) of the components that all pairs of sets with at least ``least`` of Jaccard similarity make.
+
+    ``edges`` (id, m) are the links found so far. Two sets that are ``least`` alike share one of their first ``n - ceil(least *
+    n) + 1`` shingles in the common order, so the buckets ``left`` of equal such shingles hold every pair. In a round the
+    members of a bucket are compared with its smallest one (then eight, then sixty-four, ...) unless both are in one
+    component by now; these leaders then leave the bucket, as does everything once a bucket is of one component. So a group of
+    thousands of near copies costs about a comparison a member, and no pair of unlike components is left out.
+    """
+    low, high = F.least("n", "n2"), F.greatest("n", "n2")
+    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # all that may be shared from the first one on
+    able = (low >= F.lit(least) * high - 1e-9) & (room * (1 + least) >= F.lit(least) * (F.col("n") + F.col("n2")) - 1e-9)
+    roots = keep(components(edges, "id", "m"))
+    first, left = 1, keep(rooted(left, roots))
     while not left.isEmpty():
-        rank = F.row_number().over(W.partitionBy("key").orderBy("id"))
-        lead = left.withColumn("rank", rank).filter(F.col("rank") <= first)
-        lead = durable(lead.select("key", F.col("id").alias("m"), F.col("n").alias("n2"), F.col("pos").alias("pos2")), "simhash")
-        pairs = left.join(lead, "key").filter(F.col("m") < F.col("id")).filter(able).select("id", "m").distinct()
-        alike = pairs.join(own, "id").join(other, "m").filter(
-            both >= F.lit(least) * (F.size("shingles") + F.size("with") - both)
-        )
-        edges = durable(alike.select("id", "m").distinct(), "simhash")
-        late = left.join(lead, (left["key"] == lead["key"]) & (left["id"] == lead["m"]), "left_anti")
-        late = durable(late.select("id").distinct(), "simhash")
-        while True:  # what resembles one that stays for certain goes
-            unsure = edges.select("id").union(late).distinct().toDF("m")
-            drop = durable(edges.join(unsure, "m", "left_anti").select("id").distinct(), "simhash")
-            if drop.isEmpty():
-                break
-            gone.append(drop)
-            edges = durable(edges.join(drop, "id", "left_anti").join(drop.toDF("m"), "m", "left_anti"), "simhash")
-            late = durable(late.join(drop, "id", "left_anti"), "simhash")
-        if late.isEmpty():
-            break
-        left = durable(left.join(edges.select("id").union(late).distinct(), "id", "left_semi"), "simhash")
+        lead = left.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id"))).filter(F.col("rank") <= first)
+        lead = keep(lead.select("key", F.col("id").alias("m"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2")))
+        pairs = left.join(lead, "key").filter("m < id and root <> root2").filter(able).select("id", "m").distinct()
+        new = keep(alike(pairs, sets, least))
+        if not new.isEmpty():
+            edges = keep(edges.unionByName(new))
+            roots = keep(components(edges, "id", "m"))
+        rest = left.join(lead, (left["key"] == lead["key"]) & (left["id"] == lead["m"]), "left_anti")
+        left = keep(rooted(rest, roots))
+        keep.clear(left, edges, roots, sets, *others)
         first *= 8
-    return union_all(gone) if gone else sets.select(F.col("doc_id").alias("id")).limit(0)
+    return roots
 
 
-def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, id_col: str = "doc_id",
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8, radius: int = 2, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one document left of each group of near-duplicates, the smallest id.
 
-    By rising id, a document goes if the Jaccard similarity of its ``words``-word shingles with a smaller one that stays
-    is ``least`` or more; all such pairs are found. Rows that repeat an id are one document, of which one row stays. Rows
-    without an id stay. Empty texts are copies of each other. All columns stay as they are.
+    Two documents are linked if the Jaccard similarity of their ``words``-word shingles is ``least`` or more; a group is what
+    links connect. Links are found by covering masks over the fingerprints of the shingle sets, within ``radius`` bits, and
+    verified on the sets. Fingerprints this far apart only hold the closest pairs (at a similarity of 0.8 about ten of 64 bits
+    differ), so every other pair is then found by shared rare shingles, see ``links_by_shingles``: no link is lost.
+
+    Rows that repeat an id are one document, the one of the smallest text. Rows without an id stay. Texts without words are
+    copies of each other, null ones too. An empty table stays empty. All columns stay as they are, whatever their names.
     """
     every, name = numbered(docs)
-    key = name[id_col]
-    own = every.select(F.col(key).cast("long").alias("doc_id"), F.col(name[text_col]).alias("text")).filter("doc_id is not null")
+    key, text, keep = name[id_col], name[text_col], Scratch(docs.sparkSession, "near")
+    every = one_row_an_id(every, key, text)
+    own = every.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     order = shingle_order(own, words)
-    each = shingle_sets(own, words, order, least).withColumn("row", F.monotonically_increasing_id())
-    each = durable(each, "simhash")
-    one = each.groupBy("doc_id").agg(F.min(F.struct("digest", "row")).alias("d")).select("doc_id", "d.*")
-    # equal sets are one
-    unlike = one.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("d")).select("digest", "d.*")
-    unlike = durable(unlike, "simhash")
-    left = durable(buckets(each.join(unlike.select("row"), "row")), "simhash")
-    met = left.select(F.col("id").alias("doc_id")).distinct().join(unlike.select("doc_id", "digest"), "doc_id")
-    met = durable(met, "simhash")
-    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
-    sets = durable(shingle_sets(own.join(met, "doc_id"), words, order).select("doc_id", "shingles"), "simhash")
-    found = duplicates_of(left, sets, least)
-    stay = durable(unlike.select("doc_id").join(found.toDF("doc_id"), "doc_id", "left_anti").toDF("_stay"), "simhash")
-    known = every.filter(F.col(key).isNotNull())
-    kept = known.join(stay, F.col(key).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([key])
+    each = keep(shingle_sets(own, words, order, least))
+    # equal sets are one node
+    nodes = keep(each.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    mine = each.join(small(nodes), "doc_id", "left_semi")
+    left = keep(buckets(mine, order[0][order[1] >= FREQUENT].view("i8").tolist()))
+
+    fps = keep(mine.select("fp", "doc_id"))
+    first = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("m")))
+    near = links(first.select("fp"), radius)
+    a, b = first.select(F.col("fp").alias("a"), F.col("m").alias("x")), first.select(F.col("fp").alias("b"), F.col("m").alias("y"))
+    pairs = near.join(a, "a").join(b, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("m"))
+    pairs = keep(pairs.unionByName(fps.join(first, "fp").select(F.col("doc_id").alias("id"), "m")).filter("m < id").distinct())
+
+    met = keep(left.select("id").union(pairs.select("id")).union(pairs.select("m")).distinct().toDF("doc_id"))
+    sets = keep(shingle_sets(own.join(small(met), "doc_id", "left_semi"), words, order).select("doc_id", "shingles"))
+    roots = links_by_shingles(left, keep(alike(pairs, sets, least)), sets, least, keep, nodes)
+    gone = roots.filter("node <> root").select(F.col("node").alias("doc_id"))
+    stay = keep(nodes.join(gone, "doc_id", "left_anti").toDF("_stay"))
+    keep.clear(stay)
+    kept = every.join(small(stay), F.col(key).cast("long") == F.col("_stay"), "left_semi")
     return kept.unionByName(every.filter(F.col(key).isNull())).toDF(*docs.columns)
 
 
+def one_row_an_id(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with one row of those that share an id, the one of the smallest text (a null one last)."""
+    repeated = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).count().filter("count > 1").select("_id")
+    repeated = durable(repeated, "near")
+    if repeated.isEmpty():
+        return rows
+    same = F.col(key) == F.col("_id")
+    order = F.struct(F.col(text).isNull(), F.col(text), F.to_json(F.struct(*rows.columns)))
+    one = rows.join(small(repeated), same, "left_semi").groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    one = one.select("_row.*")
+    return rows.join(small(repeated), same, "left_anti").unionByName(durable(one, "near"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents``."""
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import numbered, partitions_for, read
+from tidemark.llm._common import M1, mix, numbered, partitions_for, read
 
 #: Characters of text in a batch, about.
 BATCH_CHARS = 8_000_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of an edge that tell the edges of one node apart; the others are its node's.
 _LOW, _SHIFT = np.uint64((1 << 24) - 1), np.uint64(24)
 _WORD32 = np.uint64(0xFFFFFFFF)
@@ -39,12 +38,6 @@ _NULL = -(1 << 63)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
-
-
 def _words(text: str | None) -> list[bytes]:
     """Runs of anything but the six ASCII white-space characters, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -53,7 +46,7 @@ def _words(text: str | None) -> list[bytes]:
 class Hasher:
     """64-bit hashes of words, remembered in the Python worker."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.keep = keep
 
@@ -79,9 +72,9 @@ def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = max(0, len(hashes) - k + 2)
     node = np.zeros(n, np.uint64)
     for j in range(k - 1):
-        node += hashes[j : j + n] * np.uint64(pow(int(_M1), j, 1 << 64))
-    edge = node[:-1] + hashes[k - 1 :] * np.uint64(pow(int(_M1), k - 1, 1 << 64)) if n else node
-    return _mix(node), _mix(edge)
+        node += hashes[j : j + n] * np.uint64(pow(int(M1), j, 1 << 64))
+    edge = node[:-1] + hashes[k - 1 :] * np.uint64(pow(int(M1), k - 1, 1 << 64)) if n else node
+    return mix(node), mix(edge)
 
 
 def batch_frame(table: pa.Table) -> pd.DataFrame:
