@@ -15,45 +15,88 @@ task that is run again leaves nothing twice.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
-import re
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket_of, partitions_for, range_bounds, read, shared_dir
+from tidemark.llm._common import bounded, bucket_of, partitions_for, range_bounds, read, shared_dir
 
 BLOCK_BYTES = 1 << 20
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that are split into words at once, about.
+CHUNK_BYTES = 8_000_000
 BLOCK_SCHEMA = (
     "shard int, block int, dictionary string, first_id long, last_id long, first long, payload binary, "
     "doc_ids array<long>, offsets array<long>, n_tokens array<long>"
 )
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_PLAIN = re.compile(r"[\x00-ɏ]*")
+_LONGS = pa.list_(pa.int64())
+BLOCK_TYPES = pa.schema([
+    ("shard", pa.int32()), ("block", pa.int32()), ("dictionary", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()),
+    ("first", pa.int64()), ("payload", pa.binary()), ("doc_ids", _LONGS), ("offsets", _LONGS), ("n_tokens", _LONGS),
+])
+#: Words that are lower-cased here; beyond Latin and at odd white space that is left to the library.
+_PLAIN = r"^[\x21-\x7e\xa1-ɏ]*$"
+
+
+class Ids:
+    """Ids of strings in one growing array; those met in one chunk only are forgotten when there are too many."""
+
+    def __init__(self, keep: int):
+        self.keep, self.at = keep, {}
+        self.starts, self.sizes, self.hits = (np.zeros(0, "i8") for _ in range(3))
+        self.flat = np.zeros(0, "<u4")
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        """Place of each of distinct keys, -1 for those without ids yet; there is room for these afterwards."""
+        got = np.fromiter(map(self.at.get, keys, repeat(-1)), "i8", len(keys))
+        if len(self.at) + (got < 0).sum() > self.keep:
+            stay = np.flatnonzero(self.hits > 1)
+            stay = stay[np.argsort(-self.hits[stay], kind="stable")][: self.keep // 2]
+            names, flat, sizes, hits = list(self.at), self.of(stay), self.sizes[stay], self.hits[stay] - 1
+            self.__init__(self.keep)
+            self.add([names[i] for i in stay.tolist()], flat, sizes)
+            self.hits = hits
+            got = np.fromiter(map(self.at.get, keys, repeat(-1)), "i8", len(keys))
+        self.hits[got[got >= 0]] += 1
+        return got
+
+    def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.hits = np.concatenate([self.hits, np.ones(len(sizes), "i8")])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Ids of all places, one after another."""
+        n = self.sizes[places]
+        first = self.starts[places] - np.cumsum(n) + n
+        return self.flat[np.repeat(first, n) + np.arange(n.sum())]
 
 
 class WordEncoder:
-    """The tokenizers library's ids of whole texts, remembering the ids of pre-tokens.
+    """The tokenizers library's ids of whole texts, remembering the ids of words.
 
     For tokenizers that lower-case, drop white space and mark word ends, the ids of a text are those of its pre-tokens
-    in turn. Distinct pre-tokens go through the library in one long text; the end-of-word mark tells where each stops.
-    Any other tokenizer, and any text with a special token's string, is encoded whole.
+    in turn. Distinct pre-tokens go through the library in long texts; the end-of-word mark tells where each stops.
+    Any other tokenizer, and any text with a special token's string or a combining mark, is encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok = Tokenizer.from_file(path)
         form = json.loads(self.tok.to_str())
         self.special = [t["content"] for t in form.get("added_tokens") or []]
         norm = form.get("normalizer") or {}
@@ -67,92 +110,87 @@ class WordEncoder:
         if self.by_word:
             import regex
 
-            self.pattern = regex.compile(split["pattern"]["Regex"])
+            self.pattern = regex.compile(split["pattern"]["Regex"] + "|\n")
             vocab = self.tok.get_vocab()
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return [self.whole(t) for t in texts]
-        gc.disable()  # millions of strings, no cycles
-        try:
-            return self.chunks(texts)
-        finally:
-            gc.enable()
-
-    def chunks(self, texts: list[str]) -> list[bytes]:
-        out, some, size = [], [], 0
-        for t in texts:  # a bounded amount of split text at a time
-            some.append(t)
-            size += len(t)
-            if size >= CHUNK_CHARS:
-                out += self.chunk(some)
-                some, size = [], 0
-        return out + self.chunk(some)
-
-    def chunk(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [() if i in odd else self.units(t) for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.keep:
-                self.words.clear()
-                self.words[""] = b""
-                new = set().union(*split) - {""}
-            self.learn(new)
-        get, join = self.words.__getitem__, b"".join
-        return [self.whole(texts[i]) if i in odd else join(map(get, u)) for i, u in enumerate(split)]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        rare = "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
-        return (text.translate(_SPACES) if rare else text.replace("\n", " ")).split(" ")
-
-    def learn(self, words: set[str]) -> None:
-        parts, find = {}, self.pattern.findall
-        for w in words:
-            if w.isascii():
-                if w.isalpha():
-                    parts[w] = (w.lower(),)
-                elif w[:-1].isalpha():  # a word and one sign or digit, the commonest other form
-                    parts[w] = (w[:-1].lower(), w[-1])
-                else:
-                    parts[w] = find(w.lower())
-            elif _PLAIN.fullmatch(w):
-                parts[w] = find("".join([c.lower() for c in unicodedata.normalize("NFC", w)]))
-            else:  # lower-casing beyond Latin is left to the library
-                self.words[w] = self.whole(w)
-        every = set().union(*parts.values())
-        new = every.difference(self.pieces)
-        if len(self.pieces) + len(new) > self.keep:
-            self.pieces.clear()
-            new = every
-        self.encode_pieces(list(new))
-        pieces, out = self.pieces, self.words
-        for w, got in parts.items():
-            n = len(got)
-            out[w] = pieces[got[0]] if n == 1 else pieces[got[0]] + pieces[got[1]] if n == 2 else b"".join([pieces[p] for p in got])
+        self.words, self.pieces = Ids(keep), Ids(keep)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end."""
+        odd = pa.array(np.full(len(texts), not self.by_word))
+        if self.by_word:
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(texts, s))
+            # a mark may compose with a capital but not with its small letter, or the other way round
+            odd = pc.or_(odd, pc.match_substring_regex(texts, r"\p{M}"))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if self.by_word:
+            flat, ends = self.chunk(pc.ascii_lower(texts))
+        else:
+            flat, ends = np.zeros(0, "<u4"), np.zeros(len(texts), "i8")
+        if not len(odd):
+            return flat, ends
+        own = np.split(flat, ends[:-1])
+        for i in odd.tolist():
+            own[i] = self.whole(texts[i].as_py())
+        return np.concatenate(own), np.cumsum([len(x) for x in own])
+
+    def chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        places = self.words.places(_strings(coded.dictionary))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self.learn(coded.dictionary.take(new))
+        places = places[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.words.sizes[places])])
+        return self.words.of(places), ends[split.offsets.to_numpy()[1:]]
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Places of new words."""
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        out, own = np.zeros(len(words), "i8"), _strings(words.filter(plain))
+        if own:
+            found = self.pattern.findall(unicodedata.normalize("NFC", "\n".join(own)).lower())
+            coded = pa.array(found, pa.string()).dictionary_encode()
+            places = self.pieces.places(_strings(coded.dictionary))
+            new = np.flatnonzero(places < 0)
+            places[new] = len(self.pieces.at) + np.arange(len(new))
+            self.encode_pieces(_strings(coded.dictionary.take(new)))
+            at = coded.indices.to_numpy()
+            stop = coded.dictionary.index("\n").as_py()
+            word, places = np.cumsum(at == stop), places[at]
+            sizes = np.bincount(word, self.pieces.sizes[places], len(own)).astype("i8")
+            out[plain] = len(self.words.at) + np.arange(len(own))
+            self.words.add(own, self.pieces.of(places), sizes)
+        if len(own) < len(words):
+            rest = _strings(words.filter(~plain))
+            ids = [self.whole(w) for w in rest]
+            out[~plain] = len(self.words.at) + np.arange(len(rest))
+            self.words.add(rest, np.concatenate(ids), np.array([len(x) for x in ids], "i8"))
+        return out
 
     def encode_pieces(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            own = pieces[at : at + 20_000]
+        """Ids of new pieces in their order; the break between words has none."""
+        for at in range(0, len(pieces), 5000):
+            own = pieces[at : at + 5000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
+            if "\n" in own:
+                stops = np.insert(stops, i := own.index("\n"), stops[i - 1] if i else 0)
             if len(stops) == len(own):
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(own, (stops * 4).tolist(), strict=True):
-                    self.pieces[p] = raw[a:b]
-                    a = b
+                self.pieces.add(own, ids, np.diff(stops, prepend=0))
             else:
-                for p in own:
-                    self.pieces[p] = self.whole(p)
+                each = [self.whole(p) for p in own]
+                self.pieces.add(own, np.concatenate(each), np.array([len(x) for x in each], "i8"))
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=4)
@@ -161,26 +199,38 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, *, sample: int = 1000, sample_bytes: int = 16_384,
-                     dict_bytes: int = 65_536) -> bytes:
+def enc_all(enc: WordEncoder, batch: pa.RecordBatch) -> Iterator[memoryview]:
+    """Ids of every text of a batch as little-endian unsigned 32-bit integers, a bounded amount of text at a time."""
+    for part in bounded(batch, "text", CHUNK_BYTES):
+        flat, ends = enc(pc.fill_null(part["text"], ""))
+        raw = memoryview(flat.tobytes())
+        for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield raw[4 * a : 4 * z]
+
+
+def train_dictionary(docs: DataFrame, tokenizer: str, *, sample: int = 1000, sample_chars: int = 65_536,
+                     sample_bytes: int = 16_384, dict_bytes: int = 65_536, least_bytes: int = 4096) -> bytes:
     """Dictionary from the serialized ids of about ``sample`` documents, chosen by a hash of their id.
 
-    Training sees at most ``sample_bytes`` of an array and ``4 * sample`` arrays, so the driver holds a bounded amount
-    whatever the corpus. Too little material to train on gives no dictionary (empty bytes).
+    Training sees at most ``4 * sample`` documents, of each at most ``sample_chars`` characters and ``sample_bytes`` of their
+    ids, so the driver holds a bounded amount whatever the corpus; what is compressed with the dictionary are whole documents.
+    Less than ``least_bytes`` to train on gives no dictionary (empty bytes).
     """
     n = docs.count()
     most = int(min(1.0, sample / max(n, 1)) * (1 << 30))
     chosen = docs.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < most).limit(4 * sample)
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"ids": [x[:sample_bytes] for x in enc(b["text"].fillna("").tolist())]})
+            raws = [raw[:sample_bytes] for raw in enc_all(enc, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary())], ["ids"])
 
     import zstandard
 
-    got = sorted(bytes(r["ids"]) for r in chosen.select(F.substring("text", 1, 65_536).alias("text")).mapInPandas(ids, "ids binary").collect() if r["ids"])
-    if sum(map(len, got)) < 4 * 1024:
+    part = chosen.select(F.substring("text", 1, sample_chars).alias("text"))
+    got = sorted(bytes(r["ids"]) for r in part.mapInArrow(ids, "ids binary").collect() if r["ids"])
+    if sum(map(len, got)) < least_bytes:
         return b""
     size = min(dict_bytes, sum(map(len, got)) // 8)
     try:
@@ -211,7 +261,7 @@ def pack(docs: DataFrame, out: str, *, tokenizer: str, end_id: int | None = 2, l
     )
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         enc = encoder(tokenizer)
@@ -221,22 +271,18 @@ def pack(docs: DataFrame, out: str, *, tokenizer: str, end_id: int | None = 2, l
         frames, ids, counts, offsets = [], [], [], [0]
 
         def block():
-            return pd.DataFrame({
-                "shard": [shard], "block": [no], "dictionary": [digest], "first_id": [ids[0]], "last_id": [ids[-1]],
-                "first": [first], "payload": [b"".join(frames)], "doc_ids": [ids], "offsets": [offsets], "n_tokens": [counts],
-            })
+            row = (shard, no, digest, ids[0], ids[-1], first, b"".join(frames), ids, offsets, counts)
+            return pa.RecordBatch.from_pylist([dict(zip(BLOCK_TYPES.names, row, strict=True))], BLOCK_TYPES)
 
         for b in batches:
-            texts = b["text"].fillna("").tolist()
-            keys = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
-            for s, key, raw_ids in zip(b["shard"].tolist(), keys, enc(texts), strict=True):
+            for s, key, raw in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), enc_all(enc, b), strict=True):
                 if ids and (s != shard or offsets[-1] >= BLOCK_BYTES):
                     yield block()
                     no, first = no + 1, done
                     frames, ids, counts, offsets = [], [], [], [0]
                 if s != shard:
                     shard, no, first, done = s, 0, 0, 0
-                raw_ids += end
+                raw_ids = b"".join((raw, end))
                 frame = press.compress(raw_ids)
                 frames.append(frame)
                 ids.append(key)
@@ -246,7 +292,7 @@ def pack(docs: DataFrame, out: str, *, tokenizer: str, end_id: int | None = 2, l
         if ids:
             yield block()
 
-    ranged.select("shard", "doc_id", "text").mapInPandas(blocks, BLOCK_SCHEMA).write.parquet(f"{out}/blocks")
+    ranged.select("shard", "doc_id", "text").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{out}/blocks")
     # as many rows as shards, which the number of partitions bounds
     sums = (
         spark.read.parquet(f"{out}/blocks")
