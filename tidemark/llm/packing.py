@@ -275,14 +275,14 @@ def pack(docs: DataFrame, out: str, *, tokenizer: str, end_id: int | None = 2, l
             return pa.RecordBatch.from_pylist([dict(zip(BLOCK_TYPES.names, row, strict=True))], BLOCK_TYPES)
 
         for b in batches:
-            for s, key, raw in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), enc_all(enc, b), strict=True):
+            for s, key, own in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), enc_all(enc, b), strict=True):
                 if ids and (s != shard or offsets[-1] >= BLOCK_BYTES):
                     yield block()
                     no, first = no + 1, done
                     frames, ids, counts, offsets = [], [], [], [0]
                 if s != shard:
                     shard, no, first, done = s, 0, 0, 0
-                raw_ids = b"".join((raw, end))
+                raw_ids = b"".join((own, end))
                 frame = press.compress(raw_ids)
                 frames.append(frame)
                 ids.append(key)
