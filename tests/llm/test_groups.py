@@ -259,7 +259,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_simhash_links_take_part_in_near_dedup(spark, monkeypatch):
     """Without the exact pass the covering masks alone still drop copies that differ in a word of many."""
-    monkeypatch.setattr(simhash, "links_by_shingles", lambda left, edges, sets, least, keep, *_: keep(_common.components(edges, "id", "m")))
+    monkeypatch.setattr(simhash, "links_by_shingles", lambda left, edges, verify, *_: verify.keep(_common.components(edges, "id", "m")))
     rnd = random.Random(14)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
     rows = [(i, " ".join(base[:i] + [f"e{i}"] + base[i:])) for i in range(20)] + [(100, " ".join(f"o{i}" for i in range(50)))]

@@ -140,8 +140,13 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
     odd = langid.identify(frame(spark, [None, "", "12 !!", "²", "the and of to in"]), net).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in odd[:4]] == ["und"] * 4 and odd[4]["lang_pred"] != "und"
-    kept = langid.reject(frame(spark, [None, "12 !!", docs.first()["text"]]), net)
-    assert kept.columns == frame(spark, []).columns and [r["doc_id"] for r in kept.collect()] == [2]
+    rnd = random.Random(4)
+    junk = [rnd.randbytes(200).hex(), base64.b64encode(rnd.randbytes(300)).decode(), "".join(rnd.choice("qwrtzpxcvbjk ") for _ in range(300))]
+    more = langid.fit(docs, sample=1500, epochs=6, noise=True)
+    for one, want in ((net, [2, 3, 4, 5]), (more, [2])):
+        kept = langid.reject(frame(spark, [None, "12 !!", docs.first()["text"], *junk]), one)
+        assert kept.columns == frame(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert docs.count() - langid.reject(docs, more).count() <= 4
 
 
 def test_language_training_is_repeatable_and_ignores_held_out_rows(spark):
@@ -153,7 +158,7 @@ def test_language_training_is_repeatable_and_ignores_held_out_rows(spark):
     assert langid.fit(docs.limit(0)) is None
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
     clash = docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(2))
-    assert langid.reject(clash, a, least=0.0).columns == clash.columns
+    assert langid.reject(clash, langid.fit(docs, sample=40, epochs=1, noise=True)).columns == clash.columns
 
 
 def test_windows_cover_whole_texts():

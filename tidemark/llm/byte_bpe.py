@@ -11,11 +11,12 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import read
+from tidemark.llm._common import bounded, read
 
 #: A lone space between two visible characters starts a match of the default pattern, so texts can be cut there.
 CHUNK_CHARS = 2_000_000
@@ -83,6 +84,11 @@ class ByteBPE:
         self.pieces: dict[str, bytes] = {}
         self.found: dict[str, list[str]] = {}
 
+    def forget(self) -> None:
+        """Give back the memory of remembered ids, as Python workers outlive their tasks."""
+        for x in (self.units, self.pieces, self.found):
+            x.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; each match of the pattern is encoded by itself."""
         out, some, size = [], [], 0
@@ -158,32 +164,38 @@ def codec(path: str, pattern: str | None) -> ByteBPE:
 
 
 def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-           ids: bool = True) -> DataFrame:
+           ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encode whole texts and decode the ids again, one row out per row in, without a shuffle.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids and the decoded bytes. Null text is
-    empty (no tokens); repeated rows and null ids stay; other columns are not read.
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids (``raw``), with ``decoded`` the decoded
+    bytes. Null text is empty (no tokens); repeated rows and null ids stay; other columns are not read.
     """
+    cols = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["raw"] if ids else []), *(["decoded"] if decoded else [])]
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "raw": pa.binary(), "decoded": pa.binary()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
-        for b in batches:
-            rows = []
-            for raw in own.encode(b["text"].fillna("").tolist()):
-                back = own.decode(raw)
-                row = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, raw, back) if ids else row)
-            cols = ["n_tokens", "ids_sha256", "decoded_sha256", *(["raw", "decoded"] if ids else [])]
-            out = pd.DataFrame(rows, columns=cols)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy() if b["doc_id"].notna().all() else b["doc_id"].astype("Int64").array)
-            yield out
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", raw binary, decoded binary" * ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+        try:
+            for b in batches:
+                for part in bounded(b, "text", CHUNK_CHARS):
+                    out = {c: [] for c in cols[1:]}
+                    for raw in own.encode(pc.fill_null(part["text"], "").to_pylist()):
+                        back = own.decode(raw)
+                        row = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest(), raw, back)
+                        for c, v in zip(("n_tokens", "ids_sha256", "decoded_sha256", "raw", "decoded"), row, strict=True):
+                            if c in out:
+                                out[c].append(v)
+                    made = [pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()]
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], *made], cols)
+        finally:
+            own.forget()
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", raw binary" * ids + ", decoded binary" * decoded
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` through the multilingual byte-level vocabulary and back."""
     import public_tokenizers
 
-    return encode(read(spark, sf_dir, "documents"), ranks=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False)
+    return encode(read(spark, sf_dir, "documents"), ranks=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), ids=False, decoded=False)

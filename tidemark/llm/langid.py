@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import free_name, read
+from tidemark.llm._common import bounded, free_name, read
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 UNKNOWN = "und"
+#: Bytes of text whose windows are made at once, about; a longer text is still taken whole.
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -124,13 +126,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def noise_windows(data: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` windows of no language: sampled windows with their bytes in random order, and random hexadecimal digits, base64,
+    digits with signs, letters and printable bytes, each of 64 bytes or more."""
+    rng = np.random.default_rng([seed, 1])
+    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789 .,-:;/#$%&*()[]{}<>|=+_~^",
+            "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ", "".join(map(chr, range(32, 127)))]
+    out = data[rng.integers(0, len(data), n)].copy()
+    for i in range(n):
+        size = int((out[i] > 0).sum())
+        if i % 2 == 0 and size >= 64:
+            out[i, :size] = rng.permutation(out[i, :size])
+        else:
+            size = int(rng.integers(64, WINDOW + 1))
+            own = np.frombuffer(sets[i // 2 % len(sets)].encode(), np.uint8)
+            out[i] = 0
+            out[i, :size] = own[rng.integers(0, len(own), size)]
+    return out
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 8000,
-        windows: int = 4, seed: int = 5, epochs: int = 12) -> Network | None:
+        windows: int = 4, seed: int = 5, epochs: int = 12, noise: bool = False) -> Network | None:
     """Train on about ``sample`` documents in equal shares of languages, ``windows`` windows of each at most.
 
     Documents come from the labelled ones that aren't held out, by a hash of their id, so the driver gets about
-    ``sample * windows`` windows of 256 bytes whatever the corpus; the sample is stated here and nowhere else. Without a
-    labelled text: None.
+    ``sample * windows`` windows of 256 bytes whatever the corpus. Rows with one id or none share a hash, so they are chosen
+    together; rows in excess of four times the sample are left out by their hash. With ``noise`` windows made of random bytes
+    are one more class, ``und``. Without a labelled text: None.
     """
     known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample).collect()}
@@ -141,7 +163,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     fraction = F.lit(0.0)
     for lang, n in counts.items():
         fraction = F.when(F.col(lang_col) == lang, F.lit(share / n)).otherwise(fraction)
-    chosen = known.filter(draw < fraction).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    order = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col))  # of rows with one id
+    chosen = known.filter(draw < fraction).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
+    chosen = chosen.orderBy("order").limit(4 * sample)
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -153,14 +177,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                     rows.append((lang, raw[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0")))
             yield pd.DataFrame(rows, columns=["lang", "window"])
 
-    got = chosen.mapInPandas(some, "lang string, window binary").limit(4 * sample * windows).collect()
+    got = chosen.mapInPandas(some, "lang string, window binary").collect()
     got = sorted((r["lang"], bytes(r["window"])) for r in got)
     languages = sorted({x for x, _ in got})
     if not languages:
         return None
     index = {x: i for i, x in enumerate(languages)}
     data = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
-    return train(data, np.array([index[x] for x, _ in got]), languages, seed=seed, epochs=epochs)
+    labels = np.array([index[x] for x, _ in got])
+    if noise:
+        more = noise_windows(data, -(-len(data) // len(languages)), seed)
+        data, labels = np.concatenate([data, more]), np.append(labels, np.full(len(more), len(languages)))
+        languages = [*languages, UNKNOWN]
+    return train(data, labels, languages, seed=seed, epochs=epochs)
 
 
 def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> tuple[DataFrame, str, str]:
@@ -175,10 +204,11 @@ def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(at).to_pylist()]
-            pred, score = label(texts, net, tables)
-            cols = [*b.columns, pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, pred_col, score_col])
+            for part in bounded(b, text_col, 4 * CHUNK):
+                texts = ["" if t is None else t for t in part.column(at).to_pylist()]
+                pred, score = label(texts, net, tables)
+                cols = [*part.columns, pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, pred_col, score_col])
 
     schema = T.StructType([*docs.schema.fields]).add(pred_col, "string").add(score_col, "double")
     return docs.mapInArrow(run, schema), pred_col, score_col
@@ -191,7 +221,7 @@ def label(texts: list[str], net: Network | None, tables) -> tuple[np.ndarray, np
     at = 0
     while at < len(known):  # about a megabyte of whole texts at a time
         part, size = [], 0
-        while at < len(known) and (not part or size < 1 << 20):
+        while at < len(known) and (not part or size < CHUNK):
             part.append(known[at])
             size += len(texts[known[at]])
             at += 1
@@ -219,17 +249,18 @@ def identify(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", te
     return annotate(own, net)[0].select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject(docs: DataFrame, net: Network | None, *, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """``docs`` without texts that have no language (``und``) or whose best language scores below ``least``.
-
-    By default a text in some language stays however unsure which: texts that mix languages score low but are clean.
+def reject(docs: DataFrame, net: Network | None, *, sure: float = 0.9, text_col: str = "text") -> DataFrame:
+    """``docs`` without texts in no language: those without a letter, and those that a network trained with ``noise`` takes for
+    random bytes with a mean probability of ``sure`` or more over all their windows.
 
-    All columns stay as they are. Without a network nothing can be judged and only texts without a letter go.
+    A text in some language stays however unsure which: texts that mix languages score low but are clean. All columns stay
+    as they are. Without a network, or with one that knows no noise, only texts without a letter go.
     """
-    if net is None:
+    if net is None or UNKNOWN not in net.languages:
         return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     got, pred, score = annotate(docs, net, text_col=text_col)
-    return got.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    junk = (F.col(pred) == UNKNOWN) & ((F.col(score) >= sure) | (F.col(score) == 0))
+    return got.filter(~junk).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

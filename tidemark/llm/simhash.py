@@ -270,58 +270,79 @@ def buckets(first: DataFrame, frequent: list[int]) -> DataFrame:
     rows = first.select(F.posexplode("first").alias("pos", "key"), F.col("doc_id").alias("id"), "n")
     often = F.col("key").isin(frequent) if frequent else F.lit(False)
     rows = rows.withColumn("often", often).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
-    by = W.partitionBy("key", "salt").orderBy("id")
-    rows = rows.withColumns({"before": F.lag("id").over(by), "after": F.lead("id").over(by)})
-    return rows.filter("often or before is not null or after is not null").select("key", "id", "n", "pos")
+    rows = rows.withColumn("members", F.count("*").over(W.partitionBy("key", "salt")))
+    return rows.filter("often or members > 1").select("key", "id", "n", "pos")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (id, m) whose sets (doc_id, shingles) have a Jaccard similarity of at least ``least``.
+class Verifier:
+    """Compares pairs of documents by their whole sets of shingles, made from the texts of those documents that are in a pair."""
 
-    Both joins are plain equi-joins: a document in very many pairs is a skewed key that adaptive execution splits.
-    """
-    own = sets.select(F.col("doc_id").alias("id"), "shingles")
-    other = sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("with"))
-    both = F.size(F.array_intersect("shingles", "with"))
-    got = pairs.join(own, "id").join(other, "m").select("id", "m", both.alias("both"), (F.size("shingles") + F.size("with")).alias("all"))
-    return got.filter(F.col("both") >= F.lit(least) * (F.col("all") - F.col("both")) - 1e-9).select("id", "m")
+    def __init__(self, docs: DataFrame, words: int, least: float, keep: Scratch):
+        self.docs, self.words, self.least, self.keep = docs, words, least, keep
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (id, m) whose sets have a Jaccard similarity of ``least`` or more.
+
+        Both joins with the sets are plain equi-joins: a document in very many pairs is a skewed key that adaptive execution
+        splits.
+        """
+        pairs, least = self.keep(pairs), self.least
+        if pairs.isEmpty():
+            return pairs
+        ids = self.keep(pairs.select("id").union(pairs.select("m")).distinct().toDF("doc_id"))
+        none = (np.zeros(0, np.uint64), np.zeros(0, "i8"))
+        sets = self.keep(shingle_sets(self.docs.join(small(ids), "doc_id", "left_semi"), self.words, none).select("doc_id", "shingles"))
+        own = sets.toDF("id", "a").join(small(pairs), "id")
+        leaders = sets.toDF("m", "b").join(small(self.keep(pairs.select("m").distinct())), "m", "left_semi")
+        both = own.join(leaders, "m").select("id", "m", "a", "b")
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                ok = []
+                for a, b in zip(t["a"], t["b"], strict=True):
+                    x, y = a.values.to_numpy(), b.values.to_numpy()
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(n >= least * (len(x) + len(y) - n) - 1e-9)
+                yield t.select(["id", "m"]).filter(pa.array(ok, pa.bool_()))
 
-def rooted(left: DataFrame, roots: DataFrame) -> DataFrame:
+        return self.keep(both.mapInArrow(run, "id long, m long"))
+
+
+def rooted(left: DataFrame, roots: DataFrame, keep: Scratch) -> DataFrame:
     """``left`` (key, id, n, pos) with the component of every id, without keys whose ids are all in one component."""
-    own = left.drop("root").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    own = own.select("key", "id", "n", "pos", "root")
-    open_ = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return own.join(open_, "key", "left_semi")
+    own = left.drop("root").join(small(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    own = keep(own.select("key", "id", "n", "pos", "root"))
+    open_ = keep(own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
+    return keep(own.join(small(open_), "key", "left_semi"))
 
 
-def links_by_shingles(left: DataFrame, edges: DataFrame, sets: DataFrame, least: float, keep: Scratch,
-                      *others: DataFrame) -> DataFrame:
+def links_by_shingles(left: DataFrame, edges: DataFrame, verify: Verifier, *others: DataFrame) -> DataFrame:
     """Roots (node, root) of the components that all pairs of sets with at least ``least`` of Jaccard similarity make.
 
     ``edges`` (id, m) are the links found so far. Two sets that are ``least`` alike share one of their first ``n - ceil(least *
     n) + 1`` shingles in the common order, so the buckets ``left`` of equal such shingles hold every pair. In a round the
-    members of a bucket are compared with its smallest one (then eight, then sixty-four, ...) unless both are in one
-    component by now; these leaders then leave the bucket, as does everything once a bucket is of one component. So a group of
+    members of a bucket are compared with its smallest one (then 16, then 256, ...) unless both are in one component by now; these leaders then leave the bucket, as does everything once a bucket is of one component. So a group of
     thousands of near copies costs about a comparison a member, and no pair of unlike components is left out.
     """
+    keep, least = verify.keep, verify.least
     low, high = F.least("n", "n2"), F.greatest("n", "n2")
     room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))  # all that may be shared from the first one on
     able = (low >= F.lit(least) * high - 1e-9) & (room * (1 + least) >= F.lit(least) * (F.col("n") + F.col("n2")) - 1e-9)
     roots = keep(components(edges, "id", "m"))
-    first, left = 1, keep(rooted(left, roots))
+    first, left = 1, rooted(left, roots, keep)
     while not left.isEmpty():
         lead = left.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("id"))).filter(F.col("rank") <= first)
         lead = keep(lead.select("key", F.col("id").alias("m"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2")))
         pairs = left.join(lead, "key").filter("m < id and root <> root2").filter(able).select("id", "m").distinct()
-        new = keep(alike(pairs, sets, least))
+        new = verify(pairs)
         if not new.isEmpty():
             edges = keep(edges.unionByName(new))
             roots = keep(components(edges, "id", "m"))
-        rest = left.join(lead, (left["key"] == lead["key"]) & (left["id"] == lead["m"]), "left_anti")
-        left = keep(rooted(rest, roots))
-        keep.clear(left, edges, roots, sets, *others)
-        first *= 8
+        done = lead.select(F.col("key").alias("k"), "m")
+        rest = left.join(done, (F.col("key") == F.col("k")) & (F.col("id") == F.col("m")), "left_anti")
+        left = rooted(rest, roots, keep)
+        keep.clear(left, edges, roots, *others)
+        first *= 16
     return roots
 
 
@@ -354,10 +375,9 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8,
     a, b = first.select(F.col("fp").alias("a"), F.col("m").alias("x")), first.select(F.col("fp").alias("b"), F.col("m").alias("y"))
     pairs = near.join(a, "a").join(b, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("m"))
     pairs = keep(pairs.unionByName(fps.join(first, "fp").select(F.col("doc_id").alias("id"), "m")).filter("m < id").distinct())
-
-    met = keep(left.select("id").union(pairs.select("id")).union(pairs.select("m")).distinct().toDF("doc_id"))
-    sets = keep(shingle_sets(own.join(small(met), "doc_id", "left_semi"), words, order).select("doc_id", "shingles"))
-    roots = links_by_shingles(left, keep(alike(pairs, sets, least)), sets, least, keep, nodes)
+    keep.clear(nodes, left, pairs)
+    verify = Verifier(own, words, least, keep)
+    roots = links_by_shingles(left, verify(pairs), verify, nodes)
     gone = roots.filter("node <> root").select(F.col("node").alias("doc_id"))
     stay = keep(nodes.join(gone, "doc_id", "left_anti").toDF("_stay"))
     keep.clear(stay)
