@@ -47,10 +47,23 @@ def statistics(c: Column) -> Column:
     return F.struct(*[v.cast("double").alias(n) for n, v in zip(STATISTICS, values, strict=True)])
 
 
+def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the STATISTICS of a text, cleaned first. Tokens and their sizes are columns of their own, made once each."""
+    c = df.select(*keep, clean_line(repair_underscores(F.col(text))).alias("_c"))
+    c = c.select(*keep, F.regexp_count("_c", F.lit(PUNCTUATION)).alias("_p"), tokens(F.col("_c")).alias("_t"))
+    c = c.select(*keep, "_p", "_t", F.transform("_t", F.length).alias("_n"))
+    total = F.aggregate("_n", F.lit(0), lambda a, x: a + x)
+    upper_first = F.size(F.filter("_t", lambda x: x.rlike(r"^\p{Lu}")))
+    all_upper = F.size(F.filter("_t", lambda x: ~x.rlike(r"\p{Ll}")))
+    mean = F.when(F.size("_n") > 0, total / F.size("_n")).otherwise(0.0)
+    values = [F.col("_p"), F.size("_t"), upper_first, all_upper, F.coalesce(F.array_max("_n"), F.lit(0)), mean]
+    return c.select(*keep, *[v.cast("double").alias(n) for n, v in zip(STATISTICS, values, strict=True)])
+
+
 def first_statistics(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     """Statistics of each key's first text by position."""
     first = df.groupBy(key).agg(F.min_by(text, pos).alias("text"))
-    return first.select(key, statistics(clean_line(repair_underscores(F.col("text")))).alias("s")).select(key, "s.*")
+    return with_statistics(first, "text", [key])
 
 
 def main_mention(c: Column) -> Column:
@@ -96,9 +109,9 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
 
 
-def fidelity(df: DataFrame, found: Column, given: Column) -> DataFrame:
-    """Shares of rows where something was found that the log doesn't give, and the converse."""
-    return df.agg(
+def fidelity(df: DataFrame, found: Column, given: Column, by: list[str] | None = None) -> DataFrame:
+    """Shares of rows where something was found that the log doesn't give, and the converse; of all rows or per group."""
+    return df.groupBy(*(by or [])).agg(
         F.avg((found & ~given).cast("double")).alias("found_only"), F.avg((~found & given).cast("double")).alias("given_only")
     )
 
@@ -137,22 +150,28 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame) -> DataFram
     return got.select(key, F.replace(F.array_join("x.piece", " "), F.lit(" ##"), F.lit("")).alias("text"))
 
 
-def encode(df: DataFrame, key: str, own: str, vocabulary: DataFrame, *, most: int = 100, unknown: int = 0) -> DataFrame:
-    """Tokens -> ids by a join with (piece, token_id), cut to ``most``; others get the unknown id."""
-    cut = df.select(key, F.posexplode(F.slice(own, 1, most)).alias("p", "piece"))
+def encode(df: DataFrame, key: str, own: str, vocabulary: DataFrame, *, most: int | None = 100, unknown: int = 0) -> DataFrame:
+    """Tokens -> ids by a join with (piece, token_id), cut to ``most`` (None: all); others get the unknown id."""
+    cut = df.select(key, F.posexplode(F.slice(own, 1, most) if most else F.col(own)).alias("p", "piece"))
     got = cut.join(vocabulary, "piece", "left").groupBy(key)
     got = got.agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("x"))
     return got.select(key, F.col("x.i").alias("ids"))
 
 
-def mask_tokens(df: DataFrame, key: str, ids: str, *, mask: int, size: int, special: int, rate: float = 0.15, seed: int = 0) -> DataFrame:
+def mask_tokens(df: DataFrame, key: str, ids: str, *, mask: int, size: int, special: int, rate: float = 0.15, seed: int = 0,
+                portable: bool = False) -> DataFrame:
     """Inputs and labels of masked training: of chosen places 80% get the mask, 10% another id, the rest stay; labels
-    elsewhere are -100. Choices are hashes of key, place and seed, so reruns agree."""
-    def draw(*salt):
-        return F.pmod(F.xxhash64(*salt), F.lit(1_000_000)) / 1_000_000
-
+    elsewhere are -100. Choices are hashes of key, place and seed, so reruns agree; ``portable`` ones (md5, slower) are the
+    same in other engines."""
+    def draw(seed: int, n: int):
+        if portable:
+            own = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("p").cast("string"), F.lit(str(seed))))
+            return F.pmod(F.conv(F.substring(own, 1, 12), 16, 10).cast("long"), F.lit(n))
+        return F.pmod(F.xxhash64(key, "p", F.lit(seed)), F.lit(n))
+
+    million = 1_000_000
     pos = df.select(key, F.posexplode(ids).alias("p", "i"))
-    pos = pos.withColumns({"u": draw(key, "p", F.lit(seed)), "v": draw(key, "p", F.lit(seed + 1)), "w": F.pmod(F.xxhash64(key, "p", F.lit(seed + 2)), F.lit(size)).cast("int")})
+    pos = pos.withColumns({"u": draw(seed, million) / million, "v": draw(seed + 1, million) / million, "w": draw(seed + 2, size).cast("int")})
     chosen = (F.col("u") < rate) & (F.col("i") >= special)
     new = F.when(chosen & (F.col("v") < 0.8), mask).when(chosen & (F.col("v") < 0.9), F.col("w")).otherwise(F.col("i"))
     rows = F.sort_array(F.collect_list(F.struct("p", new.alias("input"), F.when(chosen, F.col("i")).otherwise(-100).alias("label"))))
@@ -189,5 +208,6 @@ def mention_lists(df: DataFrame, key: str, pos: str, text: str, most: int = 15)
 
     main = F.when(main_mention(F.col(text)).isNotNull(), F.array(main_mention(F.col(text)))).otherwise(F.array().cast("array<string>"))
     names = df.select(key, pos, F.posexplode(F.concat(main, other_mentions(F.col(text)))).alias("p", "name"))
-    names = names.select(key, (F.col(pos) * 1000 + F.col("p")).alias("at"), F.substring("name", 1, most).alias("name"))
+    width = (names.agg(F.max("p")).first()[0] or 0) + 1  # as many places as the longest list has
+    names = names.select(key, (F.col(pos) * width + F.col("p")).alias("at"), F.substring("name", 1, most).alias("name"))
     return names.join(assign_ids(names, ["name"], "at", id_col="name"), "name").groupBy(key).agg(F.sort_array(F.collect_set("index")).alias("mentions"))

@@ -77,7 +77,7 @@ def scale(preds: DataFrame, temperatures: dict[str, float] | None = None, shifts
     shift = F.create_map(*[F.lit(x) for a in t for x in (a, s.get(a, 0.0))])
     z = preds.withColumn("z", logit(F.col("score")))
     means = z.groupBy("action").agg(F.avg("z").alias("mean"))
-    out = z.join(F.broadcast(means), "action")  # a row an action
+    out = z.join(means, "action")
     new = (F.col("z") - F.col("mean")) / table[F.col("action")] + F.col("mean") + shift[F.col("action")]
     return out.withColumn("score", sigmoid(new)).drop("z", "mean")
 
@@ -86,7 +86,7 @@ def grid_search(preds: DataFrame, grid: list[float] = GRID) -> DataFrame:
     """Relative cross-entropy of every action at every temperature, in one pass over rows x grid."""
     z = preds.withColumn("z", logit(F.col("score")))
     means = z.groupBy("action").agg(F.avg("z").alias("mean"))
-    each = z.join(F.broadcast(means), "action").withColumn("t", F.explode(F.array(*[F.lit(g) for g in grid])))
+    each = z.join(means, "action").withColumn("t", F.explode(F.array(*[F.lit(g) for g in grid])))
     each = each.withColumn("score", sigmoid((F.col("z") - F.col("mean")) / F.col("t") + F.col("mean")))
     each = each.withColumn("key", F.struct("action", "t")).select("key", "label", "score")
     got = relative_cross_entropy(each, "key")

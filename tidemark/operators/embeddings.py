@@ -50,6 +50,11 @@ def check_values(vecs: DataFrame, expected: DataFrame, tolerance: float = 1e-4)
     return expected.join(vecs, "id", "left").filter(F.col("vec").isNull() | far)
 
 
+def restricted(vecs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the wanted ids only, and the wanted ids that have none."""
+    return vecs.join(wanted.select("id").distinct(), "id", "left_semi"), wanted.select("id").distinct().join(vecs, "id", "left_anti")
+
+
 def pool(long: DataFrame, kind: str) -> DataFrame:
     """Pools (seq, pos, dim, value): ``mean`` sums places from 1 on over the number of all places, ``max`` takes the largest
     from 1 on, ``first`` is place 0."""

@@ -99,6 +99,34 @@ def first_distinct_items(hist: DataFrame, most: int = 10) -> DataFrame:
     return got.select("user_id", "action", F.col("x.tweet_id").alias("items"))
 
 
+def id_overlap(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+    """One row: the ids two frames share over those of either, of the first and of the second."""
+    both = a.select(col).distinct().withColumn("l", F.lit(1)).join(b.select(col).distinct().withColumn("r", F.lit(1)), col, "full")
+    n = F.count(F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), 1))
+    return both.agg(F.try_divide(n, F.count("*")).alias("of_either"), F.try_divide(n, F.count("l")).alias("of_first"), F.try_divide(n, F.count("r")).alias("of_second"))
+
+
+def account_age(created: Column, now: int) -> Column:
+    """Days from an account's creation to ``now``, both in epoch seconds."""
+    return (F.lit(now) - created) / 86400.0
+
+
+def day_and_hour(at: Column) -> tuple[Column, Column]:
+    """Day of the week (Monday 1) and hour of an epoch second, in the session's time zone."""
+    stamp = F.timestamp_seconds(at)
+    return F.weekday(stamp) + 1, F.hour(stamp)
+
+
+def month_end(day: Column, ahead: int) -> Column:
+    """Last day of the month ``ahead`` months after a date."""
+    return F.last_day(F.add_months(day, ahead))
+
+
+def month_end_time(at: Column, ahead: int) -> Column:
+    """The same for a timestamp, which keeps its time of day."""
+    return F.to_timestamp(F.concat_ws(" ", month_end(F.to_date(at), ahead).cast("string"), F.date_format(at, "HH:mm:ss.SSSSSS")))
+
+
 def pad(items: Column, n: int = 10, fill: int = -1) -> Column:
     """The first n, filled up."""
     return F.slice(F.concat(items, F.array_repeat(F.lit(fill).cast("long"), n)), 1, n)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.operators.order import global_index
 
@@ -77,11 +77,46 @@ def encode_numeric(df: DataFrame, row: str, cols: list[str]) -> DataFrame:
 
 def select_columns(nonzeros: DataFrame, row: str, cutoff: int) -> tuple[DataFrame, DataFrame]:
     """Keeps categories that occur in more than ``cutoff`` rows, renumbered in their order; also old -> new."""
-    counts = nonzeros.groupBy("cat").agg(F.count_distinct(row).alias("rows")).filter(F.col("rows") > cutoff)
+    counts = nonzeros.groupBy("cat").agg(F.count("*").alias("rows")).filter(F.col("rows") > cutoff)  # a row has a category once
     kept = global_index(counts.select("cat"), "cat", name="new")
     return nonzeros.join(kept, "cat").drop("cat").withColumnRenamed("new", "cat"), kept
 
 
+def encode_frequent(df: DataFrame, row: str, col: str, cutoff: int) -> DataFrame:
+    """Array of tokens -> (row, cat, value) for tokens of more than ``cutoff`` rows, numbered in their own order.
+
+    The same as a dictionary of all tokens, ``encode_multihot`` and ``select_columns``, but repeats are counted before
+    anything is joined and only frequent tokens get a number.
+    """
+    counts = df.select(row, F.explode(col).alias("category")).groupBy(row, "category").agg(F.count("*").cast("double").alias("value"))
+    often = counts.groupBy("category").agg(F.count("*").alias("rows")).filter(F.col("rows") > cutoff)
+    kept = global_index(often.filter("category is not null").select("category"), "category", name="cat")
+    return counts.join(kept, "category").select(row, "cat", "value")
+
+
+@dataclass
+class Dictionary:
+    """A fitted dictionary (category, cat) that encodes other frames, and can be stored and read again."""
+
+    table: DataFrame
+
+    @classmethod
+    def fit(cls, values: DataFrame, col: str, *, preset: DataFrame | None = None, pos: str | None = None) -> Dictionary:
+        return cls(dictionary(values, col, preset=preset, pos=pos))
+
+    def transform(self, df: DataFrame, row: str, col: str) -> DataFrame:
+        """(row, cat, value): a string is one category, an array one a token; categories unknown at the fit are dropped."""
+        many = df.schema[col].dataType.typeName() == "array"
+        return (encode_multihot if many else encode_category)(df, row, col, self.table)
+
+    def save(self, path: str) -> None:
+        self.table.write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dictionary:
+        return cls(spark.read.parquet(path))
+
+
 def feature_names(dictionary: DataFrame, prefix: str, kept: DataFrame | None = None) -> DataFrame:
     """cat, name: the prefix and the category with white space replaced, for the kept categories if given."""
     name = F.regexp_replace(F.concat_ws("_", F.lit(prefix), F.col("category").cast("string")), r"\s", "_")
@@ -106,9 +141,22 @@ def reindex_frequent(df: DataFrame, col: str, least: int, *, where: Column | Non
 
 
 def chunk_row_ids(df: DataFrame, chunk: str, key: str) -> DataFrame:
-    """Numbers the distinct keys of each chunk in key order from 0."""
-    rank = F.row_number().over(W.partitionBy(chunk).orderBy(key)) - 1
-    return df.select(chunk, key).distinct().withColumn("row", rank)
+    """Numbers the distinct keys of each chunk in key order from 0: global positions less those of the chunks before."""
+    rows = global_index(df.select(chunk, key).distinct(), chunk, key, name="_at")
+    starts = rows.groupBy(chunk).agg(F.min("_at").alias("_start"))
+    return rows.join(starts, chunk).select(chunk, key, (F.col("_at") - F.col("_start")).alias("row"))
+
+
+def chunk_ids(targets: DataFrame, histories: DataFrame, chunk: str, key: str, user: str, items: str) -> DataFrame:
+    """Distinct ids (chunk, key) that a chunk's target rows hold themselves or in their user's history lists; -1 is padding."""
+    own = targets.select(chunk, key)
+    past = targets.select(chunk, user).distinct().join(histories.select(user, F.explode(items).alias(key)), user).select(chunk, key)
+    return own.unionByName(past).filter(F.col(key) >= 0).distinct()
+
+
+def two_hops(rows: DataFrame, id_map: DataFrame, values: DataFrame, row: str, key: str) -> DataFrame:
+    """Rows -> their ids -> what is known of the ids; rows that the map or the values lack are left out."""
+    return rows.join(id_map, row).join(values, key)
 
 
 def language_name(code: Column) -> Column:

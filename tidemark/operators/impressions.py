@@ -66,10 +66,17 @@ def bounds(imps: DataFrame) -> tuple[int, int]:
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of items from ``documents``: tweet_id, text, language, domain, tokens, hashtags."""
+    """Texts of items from ``documents``: tweet_id, creator_id, text, language, domain, tokens, hashtags.
+
+    Stand-ins for what the tables lack: the type is the size class of the text, media are its words in capitals, links its
+    e-mail addresses. The creator is that of ``from_events``.
+    """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(
-        F.col("doc_id").alias("tweet_id"), "text", F.col("lang").alias("language"), F.col("source").alias("domain"),
+        F.col("doc_id").alias("tweet_id"), (F.col("doc_id") % 20).alias("creator_id"), "text", F.col("lang").alias("language"), F.col("source").alias("domain"),
         F.split(F.col("text"), r"[ \n]+").alias("tokens"),
         F.regexp_extract_all("text", F.lit(r"(#[^ \n]+)"), 1).alias("hashtags"),
+        F.when(F.col("n_chars") >= 1000, "long").otherwise("short").alias("type"),
+        F.regexp_extract_all("text", F.lit(r"([A-Z]{3,})"), 1).alias("media"),
+        F.regexp_extract_all("text", F.lit(r"([a-z0-9.]+@[a-z0-9.]+)"), 1).alias("links"),
     )

@@ -10,20 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PARTS = 64
+#: Rows of a range, about, and the smallest and largest number of ranges of a group.
+RANGE_ROWS, PARTS, MOST_PARTS = 1_000_000, 16, 4096
 
 
 def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: list[str] | None = None) -> DataFrame:
-    """Adds ``<c>_upto``: running sums per group over falling ``order``, ties in the order given."""
-    at = F.percentile_approx(order, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(100 * PARTS))
+    """Adds ``<c>_upto``: running sums per group over falling ``order``, ties in the order given.
+
+    The number of ranges a group is cut into grows with the rows. Cuts and totals have a row a group and one a range; whether
+    they are broadcast is left to their size.
+    """
+    parts = min(MOST_PARTS, max(PARTS, rows.count() // RANGE_ROWS))
+    at = F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts))
     cuts = rows.groupBy(by).agg(at.alias("_cuts"))
-    own = rows.join(F.broadcast(cuts), by)  # a row a group
+    own = rows.join(cuts, by)
     own = own.withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(order)))).drop("_cuts")
     totals = own.groupBy(by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(by, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums])
     inside = W.partitionBy(by, "_part").orderBy(F.desc(order), *(ties or [])).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), [by, "_part"])
+    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(totals, [by, "_part"])
     new = {f"{c}_upto": F.col(f"_{c}_in") + F.col(f"_{c}_before") for c in sums}
     return out.withColumns(new).select(*rows.columns, *new)
 
@@ -31,7 +37,7 @@ def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: list[st
 def _area(steps: DataFrame, rows: DataFrame, by: str, first_counts: bool) -> DataFrame:
     """Sum of trapezoids between each step of (tp, n) and the one before it; the first one starts at (0, 1) or not at all."""
     total = rows.groupBy(by).agg(F.sum("label").alias("_total"))
-    steps = steps.join(F.broadcast(total), by)
+    steps = steps.join(total, by)
     tp0, n0 = F.col("tp_upto") - F.col("tp"), F.col("n_upto") - F.col("n")
     p, p0 = F.col("tp_upto") / F.col("n_upto"), F.when(n0 > 0, F.try_divide(tp0, n0)).otherwise(1.0)
     r, r0 = (F.coalesce(F.try_divide(x, F.col("_total")), F.lit(0.0)) for x in (F.col("tp_upto"), tp0))
@@ -78,8 +84,10 @@ def report(rows: DataFrame, by: str = "action") -> DataFrame:
 
 
 def rank_desc(rows: DataFrame, by: str, score: str) -> DataFrame:
-    """Competition ranks: ties share one, the next skips."""
-    return rows.withColumn("rank", F.rank().over(W.partitionBy(by).orderBy(F.desc(score))))
+    """Competition ranks: ties share one, the next skips. Ranks are made per distinct score, in ranges of scores."""
+    steps = running(rows.groupBy(by, score).agg(F.count("*").alias("_n")), by, score, ["_n"])
+    steps = steps.select(by, score, (F.col("_n_upto") - F.col("_n") + 1).cast("int").alias("rank"))
+    return rows.join(steps, [by, score]).select(*rows.columns, "rank")
 
 
 def top_n(rows: DataFrame, row: str, item: str, value: str, n: int, excluded: DataFrame | None = None) -> DataFrame:
@@ -90,10 +98,11 @@ def top_n(rows: DataFrame, row: str, item: str, value: str, n: int, excluded: Da
 
 
 def standardise_within(rows: DataFrame, row: str, value: str) -> DataFrame:
-    """Values less their row's mean over its deviation, where that is above 1e-5."""
-    w = W.partitionBy(row)
-    m, s = F.avg(value).over(w), F.stddev_pop(value).over(w)
-    return rows.withColumn(value, F.when(s > 1e-5, (F.col(value) - m) / s).otherwise(F.col(value)))
+    """Values less their row's mean over its deviation, where that is above 1e-5. Means are aggregated and joined back."""
+    stats = rows.groupBy(row).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    out = rows.join(stats, row)
+    z = F.when(F.col("_s") > 1e-5, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(F.col(value))
+    return out.withColumn(value, z).select(*rows.columns)
 
 
 def best_iteration(curve: DataFrame, by: str) -> DataFrame:

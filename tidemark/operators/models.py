@@ -40,7 +40,7 @@ def importances(model, cols: list[str]) -> list[tuple[str, float]]:
 
 def validation_curve(model, df: DataFrame) -> DataFrame:
     """iteration, metric (negative loss) of every boosting round."""
-    losses = model.stages[-1].evaluateEachIteration(model.stages[0].transform(df), "logistic")
+    losses = model.stages[-1].evaluateEachIteration(model.stages[0].transform(df))
     return df.sparkSession.createDataFrame([(i, -x) for i, x in enumerate(losses)], "iteration int, metric double")
 
 

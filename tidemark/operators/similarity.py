@@ -60,25 +60,30 @@ def gram(m: DataFrame) -> DataFrame:
 
 
 def item_similarity(pairs: DataFrame, contents: DataFrame, counts: DataFrame) -> DataFrame:
-    """Likenesses of item pairs (a, b): same language and domain, common tokens and tags, and the products of their
-    creators as columns and as rows of the user x creator counts. Creator products are made once per creator pair."""
-    cols = ["language", "domain", "tokens", "hashtags"]
-    a = contents.select(F.col("tweet_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = contents.select(F.col("tweet_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    out = pairs.select("a", "b", (F.col("a") % 20).alias("ca"), (F.col("b") % 20).alias("cb")).distinct()
-    makers = out.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    """Likenesses of item pairs (a, b): same language and type; common tokens, media, domains, links and tags; and the products
+    of their creators as columns and as rows of the user x creator counts.
+
+    ``contents`` has a row an item with its creator. Products are made once per pair of creators, overlaps once per pair of
+    items. An item without contents is unlike all others.
+    """
+    cols = ["language", "type", "tokens", "media", "domain", "links", "hashtags"]
+    a = contents.select(F.col("tweet_id").alias("a"), F.col("creator_id").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = contents.select(F.col("tweet_id").alias("b"), F.col("creator_id").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    made = contents.select("tweet_id", "creator_id")
+    pairs = pairs.select("a", "b").distinct()
+    makers = pairs.join(made.toDF("a", "ca"), "a").join(made.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     by_creator = counts.select(F.col("creator_id").alias("row"), F.col("user_id").alias("col"), F.col("n").cast("double").alias("value"))
     seen = sparse_dots(by_creator, makers).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("value").alias("seen_by"))
     sees = sparse_dots(transpose(by_creator), makers).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("value").alias("sees"))
-    out = out.join(a, "a", "left").join(b, "b", "left").join(seen, ["ca", "cb"]).join(sees, ["ca", "cb"])
+    out = pairs.join(a, "a", "left").join(b, "b", "left").join(seen, ["ca", "cb"], "left").join(sees, ["ca", "cb"], "left")
     return out.select(
-        "a", "b", same(F.col("a_language"), F.col("b_language")).alias("language"), same(F.col("a_domain"), F.col("b_domain")).alias("domain"),
-        overlap(F.col("a_tokens"), F.col("b_tokens")).alias("tokens"), overlap(F.col("a_hashtags"), F.col("b_hashtags")).alias("hashtags"),
-        "seen_by", "sees",
+        "a", "b", *[same(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(c) for c in ("language", "type", "domain")],
+        *[overlap(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(c) for c in ("tokens", "media", "links", "hashtags")],
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("seen_by", "sees")],
     )
 
 
-SIMILARITIES = ["language", "domain", "tokens", "hashtags", "seen_by", "sees"]
+SIMILARITIES = ["language", "type", "domain", "tokens", "media", "links", "hashtags", "seen_by", "sees"]
 
 
 def user_item_similarity(targets: DataFrame, hist: DataFrame, contents: DataFrame, counts: DataFrame) -> DataFrame:
@@ -128,6 +133,19 @@ def user_scores(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(got, ["user_id", "creator_id"], "left").fillna(0.0, ["score"])
 
 
+def evaluate_scores(counts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Neighbour scores by themselves: area under the curve through the rows (engage_index, user_id, creator_id and a label per
+    action), ordered by ``item_scores``, per action."""
+    from tidemark.operators.impressions import ACTIONS
+    from tidemark.operators.metrics import pr_auc_rows
+
+    scores = item_scores(counts, rows).withColumn("score", F.round("score", 9))  # sums in another order must not reorder ties
+    scored = rows.join(scores, ["user_id", "creator_id"], "left").fillna(0.0, ["score"])
+    each = F.array(*[F.struct(F.lit(a).alias("action"), F.col(f"{a}_label").alias("label")) for a in ACTIONS])
+    long = scored.select("engage_index", "score", F.explode(each).alias("x")).select("engage_index", "score", "x.*")
+    return pr_auc_rows(long, "engage_index")
+
+
 def low_rank(counts: DataFrame, k: int = 25):
     """Factors of the 0/1 user x creator matrix by MLlib's distributed SVD: (users RowMatrix rows, values, V)."""
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.operators.impressions import DAY, HOUR, times
 from tidemark.operators.order import global_index
@@ -101,8 +100,10 @@ def length_batches(df: DataFrame, key: str, length: str, *, bins: list[int], bat
     at = F.lit(0)
     for b in bins:
         at = at + (F.col(length) >= b).cast("int")
-    rank = F.row_number().over(W.partitionBy("bin").orderBy(portable(F.col(key), seed), key)) - 1
-    rows = df.withColumn("bin", at).withColumn("batch", F.floor(rank / batch))
+    # positions in (bin, hash) order less the bin's first one: no task sorts a whole bin
+    rows = global_index(df.withColumn("bin", at).withColumn("_h", portable(F.col(key), seed)), "bin", "_h", key, name="_at")
+    starts = rows.groupBy("bin").agg(F.min("_at").alias("_start"))
+    rows = rows.join(starts, "bin").withColumn("batch", F.floor((F.col("_at") - F.col("_start")) / batch)).drop("_h", "_at", "_start")
     full = rows.groupBy("bin", "batch").agg(F.count("*").alias("_n")).filter(F.col("_n") == batch).select("bin", "batch")
     return rows.join(full, ["bin", "batch"])
 
@@ -123,10 +124,16 @@ def sample_rows(df: DataFrame, fraction: float, *, replace: bool = False, seed:
     return df.sample(replace, fraction, seed)
 
 
+def uniform(*salt: Column | str, seed: int = 0) -> Column:
+    """A number in (0, 1] that follows from the salt and the seed alone and that other engines agree on."""
+    own = F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in salt])
+    return (F.conv(F.substring(portable(own, seed), 1, 12), 16, 10).cast("long") + 1) / float(1 << 48)
+
+
 def weighted_choice(df: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
     """k rows without replacement, chances in proportion to the weight: smallest exponential keys."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    return df.filter(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k").limit(k).drop("_k")
+    own = df.filter(F.col(weight) > 0).withColumn("_k", -F.log(uniform(key, seed=seed)) / F.col(weight))
+    return own.orderBy("_k", key).limit(k).drop("_k")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
@@ -134,9 +141,17 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 def random_matrix(spark, rows: int, cols: int, *, normal: bool = False, seed: int = 0) -> DataFrame:
-    """(row, values): the same for a row whenever it is made."""
-    r = F.randn if normal else F.rand
-    return spark.range(rows).select(F.col("id").alias("row"), F.array(*[r(seed + c) for c in range(cols)]).alias("values"))
+    """(row, values): each value follows from its row, column and the seed, however the rows are dealt over tasks."""
+    row = F.col("id")
+
+    def cell(c: int) -> Column:
+        u = uniform(row, F.lit(c), seed=seed)
+        if not normal:
+            return u
+        v = uniform(row, F.lit(c), seed=seed + 1)  # Box-Muller
+        return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+
+    return spark.range(rows).select(row.alias("row"), F.array(*[cell(c) for c in range(cols)]).alias("values"))
 
 
 def ith_choice(i: Column, n: int, length: int) -> Column:

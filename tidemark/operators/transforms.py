@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def _v() -> Column:
@@ -65,17 +64,23 @@ def power(m: DataFrame, k: float) -> DataFrame:
 
 
 def outlier_clip(m: DataFrame, share: float, *, exact: bool = True) -> Fitted:
-    """Clips to the r-th smallest and largest nonzero of a column, r = ceil(nonzeros * share) + 1.
+    """Clips to the r-th smallest and largest nonzero of a column, r = ceil(nonzeros * share) + 1 or all there are.
 
-    Exact ranks sort each column; without ``exact`` a sketch of quantiles keeps a column in bounded memory.
+    Exact ranks come from running counts of a column's distinct values, made in ranges of values, so no task sorts a column;
+    without ``exact`` a sketch of quantiles does.
     """
     if not exact:
         params = m.groupBy("col").agg(F.percentile_approx("value", share).alias("lo"), F.percentile_approx("value", 1 - share).alias("hi"))
     else:
-        up, down = W.partitionBy("col").orderBy("value"), W.partitionBy("col").orderBy(F.desc("value"))
-        r = F.least(F.ceil(F.count("*").over(W.partitionBy("col")) * share) + 1, F.count("*").over(W.partitionBy("col")))
-        ranked = m.select("col", "value", F.row_number().over(up).alias("u"), F.row_number().over(down).alias("d"), r.alias("r"))
-        params = ranked.groupBy("col").agg(F.max(F.when(F.col("u") == F.col("r"), _v())).alias("lo"), F.max(F.when(F.col("d") == F.col("r"), _v())).alias("hi"))
+        from tidemark.operators.metrics import running
+
+        steps = running(m.groupBy("col", "value").agg(F.count("*").alias("n")), "col", "value", ["n"])
+        total = m.groupBy("col").agg(F.count("*").alias("all"))
+        steps = steps.join(total, "col").withColumn("r", F.least(F.ceil(F.col("all") * share) + 1, F.col("all")))
+        below = F.col("all") - F.col("n_upto") + F.col("n")  # values up to this one
+        params = steps.groupBy("col").agg(
+            F.min(F.when(below >= F.col("r"), _v())).alias("lo"), F.max(F.when(F.col("n_upto") >= F.col("r"), _v())).alias("hi")
+        )
     return Fitted(params, F.least(F.greatest(_v(), F.col("lo")), F.col("hi")))
 
 
@@ -130,6 +135,16 @@ def vectors_mean(m: DataFrame, rows: int) -> DataFrame:
     return m.groupBy("col").agg((F.sum("value") / rows).alias("value"))
 
 
+def dated(m: DataFrame, date: int, *, after: bool) -> DataFrame:
+    """Entries (row, col, value, date) later than the date, or those up to it; rows left without entries vanish."""
+    return m.filter(F.col("date") > date if after else F.col("date") <= date)
+
+
+def listed_rows(m: DataFrame, positions: DataFrame) -> DataFrame:
+    """The rows of (old, new) positions, renumbered; a row may be listed several times."""
+    return m.join(positions.select(F.col("old").alias("row"), "new"), "row").drop("row").withColumnRenamed("new", "row").select(*m.columns)
+
+
 def merge_dated(a: DataFrame, b: DataFrame) -> DataFrame:
     """(row, col, value, date) of both: values of one cell add up, the latest date stays."""
     return a.unionByName(b).groupBy("row", "col").agg(F.sum("value").alias("value"), F.max("date").alias("date"))

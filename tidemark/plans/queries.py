@@ -10,6 +10,9 @@ from tidemark.operators.impressions import ACTIONS, DAY, HOUR, bounds, contents,
 
 QUERIES, ORACLES = {}, {}
 
+# Fixed value: the epoch second from which ages of accounts are counted.
+NOW = 1580947211
+
 _ACT = " UNION ALL ".join(
     f"SELECT engage_index, user_id, tweet_id, creator_id, t, tweet_ts, follow, '{a}' AS action, {a}_ts AS at FROM imp WHERE {a}_ts IS NOT NULL"
     for a in ACTIONS
@@ -100,13 +103,13 @@ def profile_features(spark, d):
     t0, _ = bounds(imps)
     p = profiles(spark, d, t0).withColumnRenamed("id", "user_id")
     out = imps.join(p, "user_id", "left")
-    age = (F.lit(1580947211) - F.col("created")) / float(DAY)
-    at = F.timestamp_seconds("t")
+    age = history.account_age(F.col("created"), NOW)
+    weekday, hour = history.day_and_hour(F.col("t"))
     return out.select(
         "engage_index", F.coalesce("followers", F.lit(0)).alias("followers"), F.coalesce("following", F.lit(0)).alias("following"),
         r(F.coalesce(history.ratio(F.col("followers"), F.col("following")), F.lit(0.0))).alias("ratio"),
         F.coalesce(F.col("verified").cast("int"), F.lit(0)).alias("verified"), r(F.coalesce(age, F.lit(0.0))).alias("age_days"),
-        (F.weekday(at) + 1).alias("weekday"), F.hour(at).alias("hour"),
+        weekday.alias("weekday"), hour.alias("hour"),
     )
 
 
@@ -132,10 +135,7 @@ keep AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS new FROM (SELECT ca
 SELECT tweet_id, new AS cat, CAST(value AS DOUBLE) AS value FROM nz JOIN keep USING (cat)""")
 def encode_tokens(spark, d):
     """Token counts of items over the dictionary, cut to tokens of more than 20 items and renumbered."""
-    c = contents(spark, d).select("tweet_id", "tokens")
-    dic = ids.dictionary(c.select(F.explode("tokens").alias("token")), "token")
-    kept, _ = ids.select_columns(ids.encode_multihot(c, "tweet_id", "tokens", dic), "tweet_id", 20)
-    return kept.select("tweet_id", "cat", "value")
+    return ids.encode_frequent(contents(spark, d).select("tweet_id", "tokens"), "tweet_id", "tokens", 20)
 
 
 @query("encode_categories", """WITH dic AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS cat FROM (SELECT lang AS category FROM documents UNION SELECT source FROM documents))
@@ -181,19 +181,18 @@ SELECT tweet_id, CAST(len(regexp_extract_all(c, '[.|,:;!?'']')) AS DOUBLE) AS pu
  CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS DOUBLE) AS max_length, round(coalesce(list_avg(list_transform(w, lambda x: length(x))), 0), 6) AS mean_length FROM w""")
 def text_statistics(spark, d):
     """Six statistics of each cleaned text."""
-    c = contents(spark, d)
-    out = c.select("tweet_id", tx.statistics(tx.clean_line(tx.repair_underscores(F.col("text")))).alias("s")).select("tweet_id", "s.*")
+    out = tx.with_statistics(contents(spark, d), "text", ["tweet_id"])
     return out.withColumn("mean_length", r(F.col("mean_length")))
 
 
-_TWEET = "'RT @ ' || source || ' : ' || replace(substr(text, 1, 200), chr(10), ' ') || ' @ ' || lang || ' # t' || doc_id % 7 || ' https : / / t. co / ' || doc_id || ' [UNK]'"
+_TWEET = "'RT @ ' || source || ' : ' || replace(text, chr(10), ' ') || ' @ ' || lang || ' # t' || doc_id % 7 || ' https : / / t. co / ' || doc_id || ' [UNK]'"
 
 
 def tweets(spark, d):
-    """Texts in the log's spelling, made from the start of each document."""
+    """Texts in the log's spelling, made from each whole document."""
     doc = spark.read.parquet(f"{d}/documents.parquet")
-    start = F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" "))
-    made = F.concat(F.lit("RT @ "), "source", F.lit(" : "), start, F.lit(" @ "), "lang", F.lit(" # t"), (F.col("doc_id") % 7).cast("string"),
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
+    made = F.concat(F.lit("RT @ "), "source", F.lit(" : "), line, F.lit(" @ "), "lang", F.lit(" # t"), (F.col("doc_id") % 7).cast("string"),
                     F.lit(" https : / / t. co / "), F.col("doc_id").cast("string"), F.lit(" [UNK]"))
     return doc.select(F.col("doc_id").alias("tweet_id"), made.alias("text"), F.col("lang").alias("language"))
 
@@ -221,14 +220,16 @@ def text_extraction(spark, d):
     )
 
 
-@query("text_fidelity", """SELECT lang AS language, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share, round(avg(CASE WHEN contains(text, '#') AND doc_id % 2 = 1 THEN 1.0 ELSE 0 END), 6) AS found_only,
- round(avg(CASE WHEN NOT contains(text, '#') AND doc_id % 2 = 0 THEN 1.0 ELSE 0 END), 6) AS given_only FROM documents GROUP BY lang""")
+@query("text_fidelity", """WITH t AS (SELECT lang, contains(text, '#') AS tag, len(regexp_extract_all(text, '(#[^ \\n]+)', 1)) > 0 AS given_tag, regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') AS link, contains(text, '.com') AS given_link FROM documents)
+SELECT lang AS language, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share, round(avg(CAST(tag AND NOT given_tag AS INT)), 6) AS tag_found_only, round(avg(CAST(given_tag AND NOT tag AS INT)), 6) AS tag_given_only,
+ round(avg(CAST(link AND NOT given_link AS INT)), 6) AS link_found_only, round(avg(CAST(given_link AND NOT link AS INT)), 6) AS link_given_only FROM t GROUP BY lang""")
 def text_fidelity(spark, d):
-    """Language shares, and how well tags found in texts agree with a given flag, per language."""
-    c = spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("lang", "language")
-    found, given = F.contains("text", F.lit("#")), F.col("doc_id") % 2 == 0
-    agree = c.groupBy("language").agg(r(F.avg((found & ~given).cast("double"))).alias("found_only"), r(F.avg((~found & given).cast("double"))).alias("given_only"))
-    return tx.shares(c, "language").withColumn("share", r(F.col("share"))).join(agree, "language")
+    """Language shares, and how well signs found in texts agree with the log's tags and links, per language."""
+    c = contents(spark, d)
+    tags = tx.fidelity(c, F.contains("text", F.lit("#")), F.size("hashtags") > 0, ["language"]).toDF("language", "tag_found_only", "tag_given_only")
+    links = tx.fidelity(c, F.size("links") > 0, F.contains("text", F.lit(".com")), ["language"]).toDF("language", "link_found_only", "link_given_only")
+    out = tx.shares(c, "language").join(tags, "language").join(links, "language")
+    return out.select("language", "n", *[r(F.col(x)).alias(x) for x in ("share", "tag_found_only", "tag_given_only", "link_found_only", "link_given_only")])
 
 
 @query("analyzed_tokens", """WITH a AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{L})(\\p{N})|(\\p{N})(\\p{L})', '\\1\\3 \\2\\4', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents),
@@ -241,17 +242,34 @@ def analyzed_tokens(spark, d):
     return out.withColumn("grams", F.size(tx.char_ngrams(F.array("token"), 3, 4)).cast("long"))
 
 
-@query("encode_decode", """WITH tok AS (SELECT doc_id AS tweet_id, list_slice(regexp_split_to_array(text, '[ \\n]+'), 1, 100) AS w FROM documents), f AS (SELECT tweet_id, unnest(w) AS piece, generate_subscripts(w, 1) AS p FROM tok),
-v AS (SELECT piece FROM f GROUP BY piece HAVING count(*) >= 5) SELECT tweet_id, string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p) AS text FROM f LEFT JOIN v USING (piece) GROUP BY tweet_id""")
-def encode_decode(spark, d):
-    """The first hundred tokens as ids of a vocabulary of those used five times, and back."""
-    c = contents(spark, d).select("tweet_id", F.slice("tokens", 1, 100).alias("tokens"))
+_VOC = """WITH tok AS (SELECT doc_id AS tweet_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents), f AS (SELECT tweet_id, unnest(w) AS piece, generate_subscripts(w, 1) AS p FROM tok),
+v AS (SELECT piece, row_number() OVER (ORDER BY piece) AS token_id FROM (SELECT piece FROM f GROUP BY piece HAVING count(*) >= 5))"""
+
+
+def vocabulary(spark, d):
+    """Items' tokens, and a vocabulary (piece, token_id) of those that all texts use five times; 0 is the unknown one."""
+    c = contents(spark, d).select("tweet_id", "tokens")
     used = c.select(F.explode("tokens").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 5")
     vocab = ids.dictionary(used, "piece").select(F.col("category").alias("piece"), (F.col("cat") + 1).alias("token_id"))
-    vocab = vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long"))
+    return c, vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long"))
+
+
+@query("encode_decode", _VOC + """ SELECT tweet_id, string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p) AS text FROM f LEFT JOIN v USING (piece) WHERE p <= 100 GROUP BY tweet_id""")
+def encode_decode(spark, d):
+    """Texts cut to a hundred tokens as ids of the vocabulary, and back."""
+    c, vocab = vocabulary(spark, d)
     return tx.decode(tx.encode(c, "tweet_id", "tokens", vocab), "tweet_id", "ids", vocab)
 
 
+@query("decode_whole", _VOC + """ SELECT tweet_id, count(*) AS n, md5(string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p)) AS digest FROM f LEFT JOIN v USING (piece) GROUP BY tweet_id""")
+def decode_whole(spark, d):
+    """Whole texts as ids of the vocabulary, and back."""
+    c, vocab = vocabulary(spark, d)
+    enc = tx.encode(c, "tweet_id", "tokens", vocab, most=None)
+    out = tx.decode(enc, "tweet_id", "ids", vocab).select("tweet_id", F.md5("text").alias("digest"))
+    return out.join(enc.select("tweet_id", F.size("ids").cast("long").alias("n")), "tweet_id")
+
+
 @query("token_blocks", """WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM s),
 n AS (SELECT token, row_number() OVER (ORDER BY doc_id, p) - 1 AS i FROM f) SELECT i // 128 AS block, md5(string_agg(token, ' ' ORDER BY i)) AS digest FROM n GROUP BY i // 128 HAVING count(*) = 128""")
 def token_blocks(spark, d):
@@ -259,11 +277,18 @@ def token_blocks(spark, d):
     return tx.fixed_blocks(contents(spark, d).select("tweet_id", "tokens"), "tweet_id", "tokens", 128).select("block", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
-@query("masked_tokens")
+_DRAW = "CAST('0x' || substr(md5(tweet_id || ':' || (p - 1) || ':{seed}'), 1, 12) AS BIGINT) % {n}"
+
+
+@query("masked_tokens", _VOC + f""", i AS (SELECT tweet_id, p, coalesce(token_id, 0) + 5 AS i FROM f LEFT JOIN v USING (piece)), z AS (SELECT count(*) + 6 AS size FROM v),
+x AS (SELECT tweet_id, p, i, {_DRAW.format(seed=0, n=1000000)} < 150000 AND i >= 6 AS chosen, {_DRAW.format(seed=1, n=1000000)} AS d, {_DRAW.format(seed=2, n='size')} AS w FROM i, z)
+SELECT tweet_id, md5(string_agg(CASE WHEN chosen AND d < 800000 THEN 4 WHEN chosen AND d < 900000 THEN w ELSE i END, ' ' ORDER BY p)) AS inputs, md5(string_agg(CASE WHEN chosen THEN i ELSE -100 END, ' ' ORDER BY p)) AS labels FROM x GROUP BY tweet_id""")
 def masked_tokens(spark, d):
-    """Inputs and labels of masked training."""
-    c = contents(spark, d).select("tweet_id", F.transform(F.slice("tokens", 1, 64), lambda x: (F.abs(F.hash(x)) % 1000 + 5).cast("int")).alias("ids"))
-    return tx.mask_tokens(c, "tweet_id", "ids", mask=4, size=1005, special=5)
+    """Inputs and labels of masked training over whole texts; ids start after five special ones and the unknown one."""
+    c, vocab = vocabulary(spark, d)
+    enc = tx.encode(c, "tweet_id", "tokens", vocab, most=None).select("tweet_id", F.transform("ids", lambda x: (x + 5).cast("int")).alias("ids"))
+    out = tx.mask_tokens(enc, "tweet_id", "ids", mask=4, size=vocab.count() + 5, special=6, portable=True)
+    return out.select("tweet_id", *[F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), " ")).alias(x) for x in ("inputs", "labels")])
 
 
 @query("date_windows", BASE + """, w AS (SELECT CAST(range AS INT) AS chunk, cut - (range + 1) * 86400 AS s, cut - range * 86400 AS e FROM lim, range(5))
@@ -346,7 +371,7 @@ def action_sets(spark, d):
     return history.action_sets(parts(spark, d)[2], "user_id")
 
 
-_CON = ", con AS (SELECT doc_id AS tweet_id, lang, source, regexp_split_to_array(text, '[ \\n]+') AS tokens, regexp_extract_all(text, '(#[^ \\n]+)', 1) AS tags FROM documents)"
+_CON = ", con AS (SELECT doc_id AS tweet_id, lang, source, regexp_split_to_array(text, '[ \\n]+') AS tokens, regexp_extract_all(text, '(#[^ \\n]+)', 1) AS tags, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS type, regexp_extract_all(text, '([A-Z]{3,})', 1) AS media, regexp_extract_all(text, '([a-z0-9.]+@[a-z0-9.]+)', 1) AS links FROM documents)"
 
 
 @query("mean_content", BASE + _CON + """, per AS (SELECT tweet_id, len(list_distinct(tags)) AS tags, len(list_distinct(tokens)) AS words FROM con)
@@ -388,7 +413,10 @@ def first_items(spark, d):
 
 
 @query("cold_start", BASE + """SELECT avg(CAST(u.user_id IS NULL AS INT)) AS new_users, avg(CAST(c.creator_id IS NULL AS INT)) AS new_creators, count(*) AS n, (SELECT count(DISTINCT user_id) FROM hist) AS users,
- (SELECT count(*) FROM (SELECT user_id AS i FROM hist INTERSECT SELECT creator_id FROM hist)) AS both_roles, (SELECT count(*) FROM (SELECT user_id AS i FROM hist UNION SELECT creator_id FROM hist)) AS all_ids
+ (SELECT count(*) FROM (SELECT user_id AS i FROM hist INTERSECT SELECT creator_id FROM hist)) AS both_roles, (SELECT count(*) FROM (SELECT user_id AS i FROM hist UNION SELECT creator_id FROM hist)) AS all_ids,
+ round((SELECT count(*) FROM (SELECT user_id AS i FROM hist INTERSECT SELECT creator_id FROM hist)) * 1.0 / (SELECT count(DISTINCT user_id) FROM hist), 6) AS of_users,
+ round((SELECT count(*) FROM (SELECT user_id AS i FROM hist INTERSECT SELECT creator_id FROM hist)) * 1.0 / (SELECT count(DISTINCT creator_id) FROM hist), 6) AS of_creators,
+ round((SELECT count(*) FROM (SELECT user_id AS i FROM hist INTERSECT SELECT creator_id FROM hist)) * 1.0 / (SELECT count(*) FROM (SELECT user_id AS i FROM hist UNION SELECT creator_id FROM hist)), 6) AS of_all
 FROM tgt LEFT JOIN (SELECT DISTINCT user_id FROM hist) u USING (user_id) LEFT JOIN (SELECT DISTINCT creator_id FROM hist) c USING (creator_id)""")
 def cold_start(spark, d):
     """Unseen users and creators among the rows to predict, and the overlap of the two roles' ids."""
@@ -398,4 +426,6 @@ def cold_start(spark, d):
     out = rows.agg(F.avg(F.col("hu").isNull().cast("int")).alias("new_users"), F.avg(F.col("hc").isNull().cast("int")).alias("new_creators"), F.count("*").alias("n"))
     a, b = u.select(F.col("user_id").alias("i")), c.select(F.col("creator_id").alias("i"))
     sizes = {"users": u.count(), "both_roles": a.intersect(b).count(), "all_ids": a.union(b).distinct().count()}
-    return out.withColumns({k: F.lit(v).cast("long") for k, v in sizes.items()})
+    shares = history.id_overlap(a, b, "i").first()
+    ratios = {"of_all": shares["of_either"], "of_users": shares["of_first"], "of_creators": shares["of_second"]}
+    return out.withColumns({k: F.lit(v).cast("long") for k, v in sizes.items()} | {k: r(F.lit(v)) for k, v in ratios.items()})

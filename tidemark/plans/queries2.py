@@ -66,12 +66,12 @@ def matrix_vector(spark, d):
     return similarity.times_vector(m, right).join(back, "index", "left")
 
 
-@query("matrix_concat", MAT + """ SELECT "row", col, value FROM m UNION ALL SELECT "row", col + 100, 1.0 FROM m WHERE col < 10 UNION ALL SELECT col + 1000, "row", value FROM m WHERE "row" < 5""")
+@query("matrix_concat", MAT + """ SELECT "row", col, value FROM m UNION ALL SELECT "row", col + 100, 1.0 FROM m UNION ALL SELECT col + 2000, "row", value FROM m""")
 def matrix_concat(spark, d):
-    """Side by side with the pattern of some columns, above the transpose of some rows."""
+    """Side by side with its own pattern, above its transpose."""
     m = matrix(spark, d)
-    wide = transforms.concat_columns([(m, 100), (transforms.binarise(m.filter("col < 10")), 10)])
-    return transforms.concat_rows([(wide, 1000), (similarity.transpose(m.filter("row < 5")).select("row", "col", "value"), 100)])
+    wide = transforms.concat_columns([(m, 100), (transforms.binarise(m), 100)])
+    return transforms.concat_rows([(wide, 2000), (similarity.transpose(m).select("row", "col", "value"), 100)])
 
 
 @query("merge_dated", BASE + """, a AS (SELECT user_id AS "row", tweet_id AS col, count(*) AS value, max(t) AS date FROM imp WHERE engage_index % 2 = 0 GROUP BY ALL), b AS (SELECT user_id AS "row", tweet_id AS col, count(*) AS value, max(t) AS date FROM imp WHERE engage_index % 3 = 0 GROUP BY ALL)
@@ -145,19 +145,19 @@ def power_transform(spark, d):
 _SIM = """, pr AS (SELECT DISTINCT tgt.tweet_id AS a, hact.tweet_id AS b FROM tgt JOIN hact USING (user_id)),
 cr AS (SELECT x.creator_id AS ca, y.creator_id AS cb, CAST(sum(x.n * y.n) AS DOUBLE) AS seen_by FROM cnt x JOIN cnt y USING (user_id) GROUP BY ALL),
 cs AS (SELECT x.user_id AS ca, y.user_id AS cb, CAST(sum(x.n * y.n) AS DOUBLE) AS sees FROM (SELECT * FROM cnt WHERE user_id < 20) x JOIN (SELECT * FROM cnt WHERE user_id < 20) y USING (creator_id) GROUP BY ALL),
-si AS (SELECT a, b, CAST(x.lang = y.lang AS INT) AS language, CAST(x.source = y.source AS INT) AS domain, len(list_intersect(list_distinct(x.tokens), list_distinct(y.tokens))) AS tokens,
+si AS (SELECT a, b, CAST(x.lang = y.lang AS INT) AS language, CAST(x.source = y.source AS INT) AS domain, CAST(x.type = y.type AS INT) AS type, len(list_intersect(list_distinct(x.media), list_distinct(y.media))) AS media, len(list_intersect(list_distinct(x.links), list_distinct(y.links))) AS links, len(list_intersect(list_distinct(x.tokens), list_distinct(y.tokens))) AS tokens,
  len(list_intersect(list_distinct(x.tags), list_distinct(y.tags))) AS hashtags, coalesce(seen_by, 0) AS seen_by, coalesce(sees, 0) AS sees
  FROM pr JOIN con x ON x.tweet_id = a JOIN con y ON y.tweet_id = b LEFT JOIN cr ON cr.ca = a % 20 AND cr.cb = b % 20 LEFT JOIN cs ON cs.ca = a % 20 AND cs.cb = b % 20)"""
 
 
-@query("item_similarity", BASE + _CON + _SIM + "SELECT a, b, language, domain, tokens, hashtags, seen_by, sees FROM si")
+@query("item_similarity", BASE + _CON + _SIM + "SELECT a, b, language, type, domain, tokens, media, links, hashtags, seen_by, sees FROM si")
 def item_similarity(spark, d):
     """Likenesses of the items to predict and those their users acted on."""
     _, target, hist, _, _ = parts(spark, d)
     acted = unpivot_actions(hist).select("user_id", F.col("tweet_id").alias("b")).distinct()
     pairs = target.select("user_id", F.col("tweet_id").alias("a")).distinct().join(acted, "user_id").select("a", "b").distinct()
     out = similarity.item_similarity(pairs, contents(spark, d), interactions(hist))
-    return out.withColumns({c: F.col(c).cast("long") for c in ("tokens", "hashtags")})
+    return out.withColumns({c: F.col(c).cast("long") for c in ("tokens", "media", "links", "hashtags")})
 
 
 _MEANS = ", ".join(f"round(avg({c}), 5) AS {c}" for c in similarity.SIMILARITIES)
@@ -197,10 +197,10 @@ def vectors(spark, d):
 _VEC = ", ve AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), vn AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ve)"
 
 
-@query("embedding_scores", BASE + _VEC + """, p AS (SELECT DISTINCT user_id * 7 % 600 AS a, tweet_id AS b FROM imp WHERE engage_index < 500) SELECT p.a, p.b, round(coalesce(sum(x.x * y.x), 0), 5) AS score FROM p LEFT JOIN vn x ON x.id = p.a LEFT JOIN vn y ON y.id = p.b AND y.i = x.i GROUP BY ALL""")
+@query("embedding_scores", BASE + _VEC + """, p AS (SELECT DISTINCT user_id * 7 % 600 AS a, tweet_id AS b FROM imp) SELECT p.a, p.b, round(coalesce(sum(x.x * y.x), 0), 5) AS score FROM p LEFT JOIN vn x ON x.id = p.a LEFT JOIN vn y ON y.id = p.b AND y.i = x.i GROUP BY ALL""")
 def embedding_scores(spark, d):
     """Cosines of pairs of ids, 0 where one has no vector."""
-    pairs = from_events(spark, d).filter("engage_index < 500").select((F.col("user_id") * 7 % 600).alias("a"), F.col("tweet_id").alias("b")).distinct()
+    pairs = from_events(spark, d).select((F.col("user_id") * 7 % 600).alias("a"), F.col("tweet_id").alias("b")).distinct()
     return embeddings.pair_scores(pairs, vectors(spark, d), cosine=True).withColumn("score", r(F.col("score"), 5))
 
 
@@ -388,14 +388,14 @@ def tree_scores(spark, d):
     return models.score(model, rows.filter("split = 'valid'"), ["engage_index", "like_label"])
 
 
-@query("batch_scores")
+@query("batch_scores", """SELECT doc_id AS tweet_id, round(list_avg(list_transform(regexp_split_to_array(text, '[ \\n]+'), lambda x: length(x))), 6) AS mean_size FROM documents""")
 def batch_scores(spark, d):
     """Scores by a caller's batch function over token arrays."""
     def make():
         return lambda arrays, masks: (arrays["sizes"].sum(axis=1) / masks["sizes"].sum(axis=1)).reshape(-1, 1)
 
     c = contents(spark, d).select("tweet_id", F.transform("tokens", F.length).alias("sizes"))
-    return models.batch_score(c, ["tweet_id"], ["sizes"], ["mean_size"], make)
+    return models.batch_score(c, ["tweet_id"], ["sizes"], ["mean_size"], make).withColumn("mean_size", r(F.col("mean_size")))
 
 
 @query("low_rank")
@@ -406,8 +406,11 @@ def low_rank(spark, d):
 
 
 def folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder that every executor reaches; without ``spark.checkpoint.dir`` one below /tmp, on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 @query("file_round_trip", BASE + """SELECT engage_index, action, round(score, 4) AS score FROM (SELECT engage_index, 'like' AS action, (engage_index * 7919 % 9973 + 1) / 13000.0 AS score FROM imp WHERE like_ts IS NOT NULL)""")
