@@ -271,15 +271,14 @@ def slow_repeats(rows, k):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
     for i, w in words:
-        i = -(1 << 63) if i is None else i
-        for j in range(len(w) - k + 1):
+        for j in range(len(w) - k + 1 if i is not None else 0):
             key = tuple(w[j : j + k])
             first[key] = min(first.get(key, i), i)
     out = []
     for i, w in words:
         own, keep = -(1 << 63) if i is None else i, [True] * len(w)
         for j in range(len(w) - k + 1):
-            if first[tuple(w[j : j + k])] < own:
+            if i is not None and first[tuple(w[j : j + k])] < own:
                 keep[j : j + k] = [False] * k
         left = b" ".join(x for x, y in zip(w, keep, strict=True) if y)
         out.append((i, len(w), keep.count(False), hashlib.sha256(left).hexdigest()))

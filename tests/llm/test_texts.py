@@ -166,15 +166,14 @@ def test_windows_cover_whole_texts():
     assert n.tolist() == [1, 1, 2] and x.shape == (4, 256) and x[3, 0] == ord("b") and x[3, 1] == 0
 
 
-def brute_licences(text, least=0.8):
-    """Every run of whole lines against every template."""
-    out = {}
-    lines = (text or "").split("\n")
-    for a in range(len(lines)):
-        for z in range(a, len(lines)):
-            g = licenses.bigrams(licenses.words("\n".join(lines[a : z + 1])))
-            for name, t in licenses.TEMPLATES:
-                h = licenses.bigrams(licenses.words(t))
+def brute_licences(text, templates, least=0.8):
+    """Every run of words against every template."""
+    own, out = licenses.words(text or ""), {}
+    wanted = [(name, licenses.bigrams(licenses.words(t))) for name, t in templates]
+    for a in range(len(own)):
+        for z in range(a + 2, len(own) + 1):
+            g = licenses.bigrams(own[a:z])
+            for name, h in wanted:
                 dice = 2 * len(g & h) / (len(g) + len(h))
                 if dice >= least:
                     out[name] = max(out.get(name, 0), dice)
@@ -182,22 +181,55 @@ def brute_licences(text, least=0.8):
 
 
 def test_licences_equal_brute_force(spark):
-    mit = licenses.TEMPLATES[7][1]
     rnd = random.Random(1)
-    texts = [
-        None, "", "\n\n", "it is licensed", "x\nLicensed under CC BY-NC 4.0.\ny", "Licensed under the\nApache License, Version 2.0.\nof the and",
-        mit.replace(". ", ".\n"), "\n".join([mit[:400], "between", mit[400:]]), "licensed under cc by 4.0\nreleased under the mit license",
-        *["\n".join(rnd.choice([*mit.split(", "), "Released under the MIT License", "the of in"]) for _ in range(7)) for _ in range(15)],
-    ]
-    rows = licenses.scan(frame(spark, texts)).orderBy("doc_id").collect()
+    notices = [t for t in licenses.TEMPLATES if len(licenses.words(t[1])) < 45]
+    vocabulary = sorted({w for _, t in notices for w in licenses.words(t)})
+    texts = [None, "", "\n\n", "it is licensed", "Licensed under the\nApache License, Version 2.0.\nof the and",
+             "foo bar. Licensed under the MIT License. four five", "licensed under cc by 4.0\nreleased under the mit license " * 2]
+    for _ in range(40):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 8))]
+        for _ in range(rnd.randint(0, 2)):
+            t = licenses.words(rnd.choice(notices)[1])
+            for _ in range(rnd.randint(0, 1 + len(t) // 10)):
+                t[rnd.randrange(len(t))] = rnd.choice(vocabulary)
+            w += t + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 6))]
+        texts.append(" ".join(w))
+    texts.append(texts[-1])
+    rows = licenses.scan(frame(spark, texts), templates=notices).orderBy("doc_id").collect()
     for r, t in zip(rows, texts, strict=True):
-        want = brute_licences(t)
+        want = brute_licences(t, notices)
         assert {m["name"]: round(m["dice"], 9) for m in r["matches"]} == {k: round(v, 9) for k, v in want.items()}
         assert r["n_licenses"] == len(want) and (r["dice"] is None) == (not want)
     assert licenses.scan(frame(spark, [])).count() == 0
     assert licenses.scan(frame(spark, ["a b c"]), templates=[("X", "a b c d")], least=0.7).first()["license"] == "X"
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_licence_passages_of_longer_templates(seed):
+    """Skipped starts lose nothing: mutated, doubled and cut copies of a template of 60 words."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    template = [("X", " ".join(rnd.choice(vocabulary) for _ in range(60)))]
+    own = template[0][1].split()
+    w = []
+    for _ in range(3):
+        part = list(own[rnd.randint(0, 8) : 60 - rnd.randint(0, 8)])
+        for _ in range(rnd.randint(0, 6)):
+            part[rnd.randrange(len(part))] = rnd.choice(vocabulary)
+        w += part + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 20))]
+    want = brute_licences(" ".join(w), template)
+    assert {n: d for n, d, _, _ in licenses.Scanner(template, 0.8).scan(" ".join(w))} == want
+
+
+def test_full_licence_texts_are_found_anywhere():
+    scanner = licenses.Scanner(licenses.TEMPLATES + licenses.full_texts(), 0.8)
+    for name, text in licenses.full_texts():
+        got = scanner.scan("word " * 300 + text.replace("\n", " ") + " tail" * 300)
+        assert got[0][:2] == (name, 1.0) and got[0][2] == 300
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    assert scanner.scan("word " * 300 + mit + " tail" * 300)[0][:3] == ("MIT", 1.0, 300)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">a</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="wrap"><div class="content post-%d"><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>   para<br>graph &eacute;.
@@ -229,3 +261,38 @@ def test_pages_against_a_plain_reading(spark):
         body = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
         body = re.sub(r"</?(?:h1|p|br|li|ul|div)[^>]*>", " ", re.sub(r"<!--.*?-->", "", body, flags=re.S))
         assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", body)).split())
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><article><h1>Head</h1><p>Lead.</p><section><p>%s</p></section><section><p>%s</p></section></article><div>c</div></body>", "Head Lead. {0} {0}"),
+    ("<body><article><div class=intro><p>Intro here.</p></div><div class=body><p>%s</p><p>%s</p></div></article></body>", "Intro here. {0} {0}"),
+    ("<body><div id=page><div class=intro><p>Intro here.</p></div><div class=text><p>%s</p><p>%s</p></div></div><div><a href=/x>one</a> <a href=/y>two</a></div></body>", "Intro here. {0} {0}"),
+    ("<body><article><p>%s<table><tr><td>Cell one<td>Cell two</table><blockquote>Quote.</blockquote><p>%s</article></body>", "{0} Cell one Cell two Quote. {0}"),
+    ("<body><nav><a>n</a></nav><main><h1>Head</h1><div class=lead>Lead.</div><p>%s</p><p>%s</p></main><footer>f</footer></body>", "Head Lead. {0} {0}"),
+])
+def test_articles_keep_all_their_parts(page, want):
+    words = "many words of the story are told here and there " * 8
+    page = page % (words, words)
+    assert html_extract.extract(page, {}) == want.format(words.strip())
+
+
+def test_pages_follow_their_hosts_votes(spark):
+    """Brute force over the votes: 30 layouts on one host, none of them cut off, and a page whose text lies elsewhere."""
+    rows = []
+    for layout in range(30):
+        for j in range(3):
+            body = f"<div class='box{chr(97 + layout % 26)}{layout // 26}'><p>Story {layout} {j} is told in these words.</p></div>"
+            noise = "<div class='extras'><p>%s</p></div>" % ("what readers said about it " * (4 if j == 2 else 1))
+            rows.append((layout * 10 + j, f"http://h.example/{layout}/{j}", f"<body><div>{body}<div><a>x</a></div></div><hr>{noise}</body>"))
+    rows += [(900 + j, f"http://h.example/o/{j}", "<body><div class=lone%s><p>%s</p></div><div class=extras><p>said</p></div></body>" % ("xyz"[j], "Another tale altogether is here. " * 4)) for j in range(3)]
+    host = {}
+    for _, _, page in rows:
+        for p, n in html_extract.votes(page).items():
+            got = host.setdefault(p, [0, 0])
+            host[p] = [got[0] + n, got[1] + 1]
+    host = {p: n for p, (n, pages) in host.items() if pages > 1}
+    assert len(host) > 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()}
+    assert got == {i: html_extract.extract(page, host) for i, _, page in rows}
+    assert all(got[900 + j].startswith("Another tale") for j in range(3))

@@ -155,6 +155,22 @@ def bounded(batch: pa.RecordBatch, text: str, chars: int) -> Iterator[pa.RecordB
         a = z
 
 
+def word_hashes(texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and where each text's begin (and the last one's end).
+
+    Words are what the six ASCII white-space characters separate; each distinct word is hashed once.
+    """
+    import xxhash
+
+    split = pc.ascii_split_whitespace(texts)
+    coded = split.values.dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    own = np.fromiter((digest(w, seed) for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+    some = pc.binary_length(split.values).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(some)])[split.offsets.to_numpy()]
+    return own[coded.indices.to_numpy()[some]], ends
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finishing steps of a hash of 64 bits."""
     x = (x ^ (x >> np.uint64(31))) * M1

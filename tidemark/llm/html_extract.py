@@ -1,8 +1,9 @@
 """Main text of web pages by container paths that the pages of a host agree on.
 
-Each page scores its containers by the text of the blocks in them. A container's generalised path (tags with classes and
-ids, numbers blanked) gets the page's vote in proportion to its share of the score; votes are summed per host, and every
-page is extracted again from the elements on the host's best path that it has.
+Each page scores its containers by the text of the blocks in them; sections, divisions, cells and quotations of an article
+count for the element that holds it. A container's generalised path (tags with classes and ids, numbers blanked) gets the
+page's vote in proportion to its share of the score; votes are summed per host, and every page is extracted again from the
+path on which its own share and its host's votes agree most.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tidemark.llm._common import read
+from tidemark.llm._common import durable, read
 
-#: Paths kept for a host, best first; a page uses the first that it has.
-PATHS = 5
-#: Hosts up to which their paths are broadcast: about 8 MB.
-BROADCAST_HOSTS = 20_000
+#: Bytes of hosts' paths up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
+#: Share of a container's text that may be link text for it to be part of the article around its best part.
+LINKS = 0.3
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
@@ -46,6 +46,7 @@ _NOISE = re.compile(
 )
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 #: Names of elements that hold an article, whose own header belongs to the text.
+_NAMED = re.compile(r"\w+[^/]*?[.#](?:article|content|post|entry|story)(?:-(?:body|content|text))?(?=[.#]|$)")
 _BODY = re.compile(r"[.#](?:article|content|post|entry|story)(?:-(?:body|content|text))?(?=[.#]|$)|(?:^|/)(?:article|main)(?=[.#/]|$)")
 _SPACE = re.compile(r"\s+")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -155,29 +156,72 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
     return out
 
 
-def votes(page: str) -> dict[str, int]:
-    """Thousandths of the page's score by container path: a block counts whole for its nearest container, half for the next."""
+def _holder(path: tuple[tuple[str, bool], ...]) -> str | None:
+    """The outermost article a block lies in, else the outermost element named like one, else main."""
+    named = main = None
+    for p, _ in path:
+        label = p.rsplit("/", 1)[-1]
+        if label[:7] == "article" and label[7:8] in ("", ".", "#"):
+            return p
+        if named is None and _NAMED.match(label):
+            named = p
+        elif main is None and label[:4] == "main" and label[4:5] in ("", ".", "#"):
+            main = p
+    return named or main
+
+
+def _climbed(best: str, found: list) -> str:
+    """The ancestor of a container up to which what stands beside it is text and not links: an introduction, a heading."""
+    while "/" in best:
+        above = best.rsplit("/", 1)[0]
+        if above.rsplit("/", 1)[-1].split(".")[0].split("#")[0] == "html":
+            break
+        inside = [any(p == best for p, _ in path) for path, _, _ in found]
+        beside = [(t, n) for (path, t, n), i in zip(found, inside, strict=True) if not i and any(p == above for p, _ in path)]
+        if sum(n for _, n in beside) > LINKS * sum(len(t) for t, _ in beside):
+            break
+        best = above
+    return best
+
+
+def votes(page: str, found: list | None = None) -> dict[str, int]:
+    """Thousandths of the page's score by container path.
+
+    A block of an article counts for the element that holds the article. Other blocks count whole for their nearest container
+    and 0.4 for the next one; the best of these containers passes its score to the ancestor it is ``_climbed`` to.
+    """
+    found = blocks(page) if found is None else found
     score: dict[str, float] = {}
-    for path, text, links in blocks(page):
+    loose: dict[str, float] = {}
+    for path, text, links in found:
         weight = max(0, len(text) - 2 * links)
-        near = [p for p, container in path if container][-2:]
-        for i, p in enumerate(reversed(near)):
-            score[p] = score.get(p, 0.0) + weight / (1, 2.5)[i]
+        holder = _holder(path)
+        if holder is not None:
+            score[holder] = score.get(holder, 0.0) + weight
+            continue
+        for p, part in zip(reversed([p for p, container in path if container][-2:]), (1.0, 0.4)):
+            loose[p] = loose.get(p, 0.0) + weight * part
+    if loose:
+        best = max(loose, key=lambda p: (loose[p], p))
+        top = loose.pop(best)
+        best = best if score else _climbed(best, found)
+        loose[best] = loose.get(best, 0.0) + top
+    for p, s in loose.items():
+        score[p] = score.get(p, 0.0) + s
     total = sum(score.values())
     return {p: round(1000 * s / total) for p, s in score.items() if s > 0} if total else {}
 
 
-def extract(page: str, paths: list[str]) -> str:
-    """Blocks below the first of the paths that the page has; without one, below its own best container."""
+def extract(page: str, host: dict[str, int]) -> str:
+    """Blocks below the path of the largest product of the page's own votes and its host's; a path that only this page votes for
+    has its own votes for the host's."""
     found = blocks(page)
-    if not found:
-        return ""
-    have = {p for path, _, _ in found for p, _ in path}
-    best = next((p for p in paths if p in have), None)
-    if best is None:
-        own = votes(page)
-        best = max(own, key=lambda p: (own[p], p)) if own else None
-    return " ".join(t for path, t, _ in found if best is None or any(p == best for p, _ in path))
+    own = votes(page, found)
+    if not own:  # nothing but links, or no text
+        return " ".join(t for _, t, _ in found)
+    best = max(own, key=lambda p: (own[p] * max(own[p], host.get(p, 0)), p))
+    inside = [t for path, t, _ in found if any(p == best for p, _ in path)]
+    return " ".join(inside if inside else [t for _, t, _ in found])
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -186,7 +230,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     Returns page_id, url, text (empty if there is none), n_chars. Null and empty html give an empty text; pages without a
     url share one host; a page that has none of its host's paths is extracted from its own best container; repeated rows
     and null ids stay; other columns are not read. Hosts of any share of the rows only add to sums of votes, which
-    batches pre-add; the pages themselves are shuffled only if there are too many hosts to broadcast.
+    batches pre-add. Every path that two pages of a host vote for is kept. If the kept paths are too large to broadcast, pages
+    are joined with them by host, a join whose skewed partitions adaptive execution splits.
     """
     own = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
@@ -195,24 +240,26 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums: dict[tuple[str, str], int] = {}
+            sums: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(b["host"], b["html"].fillna(""), strict=True):
                 for p, n in votes(page).items():
-                    sums[host, p] = sums.get((host, p), 0) + n
-            yield pd.DataFrame([(h, p, n) for (h, p), n in sums.items()], columns=["host", "path", "votes"])
-
-    cast = own.select("host", "html").mapInPandas(vote, "host string, path string, votes long")
-    sums = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    best = sums.withColumn("rank", rank).filter(F.col("rank") <= PATHS)
-    best = best.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("paths"))
-    best = best.select("host", F.col("paths.path").alias("paths")).cache()
-    small = best.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = own.join(F.broadcast(best) if small else best, "host", "left").select("page_id", "url", "html", "paths")
+                    got = sums.setdefault((host, p), [0, 0])
+                    got[0] += n
+                    got[1] += 1
+            rows = [(h, p, *x) for (h, p), x in sums.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "votes", "pages"])
+
+    cast = own.select("host", "html").mapInPandas(vote, "host string, path string, votes long, pages long")
+    sums = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages")).filter("pages > 1")
+    kept = durable(sums.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("votes").alias("votes")), "paths")
+    size = kept.agg(F.sum(F.length("host") + F.aggregate("paths", F.lit(0), lambda a, p: a + F.length(p) + 24))).first()[0] or 0
+    joined = own.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, "host", "left").select("page_id", "url", "html", "paths", "votes")
 
     def text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [extract(p, list(paths) if paths is not None else []) for p, paths in zip(b["html"].fillna(""), b["paths"], strict=True)]
+            got = []
+            for page, paths, n in zip(b["html"].fillna(""), b["paths"], b["votes"], strict=True):
+                got.append(extract(page, dict(zip(paths, n, strict=True)) if paths is not None else {}))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": got, "n_chars": [len(t) for t in got]})
 
     return joined.mapInPandas(text, "page_id long, url string, text string, n_chars long")

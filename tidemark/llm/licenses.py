@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -63,75 +66,113 @@ def bigrams(own: list[str]) -> set[tuple[str, str]]:
     return set(zip(own, own[1:]))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Whole texts of common licences, from the files beside this module, named by their identifiers."""
+    folder = Path(__file__).with_name("licence_texts")
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(folder.glob("*.txt"))]
+
+
 class Scanner:
-    """Finds the passages (runs of whole lines) of a text that are nearest to a template."""
+    """Finds the passages (runs of words) of a text that are nearest to a template.
+
+    A passage starts and ends with a bigram of the template, as any other one at an end only lowers the coefficient. With
+    ``least`` d it shares at least d / (2 - d) of the template's bigrams and has at most (2 - d) / d times as many itself: these
+    size bounds rule out most templates and starts.
+    """
 
     def __init__(self, templates: list[tuple[str, str]], least: float):
         self.least = least
-        self.templates = [(name, g) for name, text in templates if (g := bigrams(words(text)))]
-        self.known = set().union(*[g for _, g in self.templates]) if self.templates else set()
-        # 2 min(a, b) / (a + b) >= least bounds the sizes that can reach it
+        # the largest first, so that of equal coefficients the longest passage stays
+        self.templates = sorted([(name, len(g), g) for name, text in templates if (g := bigrams(words(text)))], key=lambda t: -t[1])
         ratio = least / (2 - least)
-        self.bounds = [(len(g) * ratio, len(g) / ratio) for _, g in self.templates]
-        self.most = max((hi for _, hi in self.bounds), default=0)
+        self.need = [math.ceil(m * ratio - 1e-9) for _, m, _ in self.templates]
+        self.most = [math.floor(m / ratio + 1e-9) for _, m, _ in self.templates]
+        self.known: dict[tuple[str, str], list[int]] = {}
+        for k, (_, _, g) in enumerate(self.templates):
+            for x in g:
+                self.known.setdefault(x, []).append(k)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """Best match of every licence found: name, coefficient, first and last line.
-
-        A passage's first and last line each share a bigram with some template: lines that share none at an end only lower
-        the coefficient. Passages larger than any template's bound are not formed.
-        """
-        if not text or self.known.isdisjoint(zip(own := words(text), own[1:])):
+        """Best match of every licence found: name, coefficient, first and last word."""
+        if not text:
             return []
-        lines = [words(x) for x in text.split("\n")]
-        near = [i for i, w in enumerate(lines) if w and not self.known.isdisjoint(zip(w, w[1:]))]
-        # a bigram may also join two lines
-        joints = [i for i in range(len(lines) - 1) if lines[i] and lines[i + 1] and (lines[i][-1], lines[i + 1][0]) in self.known]
-        starts = sorted({*near, *joints})
-        ends = {*near, *[i + 1 for i in joints]}
+        own = words(text)
+        pairs = list(zip(own, own[1:]))
+        hits: dict[int, list[int]] = {}
+        known = self.known
+        for i, x in enumerate(pairs):
+            if x in known:
+                for k in known[x]:
+                    hits.setdefault(k, []).append(i)
         best: dict[str, tuple[str, float, int, int]] = {}
-        for a in starts:
-            last: list[str] = []
-            grams: set[tuple[str, str]] = set()
-            for z in range(a, len(lines)):
-                line = lines[z]
-                grams.update(zip(last + line, line if last else line[1:]))
-                last = line[-1:] or last
-                if len(grams) > self.most:
-                    break
-                if z not in ends:
-                    continue
-                for (name, g), (lo, hi) in zip(self.templates, self.bounds, strict=True):
-                    if lo <= len(grams) <= hi:
-                        dice = 2 * len(grams & g) / (len(grams) + len(g))
-                        if dice >= self.least and (name not in best or dice > best[name][1]):
-                            best[name] = (name, dice, a, z)
+        for k, at in sorted(hits.items()):
+            if len(at) >= self.need[k]:
+                name, m, _ = self.templates[k]
+                floor = best[name][1] if name in best else 0.0
+                got = self.passage(k, at, pairs, floor)
+                if got:
+                    best[name] = (name, *got)
         return sorted(best.values(), key=lambda x: (-x[1], x[0]))
 
+    def passage(self, k: int, at: list[int], pairs: list[tuple[str, str]], floor: float) -> tuple[float, int, int] | None:
+        """The best run between two hits of a template that is above ``floor``."""
+        (_, m, _), need, most, found = self.templates[k], self.need[k], self.most[k], None
+        spare, skip = m // 8, 0
+        end, where = 0, {}  # the latest place of each bigram of the run, to know its distinct ones
+        for s, start in enumerate(at):
+            # no run has more than ``most`` distinct bigrams: how far that (and some spare) reaches, moving on from the last start
+            if s:
+                for i in range(at[s - 1], start):
+                    if where.get(pairs[i]) == i:
+                        del where[pairs[i]]
+            end = max(end, start)
+            while end < len(pairs) and (pairs[end] in where or len(where) < most + spare):
+                where[pairs[end]] = end
+                end += 1
+            n = bisect_left(at, end) - s
+            top = 2 * min(n, m) / (min(n, m) + m)
+            if n < need or top < self.least - 1e-12 or top <= floor or start < skip:
+                continue
+            run, shared, last, near = set(), set(), start, 0.0
+            for j in at[s : s + n]:
+                run.update(pairs[last : j + 1])
+                last = j + 1
+                shared.add(pairs[j])
+                dice = 2 * len(shared) / (len(run) + m)
+                near = max(near, dice)
+                if dice >= self.least - 1e-12 and dice > floor:
+                    floor, found = dice, (dice, start, j + 1)
+            # a run that starts d words later shares no more and has at most d bigrams fewer, so it needs some d to do better
+            skip = start + min(spare, int((m + need) * (1 - near / max(floor, self.least - 1e-12))))
+        return found
+
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, least: float = 0.8, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """Licences that whole texts state; one row per row, without a shuffle.
+    """Licences that whole texts state anywhere, also inside a line; one row per row, without a shuffle.
 
     Returns doc_id, license (the best match by coefficient, then name; null if none), dice (null if none), n_licenses and
-    matches (name, dice, first_line, last_line of each licence's best passage). Null, empty and wordless texts match
-    nothing; repeated rows and null ids stay; other columns are not read.
+    matches (name, dice, first_word, last_word of each licence's best passage, of equal ones that of the
+    largest template and then the earliest; words count from 0).
+    Null, empty and wordless texts match nothing; long texts are scanned whole; repeated rows and null ids stay; an empty table
+    gives no rows; other columns are not read.
     """
-    own = TEMPLATES if templates is None else templates
+    own = TEMPLATES + full_texts() if templates is None else templates
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(own, least)
         for b in batches:
             got = [scanner.scan(None if pd.isna(t) else t) for t in b["text"]]
+            names = ("name", "dice", "first_word", "last_word")
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"), "license": [g[0][0] if g else None for g in got],
                 "dice": [g[0][1] if g else None for g in got], "n_licenses": [len(g) for g in got],
-                "matches": [[dict(zip(("name", "dice", "first_line", "last_line"), m, strict=True)) for m in g] for g in got],
+                "matches": [[dict(zip(names, m, strict=True)) for m in g] for g in got],
             })
 
     schema = (
         "doc_id long, license string, dice double, n_licenses long, "
-        "matches array<struct<name: string, dice: double, first_line: int, last_line: int>>"
+        "matches array<struct<name: string, dice: double, first_word: int, last_word: int>>"
     )
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 

@@ -5,8 +5,9 @@ neighbours. Only pairs of cosine ``2 t^2 - 1`` or more are kept on the way: two
 threshold ``t`` can't be further apart, so weaker pairs lead to no link. Lists hold K entries; a vector whose list is full
 of links is saturated, and its list is enlarged to its whole component by an exact blocked comparison inside components.
 So that saturated vectors of two components can still be joined, every vector then gets a second list, of the K best that
-are in other components, and vectors of two dense components that have edges between them are compared exactly. Recall is audited on a sample of vectors against all others; while it is below target, more keys
-are added, and if that doesn't help there is an error.
+are in other components, and vectors of two dense components that have edges between them are compared exactly. Links found
+are those whose ends are in one component; their recall is audited on a sample of vectors against all others. While it is below
+target, more keys are added, and if that doesn't help there is an error.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
         yield rest
 
 
-def sorted_keys(nodes: DataFrame, tables: range, bits: int, floor: float, reach: int = 4) -> DataFrame:
+def sorted_keys(nodes: DataFrame, tables: range, bits: int, floor: float, reach: int = 16) -> DataFrame:
     """First edges: each vector against the next few in the order of its (dimension, label, sign bits, projection).
 
     Rows are dealt by ranges of that order, so one dense key spreads over many tasks. Returns a < b, sim.
@@ -243,41 +244,60 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 51
 def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Exact numbers of links inside components: id, n (weighted by copies, its own others included).
 
-    Members are dealt into cells of about BLOCK by their angle to the component's smallest vector, and only cells whose
-    angles lie within the threshold's of each other meet. A component of any size spreads over its pairs of cells.
+    Members are dealt into rings by their angle to the component's mean direction. Those within half the threshold's angle all
+    link to each other, so this core is counted and not compared, which is what makes a large group of near copies cheap.
+    Cells of about BLOCK members of two rings meet only if the rings' angles lie within the threshold's of each other. A
+    component of any size spreads over its pairs of cells.
     """
     angle = math.acos(max(-1.0, min(1.0, threshold))) or 1e-9
     member = roots.join(nodes, F.col("node") == F.col("id")).select("root", "id", "copies", "vec")
-    pivot = nodes.select(F.col("id").alias("root"), F.col("vec").alias("pivot"))
-    member = member.join(pivot, "root")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = {r: _matrix(g).sum(axis=0).tobytes() for r, g in b.groupby("root")["vec"]}
+            yield pd.DataFrame({"root": list(own), "part": list(own.values())}, columns=["root", "part"])
+
+    def mean(g: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(g["part"]).sum(axis=0)
+        size = np.sqrt((x * x).sum())
+        x = x / size if size > 1e-9 else np.eye(1, len(x))[0]
+        return pd.DataFrame({"root": [g["root"].iloc[0]], "pivot": [x.tobytes()]})
+
+    # a row a component and batch of vectors
+    parts = member.select("root", "vec").mapInPandas(sums, "root long, part binary")
+    member = member.join(parts.groupBy("root").applyInPandas(mean, "root long, pivot binary"), "root")
 
     def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             dots = np.array([np.frombuffer(v, "f8") @ np.frombuffer(p, "f8") for v, p in zip(b["vec"], b["pivot"])])
-            # a hair narrower than the threshold's angle would be wrong, a hair wider is safe
-            ring = np.floor(np.arccos(np.clip(dots, -1, 1)) / (angle * (1 + 1e-9))).astype("i4") if len(b) else []
-            yield b.drop(columns="pivot").assign(ring=ring)
+            turn = np.arccos(np.clip(dots, -1, 1)) if len(b) else np.zeros(0)
+            # a hair narrower than the threshold's angle would be wrong, a hair wider is safe; the core is a hair smaller
+            ring = np.floor(turn / (angle * (1 + 1e-9))).astype("i4")
+            yield b.drop(columns="pivot").assign(ring=np.where(turn < angle / 2 - 1e-6, -1, ring).astype("i4"))
 
     member = durable(member.mapInPandas(rings, "root long, id long, copies long, vec binary, ring int"), "nnd")
+    core = member.filter("ring = -1").groupBy("root").agg(F.sum("copies").alias("core"))
+    inner = member.filter("ring = -1").join(core, "root").select("id", (F.col("core") - F.col("copies")).alias("n"))
     cells = member.groupBy("root", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    nxt = cells.select("root", (F.col("ring") - 1).alias("ring"), F.col("parts").alias("after"))
-    prev = cells.select("root", (F.col("ring") + 1).alias("ring"), F.col("parts").alias("before"))
-    cells = cells.join(nxt, ["root", "ring"], "left").join(prev, ["root", "ring"], "left").fillna(0)
-    placed = member.join(cells, ["root", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a member goes to each pair its cell is in: with a part of its own ring, of the next, of the one before
-    mine = F.struct(F.col("ring").alias("r1"), F.col("part").alias("p1"))
+    cells = cells.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("cells"))  # few rings
+    ring, part = F.col("ring"), F.pmod(F.xxhash64("id"), F.element_at(F.col("cells"), ring)).cast("int")
+    placed = member.join(cells, "root").withColumn("part", part)
+    part = F.col("part")
 
     def pair(r1, p1, r2, p2):
         return F.struct(r1.alias("r1"), p1.alias("p1"), r2.alias("r2"), p2.alias("p2"))
 
-    ring, part = F.col("ring"), F.col("part")
-    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
-                      lambda k: pair(ring, F.least(part, k), ring, F.greatest(part, k)))
-    after = F.transform(F.sequence(F.lit(0), F.col("after") - 1), lambda k: pair(ring, part, ring + 1, k))
-    before = F.transform(F.sequence(F.lit(0), F.col("before") - 1), lambda k: pair(ring - 1, k, ring, part))
-    none = F.slice(own, 1, 0)
-    meets = F.concat(own, F.when(F.col("after") > 0, after).otherwise(none), F.when(F.col("before") > 0, before).otherwise(none))
-    sent = placed.select("root", "id", "copies", "vec", mine.alias("cell"), F.explode(meets).alias("m"))
+    # a member goes to each pair its cell is in: with its own ring, the next and the one before; the core is ring -1, meets the
+    # rings 0 and 1, and not itself
+    near = F.when(ring == -1, F.array(F.lit(0), F.lit(1))).when(ring <= 1, F.array(ring, ring + 1, ring - 1, F.lit(-1))).otherwise(
+        F.array(ring, ring + 1, ring - 1)
+    )
+    near = F.filter(F.array_distinct(near), lambda q: F.map_contains_key(F.col("cells"), q))
+    meets = F.flatten(F.transform(near, lambda q: F.transform(
+        F.sequence(F.lit(0), F.element_at(F.col("cells"), q) - 1),
+        lambda k: F.when(q == ring, pair(ring, F.least(part, k), ring, F.greatest(part, k))).when(q > ring, pair(ring, part, q, k)).otherwise(pair(q, k, ring, part)),
+    )))
+    sent = placed.select("root", "id", "copies", "vec", F.struct(ring.alias("r1"), part.alias("p1")).alias("cell"), F.explode(meets).alias("m"))
     key = ["root", "r1", "p1", "r2", "p2"]
     sent = sent.select("root", "m.*", "id", "copies", "vec",
                        ((F.col("cell.r1") == F.col("m.r1")) & (F.col("cell.p1") == F.col("m.p1"))).alias("left"))
@@ -296,11 +316,11 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
                 yield pd.DataFrame({"id": np.concatenate([ids[left], ids[~left]]),
                                     "n": np.concatenate([s @ n[~left], s.T @ n[left]])})
 
-    return sent.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return sent.mapInPandas(count, "id long, n long").unionByName(inner).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
-                    label_col: str = "label", tables: int = 12, rounds: int = 6, recall: float = 0.98) -> DataFrame:
+                    label_col: str = "label", tables: int = 16, rounds: int = 6, recall: float = 0.99) -> DataFrame:
     """Links of vectors of one label whose cosine reaches ``threshold``, as counts and components.
 
     Returns vec_id, n_links, component_id, kept per row. Vectors that are null, empty, zero or hold a null or non-finite
@@ -308,7 +328,11 @@ def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "
     Identical vectors of one label are one node with a number of copies, which count as links of each other; repeated
     rows are such copies. Of several vectors under one id the first by label and bytes is compared, the others link with
     nothing. Null ids are returned unlinked. An empty table gives no rows. Other columns are not read.
+
+    A cosine within 1e-12 of the threshold counts as reaching it, whichever way its sum was rounded. Of the links of sampled
+    vectors at least ``recall`` are found, or more keys are tried, SETS times at most; then it is an error.
     """
+    threshold -= 1e-12
     base = durable(unit_vectors(vecs, id_col, vec_col, label_col), "nnd")
     able = base.filter("vec is not null and label is not null and id is not null")
     nodes = durable(able.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nnd")

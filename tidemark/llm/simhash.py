@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, union_all
+from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, union_all, word_hashes
 
 BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
@@ -177,15 +177,7 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     A-Z are lower-cased; words are what the six ASCII white-space characters separate. A text without words has one hash.
     """
-    import xxhash
-
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = split.values.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w, 7) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    some = pc.binary_length(split.values).to_numpy() > 0
-    ends = np.concatenate([[0], np.cumsum(some)])[split.offsets.to_numpy()]
-    h = own[coded.indices.to_numpy()[some]]
+    h, ends = word_hashes(pc.ascii_lower(texts), 7)
     n = max(0, len(h) - words + 1)
     run = np.zeros(n, np.uint64)
     for j in range(words):
@@ -205,10 +197,29 @@ def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(run[inside], (np.cumsum(count) - count)[short], whole), np.cumsum(np.maximum(count, 1))
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of a power of two of classes of hashes, about as many as hashes: whether their number is odd.
+
+    Two sets whose bits differ in d places differ in d elements at least; halves of the bits may be folded by exclusive or.
+    """
+    size = max(64, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).view("i8"), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """A lower bound of how many elements are in one of two sets only, from their ``parities``."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarray], least: float | None = None) -> DataFrame:
     """Of every row: doc_id, a digest of its set of shingles, n of them, and ``shingles``, their ascending hashes.
 
-    With ``least`` not all hashes come out but ``fp``, the set's SimHash, and ``first``, some hashes one of which any set
+    With ``least`` not all hashes come out but ``fp``, the set's SimHash, ``marks``, see ``parities``, and ``first``, some hashes one of which any set
     that is ``least`` alike has among its own ``first`` too: those of ``order`` are left out first, the commonest first.
     """
     import xxhash
@@ -230,10 +241,10 @@ def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarra
             bits = np.unpackbits(x.byteswap().view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
             fp = int.from_bytes(np.packbits(bits * 2 > len(x)).tobytes(), "big")
             by = np.argsort(rank[a:z][at], kind="stable")
-            yield *row, _signed(fp), x[by[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]].view("i8")
+            yield *row, _signed(fp), parities(x), x[by[: len(x) - math.ceil(least * len(x) - 1e-9) + 1]].view("i8")
 
-    names = ["digest", "n", "shingles"] if least is None else ["digest", "n", "fp", "first"]
-    kinds = {"digest": pa.binary(), "n": pa.int32(), "fp": pa.int64(), "shingles": pa.list_(pa.int64()), "first": pa.list_(pa.int64())}
+    names = ["digest", "n", "shingles"] if least is None else ["digest", "n", "fp", "marks", "first"]
+    kinds = {"digest": pa.binary(), "n": pa.int32(), "fp": pa.int64(), "marks": pa.binary(), "shingles": pa.list_(pa.int64()), "first": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,7 +253,7 @@ def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarra
                 table = pa.table({"doc_id": part["doc_id"]} | {c: pa.array(list(v), kinds[c]) for c, v in zip(names, cols, strict=True)})
                 yield from table.to_batches()
 
-    kind = {"digest": "binary", "n": "int", "fp": "long", "shingles": "array<long>", "first": "array<long>"}
+    kind = {"digest": "binary", "n": "int", "fp": "long", "marks": "binary", "shingles": "array<long>", "first": "array<long>"}
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {kind[c]}" for c in names))
 
 
@@ -275,10 +286,26 @@ def buckets(first: DataFrame, frequent: list[int]) -> DataFrame:
 
 
 class Verifier:
-    """Compares pairs of documents by their whole sets of shingles, made from the texts of those documents that are in a pair."""
+    """Compares pairs of documents: first by the parities of their sets (``marks``: doc_id, n, marks), which rule most pairs out
+    for certain, then by the whole sets of shingles, made from the texts of those documents that are still in a pair."""
+
+    def __init__(self, docs: DataFrame, marks: DataFrame, words: int, least: float, keep: Scratch):
+        self.docs, self.marks, self.words, self.least, self.keep = docs, marks, words, least, keep
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets don't differ in too many elements: sets that are d alike differ in (1 - d) / (1 + d) of their sizes' sum."""
+        share = (1 - self.least) / (1 + self.least)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                most = share * (t["n"].to_numpy() + t["n2"].to_numpy()) + 1e-6
+                marks = zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)
+                differ = np.fromiter((fewest_differences(a, b) for a, b in marks), "i8", len(t))
+                yield t.select(["id", "m"]).filter(pa.array(differ <= most))
 
-    def __init__(self, docs: DataFrame, words: int, least: float, keep: Scratch):
-        self.docs, self.words, self.least, self.keep = docs, words, least, keep
+        own, other = self.marks.toDF("id", "n", "a"), self.marks.toDF("m", "n2", "b")
+        both = pairs.join(own, "id").join(other, "m").select("id", "m", "n", "n2", "a", "b")
+        return both.mapInArrow(run, "id long, m long")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (id, m) whose sets have a Jaccard similarity of ``least`` or more.
@@ -286,7 +313,7 @@ class Verifier:
         Both joins with the sets are plain equi-joins: a document in very many pairs is a skewed key that adaptive execution
         splits.
         """
-        pairs, least = self.keep(pairs), self.least
+        pairs, least = self.keep(self.possible(pairs)), self.least
         if pairs.isEmpty():
             return pairs
         ids = self.keep(pairs.select("id").union(pairs.select("m")).distinct().toDF("doc_id"))
@@ -375,9 +402,10 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8,
     a, b = first.select(F.col("fp").alias("a"), F.col("m").alias("x")), first.select(F.col("fp").alias("b"), F.col("m").alias("y"))
     pairs = near.join(a, "a").join(b, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("m"))
     pairs = keep(pairs.unionByName(fps.join(first, "fp").select(F.col("doc_id").alias("id"), "m")).filter("m < id").distinct())
-    keep.clear(nodes, left, pairs)
-    verify = Verifier(own, words, least, keep)
-    roots = links_by_shingles(left, verify(pairs), verify, nodes)
+    marks = keep(mine.select("doc_id", "n", "marks"))
+    keep.clear(nodes, left, pairs, marks)
+    verify = Verifier(own, marks, words, least, keep)
+    roots = links_by_shingles(left, verify(pairs), verify, nodes, marks)
     gone = roots.filter("node <> root").select(F.col("node").alias("doc_id"))
     stay = keep(nodes.join(gone, "doc_id", "left_anti").toDF("_stay"))
     keep.clear(stay)

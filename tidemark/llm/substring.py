@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import M1, mix, numbered, partitions_for, read
+from tidemark.llm._common import M1, mix, numbered, partitions_for, read, word_hashes
 
 #: Characters of text in a batch, about.
 BATCH_CHARS = 8_000_000
 #: Bits of an edge that tell the edges of one node apart; the others are its node's.
 _LOW, _SHIFT = np.uint64((1 << 24) - 1), np.uint64(24)
 _WORD32 = np.uint64(0xFFFFFFFF)
-_NULL = -(1 << 63)
+_NULL, SEED = -(1 << 63), 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -43,30 +43,6 @@ def _words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class Hasher:
-    """64-bit hashes of words, remembered in the Python worker."""
-
-    def __init__(self, keep: int = 200_000):
-        self.seen: dict[bytes, int] = {}
-        self.keep = keep
-
-    def words(self, own: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        seen = self.seen
-        new = set(own).difference(seen)
-        if len(seen) + len(new) > self.keep:
-            seen.clear()
-            new = set(own)
-        digest = xxhash.xxh64_intdigest
-        for w in new:
-            seen[w] = digest(w, 1)
-        return np.fromiter(map(seen.__getitem__, own), np.uint64, len(own))
-
-
-HASHER = Hasher()
-
-
 def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of k - 1 words, and of those k words that start with it (one fewer): a polynomial over words."""
     n = max(0, len(hashes) - k + 2)
@@ -78,7 +54,7 @@ def runs(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batch_frame(table: pa.Table) -> pd.DataFrame:
-    """ids (null: before all others), texts and places in the table, in the order all steps agree on: by id, then text."""
+    """ids (a number below all others for null), texts and places in the table, in the order all steps agree on: by id, then text."""
     docs = pd.DataFrame({"doc_id": table["doc_id"].fill_null(_NULL).to_numpy(), "text": table["text"].to_pandas()})
     return docs.sort_values(["doc_id", "text"], na_position="first")
 
@@ -118,12 +94,12 @@ class Batch:
 
     def __init__(self, table: pa.Table, k: int):
         docs = batch_frame(table)
-        self.ids, self.words = docs["doc_id"].to_numpy(), [_words(t) for t in docs["text"]]
-        size = np.array([len(w) for w in self.words], "i8")
-        ends = np.cumsum(size)
-        hashes = [HASHER.words(w) for w in self.words]
+        self.ids, self.texts, self.last = docs["doc_id"].to_numpy(), docs["text"], (-1, [])
+        own = [t if i != _NULL else "" for i, t in zip(self.ids.tolist(), docs["text"], strict=True)]
         # all texts in one array; runs that reach into the next text are left out
-        node, edge = runs(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), k)
+        hashes, ends = word_hashes(pa.array(own, pa.large_string(), from_pandas=True).fill_null(""), SEED)
+        size, ends = np.diff(ends), ends[1:]
+        node, edge = runs(hashes, k)
         whole = np.repeat(np.arange(len(size), dtype="i4"), size)[: len(edge)]
         inside = np.arange(len(edge)) + k <= ends[whole] if len(edge) else np.zeros(0, bool)
         self.edge, self.doc = self.join(node[: len(edge)][inside], edge[inside]), whole[inside]
@@ -147,10 +123,16 @@ class Batch:
     def join(node: np.ndarray, edge: np.ndarray) -> np.ndarray:
         return node & ~_LOW | np.maximum(edge & _LOW, np.uint64(1))
 
+    def words(self, doc: int) -> list[bytes]:
+        """Words of one document, the last one's kept."""
+        if self.last[0] != doc:
+            self.last = (doc, _words(self.texts.iloc[doc]))
+        return self.last[1]
+
     @classmethod
-    def edges_of(cls, words: list[bytes], k: int) -> np.ndarray:
+    def edges_of(cls, hashes: np.ndarray, k: int) -> np.ndarray:
         """Edges of one text."""
-        node, edge = runs(HASHER.words(words), k)
+        node, edge = runs(hashes, k)
         return cls.join(node[: len(edge)], edge)
 
     def slices(self, buckets: int) -> list[tuple[int, int, int]]:
@@ -203,11 +185,12 @@ def _unpacked(own: bytes, place: bytes) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, int]:
-    """doc_id, text, carried columns, batch; and the number of batches. Rows with one id share a batch."""
+    """doc_id, text, carried columns, batch; and the number of batches. Rows with one id share a batch, rows without are spread."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(partitions_for(docs), -(-chars // BATCH_CHARS))
-    return own.withColumn("batch", batch_of(F.col("doc_id"), n)), n
+    spread = F.when(F.col("doc_id").isNull(), batch_of(F.col("text"), n)).otherwise(batch_of(F.col("doc_id"), n))
+    return own.withColumn("batch", spread), n
 
 
 def batch_of(doc_id: Column, n: int) -> Column:
@@ -288,7 +271,7 @@ def paths(docs: DataFrame, answers: DataFrame, k: int, buckets: int) -> DataFram
                 d = int(b.doc[s])
                 w = s - int(b.starts[d])
                 rows.append((batch, d, w, n, int(source[s]), int(b.edge[s].view("i8")),
-                             _digest(b.words[d][w : w + n + k - 1])))
+                             _digest(b.words(d)[w : w + n + k - 1])))
         return pd.DataFrame(rows, columns=cols)
 
     schema = "batch int, row int, start int, edges int, source long, first long, digest binary"
@@ -308,13 +291,14 @@ def confirmed(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         if len(want):
             docs = batch_frame(table)
             docs = docs[docs["doc_id"].isin(want["source"])]
+            hashes, ends = word_hashes(pa.array(docs["text"], pa.large_string(), from_pandas=True).fill_null(""), SEED)
             by = {}
-            for i, t in zip(docs["doc_id"].tolist(), docs["text"], strict=True):
-                by.setdefault(i, []).append(_words(t))
+            for i, t, a, z in zip(docs["doc_id"].tolist(), docs["text"], ends.tolist(), ends[1:].tolist(), strict=False):
+                by.setdefault(i, []).append((hashes[a:z], _words(t)))
             for source, group in want.groupby("source"):
                 firsts = group["first"].to_numpy("i8")
-                for words in by.get(int(source), []):
-                    e = Batch.edges_of(words, k).view("i8")
+                for own, words in by.get(int(source), []):
+                    e = Batch.edges_of(own, k).view("i8")
                     order = np.argsort(e, kind="stable")
                     lo, hi = (np.searchsorted(e, firsts, side, sorter=order).tolist() for side in ("left", "right"))
                     for r, a, z in zip(group.itertuples(index=False), lo, hi, strict=True):
@@ -370,22 +354,21 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) and, with ``texts``,
     text: unchanged if nothing was cut, else without the cut words and the white space after them (null stays null).
     Null, empty and short texts keep all; rows that repeat an id are judged by that id, so they don't count against each
-    other; rows without an id come before all ids. Rows stay, in number and with repeats; an empty table gives no rows;
+    other; rows without an id keep all and cut nothing, as no id is larger or smaller than theirs. Rows stay, in number and with repeats; an empty table gives no rows;
     columns of ``carry`` come along, others are not read.
     """
     carry = list(carry)
     own, n = dealt(docs, id_col, text_col, carry)
-    buckets = partitions_for(docs)
+    parts, buckets = partitions_for(docs), n  # a bucket of nodes has about as many edges as a batch, whatever the corpus
     # dealt by batch once more, so that both uses of the paths read one exchange
     key = ["source", "first", "edges", "digest"]
     found = paths(own, repeats(edges(own, k, buckets)), k, buckets)
-    found = found.filter(" and ".join(f"{c} is not null" for c in key)).repartition(buckets, "batch")
+    found = found.filter(" and ".join(f"{c} is not null" for c in key)).repartition(parts, "batch")
     # an occurrence of each path goes along, and the join's null checks come before the exchange: with equal columns and
     # filters both readers of the paths share it
     holder = F.min(F.col("batch").cast("long") * (1 << 31) + F.col("row")).alias("holder")
     wanted = found.groupBy(*key).agg(holder, F.min("start").alias("start"))
-    source = F.when(F.col("source") != _NULL, F.col("source"))
-    sure = confirmed(own, wanted.select(batch_of(source, n).alias("batch"), *key, "holder", "start"), k)
+    sure = confirmed(own, wanted.select(batch_of(F.col("source"), n).alias("batch"), *key, "holder", "start"), k)
     return cut(own, found.join(sure, key).select("batch", "row", "start", "edges"), k, texts, carry)
 
 
