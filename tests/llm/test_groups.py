@@ -408,3 +408,67 @@ def test_pipeline_stages(spark):
     five = stages[names[4]](spark, df, None)
     assert five.count() == len(docs)
     assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in five.collect())
+
+
+def test_core_of_a_dense_group_is_counted_not_compared(spark, monkeypatch):
+    """A tight group with a looser rim: all pairs of its core are known to link."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=24)
+    x = np.array([centre / np.linalg.norm(centre) + rng.normal(size=24) * (0.02 if i < 150 else 0.055) for i in range(220)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    assert not near.all() and near[:150, :150].all()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    root = closure(range(220), [(i, j) for i in range(220) for j in range(i) if near[i, j]])
+    assert got == {i: (int(near[i].sum()) - 1, root[i]) for i in range(220)}
+
+
+def test_a_cosine_at_the_threshold_links(spark):
+    """0.6 in exact arithmetic, whichever way the sums are rounded."""
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [0.6, 0.8, 0.0], 1), (3, [3.0, 0.0, 4.0], 1), (4, [0.3, 0.4, 5.0], 2), (5, [0.1 * 3, 0.4, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(df, threshold=0.6).collect()}
+    assert got == {1: 3, 2: 2, 3: 1, 4: 0, 5: 2}
+
+
+def test_links_between_sparse_pairs_are_found(spark):
+    """Borderline pairs that no cluster helps to find: recall of what is returned against brute force."""
+    rng = np.random.default_rng(7)
+    rows, turn = [], np.arccos(0.94)
+    for i in range(400):
+        a, b = (v / np.linalg.norm(v) for v in rng.normal(size=(2, 32)))
+        b = b - (a @ b) * a
+        rows += [(2 * i, a.tolist(), i % 2), (2 * i + 1, (np.cos(turn) * a + np.sin(turn) * b / np.linalg.norm(b)).tolist(), i % 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(df).collect()}
+    x, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    want = ((x @ x.T >= 0.93) & (label[:, None] == label[None])).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want.tolist()))
+
+
+def test_parities_bound_differences_from_below():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000))).astype("u8"))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(1, 500))).astype("u8")]))
+        least = simhash.fewest_differences(simhash.parities(a), simhash.parities(b))
+        assert least <= len(np.setxor1d(a, b))
+    assert simhash.fewest_differences(simhash.parities(a), simhash.parities(a)) == 0
+
+
+def test_pipeline_runs_from_documents_to_ids(spark, tmp_path):
+    """All stages one after another on odd rows and on an empty table; each later row follows from the stages' own results."""
+    rnd = random.Random(21)
+    real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60).collect()]
+    long = " ".join(f"word{rnd.randrange(40_000)}" for _ in range(40_000))
+    odd = [(9000, None, "en", "src0", 0), (9001, real[5][1], "en", "src0", 9), (9002, "", None, None, 0), (9003, "12 !!", "en", "src1", 5), (9004, long, "en", "src1", 1), (None, real[7][1], "en", "src2", 1)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(real + odd, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in got}
+    assert not ids & {9000, 9001, 9002, 9003} and None in ids and ids <= {r[0] for r in real + odd}
+    assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import WORD, durable, numbered, read
+from tidemark.llm._common import WORD, Scratch, numbered, read
 
 #: Bins of a rounding histogram; two passes give BINS * BINS thresholds.
 BINS = 512
@@ -31,16 +31,14 @@ def sizes(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(per_source: DataFrame, weights: list[float], share: float, limit: float) -> DataFrame:
+def source_targets(per_source: DataFrame, weights: list[float], share: float, limit: float, keep: Scratch) -> DataFrame:
     """Targets of sources: weight shares of ``share`` times all words, none above ``limit`` times its source's words.
 
     ``per_source`` has src, source_size. What a limited source can't take is shared again by weight among the others
     until no target is above its limit. Adds wt, target.
     """
     # global ranks without one task for all: ranks inside ranges of sources, plus the rows of the ranges before
-    ranged = durable(
-        per_source.repartitionByRange(F.col("src").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix"
-    )
+    ranged = keep(per_source.repartitionByRange(F.col("src").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     order = W.partitionBy("part").orderBy(F.col("src").asc_nulls_last())
     starts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
@@ -48,7 +46,7 @@ def source_targets(per_source: DataFrame, weights: list[float], share: float, li
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranged.join(before, "part").withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     ranked = ranked.withColumn("wt", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
-    ranked = durable(ranked.withColumn("most", F.col("source_size") * F.lit(float(limit))), "mix")
+    ranked = keep(ranked.withColumn("most", F.col("source_size") * F.lit(float(limit))))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, held = None, -1
     while True:  # each turn is one aggregation to a single row; the set of limited sources only grows
@@ -71,11 +69,12 @@ def tilt(multiplier: Column, size: Column, mean: Column, limit: float) -> Column
     return F.lit(limit) * up / (F.lit(limit - 1.0) + up)
 
 
-def multipliers(hist: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
+def multipliers(hist: DataFrame, targets: DataFrame, limit: float, keep: Scratch) -> DataFrame:
     """Newton steps on the dual of every source at once, kept inside a bracket; returns src key, lam, mean.
 
     hist: src, size, n (documents); targets: src, source_size, target, most. A source whose target is its limit gets no
-    multiplier (null: every document at the limit); one with target 0 gets none of its documents either (mean null).
+    multiplier (null: every document at the limit); one with target 0 gets none of its documents either (mean null). A dual that
+    isn't solved to 1e-9 after STEPS steps, of which those outside the bracket halve it, is an error.
     """
     docs = hist.groupBy(F.col("src").alias("s2")).agg(F.sum("n").alias("docs"))
     state = targets.join(docs, F.col("src").eqNullSafe(F.col("s2")))
@@ -110,14 +109,14 @@ def multipliers(hist: DataFrame, targets: DataFrame, limit: float) -> DataFrame:
         new = F.when(gap.isNull() | (gap == 0), F.col("lam")).otherwise(
             F.when(out & mid.isNotNull(), mid).otherwise(raw)
         )
-        state = durable(
+        state = keep(
             nxt.select("src", "target", "most", "source_size", "mean", new.alias("lam"), "lo", "hi",
-                       F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)).alias("err")),
-            "mix",
+                       F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)).alias("err"))
         )
-        if (state.agg(F.max("err")).first()[0] or 0.0) < 1e-9:
-            break
-    return state
+        err = state.agg(F.max("err")).first()[0] or 0.0
+        if err < 1e-9:
+            return state
+    raise RuntimeError(f"multipliers are off by {err} of a target after {STEPS} steps")
 
 
 def mix(
@@ -135,11 +134,12 @@ def mix(
     spark_docs = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), sizes(docs, text_col).alias("size")
     )
-    base = durable(spark_docs, "mix")
-    hist = durable(base.filter("size > 0").groupBy("src", "size").agg(F.count("*").alias("n")), "mix")
+    keep = Scratch(docs.sparkSession, "mix")
+    base = keep(spark_docs)
+    hist = keep(base.filter("size > 0").groupBy("src", "size").agg(F.count("*").alias("n")))
     per = base.groupBy("src").agg(F.sum("size").alias("source_size"))
-    targets = durable(source_targets(per, list(weights), share, limit), "mix")
-    state = multipliers(hist, targets, limit)
+    targets = keep(source_targets(per, list(weights), share, limit, keep))
+    state = multipliers(hist, targets, limit, keep)
 
     goal = targets.withColumnRenamed("src", "s2").join(
         state.select(F.col("src").alias("s3"), "mean", "lam"), F.col("s2").eqNullSafe(F.col("s3")), "left"
@@ -155,8 +155,9 @@ def mix(
         "id", "src", "size", "source_size", "target", "rate", whole.alias("whole"),
         (unit - (F.col("rate") - whole)).alias("d"),  # below 0: an unshifted rounding takes the extra copy
     )
-    rated = durable(rated, "mix")
-    cuts = thresholds(rated, targets, int(limit))
+    rated = keep(rated)
+    cuts = thresholds(rated, targets, int(limit), keep)
+    keep.clear(rated, cuts)
     klass = F.lit(len(CLASSES) - 1)
     for i in reversed(range(len(CLASSES) - 1)):
         klass = F.when(F.col("size") >= CLASSES[i], F.lit(i)).otherwise(klass)
@@ -171,16 +172,15 @@ def mix(
     )
 
 
-def thresholds(rated: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+def thresholds(rated: DataFrame, targets: DataFrame, limit: int, keep: Scratch) -> DataFrame:
     """Rounding threshold per source and size class: s2, k2, cut."""
     left = targets.select(F.col("src").alias("s2"), F.col("target").alias("due"))
     base = rated.groupBy(F.col("src").alias("s3")).agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     # what whole copies don't cover, less what rounding gives to the classes yet to come when unshifted
-    left = durable(
+    left = keep(
         left.join(base, F.col("s2").eqNullSafe(F.col("s3")), "left").select(
             "s2", (F.col("due") - F.coalesce("sure", F.lit(0))).alias("due")
-        ),
-        "mix",
+        )
     )
     open_ = rated.filter((F.col("size") > 0) & (F.col("whole") < limit) & (F.col("rate") > 0))
     cuts = None
@@ -193,20 +193,19 @@ def thresholds(rated: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
         rest = later.groupBy(F.col("src").alias("s3")).agg(
             F.sum(F.col("size") * (F.col("rate") - F.col("whole"))).alias("later")
         )
-        aim = durable(
+        aim = keep(
             left.join(rest, F.col("s2").eqNullSafe(F.col("s3")), "left").select(
                 "s2", "due", (F.col("due") - F.coalesce("later", F.lit(0.0))).alias("aim")
-            ),
-            "mix",
+            )
         )
         lo, width = aim.select("s2", "due", "aim", F.lit(-1.0).alias("lo"), F.lit(0).cast("long").alias("got")), 2.0
         for _ in range(2):
-            lo = durable(narrow(own, lo, width), "mix")
+            lo = keep(narrow(own, lo, width))
             width /= BINS
         part = lo.select("s2", F.lit(k).alias("k2"), F.col("cut"))
         cuts = part if cuts is None else cuts.unionByName(part)
         left = lo.select("s2", (F.col("due") - F.col("took")).alias("due"))
-    return durable(cuts, "mix")
+    return keep(cuts)
 
 
 def narrow(own: DataFrame, state: DataFrame, width: float) -> DataFrame:

@@ -280,9 +280,8 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
     inner = member.filter("ring = -1").join(core, "root").select("id", (F.col("core") - F.col("copies")).alias("n"))
     cells = member.groupBy("root", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     cells = cells.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("cells"))  # few rings
-    ring, part = F.col("ring"), F.pmod(F.xxhash64("id"), F.element_at(F.col("cells"), ring)).cast("int")
-    placed = member.join(cells, "root").withColumn("part", part)
-    part = F.col("part")
+    ring, part = F.col("ring"), F.col("part")
+    placed = member.join(cells, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(F.col("cells"), ring)).cast("int"))
 
     def pair(r1, p1, r2, p2):
         return F.struct(r1.alias("r1"), p1.alias("p1"), r2.alias("r2"), p2.alias("p2"))
