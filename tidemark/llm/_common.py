@@ -145,6 +145,16 @@ def components(edges: DataFrame, a: str, b: str, *, rounds: int = 200) -> DataFr
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark exchange at most so many rows at once with Python from here on.
+
+    Ten thousand texts, its own choice, are tens of megabytes in buffers of the JVM and of each Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def bounded(batch: pa.RecordBatch, text: str, chars: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text, at least a row each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(text))), 0).to_numpy())

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded, read
+from tidemark.llm._common import bounded, read, text_batches
 
 #: A lone space between two visible characters starts a match of the default pattern, so texts can be cut there.
 CHUNK_CHARS = 2_000_000
@@ -170,6 +170,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, id_col: s
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids (``raw``), with ``decoded`` the decoded
     bytes. Null text is empty (no tokens); repeated rows and null ids stay; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     cols = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["raw"] if ids else []), *(["decoded"] if decoded else [])]
     kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "raw": pa.binary(), "decoded": pa.binary()}
 

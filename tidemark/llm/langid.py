@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import bounded, free_name, read
+from tidemark.llm._common import bounded, free_name, read, text_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -198,6 +198,7 @@ def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
     The names are new to ``docs``. Texts that are null, empty or without a letter are ``und`` with score 0, as is
     everything if there is no network.
     """
+    text_batches(docs.sparkSession)
     pred_col, score_col = free_name(docs, "lang_pred"), free_name(docs, "score")
     at = docs.columns.index(text_col)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, union_all, word_hashes
+from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, text_batches, union_all, word_hashes
 
 BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
@@ -385,6 +385,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, least: float = 0.8,
     Rows that repeat an id are one document, the one of the smallest text. Rows without an id stay. Texts without words are
     copies of each other, null ones too. An empty table stays empty. All columns stay as they are, whatever their names.
     """
+    text_batches(docs.sparkSession)
     every, name = numbered(docs)
     key, text, keep = name[id_col], name[text_col], Scratch(docs.sparkSession, "near")
     every = one_row_an_id(every, key, text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import M1, mix, numbered, partitions_for, read, word_hashes
+from tidemark.llm._common import M1, mix, numbered, partitions_for, read, text_batches, word_hashes
 
 #: Characters of text in a batch, about.
 BATCH_CHARS = 8_000_000
@@ -357,6 +357,7 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     other; rows without an id keep all and cut nothing, as no id is larger or smaller than theirs. Rows stay, in number and with repeats; an empty table gives no rows;
     columns of ``carry`` come along, others are not read.
     """
+    text_batches(docs.sparkSession)
     carry = list(carry)
     own, n = dealt(docs, id_col, text_col, carry)
     parts, buckets = partitions_for(docs), n  # a bucket of nodes has about as many edges as a batch, whatever the corpus
