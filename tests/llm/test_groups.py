@@ -472,3 +472,12 @@ def test_pipeline_runs_from_documents_to_ids(spark, tmp_path):
     assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
     spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_limits_that_are_reached_are_errors(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        _common.components(chain, "a", "b", rounds=1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix(frame(spark, [(i, "w " * (i % 50), "ab"[i % 2]) for i in range(200)]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -119,8 +121,12 @@ def components(edges: DataFrame, a: str, b: str, *, rounds: int = 200) -> DataFr
     """
     keep = Scratch(edges.sparkSession, "cc")
     cur = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
-    last = None
-    for _ in range(rounds):
+
+    def state(df: DataFrame) -> tuple:
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    last = state(cur)
+    for _ in range(rounds if last[0] else 0):
         # large star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -135,12 +141,13 @@ def components(edges: DataFrame, a: str, b: str, *, rounds: int = 200) -> DataFr
         cur = keep(stars.filter("u > v").distinct())
         keep.clear(cur)
         # the number of edges and a sum of their hashes say whether the round changed any
-        seen = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = state(cur)
         if seen == last:
             break
         last = seen
     else:
-        raise RuntimeError(f"components haven't settled after {rounds} rounds")
+        if last[0]:
+            raise RuntimeError(f"components haven't settled after {rounds} rounds")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -155,6 +162,15 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the C library keeps what they had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded(batch: pa.RecordBatch, text: str, chars: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text, at least a row each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(text))), 0).to_numpy())

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bounded, read, text_batches
+from tidemark.llm._common import bounded, give_back, read, text_batches
 
 #: A lone space between two visible characters starts a match of the default pattern, so texts can be cut there.
 CHUNK_CHARS = 2_000_000
@@ -190,6 +190,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str | None = None, id_col: s
                     yield pa.RecordBatch.from_arrays([part["doc_id"], *made], cols)
         finally:
             own.forget()
+            give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", raw binary" * ids + ", decoded binary" * decoded
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import bounded, free_name, read, text_batches
+from tidemark.llm._common import bounded, free_name, give_back, read, text_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -189,7 +189,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         more = noise_windows(data, -(-len(data) // len(languages)), seed)
         data, labels = np.concatenate([data, more]), np.append(labels, np.full(len(more), len(languages)))
         languages = [*languages, UNKNOWN]
-    return train(data, labels, languages, seed=seed, epochs=epochs)
+    net = train(data, labels, languages, seed=seed, epochs=epochs)
+    give_back()
+    return net
 
 
 def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> tuple[DataFrame, str, str]:
@@ -204,12 +206,15 @@ def annotate(docs: DataFrame, net: Network | None, *, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
-        for b in batches:
-            for part in bounded(b, text_col, 4 * CHUNK):
-                texts = ["" if t is None else t for t in part.column(at).to_pylist()]
-                pred, score = label(texts, net, tables)
-                cols = [*part.columns, pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, pred_col, score_col])
+        try:
+            for b in batches:
+                for part in bounded(b, text_col, 4 * CHUNK):
+                    texts = ["" if t is None else t for t in part.column(at).to_pylist()]
+                    pred, score = label(texts, net, tables)
+                    cols = [*part.columns, pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, pred_col, score_col])
+        finally:
+            give_back()
 
     schema = T.StructType([*docs.schema.fields]).add(pred_col, "string").add(score_col, "double")
     return docs.mapInArrow(run, schema), pred_col, score_col

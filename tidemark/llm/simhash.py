@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import M1, Scratch, bounded, components, durable, mix, numbered, read, small, text_batches, union_all, word_hashes
+from tidemark.llm._common import M1, Scratch, bounded, components, durable, give_back, mix, numbered, read, small, text_batches, union_all, word_hashes
 
 BITS = 64
 #: Largest bucket whose fingerprints are compared with each other.
@@ -247,11 +247,14 @@ def shingle_sets(docs: DataFrame, words: int, order: tuple[np.ndarray, np.ndarra
     kinds = {"digest": pa.binary(), "n": pa.int32(), "fp": pa.int64(), "marks": pa.binary(), "shingles": pa.list_(pa.int64()), "first": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in bounded(b, "text", CHUNK_CHARS):
-                cols = list(zip(*sets(pc.fill_null(part["text"], "")), strict=True)) or [()] * len(names)
-                table = pa.table({"doc_id": part["doc_id"]} | {c: pa.array(list(v), kinds[c]) for c, v in zip(names, cols, strict=True)})
-                yield from table.to_batches()
+        try:
+            for b in batches:
+                for part in bounded(b, "text", CHUNK_CHARS):
+                    cols = list(zip(*sets(pc.fill_null(part["text"], "")), strict=True)) or [()] * len(names)
+                    table = pa.table({"doc_id": part["doc_id"]} | {c: pa.array(list(v), kinds[c]) for c, v in zip(names, cols, strict=True)})
+                    yield from table.to_batches()
+        finally:
+            give_back()
 
     kind = {"digest": "binary", "n": "int", "fp": "long", "marks": "binary", "shingles": "array<long>", "first": "array<long>"}
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {kind[c]}" for c in names))

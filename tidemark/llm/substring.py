@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import M1, mix, numbered, partitions_for, read, text_batches, word_hashes
+from tidemark.llm._common import M1, give_back, mix, numbered, partitions_for, read, text_batches, word_hashes
 
 #: Characters of text in a batch, about.
 BATCH_CHARS = 8_000_000
@@ -71,6 +71,7 @@ def grouped(docs: DataFrame, f, schema: str, other: DataFrame | None = None) ->
         return out(f(key[0].as_py(), table, more.to_pandas()))
 
     def out(got) -> pa.Table:
+        give_back()
         return got if isinstance(got, pa.Table) else pa.Table.from_pandas(got, schema=kinds, preserve_index=False)
 
     if other is None:
@@ -103,13 +104,16 @@ class Batch:
         whole = np.repeat(np.arange(len(size), dtype="i4"), size)[: len(edge)]
         inside = np.arange(len(edge)) + k <= ends[whole] if len(edge) else np.zeros(0, bool)
         self.edge, self.doc = self.join(node[: len(edge)][inside], edge[inside]), whole[inside]
+        del hashes, edge, whole, inside, own
         count = np.maximum(size - k + 1, 0)
         self.starts = np.cumsum(count) - count
         closed = np.flatnonzero(size >= k - 1)
         every = np.concatenate([self.edge, node[ends[closed] - (k - 1)] & ~_LOW])
         doc = np.concatenate([self.doc, closed.astype("i4")])
+        del node
         order = np.argsort(every)
         e = every[order]
+        del every
         first = np.ones(len(e), bool)
         first[1:] = e[1:] != e[:-1]
         self.distinct = e[first]
@@ -344,7 +348,13 @@ def cut(docs: DataFrame, gone: DataFrame, k: int, texts: bool, carry: list[str])
     for c in carry:
         schema += f", {c} {docs.schema[c].dataType.simpleString()}"
     left = docs.groupBy("batch").cogroup(gone.groupBy("batch"))
-    return left.applyInArrow(lambda key, t, more: leave(key[0].as_py(), t, more.to_pandas()), schema)
+
+    def group(key, t, more):
+        got = leave(key[0].as_py(), t, more.to_pandas())
+        give_back()
+        return got
+
+    return left.applyInArrow(group, schema)
 
 
 def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text_col: str = "text",
