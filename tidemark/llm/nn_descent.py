@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm._common import components, durable, partitions_for, read
+from tidemark.llm._common import components, durable, partitions_for, read, small
 
 K = 16
 BLOCK = 512
 #: Sets of keys after which a recall below target is an error.
 SETS = 16
+#: Components up to which their mean vectors and cells are broadcast: tens of megabytes.
+PIVOTS = 20_000
 
 
 def unit_vectors(vecs: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -71,7 +73,7 @@ def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
         yield rest
 
 
-def sorted_keys(nodes: DataFrame, tables: range, bits: int, floor: float, reach: int = 16) -> DataFrame:
+def sorted_keys(nodes: DataFrame, tables: range, bits: int, floor: float, reach: int = 4) -> DataFrame:
     """First edges: each vector against the next few in the order of its (dimension, label, sign bits, projection).
 
     Rows are dealt by ranges of that order, so one dense key spreads over many tasks. Returns a < b, sim.
@@ -265,7 +267,8 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
 
     # a row a component and batch of vectors
     parts = member.select("root", "vec").mapInPandas(sums, "root long, part binary")
-    member = member.join(parts.groupBy("root").applyInPandas(mean, "root long, pivot binary"), "root")
+    pivots = durable(parts.groupBy("root").applyInPandas(mean, "root long, pivot binary"), "nnd")
+    member = member.join(small(pivots, PIVOTS), "root")
 
     def rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -280,6 +283,7 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
     inner = member.filter("ring = -1").join(core, "root").select("id", (F.col("core") - F.col("copies")).alias("n"))
     cells = member.groupBy("root", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     cells = cells.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("ring", "parts"))).alias("cells"))  # few rings
+    cells = small(durable(cells, "nnd"), PIVOTS)
     ring, part = F.col("ring"), F.col("part")
     placed = member.join(cells, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(F.col("cells"), ring)).cast("int"))
 
