@@ -370,7 +370,8 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     text_batches(docs.sparkSession)
     carry = list(carry)
     own, n = dealt(docs, id_col, text_col, carry)
-    parts, buckets = partitions_for(docs), n  # a bucket of nodes has about as many edges as a batch, whatever the corpus
+    parts = partitions_for(docs)
+    buckets = max(parts, -(-n // 2))  # a bucket of nodes has at most about as many edges as two batches, whatever the corpus
     # dealt by batch once more, so that both uses of the paths read one exchange
     key = ["source", "first", "edges", "digest"]
     found = paths(own, repeats(edges(own, k, buckets)), k, buckets)
