@@ -302,6 +302,20 @@ def test_repeats_equal_brute_force(spark, seed, k, vocab):
     assert got == slow_repeats(rows, k)
 
 
+@pytest.mark.parametrize("texts", [["", None, " \n"], ["a b", "a b", "c"], ["x" * 300_000, None], [None, "w " * 100, "w " * 100]])
+def test_repeats_in_batches_without_long_texts(spark, texts):
+    """More batches than documents: most hold nothing, or no text of k - 1 words."""
+    rows = list(enumerate(texts))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = sorted((tuple(r) for r in substring.remove_repeats(frame(spark, rows), texts=False).collect()), key=str)
+        kept = {r["doc_id"]: r["text"] for r in substring.drop_repeats(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == slow_repeats(rows, 13)
+    assert all(kept[i] == t for i, t in rows if i in kept) and len(kept) >= len(rows) - 1
+
+
 def test_repeats_leave_texts(spark):
     own = " ".join(f"x{i}" for i in range(60))
     df = frame(spark, [(1, own), (2, f"  before\n{own}\nafter  that"), (3, "nothing  here "), (4, own), (5, None), (None, own)])

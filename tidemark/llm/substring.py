@@ -140,7 +140,9 @@ class Batch:
         return cls.join(node[: len(edge)], edge)
 
     def slices(self, buckets: int) -> list[tuple[int, int, int]]:
-        """(bucket, from, to) of the distinct edges: buckets are equal ranges of nodes."""
+        """(bucket, from, to) of the distinct edges: buckets are equal ranges of nodes. No edges: no buckets."""
+        if not len(self.distinct):
+            return []
         to = ((self.distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i4")  # of 32 top bits
         at = np.flatnonzero(np.diff(to, prepend=-1))
         return list(zip(to[at].tolist(), at.tolist(), [*at[1:].tolist(), len(to)], strict=True))
