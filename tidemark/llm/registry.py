@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, divergence, html_extract, langid, licenses, mixing, nn_descent, ogg, packing, simhash, substring
+from tidemark.llm import byte_bpe, divergence, html_extract, langid, licenses, mixing, nn_descent, ogg, packing, simhash, spelling, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_html": html_extract.op9_html,
     "op10_licenses": licenses.op10_licenses,
+    "op12_spelling": spelling.op12_spelling,
     "op13_divergence": divergence.op13_divergence,
 }
 
