@@ -1,12 +1,14 @@
 """Spelling variants, source audit and quality rules against brute force and odd input."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from tidemark.llm import divergence, spelling
+import regex
+from tidemark.llm import divergence, quality, spelling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, n long, at int, _w string, term string"
 
@@ -147,3 +149,88 @@ def test_audit_equals_brute_force(spark, seed, monkeypatch):
 def test_audit_of_nothing(spark):
     assert divergence.divergence(frame(spark, [])).count() == 0
     assert divergence.divergence(frame(spark, [(1, "a b", "en", "s")])).count() == 0
+
+
+def js(p, q):
+    """Jensen-Shannon distance of two histograms as dicts of shares."""
+    total = 0.0
+    for k in p.keys() | q.keys():
+        a, b = p.get(k, 0), q.get(k, 0)
+        total += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x > 0)
+    return math.sqrt(max(total, 0) / 2)
+
+
+def slow_quality(rows):
+    def words(t):
+        return [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+
+    def classes(t):
+        count = Counter()
+        for c in "".join(words(t)):
+            count[next((i for i, x in enumerate(("[a-z]", "[A-Z]", r"\p{L}", r"[.,;:'!?()\x22-]", "[0-9]")) if regex.fullmatch(x, c)), 5)] += 1
+        return count
+
+    langs, chars = defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang in rows:
+        langs[lang].update(w.lower() for w in words(t))
+        chars[lang].update(classes(t))
+    out = []
+    for i, t, lang in rows:
+        w, n = words(t), len(words(t))
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        grams, cover = Counter(tuple(w[j : j + 8]) for j in range(n - 7)), set()
+        for j in range(n - 7):
+            if grams[tuple(w[j : j + 8])] > 1:
+                cover |= set(range(j, j + 8))
+        total, own = langs[lang].total(), classes(t)
+        common = {x: c / total for x, c in langs[lang].items() if c * 400 >= total}
+        far = False
+        if total >= 1000:
+            if own.total() >= 200:
+                far = js({k: c / own.total() for k, c in own.items()}, {k: c / chars[lang].total() for k, c in chars[lang].items()}) > 0.3
+            if n >= 50:
+                mine = Counter(x.lower() if x.lower() in common else None for x in w)
+                far |= js({k: c / n for k, c in mine.items()}, common | {None: 1 - sum(common.values())}) > 0.52
+        failed = n < 20 or 100 * len(cover) > 30 * n
+        out.append((i, n, own.total(), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover), failed, not failed and not far))
+    return sorted(out, key=str)
+
+
+def quality_rows():
+    rnd = random.Random(3)
+    common, rare = ["the", "The", "of", "und", "é", "et,"], [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrß"]
+    rows = []
+    for i in range(200):
+        lang = rnd.choice(["en", "en", "de", None, f"x{i % 3}"])
+        own = [rnd.choice(common) if rnd.random() < 0.5 else rnd.choice(rare) for _ in range(rnd.choice([5, 30, 80, 200]))]
+        kind = rnd.random()
+        if kind < 0.15:
+            own = [w.upper() + "!!" for w in own]
+        elif kind < 0.3:
+            own = [w + "###$" for w in own]
+        elif kind < 0.4:
+            own = [rnd.choice(rare) + "|" for _ in own]
+        elif kind < 0.6:
+            k = rnd.randrange(len(own))
+            own = own[:k] + own[k : k + 12] * rnd.randint(1, 4) + own[k:]
+        rows.append((i, "".join(w + rnd.choice([" ", " ", " ", "\n", "\n\n", "\t\x0b "]) for w in own), lang))
+    rows += [(300, None, "en"), (301, "", None), (302, " \n\t\n ", "en"), (303, "a\na\na \n\nb\nb", "en"), (None, rows[0][1], "en"), (5, rows[5][1], rows[5][2]), (304, "of the " * 30_000, "en")]
+    return rows
+
+
+def test_quality_equals_brute_force(spark):
+    rows = quality_rows()
+    got = quality.judge(frame(spark, rows))
+    got = got.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    want = slow_quality(rows)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    assert 10 < sum(r[-1] for r in want) and any(not r[-1] and not r[-2] for r in want)
+
+
+def test_quality_distances_and_empty_tables(spark):
+    rows = [(i, "alpha beta gamma delta " * 30, "en") for i in range(20)] + [(99, "OMEGA#1 " * 120, "en")]
+    got = {r["id"]: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert got[99]["class_distance"] > 0.5 > 0.3 > got[0]["class_distance"] and got[99]["word_distance"] > got[0]["word_distance"]
+    assert quality.judge(frame(spark, [])).count() == 0
+    alone = quality.judge(frame(spark, [(1, "a b c", "en")])).collect()[0]  # too small a reference
+    assert alone["class_distance"] is None and alone["word_distance"] is None and not alone["kept"]
