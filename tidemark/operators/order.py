@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOW = (1 << 33) - 1
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """The frame with its rows fixed: a checkpoint where a folder is set, else kept on disk."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    from pyspark import StorageLevel
+def shared_folder(spark: SparkSession, name: str = "files") -> str:
+    """A new folder that every executor reaches, below ``spark.checkpoint.dir``; where that is unset one below /tmp, on one
+    machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The frame written as Parquet into the shared folder and read back: worked out once however often it is read, and not
+    lost with an executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    return df.persist(StorageLevel.DISK_ONLY)
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored frame of a few short columns with a broadcast hint if it has at most ``rows`` rows, as it is otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def global_index(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
@@ -25,7 +40,7 @@ def global_index(df: DataFrame, *order: Column | str, name: str = "index") -> Da
     one row a partition.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stable(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    rows = stored(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned(F.col("_at"), 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).orderBy("_part").collect()
     starts, total = [], 0

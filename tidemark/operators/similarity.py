@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.impressions import unpivot_actions
+from tidemark.operators.order import small, stored
+
+#: Rows of a key that one task joins; keys of more on either side are dealt over a grid.
+HEAVY = 100_000
 
 
 def same(a: Column, b: Column) -> Column:
@@ -28,19 +32,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
+def grid_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, heavy: int | None = None) -> DataFrame:
+    """Inner join of two stored frames on ``key``, whose pairs of rows are all wanted, without a task for a heavy key.
+
+    Degrees come first. A key with more than ``heavy`` rows on a side is cut into blocks of about so many by hashes of
+    ``left_id`` and ``right_id``, and every block of one side meets every block of the other in a task of its own; all other
+    keys are joined plainly. Null keys match nothing.
+    """
+    heavy = heavy or HEAVY
+    down = left.groupBy(key).agg(F.count("*").alias("_l"))
+    across = right.groupBy(key).agg(F.count("*").alias("_r"))
+    grid = down.join(across, key).filter((F.col("_l") > heavy) | (F.col("_r") > heavy))
+    grid = stored(grid.select(key, F.ceil(F.col("_l") / heavy).cast("int").alias("_down"), F.ceil(F.col("_r") / heavy).cast("int").alias("_across")), "grid")
+    if grid.isEmpty():
+        return left.join(right, key)
+    grid = small(grid)
+
+    def dealt(df: DataFrame, own: str, mine: str, theirs: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(own), F.coalesce(mine, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(theirs, F.lit(1)) - 1))
+        out = df.join(grid, key, "left").withColumns({"_own": block, "_other": every})
+        a, b = ("_own", "_other") if mine == "_down" else ("_other", "_own")
+        return out.select(*df.columns, F.col(a).alias("_i"), F.col(b).alias("_j"))
+
+    both = dealt(left, left_id, "_down", "_across").join(dealt(right, right_id, "_across", "_down"), [key, "_i", "_j"])
+    return both.drop("_i", "_j")
+
+
 def sparse_dots(m: DataFrame, pairs: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
     """Products of the rows (a, b) asked for: a, b, value (0 if nothing in common)."""
-    left = pairs.join(m.select(F.col(row).alias("a"), F.col(col).alias("c"), F.col("value").alias("x")), "a")
+    asked = stored(pairs.select("a", "b").distinct(), "pairs")
+    left = grid_join(asked, stored(m.select(F.col(row).alias("a"), F.col(col).alias("c"), F.col("value").alias("x")), "left"), "a", "b", "c")
     right = m.select(F.col(row).alias("b"), F.col(col).alias("c"), F.col("value").alias("y"))
     got = left.join(right, ["b", "c"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
-    return pairs.select("a", "b").distinct().join(got, ["a", "b"], "left").fillna(0.0, ["value"])
+    return asked.join(got, ["a", "b"], "left").fillna(0.0, ["value"])
 
 
 def product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sparse matrix product of (row, col, value) frames."""
-    left = a.select(F.col("row"), F.col("col").alias("k"), F.col("value").alias("x"))
-    right = b.select(F.col("row").alias("k"), F.col("col"), F.col("value").alias("y"))
-    return left.join(right, "k").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """Sparse matrix product of (row, col, value) frames; an inner index that is heavy in both is dealt over a grid."""
+    left = stored(a.select(F.col("row"), F.col("col").alias("k"), F.col("value").alias("x")), "left")
+    right = stored(b.select(F.col("row").alias("k"), F.col("col"), F.col("value").alias("y")), "right")
+    return grid_join(left, right, "k", "row", "col").groupBy("row", "col").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -92,7 +124,8 @@ def user_item_similarity(targets: DataFrame, hist: DataFrame, contents: DataFram
     A user's actions are first counted per item, so a pair of items is compared once and weighted.
     """
     acted = unpivot_actions(hist).groupBy("user_id", "action", F.col("tweet_id").alias("b")).agg(F.count("*").alias("w"))
-    rows = targets.select("engage_index", "user_id", F.col("tweet_id").alias("a")).join(acted, "user_id")
+    asked = stored(targets.select("engage_index", "user_id", F.col("tweet_id").alias("a")), "asked")
+    rows = stored(grid_join(asked, stored(acted, "acted"), "user_id", "engage_index", "b"), "rows")
     sims = item_similarity(rows.select("a", "b"), contents, counts)
     got = rows.join(sims, ["a", "b"]).groupBy("engage_index", "action")
     return got.agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in SIMILARITIES])
@@ -112,12 +145,14 @@ def item_scores(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Rows of a user's creators are first added up per column; only the pairs asked for are scored.
     """
-    m = normalised(counts)
-    wanted = pairs.select("user_id", "creator_id").distinct()
+    counts = stored(counts, "counts")
+    m = stored(normalised(counts), "normalised")
+    wanted = stored(pairs.select("user_id", "creator_id").distinct(), "wanted")
     users = counts.join(wanted.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("creator_id").alias("row"))
-    sums = users.join(m, "row").groupBy("user_id", "col").agg(F.sum("value").alias("s"))
+    # a creator that half of the users acted with is a row with as many columns: its users meet its columns block by block
+    sums = grid_join(stored(users, "users"), m, "row", "user_id", "col").groupBy("user_id", "col").agg(F.sum("value").alias("s"))
     target = m.select(F.col("row").alias("creator_id"), "col", "value")
-    got = wanted.join(sums, "user_id").join(target, ["creator_id", "col"])
+    got = grid_join(wanted, stored(sums, "sums"), "user_id", "creator_id", "col").join(target, ["creator_id", "col"])
     got = got.groupBy("user_id", "creator_id").agg(F.sum(F.col("s") * F.col("value")).alias("score"))
     return wanted.join(got, ["user_id", "creator_id"], "left").fillna(0.0, ["score"])
 
@@ -144,12 +179,3 @@ def evaluate_scores(counts: DataFrame, rows: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(a).alias("action"), F.col(f"{a}_label").alias("label")) for a in ACTIONS])
     long = scored.select("engage_index", "score", F.explode(each).alias("x")).select("engage_index", "score", "x.*")
     return pr_auc_rows(long, "engage_index")
-
-
-def low_rank(counts: DataFrame, k: int = 25):
-    """Factors of the 0/1 user x creator matrix by MLlib's distributed SVD: (users RowMatrix rows, values, V)."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    entries = counts.select("user_id", "creator_id").rdd.map(lambda r: MatrixEntry(r[0], r[1], 1.0))
-    matrix = CoordinateMatrix(entries).toIndexedRowMatrix()
-    return matrix.computeSVD(min(k, int(matrix.numCols()), int(matrix.numRows())), computeU=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import blend, embeddings, history, ids, metrics, similarity, splits, transforms
+from tidemark.operators.order import stored
 from tidemark.operators.impressions import ACTIONS, DAY, HOUR, bounds, contents, from_events, labels, profiles, unpivot_actions
 
 QUERIES, ORACLES = {}, {}
@@ -46,11 +47,16 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def stored_log(spark, d):
+    """Impressions, stored so that the events are read once; first second, cut-off."""
+    imps = stored(from_events(spark, d), "log")
+    t0, t1 = bounds(imps)
+    return imps, t0, t1 - splits.CUTOFF_BEFORE_END
+
+
 def parts(spark, d):
     """Impressions, those to predict (first window and validation) with their split, the history, first second, cut-off."""
-    imps = from_events(spark, d)
-    t0, t1 = bounds(imps)
-    cut = t1 - splits.CUTOFF_BEFORE_END
+    imps, t0, cut = stored_log(spark, d)
     own = imps.withColumn("split", splits.split_by_create_date(imps, start=cut - DAY, end=cut, cutoff=cut))
     target = own.filter("split is not null")
     return imps, target, history.history(imps, target), t0, cut

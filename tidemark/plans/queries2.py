@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from tidemark.operators import blend, embeddings, ids, metrics, models, similarity, splits, transforms
+from tidemark.operators import blend, embeddings, factors, ids, metrics, models, similarity, splits, transforms
 from tidemark.operators.impressions import ACTIONS, contents, from_events, labels, unpivot_actions
 from tidemark.operators.history import interactions
+from tidemark.operators.order import shared_folder as folder
 from tidemark.plans.queries import _CON, BASE, parts, r
 from tidemark.sources import readers, writers
 from tidemark.streaming.apply import apply_stream
@@ -400,17 +399,12 @@ def batch_scores(spark, d):
 
 @query("low_rank")
 def low_rank(spark, d):
-    """Singular values of the user x creator pattern."""
-    svd = similarity.low_rank(interactions(parts(spark, d)[2]), 10)
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(svd.s.toArray())], "k int, value double")
-
-
-def folder(spark) -> str:
-    """A new folder that every executor reaches; without ``spark.checkpoint.dir`` one below /tmp, on one machine only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/files-{uuid.uuid4().hex}"
+    """Factors of the ten largest singular values of the user x creator counts: both sides' vectors."""
+    counts = interactions(parts(spark, d)[2]).select(F.col("user_id").alias("row"), F.col("creator_id").alias("col"), F.col("n").alias("value"))
+    values, left, right = factors.low_rank(counts, 10)
+    scaled = F.zip_with("vec", F.array(*[F.lit(float(v)) for v in values]), lambda x, s: x * s)  # the sides' product is the matrix
+    out = left.select(F.lit("user").alias("side"), "index", scaled.alias("vec"))
+    return out.unionByName(right.select(F.lit("creator").alias("side"), "index", "vec"))
 
 
 @query("file_round_trip", BASE + """SELECT engage_index, action, round(score, 4) AS score FROM (SELECT engage_index, 'like' AS action, (engage_index * 7919 % 9973 + 1) / 13000.0 AS score FROM imp WHERE like_ts IS NOT NULL)""")
