@@ -316,6 +316,37 @@ def test_articles_keep_all_their_parts(page, want):
     assert html_extract.extract(page, {}) == want.format(words.strip())
 
 
+STORY = "many words of the story are told here and there " * 8
+SIDE = "<div class='sidebar'><a href=/a>one</a> <a href=/b>two</a></div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><div class='content has-sidebar'><p>{0}</p></div>" + SIDE + "</body>", "{0}"),
+    ("<body><main class='with-sidebar'><p>{0}</p></main>" + SIDE + "</body>", "{0}"),
+    ("<body><article class='post category-social'><p>{0}</p></article>" + SIDE, "{0}"),
+    ("<body><article class='post tag-advertising'><p>{0}</p></article><p>Outside.</p>", "{0}"),
+    ("<body><form id=aspnet><input type=hidden name=v><div class=content><p>{0}</p></div></form></body>", "{0}"),
+    ("<body><article><p>{0}</p><section class='related-work'><p>{0}</p></section></article></body>", "{0} {0}"),
+    ("<body><article><p>{0}</p><section class='related-posts'><p>Others.</p></section></article></body>", "{0}"),
+    ("<body><article><p>{0}</p><div class='share-buttons'>Share it</div><div class='ad-slot'>Buy</div></article></body>", "{0}"),
+    ("<body><article><a href=/whole><p>{0}</p></a></article><div><p>A small block.</p></div></body>", "{0}"),
+    ("<body class='menu'><div class='promo'><p>{0}</p></div></body>", "{0}"),
+    ("<body><div class='newsletter'><div class='widget'><p>{0}</p></div></div><nav>n</nav></body>", "{0}"),
+    ("<body><article><form><label>Name</label><input><select><option>a</select><button>Go</button></form><p>{0}</p></article></body>", "{0}"),
+    ("<body><div class='entry no-comments'><p>{0}</p></div><div class='comments'><p>Said a reader.</p></div></body>", "{0}"),
+    ("<body><article><p>{0}</p></article><section class=comments><article class=comment><p>" + "said a reader " * 60 + "</p></article></section></body>", "{0}"),
+    ("<body><div role=banner><p>{0}</p></div><article role=main><h1>Head</h1><p>{0}</p></article></body>", "Head {0}"),
+    ("<body><div id='cookie-consent'><p>{0} {0}</p></div><div id=story><p>{0}</p></div></body>", "{0}"),
+    ("<body><div class='is-widget story'><p>{0}</p></div></body>", "{0}"),
+    ("<body><td><article hidden><p>Not shown.</p></article><article><p>{0}</p></article></td></body>", "{0}"),
+    ("<body><div class='menu-item-list'><p>{0}</p></div><div class='post-body'><p>{0} Here.</p></div></body>", "{0} Here."),
+    ("<body><nav><p>{0}</p></nav></body>", ""),
+    ("<body><main>" + "<p>{0}</p>" * 400 + "</main></body>", " ".join(["{0}"] * 400)),
+])
+def test_twenty_ordinary_layouts(page, want):
+    assert html_extract.extract(page.replace("{0}", STORY), {}) == want.replace("{0}", STORY.strip())
+
+
 def test_pages_follow_their_hosts_votes(spark):
     """Brute force over the votes: 30 layouts on one host, none of them cut off, and a page whose text lies elsewhere."""
     rows = []

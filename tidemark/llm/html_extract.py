@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from tidemark.llm._common import durable, read
 BROADCAST_BYTES = 8_000_000
 #: Share of a container's text that may be link text for it to be part of the article around its best part.
 LINKS = 0.3
+#: Characters from which a link in an article is text.
+PARAGRAPH = 200
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
@@ -38,17 +41,25 @@ _CONTAINER = set("article body center dd div main section td blockquote".split()
 #: Elements that a start tag of the key ends when they are open.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SKIP = set("nav aside footer form button select dialog menu head object video audio canvas search".split())
+#: Parts of a class or id that name furniture, parts that say only where or how it stands, and first parts after which a name
+#: describes an element (its layout, topic or state) and doesn't say what it is.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comment|comments|commentlist|consent|cookies?|disqus|"
-    r"disclaimer|footer|gdpr|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|"
-    r"popup|promo\w*|recommend\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|"
-    r"widget|widgets)(?=$|[\s_-])", re.I,
+    r"ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|masthead|"
+    r"menus?|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|recommend\w*|related|replies|respond|"
+    r"share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?", re.I,
 )
+_PLACES = set(
+    "area articles author bar block body bottom box button buttons container content count form group holder icon icons inner "
+    "item items label left link links list message metadata outer overlay panel post posts reply right row section slot stories "
+    "text thread title top unit wrap wrapper zone".split()
+)
+_ABOUT = set("has with without no is not category cat tag topic format layout type status tax term".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 #: Names of elements that hold an article, whose own header belongs to the text.
 _NAMED = re.compile(r"\w+[^/]*?[.#](?:article|content|post|entry|story)(?:-(?:body|content|text))?(?=[.#]|$)")
 _BODY = re.compile(r"[.#](?:article|content|post|entry|story)(?:-(?:body|content|text))?(?=[.#]|$)|(?:^|/)(?:article|main)(?=[.#/]|$)")
 _SPACE = re.compile(r"\s+")
+_FORM_END = re.compile(r"</form\s*(?:>|\Z)", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -56,15 +67,46 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" and len(v) > 1 else v) for k, v in _ATTR.findall(raw)} if raw.strip("/ \n\t") else {}
 
 
-def _noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is page furniture; headers only outside an element that holds an article."""
+@lru_cache(maxsize=8192)
+def _furniture(names: str) -> bool:
+    """Whether a class or id says that an element is furniture: its last part does, or its first one with only places after it."""
+    for name in names.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not parts or parts[0].lower() in _ABOUT:
+            continue
+        if _NOISE.fullmatch(parts[-1]) or _NOISE.fullmatch(parts[0]) and all(p.lower() in _PLACES or p.isdigit() for p in parts[1:]):
+            return True
+    return False
+
+
+def _noise(tag: str, attrs: dict[str, str], inside: bool, names: bool = True) -> bool:
+    """Whether an element is page furniture; headers only outside an element that holds an article. Names say it with ``names``
+    alone, and of an article, main, body or element named like one only if it is a reader's comment."""
     if tag in _SKIP or tag == "header" and not inside:
         return True
     if not attrs:
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    return hidden or attrs.get("role", "").lower() in _ROLES or tag not in ("html", "body") and bool(_NOISE.search(names))
+    if hidden or attrs.get("role", "").lower() in _ROLES and tag not in ("html", "body", "article", "main"):
+        return True
+    if not names or tag in ("html", "body", "main"):
+        return False
+    own = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if tag == "article" or _NAMED.match(_label(tag, attrs)):
+        return any(n.lower() in ("comment", "comments", "reply", "comment-body") for n in own.split())
+    return _furniture(own)
+
+
+_CONTROL = re.compile(r"<(?:input(?![^>]*type\s*=\s*[\"']?hidden)|select|textarea|button|label)\b", re.I)
+_QUIET = re.compile(r"<(script|style|select|textarea|button|label)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.I | re.S)
+
+
+def _round_page(page: str, at: int) -> bool:
+    """Whether the form that begins before ``at`` holds text with some controls, not controls with some text."""
+    end = _FORM_END.search(page, at)
+    inside = page[at : end.start() if end else len(page)]
+    text = len(_SPACE.sub(" ", _QUIET.sub("", inside)).strip())
+    return text > 200 and text > 60 * len(_CONTROL.findall(inside))
 
 
 def _label(tag: str, attrs: dict[str, str]) -> str:
@@ -77,7 +119,14 @@ def _label(tag: str, attrs: dict[str, str]) -> str:
 
 
 def blocks(page: str) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
-    """Text blocks of a page outside its furniture: (open elements as (path, container?), text, length of link text)."""
+    """Text blocks of a page outside its furniture: (open elements as (path, container?), text, length of link text).
+
+    A page that is nothing but furniture by its names is read again by its tags alone.
+    """
+    return _blocks(page, True) or _blocks(page, False)
+
+
+def _blocks(page: str, names: bool) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
     out: list = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, container
     text: list[str] = []
@@ -130,7 +179,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
         if tag == "a":
             link = 1
         inside = bool(stack) and tag == "header" and any(_BODY.search(p) for p in stack[-1][1].split("/"))
-        noise = quiet or _noise(tag, attrs, inside)
+        noise = quiet or (not _round_page(page, at) if tag == "form" else _noise(tag, attrs, inside, names))
         if not block and not (noise and not quiet):
             continue  # inline elements don't cut text, unless they are furniture
         if m[3].rstrip().endswith("/") and not block:
@@ -144,7 +193,8 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, bool], ...], str, int]]:
                     close(i)
                 if t in _CONTAINER or t in ("ul", "ol", "table", "dl"):
                     break
-            noise = noise and (bool(stack) and stack[-1][2] or _noise(tag, attrs, inside))
+            if quiet and noise and not (stack and stack[-1][2]):  # what made it quiet is closed now
+                noise = not _round_page(page, at) if tag == "form" else _noise(tag, attrs, inside, names)
         else:
             text.append("")  # an inline advert leaves the block open
             flush()
@@ -196,8 +246,8 @@ def votes(page: str, found: list | None = None) -> dict[str, int]:
     for path, text, links in found:
         weight = max(0, len(text) - 2 * links)
         holder = _holder(path)
-        if holder is not None:
-            score[holder] = score.get(holder, 0.0) + weight
+        if holder is not None:  # in an article a text as long as a paragraph is none of a menu's links
+            score[holder] = score.get(holder, 0.0) + (len(text) if len(text) > PARAGRAPH else weight)
             continue
         for p, part in zip(reversed([p for p, container in path if container][-2:]), (1.0, 0.4)):
             loose[p] = loose.get(p, 0.0) + weight * part
