@@ -12,7 +12,6 @@ keeps only the path it is on. A path that two tasks share is worked out by both
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,16 +27,16 @@ from tidemark.llm._common import Scratch, bounded, give_back, partitions_for, re
 
 #: Shares are whole billionths.
 SCALE = 1_000_000_000
-#: Distinct terms a task holds before it passes its counts on, and pair corrections likewise.
-HELD = 200_000
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Distinct terms a task holds before it passes its counts on, and pairs of a node and an ancestor likewise.
+HELD = 400_000
+#: In UTF-8: A-Z become a-z, other letters and all bytes beyond ASCII stay, the rest of ASCII separates.
+_TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WIDE = T.DecimalType(38, 0)
 
 
-def terms(text: str) -> list[str]:
-    """Runs of letters and of anything beyond ASCII; only A-Z are lower-cased."""
-    return _TERM.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def terms(text: bytes) -> list[bytes]:
+    """Runs of letters and of anything beyond ASCII in UTF-8; only A-Z are lower-cased."""
+    return text.translate(_TO_TERMS).split()
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,19 +46,20 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), own in uses.items():
-            words = list(own)
+            words, seen = list(own), docs[lang, source]
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
-                seen = docs[lang, source]
-                yield pa.record_batch([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part),
-                                       pa.array([own[w] for w in part], pa.int64()), pa.array([seen[w] for w in part], pa.int64())], schema=kinds)
+                columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string())]
+                columns += [pa.array([x[w] for w in part], pa.int64()) for x in (own, seen)]
+                yield pa.record_batch(columns, schema=kinds)
         uses.clear()
         docs.clear()
         give_back()
 
     for batch in batches:
         for part in bounded(batch, "text", 4_000_000):
-            for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            langs, sources, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(langs, sources, texts, strict=True):
                 own = uses.setdefault((lang, source), Counter())
                 seen = docs.setdefault((lang, source), Counter())
                 before, found = len(own), terms(text)
@@ -96,35 +96,44 @@ def gaps(p, q) -> np.ndarray:
 def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Corrections (lang, a, b, value) of sorted rows (lang, at, p, none, n): sources, shares, shares of absent terms, terms.
 
-    The path holds for every node its source, both shares and the terms that passed so far; a node is worked out against
-    its ancestors when the path leaves it.
+    The path holds for every node its source, both shares and the terms that passed so far. When the path leaves a node, the
+    node and its ancestors are noted, and worked out together with those of many nodes.
     """
     at, p, none, mult = (np.zeros(16, "i8") for _ in range(4))
     depth, lang = 0, None
-    rows, held = [], 0
+    nodes, ancestors, held = [], ([], [], []), 0
 
     def leave(to: int) -> None:
-        """Work out the nodes below depth ``to``, deepest first; their terms count for the node above."""
+        """Note the nodes below depth ``to``, deepest first; their terms count for the node above."""
         nonlocal depth, held
         while depth > to:
             depth -= 1
-            d, m = depth, mult[depth]
+            d = depth
             if d:
-                up, mult[d - 1] = slice(0, d), mult[d - 1] + m
-                a, b = np.full(d, at[d]), at[up].copy()
-                # both are there, less what each alone was said to add, with the source as group and as item
-                one = gaps(p[d], p[up]) - gaps(p[d], none[up]) - gaps(none[d], p[up]) + gaps(none[d], none[up])
-                two = gaps(p[up], p[d]) - gaps(p[up], none[d]) - gaps(none[up], p[d]) + gaps(none[up], none[d])
-                rows.append((lang, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([one, two]) * m))
-                held += 2 * d
+                mult[d - 1] += mult[d]
+                nodes.append((d, at[d], p[d], none[d], mult[d]))
+                for x, y in zip(ancestors, (at, p, none), strict=True):
+                    x.append(y[:d].copy())
+                held += d
 
     def out() -> pd.DataFrame:
+        """What the noted nodes, all of one language, add to the pairs of sources, as group and as item."""
         nonlocal held
-        got = pd.DataFrame({"lang": np.repeat(np.array([r[0] for r in rows], object), [len(r[1]) for r in rows]),
-                            **{c: np.concatenate([r[i] for r in rows]) for i, c in ((1, "a"), (2, "b"), (3, "value"))}})
-        rows.clear()
+        d, *node = np.array(nodes, "i8").T
+        a, pa_, na, m = (np.repeat(x, d) for x in node)
+        b, pb, nb = (np.concatenate(x) for x in ancestors)
+        nodes.clear()
         held = 0
-        return got.groupby(["lang", "a", "b"], as_index=False, sort=False)["value"].sum()
+        for x in ancestors:
+            x.clear()
+        # both are there, less what each alone was said to add
+        one = gaps(pa_, pb) - gaps(pa_, nb) - gaps(na, pb) + gaps(na, nb)
+        two = gaps(pb, pa_) - gaps(pb, na) - gaps(nb, pa_) + gaps(nb, na)
+        a, b, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([one * m, two * m])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+        return pd.DataFrame({"lang": lang, "a": a[first], "b": b[first], "value": np.add.reduceat(value[order], first)})
 
     for frame in frames:
         for own, path, shares, absent, n in zip(frame["lang"], frame["at"], frame["p"], frame["none"], frame["n"], strict=True):
@@ -133,15 +142,15 @@ def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             k = min(depth, len(path)) if own == lang else 0
             differ = np.flatnonzero((at[:k] != path[:k]) | (p[:k] != shares[:k]))
             leave(int(differ[0]) if len(differ) else k)
+            if held > HELD or held and own != lang:
+                yield out()
             lang = own
             new = slice(depth, len(path))
             at[new], p[new], none[new], mult[new] = path[new], shares[new], absent[new], 0
             depth = len(path)
             mult[depth - 1] += n
-            if held > HELD:
-                yield out()
     leave(0)
-    if rows:
+    if held:
         yield out()
 
 
