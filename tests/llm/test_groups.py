@@ -393,12 +393,25 @@ def test_dense_clusters_with_one_bridge_are_one_component(spark):
 
 def test_recall_below_target_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "SETS", 1)
-    monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.5)
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: (0.5, 9))
     df = spark.createDataFrame([(i, [1.0, i / 100], 1) for i in range(5)], "vec_id long, embedding array<double>, label int")
     with pytest.raises(RuntimeError):
         nn_descent.near_duplicates(df)
 
 
+def test_audit_needs_evidence(spark):
+    """Without a link there is no figure; with components torn apart it is the share of links that stay inside."""
+    nodes = spark.createDataFrame([(i, "a", np.eye(40)[i].tobytes()) for i in range(20)], "id long, label string, vec binary")
+    none = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+    found, links = nn_descent.audit(nodes, *none, 0.93)
+    assert np.isnan(found) and links == 0
+    pairs = nodes.unionByName(nodes.selectExpr("id + 100 as id", "label", "vec"))
+    edges = spark.createDataFrame([(i, i + 100) for i in range(20)], "a long, b long")
+    roots = spark.createDataFrame([(i + d, i) for i in range(15) for d in (0, 100)], "node long, root long")
+    found, links = nn_descent.audit(pairs, edges, roots, 0.93)
+    assert links == 40 and found == 0.75
+
+
 def test_pipeline_stages(spark):
     rnd = random.Random(8)
     real = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]

@@ -12,6 +12,7 @@ target, more keys are added, and if that doesn't help there is an error.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 
 from tidemark.llm._common import components, durable, partitions_for, read, small
 
+_LOG = logging.getLogger(__name__)
 K = 16
 BLOCK = 512
 #: Sets of keys after which a recall below target is an error.
@@ -208,16 +210,28 @@ def _pairs(parts: list[np.ndarray]) -> pd.DataFrame:
                          "sim": np.ascontiguousarray(x[:, 2]).view("f8")})
 
 
-def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 512) -> float:
-    """Share of the sampled vectors' true links whose ends are in one component; 1 if there are none.
+def audit(nodes: DataFrame, edges: DataFrame, roots: DataFrame, threshold: float, sample: int = 2048,
+          links: int = 200, most: int = 16_384) -> tuple[float, int]:
+    """Share of the sampled vectors' true links whose ends are in one component, and the number of those links.
 
-    About ``sample`` vectors, chosen by a hash of their id, are compared with all vectors in blocks.
+    About ``sample`` of all vectors and as many of those that have an edge, chosen by a hash of their id, are compared with all
+    vectors in blocks. While they have fewer than ``links`` true links, the sample grows fourfold, up to ``most`` or all. Without
+    any true link there is no evidence: nan.
     """
-    n = nodes.count()
-    draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    rows = nodes.filter(draw).limit(4 * sample).collect()
-    if not rows:
-        return 1.0
+    near = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("near", F.lit(True))
+    known = durable(nodes.select("id", "label", "vec").join(near, "id", "left"), "nnd")
+    n, some = known.agg(F.count("*"), F.count("near")).first()
+    while True:
+        draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
+        rows = known.filter(draw < F.when(F.col("near"), sample / max(some, 1)).otherwise(sample / max(n, 1))).collect()
+        hit, true = _audited(nodes, roots, threshold, rows)
+        if true >= links or sample >= min(n, most):
+            return hit / true if true else math.nan, true
+        sample *= 4
+
+
+def _audited(nodes: DataFrame, roots: DataFrame, threshold: float, rows: list) -> tuple[int, int]:
+    """Links of the given vectors found in components, and all of them."""
     by = {}
     for r in rows:
         by.setdefault((r["label"], len(r["vec"])), []).append((r["id"], bytes(r["vec"])))
@@ -229,18 +243,18 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int = 51
                 part = b[(b["label"] == label).to_numpy() & (size == n)]
                 if not len(part):
                     continue
-                s = _matrix([v for _, v in own]) @ _matrix(part["vec"]).T
-                i, j = np.nonzero(s >= threshold)
-                q = np.array([k for k, _ in own], "i8")[i]
-                v = part["id"].to_numpy("i8")[j]
-                yield pd.DataFrame({"q": q[q != v], "v": v[q != v]})
+                its, ids = _matrix(part["vec"]), part["id"].to_numpy("i8")
+                for k in range(0, len(own), 2048):
+                    i, j = np.nonzero(_matrix([v for _, v in own[k : k + 2048]]) @ its.T >= threshold)
+                    q, v = np.array([x for x, _ in own[k : k + 2048]], "i8")[i], ids[j]
+                    yield pd.DataFrame({"q": q[q != v], "v": v[q != v]})
 
     true = nodes.mapInPandas(score, "q long, v long")
     a = roots.select(F.col("node").alias("q"), F.col("root").alias("ra"))
     b = roots.select(F.col("node").alias("v"), F.col("root").alias("rb"))
     got = true.join(a, "q", "left").join(b, "v", "left")
     all_, hit = got.agg(F.count("*"), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
-    return hit / all_ if all_ else 1.0
+    return hit, all_
 
 
 def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -323,7 +337,7 @@ def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFra
 
 
 def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
-                    label_col: str = "label", tables: int = 16, rounds: int = 6, recall: float = 0.99) -> DataFrame:
+                    label_col: str = "label", tables: int = 16, rounds: int = 6, recall: float = 0.999) -> DataFrame:
     """Links of vectors of one label whose cosine reaches ``threshold``, as counts and components.
 
     Returns vec_id, n_links, component_id, kept per row. Vectors that are null, empty, zero or hold a null or non-finite
@@ -333,7 +347,8 @@ def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "
     nothing. Null ids are returned unlinked. An empty table gives no rows. Other columns are not read.
 
     A cosine within 1e-12 of the threshold counts as reaching it, whichever way its sum was rounded. Of the links of sampled
-    vectors at least ``recall`` are found, or more keys are tried, SETS times at most; then it is an error.
+    vectors at least ``recall`` are found, or more keys are tried, SETS times at most; then it is an error. The figure is logged;
+    it is nan where the sample (all vectors of a small table) has no link at all.
     """
     threshold -= 1e-12
     base = durable(unit_vectors(vecs, id_col, vec_col, label_col), "nnd")
@@ -353,22 +368,25 @@ def near_duplicates(vecs: DataFrame, *, threshold: float = 0.93, id_col: str = "
         roots = None
         for _ in range(2):  # inside components, then between them
             edges = edges if roots is None else edges.withColumn("new", F.lit(True))
+            had = edges.count()
             for _ in range(rounds):
-                had = edges.count()
                 got = refine(edges, nodes, threshold, floor, roots).withColumn("new", F.lit(True))
                 old = edges.withColumn("new", F.lit(False))
                 edges = durable(
                     old.unionByName(got).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new")), "nnd"
                 )
-                if edges.count() - had <= had // 200:
+                now = edges.count()
+                if now - had <= had // 200:
                     break
+                had = now
             roots = durable(components(edges.filter(F.col("sim") >= threshold), "a", "b"), "nnd")
         more = durable(bridges(edges, nodes, roots, threshold), "nnd")
         if not more.isEmpty():
             edges = durable(edges.unionByName(more.withColumn("new", F.lit(True))), "nnd")
             roots = durable(components(edges.filter(F.col("sim") >= threshold), "a", "b"), "nnd")
-        found = audit(nodes, roots, threshold)
-        if found >= recall:
+        found, links = audit(nodes, edges, roots, threshold)
+        _LOG.info("recall %s of %d audited links after %d keys", found, links, done)
+        if not found < recall:
             break
     else:
         raise RuntimeError(f"recall {found:.4f} after {done} keys is below {recall}")
