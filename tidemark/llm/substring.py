@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import M1, give_back, mix, numbered, partitions_for, read, text_batches, word_hashes
 
 #: Characters of text in a batch, about.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 #: Bits of an edge that tell the edges of one node apart; the others are its node's.
 _LOW, _SHIFT = np.uint64((1 << 24) - 1), np.uint64(24)
 _WORD32 = np.uint64(0xFFFFFFFF)
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, *, k: int = 13, id_col: str = "doc_id", text
     carry = list(carry)
     own, n = dealt(docs, id_col, text_col, carry)
     parts = partitions_for(docs)
-    buckets = max(parts, -(-n // 2))  # a bucket of nodes has at most about as many edges as two batches, whatever the corpus
+    buckets = max(parts, -(-n // 4))  # a bucket of nodes has at most about as many edges as four batches, whatever the corpus
     # dealt by batch once more, so that both uses of the paths read one exchange
     key = ["source", "first", "edges", "digest"]
     found = paths(own, repeats(edges(own, k, buckets)), k, buckets)
