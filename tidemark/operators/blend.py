@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import stored
 from tidemark.operators.metrics import relative_cross_entropy
 
 # Temperatures of the calibrated actions, and the shift of one.
@@ -91,3 +96,61 @@ def grid_search(preds: DataFrame, grid: list[float] = GRID) -> DataFrame:
     each = each.withColumn("key", F.struct("action", "t")).select("key", "label", "score")
     got = relative_cross_entropy(each, "key")
     return got.select("key.action", "key.t", "rce")
+
+
+def fit_joint(wide: DataFrame, inputs: list[str], labels: list[str], start: dict[str, dict[str, float]], *, steps: int = 50,
+              tolerance: float = 1e-8, ridge: float = 1e-9) -> dict[str, dict]:
+    """Joint linear blend: every action's logit from all models' logits of all actions, fitted by Newton steps from ``start``.
+
+    ``start`` has weights by action and input (others 0). A step is one pass that adds up gradients and hessians of all actions
+    in every task, so the driver gets a row a task and action. Returns by action: weights (with ``bias``), gradient (largest entry over the rows,
+    at most ``tolerance``), loss. A step that doesn't lower the loss is halved. ``ridge`` keeps equal inputs apart.
+    """
+    k = len(inputs) + 1
+    x = F.array(*[logit(F.col(c)) for c in inputs], F.lit(1.0))
+    rows = stored(wide.select(x.alias("x"), F.array(*[F.col(c).cast("double") for c in labels]).alias("y")), "blend")
+    w = np.zeros((len(labels), k))
+    for i, a in enumerate(labels):
+        for j, c in enumerate(inputs):
+            w[i, j] = start.get(a, {}).get(c, 0.0)
+
+    def passed(at: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, loss, g, h = 0, np.zeros(len(at)), np.zeros_like(at), np.zeros((len(at), k, k))
+            for f in frames:
+                if len(f):
+                    own, y = np.stack(f["x"].to_numpy()), np.stack(f["y"].to_numpy())
+                    z = own @ at.T
+                    p = 1 / (1 + np.exp(-z))
+                    n, loss = n + len(f), loss + (np.logaddexp(0, z) - y * z).sum(axis=0)
+                    g += (p - y).T @ own
+                    for i in range(len(at)):
+                        h[i] += (own * (p[:, i] * (1 - p[:, i]))[:, None]).T @ own
+            if n:
+                yield pd.DataFrame({"n": [n], "loss": [loss], "g": [g.ravel()], "h": [h.ravel()]})
+
+        got = rows.mapInPandas(run, "n long, loss array<double>, g array<double>, h array<double>").collect()  # a row a task
+        n = sum(r["n"] for r in got)
+        total = [np.sum([r[c] for r in got], axis=0) / max(n, 1) for c in ("loss", "g", "h")] if got else [np.zeros(len(at)), np.zeros(at.size), np.zeros(at.size * k)]
+        return n, total[0], total[1].reshape(at.shape), total[2].reshape(len(at), k, k)
+
+    n, loss, g, h = passed(w)
+    for _ in range(steps):
+        off = np.abs(g).max(axis=1) > tolerance
+        if not off.any():
+            break
+        move = np.stack([np.linalg.solve(h[i] + ridge * np.eye(k), g[i]) if off[i] else np.zeros(k) for i in range(len(labels))])
+        size = np.ones(len(labels))
+        for _ in range(30):
+            n, new, g2, h2 = passed(w - size[:, None] * move)
+            worse = new > loss + 1e-12
+            if not worse.any():
+                break
+            size[worse] /= 2
+        w, loss, g, h = w - size[:, None] * move, new, g2, h2
+    return {a: {"weights": dict(zip([*inputs, "bias"], w[i].tolist(), strict=True)), "gradient": float(np.abs(g[i]).max()), "loss": float(loss[i])} for i, a in enumerate(labels)}
+
+
+def apply_joint(wide: DataFrame, fitted: dict[str, dict]) -> DataFrame:
+    """Adds a column ``<action>_score`` each."""
+    return wide.withColumns({f"{a}_score": sigmoid(sum((w * logit(F.col(c)) for c, w in f["weights"].items() if c != "bias"), F.lit(f["weights"]["bias"]))) for a, f in fitted.items()})

@@ -59,14 +59,21 @@ def action_sets(hist: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def mean_content(hist: DataFrame, contents: DataFrame) -> DataFrame:
-    """Means over a user's actions of distinct tags and tokens of the item, and of the follow flag, per action."""
-    per = contents.select("tweet_id", F.size(F.array_distinct("hashtags")).alias("tags"), F.size(F.array_distinct("tokens")).alias("words"))
-    rows = unpivot_actions(hist).join(per, "tweet_id", "left")
-    return rows.groupBy("user_id", "action").agg(
-        F.avg(F.coalesce("tags", F.lit(0))).alias("tags"), F.avg(F.coalesce("words", F.lit(0))).alias("words"),
-        F.avg(F.col("follow").cast("int")).alias("follow"),
+def mean_content(hist: DataFrame, contents: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Means over a user's actions, per action: distinct tags, tokens, media, links and domains of the item, the follow flag,
+    and with ``profiles`` (id, verified) whether the creator is verified. An item without contents counts as 0."""
+    cols = {"tags": "hashtags", "words": "tokens", "media": "media", "links": "links"}
+    per = contents.select(
+        "tweet_id", *[F.size(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias(n) for n, c in cols.items()],
+        F.col("domain").isNotNull().cast("int").alias("domains"),
     )
+    rows = unpivot_actions(hist).join(per, "tweet_id", "left")
+    flags = {"follow": F.col("follow").cast("int")}
+    if profiles is not None:
+        rows = rows.join(profiles.select(F.col("id").alias("creator_id"), "verified"), "creator_id", "left")
+        flags["verified"] = F.coalesce(F.col("verified").cast("int"), F.lit(0))
+    means = {n: F.coalesce(n, F.lit(0)) for n in (*cols, "domains")} | flags
+    return rows.groupBy("user_id", "action").agg(*[F.avg(c).alias(n) for n, c in means.items()])
 
 
 def distinct_languages(hist: DataFrame, contents: DataFrame) -> DataFrame:

@@ -10,8 +10,35 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.order import global_index
 
-# Names of the languages the log's codes stand for; any other code is "other".
-LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "ja": "japanese", "pt": "portuguese"}
+# The log's codes of its most frequent languages, and two-letter codes of other sources; any other is "other".
+LANGUAGES = {
+    "D3164C7FBCF2565DDF915B1B3AEFB1DC": "english",
+    "22C448FF81263D4BAF2A176145EE9EAD": "japanese",
+    "06D61DCBBE938971E1EA0C38BD9B5446": "spanish",
+    "ECED8A16BE2A5E8871FD55F4842F16B1": "portuguese",
+    "B9175601E87101A984A50F8A62A1C374": "croatian",
+    "4DC22C3F31C5C43721E6B5815A595ED6": "turkish",
+    "167115458A0DBDFF7E9C0C53A83BAC9B": "arabic",
+    "022EC308651FACB02794A8147AEE1B78": "thai",
+    "FA3F382BC409C271E3D6EAF8BE4648DD": "french",
+    "125C57F4FA6D4E110983FB11B52EFD4E": "korean",
+    "9BF3403E0EB7EA8A256DA9019C0B0716": "indonesian",
+    "975B38F44D65EE42A547283787FF5A21": "hindi",
+    "2996EB2FE8162C076D070A4C8D6532CD": "filipino",
+    "FF60A88F53E63000266F8B9149E35AD9": "german",
+    "717293301FE296B0B61950D041485825": "italian",
+    "3820C29CBCA409A33BADF68852057C4A": "russian",
+    "3E16B11B7ADE3A22DDFC4423FBCEAD5D": "persian",
+    "9ECD42BC079C20F156F53CB3B99E600E": "polish",
+    "76B8A9C3013AE6414A3E6012413CDC3B": "chinese",
+    "AEF22666801F0A5846D853B9CEB2E327": "urdu",
+    "190BA7DA361BC06BC1D7E824C378064D": "catalan",
+    "1FFD2FE4297F5E70EBC6C3230D95CB9C": "dutch",
+    "D413F5FE5236E5650A46FD983AB39212": "tamil",
+    "A0C7021AD8299ADF0C9EBE326C115F6F": "telugu",
+    "48236EC80FDDDFADE99420ABC9210DDF": "swahili",
+    "en": "english", "fr": "french", "de": "german", "es": "spanish", "ja": "japanese", "pt": "portuguese",
+}
 
 
 def assign_ids(df: DataFrame, cols: list[str], pos: str, *, id_col: str = "id", name: str = "index") -> DataFrame:

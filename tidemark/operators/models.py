@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,15 +55,30 @@ def without_groups(groups: dict[str, list[str]], removed: list[str]) -> list[str
     return [c for g, cols in groups.items() if g not in removed for c in cols]
 
 
+#: Functions that this Python worker has made, by the token of their frame.
+_MADE: dict[str, Callable] = {}
+
+
+def made(token: str, make: Callable[[], Callable]) -> Callable:
+    """What ``make`` returns, made once in a Python worker however many tasks it runs."""
+    if token not in _MADE:
+        _MADE.clear()  # one model in memory
+        _MADE[token] = make()
+    return _MADE[token]
+
+
 def batch_score(df: DataFrame, keep: list[str], inputs: list[str], outputs: list[str], make: Callable[[], Callable]) -> DataFrame:
     """Scores with a caller's function from (padded arrays, masks) to probabilities.
 
-    ``make`` runs once in each Python worker's task and returns the function. Array columns are padded with zeros to the
-    longest of the batch, and come with 0/1 masks; scalars come as they are.
+    ``make`` runs once in each Python worker, which keeps its function for later tasks. Array columns are padded with zeros to
+    the longest of the batch, and come with 0/1 masks; scalars come as they are.
     """
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = make()
+        from tidemark.operators import models  # the worker's own module, which outlives the task
+
+        predict = models.made(token, make)
         for b in batches:
             arrays, masks = {}, {}
             for c in inputs:
@@ -76,25 +97,85 @@ def batch_score(df: DataFrame, keep: list[str], inputs: list[str], outputs: list
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInPandas(run, schema)
 
 
-class ColumnScaler(Estimator):
-    """Estimator over long-form nonzeros: fits one of the transforms of this package by name."""
+def validate(scored: dict[str, DataFrame], path: str) -> DataFrame:
+    """Scores of a validation set, by action: writes them as files of predictions, reads them back and evaluates them.
+
+    ``scored`` has tweet_id, user_id, label, score per action. Returns action, pr_auc, rce, with their means as ``mean``.
+    """
+    from functools import reduce
+
+    from tidemark.operators import metrics
+    from tidemark.operators.order import stored
+    from tidemark.sources import readers, writers
+
+    rows = stored(reduce(DataFrame.unionByName, [df.select(F.lit(a).alias("action"), "tweet_id", "user_id", "label", "score") for a, df in scored.items()]), "valid")
+    writers.write_predictions(rows, path)
+    back = [readers.read_predictions(rows.sparkSession, f"{path}/action={a}").withColumn("action", F.lit(a)) for a in scored]
+    own = rows.select("action", F.col("tweet_id").cast("string").alias("tweet_id"), F.col("user_id").cast("string").alias("user_id"), "label").distinct()
+    return metrics.report(reduce(DataFrame.unionByName, back).join(own, ["action", "tweet_id", "user_id"]))
+
 
-    def __init__(self, kind: str, **settings):
+class ColumnScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Estimator over long-form nonzeros: fits one of the transforms of this package by name (param ``kind``) with its settings
+    (param ``settings``, JSON)."""
+
+    kind = Param(Params._dummy(), "kind", "name of a transform", TypeConverters.toString)
+    settings = Param(Params._dummy(), "settings", "its settings as JSON", TypeConverters.toString)
+
+    def __init__(self, kind: str | None = None, **settings):
         super().__init__()
-        self.kind, self.settings = kind, settings
+        self._setDefault(kind="standardise", settings="{}")
+        if kind is not None:
+            self._set(kind=kind, settings=json.dumps(settings))
 
     def _fit(self, dataset: DataFrame) -> ColumnScalerModel:
-        return ColumnScalerModel(getattr(transforms, self.kind)(dataset, **self.settings))
+        fitted = getattr(transforms, self.getOrDefault("kind"))(dataset, **json.loads(self.getOrDefault("settings")))
+        return self._copyValues(ColumnScalerModel(fitted))
+
 
+class ColumnScalerModel(Model, MLWritable, MLReadable):
+    """A fitted transform; its parameters are a table and are saved as one."""
 
-class ColumnScalerModel(Model):
-    def __init__(self, fitted: transforms.Fitted):
+    kind, settings = ColumnScaler.kind, ColumnScaler.settings
+
+    def __init__(self, fitted: transforms.Fitted | None = None):
         super().__init__()
+        self._setDefault(kind="standardise", settings="{}")
         self.fitted = fitted
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.fitted.apply(dataset)
 
+    def write(self) -> MLWriter:
+        return _ScalerWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ScalerReader()
+
+
+class _ScalerWriter(MLWriter):
+    def __init__(self, model: ColumnScalerModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.fitted.params.write.parquet(f"{path}/parameters")
+
+
+class _ScalerReader(MLReader):
+    def load(self, path: str) -> ColumnScalerModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = ColumnScalerModel()
+        model._resetUid(meta["uid"])
+        DefaultParamsReader.getAndSetParams(model, meta)
+        # the expressions follow from the name and settings alone; only the parameters come from the table
+        empty = self.sparkSession.createDataFrame([], "row long, col long, value double")
+        fitted = getattr(transforms, model.getOrDefault("kind"))(empty, **json.loads(model.getOrDefault("settings")))
+        model.fitted = transforms.Fitted(self.sparkSession.read.parquet(f"{path}/parameters"), fitted.value, fitted.drop)
+        return model
+
 
 class TextTransform(Transformer, HasInputCol, HasOutputCol):
     """Transformer that applies a caller's column function, for example one of the text functions."""

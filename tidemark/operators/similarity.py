@@ -32,6 +32,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
+def combine(a: Column, b: Column, how: str) -> Column:
+    """Element-wise ``add``, ``subtract``, ``multiply``, ``min`` or ``max`` of two arrays of one length (null past the shorter one)."""
+    ops = {"add": lambda x, y: x + y, "subtract": lambda x, y: x - y, "multiply": lambda x, y: x * y, "min": F.least, "max": F.greatest}
+    return F.zip_with(a, b, lambda x, y: ops[how](x.cast("double"), y.cast("double")))
+
+
+def scaled(a: Column, by: Column | float, *, divide: bool = False) -> Column:
+    """An array times or divided by a number (null if that is 0)."""
+    by = by if isinstance(by, Column) else F.lit(float(by))
+    return F.transform(a, lambda x: F.try_divide(x.cast("double"), by) if divide else x.cast("double") * by)
+
+
+def extremes(a: Column) -> Column:
+    """Struct of an array's sum, smallest and largest element; of an empty one 0 and nulls."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double"), F.lit(0.0)))
+    return F.struct(total.alias("sum"), F.array_min(a).alias("min"), F.array_max(a).alias("max"))
+
+
+def combine_sparse(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """The same for matrices in long form, where what is absent is 0 and zeros of the result are left out."""
+    left, right = (m.select("row", "col", F.col("value").alias(n)) for m, n in ((a, "x"), (b, "y")))
+    both = left.join(right, ["row", "col"], "inner" if how == "multiply" else "full").fillna(0.0, ["x", "y"])
+    x, y = F.col("x"), F.col("y")
+    ops = {"add": x + y, "subtract": x - y, "multiply": x * y, "min": F.least(x, y), "max": F.greatest(x, y)}
+    return both.select("row", "col", ops[how].alias("value")).filter("value <> 0")
+
+
 def grid_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, heavy: int | None = None) -> DataFrame:
     """Inner join of two stored frames on ``key``, whose pairs of rows are all wanted, without a task for a heavy key.
 

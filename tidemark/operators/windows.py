@@ -77,3 +77,22 @@ def window_features(masked: DataFrame, *, start: int, unit: float, n: int = 5) -
         cols += [F.coalesce((h[f"{a}_last"] - start) / unit, F.lit(0.0)).alias(f"{prefix}_{a}_last") for a in ACTIONS]
         cols += [F.when(total > 0, h[f"{a}_n"] / total).otherwise(0.0).alias(f"{prefix}_{a}_norm") for a in ACTIONS]
     return out.select(*[c for c in out.columns if not c.startswith("_")], *cols)
+
+
+def day_sketches(rows: DataFrame, entity: str, value: str, *, cutoff: int, at: str = "t", interval: int = DAY, precision: int = 12) -> DataFrame:
+    """Per entity and day before the cut-off (day 0 is the last one) a HyperLogLog sketch of the values, mergeable for good:
+    a day's sketches are written once and later windows only read them."""
+    day = F.floor((F.lit(cutoff) - F.col(at)) / interval).cast("int")
+    rows = rows.filter((F.col(at) <= cutoff) & F.col(value).isNotNull()).withColumn("day", day)
+    return rows.groupBy(entity, "day").agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
+def trailing_distinct(sketches: DataFrame, entity: str, days: list[int]) -> DataFrame:
+    """(entity, days, distinct): estimates of distinct values in the last ``days`` days, for every length at once.
+
+    The standard error is about 1.04 / 2^(precision / 2), 1.6% at 12; a few hundred values or fewer are counted nearly exactly.
+    A sketch is sent once to every window that holds its day and merged before the exchange.
+    """
+    wide = F.filter(F.array(*[F.lit(d) for d in days]), lambda d: d > F.col("day"))
+    rows = sketches.select(entity, "sketch", F.explode(wide).alias("days"))
+    return rows.groupBy(entity, "days").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))

@@ -380,12 +380,15 @@ def action_sets(spark, d):
 _CON = ", con AS (SELECT doc_id AS tweet_id, lang, source, regexp_split_to_array(text, '[ \\n]+') AS tokens, regexp_extract_all(text, '(#[^ \\n]+)', 1) AS tags, CASE WHEN n_chars >= 1000 THEN 'long' ELSE 'short' END AS type, regexp_extract_all(text, '([A-Z]{3,})', 1) AS media, regexp_extract_all(text, '([a-z0-9.]+@[a-z0-9.]+)', 1) AS links FROM documents)"
 
 
-@query("mean_content", BASE + _CON + """, per AS (SELECT tweet_id, len(list_distinct(tags)) AS tags, len(list_distinct(tokens)) AS words FROM con)
-SELECT user_id, action, round(avg(coalesce(tags, 0)), 6) AS tags, round(avg(coalesce(words, 0)), 6) AS words, round(avg(CAST(follow AS INT)), 6) AS follow FROM hact LEFT JOIN per USING (tweet_id) GROUP BY ALL""")
+@query("mean_content", BASE + _CON + """, per AS (SELECT tweet_id, len(list_distinct(tags)) AS tags, len(list_distinct(tokens)) AS words, len(list_distinct(media)) AS media, len(list_distinct(links)) AS links, CAST(source IS NOT NULL AS INT) AS domains FROM con),
+pf AS (SELECT c_custkey AS creator_id, CAST(c_mktsegment = 'BUILDING' AS INT) AS verified FROM customer)
+SELECT user_id, action, round(avg(coalesce(tags, 0)), 6) AS tags, round(avg(coalesce(words, 0)), 6) AS words, round(avg(coalesce(media, 0)), 6) AS media, round(avg(coalesce(links, 0)), 6) AS links, round(avg(coalesce(domains, 0)), 6) AS domains,
+ round(avg(CAST(follow AS INT)), 6) AS follow, round(avg(coalesce(verified, 0)), 6) AS verified FROM hact LEFT JOIN per USING (tweet_id) LEFT JOIN pf USING (creator_id) GROUP BY ALL""")
 def mean_content(spark, d):
     """Mean content of what users acted on."""
-    out = history.mean_content(parts(spark, d)[2], contents(spark, d))
-    return out.select("user_id", "action", *[r(F.col(c)).alias(c) for c in ("tags", "words", "follow")])
+    _, _, hist, t0, _ = parts(spark, d)
+    out = history.mean_content(hist, contents(spark, d), profiles(spark, d, t0))
+    return out.select("user_id", "action", *[r(F.col(c)).alias(c) for c in ("tags", "words", "media", "links", "domains", "follow", "verified")])
 
 
 @query("distinct_languages", BASE + _CON + f"SELECT user_id, count(DISTINCT lang) AS languages FROM hist JOIN con USING (tweet_id) WHERE NOT ({_NEG}) GROUP BY user_id")

@@ -8,6 +8,7 @@ from tidemark.operators import blend, embeddings, factors, ids, metrics, models,
 from tidemark.operators.impressions import ACTIONS, contents, from_events, labels, unpivot_actions
 from tidemark.operators.history import interactions
 from tidemark.operators.order import shared_folder as folder
+from tidemark.operators.order import stored
 from tidemark.plans.queries import _CON, BASE, parts, r
 from tidemark.sources import readers, writers
 from tidemark.streaming.apply import apply_stream
@@ -38,14 +39,14 @@ MAT = f"WITH {_M}"
 
 
 @query("matrix_sums", MAT + """ SELECT col, sum(value) AS total, count(*) AS nnz, round(sum(abs(value)), 4) AS l1, round(sqrt(sum(value * value)), 4) AS l2, max("row") + 1 AS height,
- round(sum(value) / 150, 4) AS mean FROM m GROUP BY col""")
+ round(sum(value) / (SELECT count(DISTINCT "row") FROM m), 4) AS mean FROM m GROUP BY col""")
 def matrix_sums(spark, d):
     """Sums, nonzeros, norms and means of columns."""
     m = matrix(spark, d)
     out = m.groupBy("col").agg(F.sum("value").alias("total"), F.count("*").alias("nnz"), (F.max("row") + 1).alias("height"))
     out = out.join(transforms.lp_norm(m, "col", 1).select("col", r(F.col("norm"), 4).alias("l1")), "col")
     out = out.join(transforms.lp_norm(m, "col", 2).select("col", r(F.col("norm"), 4).alias("l2")), "col")
-    return out.join(transforms.vectors_mean(m, 150).select("col", r(F.col("value"), 4).alias("mean")), "col")
+    return out.join(transforms.vectors_mean(m, m.select("row").distinct().count()).select("col", r(F.col("value"), 4).alias("mean")), "col")
 
 
 @query("matrix_product", MAT + """ SELECT a.col AS "row", b.col, round(sum(a.value * b.value) / 1e6, 3) AS value FROM m a JOIN m b USING ("row") GROUP BY a.col, b.col""")
@@ -96,14 +97,14 @@ def dense_columns(spark, d):
  greatest(max(value), CASE WHEN max(CAST("row" = (SELECT min("row") FROM m) AS INT)) = 0 THEN 0 ELSE max(value) END) AS hi, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS df FROM m GROUP BY col),
 rn AS (SELECT "row", sqrt(sum(value * value)) AS rnorm FROM m GROUP BY "row")
 SELECT "row", col, round(value / nrm, 6) AS normed, round(value / rnorm, 6) AS row_normed, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 1 END, 6) AS scaled,
- round(least(greatest((value - mean) / std, -2), 2), 6) AS standard, round(ln(1 + abs(value)) * ln(150.0 / df), 6) AS tfidf FROM m JOIN s USING (col) JOIN rn USING ("row")""")
+ round(least(greatest((value - mean) / std, -2), 2), 6) AS standard, round(ln(1 + abs(value)) * ln((SELECT count(DISTINCT "row") FROM m) * 1.0 / df), 6) AS tfidf FROM m JOIN s USING (col) JOIN rn USING ("row")""")
 def column_scalers(spark, d):
     """Every value under five fitted transforms."""
     m = matrix(spark, d)
     out = transforms.column_norm(m).apply(m).withColumnRenamed("value", "normed")
     more = {
         "row_normed": transforms.row_norm(m), "scaled": transforms.min_max(m).apply(m),
-        "standard": transforms.standardise(m, 2.0).apply(m), "tfidf": transforms.tf_idf(m, 150).apply(m.withColumn("value", F.abs("value"))),
+        "standard": transforms.standardise(m, 2.0).apply(m), "tfidf": transforms.tf_idf(m, m.select("row").distinct().count()).apply(m.withColumn("value", F.abs("value"))),
     }
     for name, f in more.items():
         out = out.join(f.withColumnRenamed("value", name), ["row", "col"], "left")
@@ -407,15 +408,16 @@ def low_rank(spark, d):
     return out.unionByName(right.select(F.lit("creator").alias("side"), "index", "vec"))
 
 
-@query("file_round_trip", BASE + """SELECT engage_index, action, round(score, 4) AS score FROM (SELECT engage_index, 'like' AS action, (engage_index * 7919 % 9973 + 1) / 13000.0 AS score FROM imp WHERE like_ts IS NOT NULL)""")
+@query("file_round_trip", BASE + _PRED + """ SELECT model, action, CAST(tweet_id AS VARCHAR) AS tweet_id, CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, round(sum(round(score, 8)), 6) AS score FROM pred GROUP BY ALL""")
 def file_round_trip(spark, d):
-    """Predictions written with eight decimals and read back."""
-    rows = predictions(spark, d).filter("model = 'm0' and action = 'like' and label = 1")
-    p = folder(spark)
-    raw = (F.col("engage_index") * 7919 % 9973 + 1) / 13000.0
-    writers.write_predictions(rows.select("action", F.col("engage_index").alias("tweet_id"), "user_id", raw.alias("score")), p)
-    back = readers.read_predictions(spark, f"{p}/action=like")
-    return back.select(F.col("tweet_id").cast("long").alias("engage_index"), F.lit("like").alias("action"), r(F.col("score"), 4).alias("score"))
+    """All models' predictions written with eight decimals, a folder for each action, and read back."""
+    rows, p, out = stored(predictions(spark, d)), folder(spark), None
+    for m in ("m0", "m1", "m2"):
+        writers.write_predictions(rows.filter(F.col("model") == m), f"{p}/{m}")
+        for a in ACTIONS:
+            back = readers.read_predictions(spark, f"{p}/{m}/action={a}").withColumns({"model": F.lit(m), "action": F.lit(a)})
+            out = back if out is None else out.unionByName(back)
+    return out.groupBy("model", "action", "tweet_id", "user_id").agg(F.count("*").alias("n"), r(F.sum("score")).alias("score"))
 
 
 @query("libsvm_round_trip", MAT + """ SELECT CAST("row" % 2 AS DOUBLE) AS label, col, count(*) AS n, sum(value) AS value FROM m GROUP BY ALL""")

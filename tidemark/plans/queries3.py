@@ -148,7 +148,7 @@ def numeric_features(spark, d):
 
 
 @query("fitted_scaler", MAT + """, f AS (SELECT col, avg(value) AS mean, stddev_pop(value) AS std, max(abs(value)) AS top FROM m WHERE "row" % 2 = 0 GROUP BY col)
-SELECT "row", col, round(least(greatest((value - mean) / std, -2), 2), 6) AS value, round(pow(value / 100, 2), 3) AS squared FROM m JOIN f USING (col) WHERE "row" % 2 = 1 AND std > 0 AND abs(value - mean) >= 1e-5""")
+SELECT "row", col, round(least(greatest((value - mean) / std, -2), 2), 6) AS value, pow(value, 2) AS squared FROM m JOIN f USING (col) WHERE "row" % 2 = 1 AND std > 0 AND abs(value - mean) >= 1e-5""")
 def fitted_scaler(spark, d):
     """Standard scores fitted on the even rows and applied to the odd ones, beside squares of the values."""
     m = matrix(spark, d)
@@ -156,15 +156,15 @@ def fitted_scaler(spark, d):
     known = train.groupBy("col").agg(F.stddev_pop("value").alias("s")).filter("s > 0").select("col")
     model = models.ColumnScaler("standardise", clip=2.0).fit(train)
     out = model.transform(valid).join(known, "col", "left_semi").withColumn("value", r(F.col("value")))
-    squares = transforms.power(valid.withColumn("value", F.col("value") / 100), 2).withColumnRenamed("value", "squared")
-    return out.join(squares, ["row", "col"]).withColumn("squared", r(F.col("squared"), 3))
+    squares = transforms.power(valid, 2).withColumnRenamed("value", "squared")  # of whole cents, so exact
+    return out.join(squares, ["row", "col"])
 
 
-@query("dense_and_sparse", """WITH e AS (SELECT vec_id AS "row", unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS col FROM embeddings) SELECT "row", round(sum(value), 4) AS total, count(*) AS nonzeros, 64 AS width FROM e WHERE value > 0 GROUP BY "row" """)
+@query("dense_and_sparse", """WITH e AS (SELECT vec_id AS "row", unnest(embedding)::DOUBLE AS value, generate_subscripts(embedding, 1) - 1 AS col FROM embeddings) SELECT "row", round(sum(value), 4) AS total, count(*) AS nonzeros, (SELECT CAST(max(len(embedding)) AS INT) FROM embeddings) AS width FROM e WHERE value > 0 GROUP BY "row" """)
 def dense_and_sparse(spark, d):
     """Vectors without their negative elements, as nonzeros and filled up again."""
     v = vectors(spark, d).select("id", F.transform("vec", lambda x: F.when(x > 0, x.cast("double")).otherwise(0.0)).alias("vec"))
-    dense = transforms.to_dense(transforms.to_sparse(v, "id", "vec"), 64)
+    dense = transforms.to_dense(transforms.to_sparse(v, "id", "vec"), v.agg(F.max(F.size("vec"))).first()[0])
     return dense.select("row", r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size(F.filter("vec", lambda x: x > 0)).cast("long").alias("nonzeros"),
                         F.size("vec").alias("width"))
 
