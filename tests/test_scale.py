@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import factors, increments, order, similarity, windows
+from tidemark.operators import factors, increments, metrics, order, similarity, windows
 from tidemark.operators.impressions import ACTIONS
 
 IMP = "engage_index long, user_id long, tweet_id long, creator_id long, t long, tweet_ts long, reply_ts long, retweet_ts long, comment_ts long, like_ts long, follow boolean"
@@ -161,3 +161,18 @@ def test_positions_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
         order.shared_folder(Session)
     Context.master = "local[4]"
     assert order.shared_folder(Session).startswith("file:///tmp/")
+
+
+def test_running_sums_of_rows_that_tie(spark):
+    """Nine of ten rows have score 0: they are cut by their key, and no range holds more than its share."""
+    rnd = random.Random(9)
+    rows = [("ab"[i % 2], i, 0.0 if rnd.random() < 0.9 else rnd.randrange(50) / 10, rnd.randrange(2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "action string, key int, score double, label int")
+    got = {r["key"]: (r["label_upto"], r["n_upto"]) for r in metrics.running(df.withColumn("n", F.lit(1)), "action", "score", ["label", "n"], "key").collect()}
+    for a in "ab":
+        tp = 0
+        for n, r in enumerate(sorted((r for r in rows if r[0] == a), key=lambda r: (-r[2], r[1])), 1):
+            tp += r[3]
+            assert got[r[1]] == (tp, n)
+    plan = metrics.running(df.withColumn("n", F.lit(1)), "action", "score", ["label", "n"], "key")
+    assert "_sub" in plan._jdf.queryExecution().optimizedPlan().toString()

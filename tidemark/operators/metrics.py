@@ -14,22 +14,31 @@ from pyspark.sql import Window as W
 RANGE_ROWS, PARTS, MOST_PARTS = 1_000_000, 16, 4096
 
 
-def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: list[str] | None = None) -> DataFrame:
-    """Adds ``<c>_upto``: running sums per group over falling ``order``, ties in the order given.
+def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: str | None = None) -> DataFrame:
+    """Adds ``<c>_upto``: running sums per group over falling ``order``, rows that tie by rising ``ties`` (a number).
 
-    The number of ranges a group is cut into grows with the rows. Cuts and totals have a row a group and one a range; whether
-    they are broadcast is left to their size.
+    The number of ranges a group is cut into grows with the rows. Rows that tie at a cut are a range of their own, and as most
+    rows of a group may tie there (scores that were filled with 0), such a range is cut again by ``ties``. Cuts and totals have a row a group
+    and one a range; whether they are broadcast is left to their size.
     """
     parts = min(MOST_PARTS, max(PARTS, rows.count() // RANGE_ROWS))
-    at = F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts))
-    cuts = rows.groupBy(by).agg(at.alias("_cuts"))
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = rows.groupBy(by).agg(F.percentile_approx(order, at, F.lit(100 * parts)).alias("_cuts"))
     own = rows.join(cuts, by)
-    own = own.withColumn("_part", F.size(F.filter("_cuts", lambda c: c > F.col(order)))).drop("_cuts")
-    totals = own.groupBy(by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(by, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums])
-    inside = W.partitionBy(by, "_part").orderBy(F.desc(order), *(ties or [])).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(totals, [by, "_part"])
+    above = F.size(F.filter("_cuts", lambda c: c > F.col(order)))
+    part = 2 * above + F.when(F.array_contains("_cuts", F.col(order)), 1).otherwise(0)  # what ties at a cut comes after what is above it
+    own = own.withColumn("_part", part).drop("_cuts")
+    if ties is not None:
+        inner = own.filter("_part % 2 = 1").groupBy(by, "_part").agg(F.percentile_approx(ties, at, F.lit(100 * parts)).alias("_cuts"))
+        own = own.join(inner, [by, "_part"], "left").withColumn("_sub", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(ties))), F.lit(0))).drop("_cuts")
+    else:
+        own = own.withColumn("_sub", F.lit(0))
+    key = [by, "_part", "_sub"]
+    totals = own.groupBy(*key).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = W.partitionBy(by).orderBy("_part", "_sub").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*key, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums])
+    inside = W.partitionBy(*key).orderBy(F.desc(order), *([ties] if ties else [])).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = own.withColumns({f"_{c}_in": F.sum(c).over(inside) for c in sums}).join(totals, key)
     new = {f"{c}_upto": F.col(f"_{c}_in") + F.col(f"_{c}_before") for c in sums}
     return out.withColumns(new).select(*rows.columns, *new)
 
@@ -59,7 +68,7 @@ def pr_auc(rows: DataFrame, by: str = "action") -> DataFrame:
 def pr_auc_rows(rows: DataFrame, key: str, by: str = "action") -> DataFrame:
     """Area by trapezoids between consecutive rows of falling score (ties by key), from the second row on."""
     steps = rows.select(by, key, "score", F.col("label").alias("tp"), F.lit(1).alias("n"))
-    return _area(running(steps, by, "score", ["tp", "n"], [key]), rows, by, False)
+    return _area(running(steps, by, "score", ["tp", "n"], key), rows, by, False)
 
 
 def relative_cross_entropy(rows: DataFrame, by: str = "action", *, inside: float | None = None) -> DataFrame:
