@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,8 +110,9 @@ def length_batches(df: DataFrame, key: str, length: str, *, bins: list[int], bat
     return rows.join(full, ["bin", "batch"])
 
 
-def longest_first(df: DataFrame, own: str, key: str) -> DataFrame:
-    return df.orderBy(F.size(own).desc(), key)
+def longest_first(df: DataFrame, own: str, key: str, name: str = "place") -> DataFrame:
+    """Rows by falling length of an array, ties by key, with their 0-based place: ranges of lengths are sorted side by side."""
+    return global_index(df, F.size(own).desc(), F.col(key), name=name)
 
 
 def corpus_sets(a: DataFrame, b: DataFrame, valid_ids: DataFrame, *, key: str, own: str, words: str, least: int = 7) -> DataFrame:
@@ -124,6 +127,19 @@ def sample_rows(df: DataFrame, fraction: float, *, replace: bool = False, seed:
     return df.sample(replace, fraction, seed)
 
 
+def drawn_rows(df: DataFrame, key: str, fraction: float, *, replace: bool = False, seed: int = 0) -> DataFrame:
+    """A sample that follows from ids and seed alone: each row with chance ``fraction``, or with replacement as often as a
+    Poisson number of that mean says (beyond 40 copies none)."""
+    u = uniform(key, seed=seed)
+    if not replace:
+        return df.filter(u <= fraction)
+    copies, below, term = F.lit(0), 0.0, math.exp(-fraction)
+    for k in range(40):
+        below, term = below + term, term * fraction / (k + 1)
+        copies = copies + (u > below).cast("int")
+    return df.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
 def uniform(*salt: Column | str, seed: int = 0) -> Column:
     """A number in (0, 1] that follows from the salt and the seed alone and that other engines agree on."""
     own = F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in salt])

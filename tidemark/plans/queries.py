@@ -217,22 +217,21 @@ SELECT tweet_id, nullif(regexp_extract(text, 'RT @ ([^,:]+) :', 1), '') AS main_
  len(list_filter(regexp_split_to_array({_variant(False)}, '\\s+'), lambda x: x <> '')) AS words, length({_variant(False)}) AS chars FROM t""")
 def text_extraction(spark, d):
     """Mentions, tags, links, cleaned texts and their sizes."""
-    c = F.col("text")
-    removed = tx.clean_variant(c, replace=False)
-    return tweets(spark, d).select(
+    c, removed = F.col("text"), F.col("removed")
+    return tweets(spark, d).withColumn("removed", tx.clean_variant(c, replace=False)).select(
         "tweet_id", tx.main_mention(c).alias("main_mention"), F.array_join(tx.list_without_spaces(tx.other_mentions(c)), "|").alias("mentions"),
         F.array_join(tx.hashtags(c), "|").alias("hashtags"), tx.without_spaces(tx.first_url(c)).alias("url"), tx.clean_variant(c, replace=True).alias("replaced"),
-        removed.alias("removed"), tx.word_count(removed).cast("long").alias("words"), F.length(removed).cast("long").alias("chars"),
+        removed, tx.word_count(removed).cast("long").alias("words"), F.length(removed).cast("long").alias("chars"),
     )
 
 
-@query("text_fidelity", """WITH t AS (SELECT lang, contains(text, '#') AS tag, len(regexp_extract_all(text, '(#[^ \\n]+)', 1)) > 0 AS given_tag, regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') AS link, contains(text, '.com') AS given_link FROM documents)
+@query("text_fidelity", """WITH t AS (SELECT lang, regexp_matches(text, '#[A-Za-z]') AS tag, len(regexp_extract_all(text, '(#[^ \\n]+)', 1)) > 0 AS given_tag, regexp_matches(text, '[a-z0-9.]+@[a-z0-9.]+') AS link, contains(text, '.com') AS given_link FROM documents)
 SELECT lang AS language, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share, round(avg(CAST(tag AND NOT given_tag AS INT)), 6) AS tag_found_only, round(avg(CAST(given_tag AND NOT tag AS INT)), 6) AS tag_given_only,
  round(avg(CAST(link AND NOT given_link AS INT)), 6) AS link_found_only, round(avg(CAST(given_link AND NOT link AS INT)), 6) AS link_given_only FROM t GROUP BY lang""")
 def text_fidelity(spark, d):
     """Language shares, and how well signs found in texts agree with the log's tags and links, per language."""
     c = contents(spark, d)
-    tags = tx.fidelity(c, F.contains("text", F.lit("#")), F.size("hashtags") > 0, ["language"]).toDF("language", "tag_found_only", "tag_given_only")
+    tags = tx.fidelity(c, F.rlike("text", F.lit("#[A-Za-z]")), F.size("hashtags") > 0, ["language"]).toDF("language", "tag_found_only", "tag_given_only")
     links = tx.fidelity(c, F.size("links") > 0, F.contains("text", F.lit(".com")), ["language"]).toDF("language", "link_found_only", "link_given_only")
     out = tx.shares(c, "language").join(tags, "language").join(links, "language")
     return out.select("language", "n", *[r(F.col(x)).alias(x) for x in ("share", "tag_found_only", "tag_given_only", "link_found_only", "link_given_only")])
@@ -240,12 +239,12 @@ def text_fidelity(spark, d):
 
 @query("analyzed_tokens", """WITH a AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(text, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), '(\\p{L})(\\p{N})|(\\p{N})(\\p{L})', '\\1\\3 \\2\\4', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM documents),
 w AS (SELECT doc_id, unnest(string_split(translate(t, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), ' ')) AS token FROM a)
-SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, greatest(length(token) - 2, 0) + greatest(length(token) - 3, 0) AS grams FROM w WHERE token <> '' GROUP BY token""")
+SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, md5(array_to_string(list_sort(list_concat(list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3)), list_transform(range(1, length(token) - 2), lambda i: substr(token, i, 4)))), '|')) AS grams FROM w WHERE token <> '' GROUP BY token""")
 def analyzed_tokens(spark, d):
-    """Analysed tokens of all texts: uses, texts, and how many runs of 3 to 4 characters each has."""
+    """Analysed tokens of all texts: uses, texts, and a digest of the runs of 3 to 4 characters of each."""
     rows = contents(spark, d).select("tweet_id", F.explode(tx.analyze(F.col("text"))).alias("token"))
     out = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("tweet_id").alias("docs"))
-    return out.withColumn("grams", F.size(tx.char_ngrams(F.array("token"), 3, 4)).cast("long"))
+    return out.withColumn("grams", F.md5(F.array_join(F.array_sort(tx.char_ngrams(F.array("token"), 3, 4)), "|")))
 
 
 _VOC = """WITH tok AS (SELECT doc_id AS tweet_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents), f AS (SELECT tweet_id, unnest(w) AS piece, generate_subscripts(w, 1) AS p FROM tok),

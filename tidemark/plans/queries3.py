@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import blend, embeddings, history, ids, metrics, models, similarity, splits, transforms
 from tidemark.operators.impressions import ACTIONS, all_before, bounds, contents, from_events, labels
-from tidemark.plans.queries import _CON, _TWEET, BASE, history_features, parts, r, tweets
+from tidemark.plans.queries import _CLEAN, _CON, _TWEET, _WS, BASE, history_features, parts, r, tweets
 from tidemark.plans.queries2 import _NRM, _PRED, MAT, folder, keyed, matrix, vectors
 from tidemark.sources import readers, writers
 
@@ -60,7 +60,7 @@ def dense_csv(spark, d):
 _FIRST = """, o AS (SELECT user_id, action, tweet_id, engage_index, row_number() OVER (PARTITION BY user_id, action ORDER BY engage_index) AS pos FROM hact), g AS (SELECT * FROM o WHERE pos <= 10)"""
 
 
-@query("history_csv", BASE + _FIRST + """, m AS (SELECT user_id, action, string_agg(tweet_id, '|' ORDER BY pos) || '|' AS items, count(*) AS n, sum(tweet_id) AS total FROM g GROUP BY ALL) SELECT user_id AS "user", action, items, n, CAST(total AS BIGINT) AS total FROM m""")
+@query("history_csv", BASE + _FIRST + """, m AS (SELECT user_id, action, string_agg(tweet_id, '|' ORDER BY pos) || '|' AS items, count(*) AS n, sum(tweet_id) AS total FROM g GROUP BY ALL) SELECT user_id AS "user", CAST(n > 3 AS INT) AS label, action, n AS size, items, n, CAST(total AS BIGINT) AS total FROM m""")
 def history_csv(spark, d):
     """Histories written as ``id|id|`` columns beside an id map, read back and mapped to ids."""
     p = folder(spark)
@@ -68,12 +68,13 @@ def history_csv(spark, d):
     used = first.select(F.explode("items").alias("tweet_id")).distinct()
     index = ids.assign_ids(used.withColumn("pos", F.col("tweet_id")), ["tweet_id"], "pos", id_col="tweet_id")
     writers.write_id_map(index.select("tweet_id", "index"), f"{p}/map")
-    writers.write_history_csv(first, f"{p}/rows", labels=[], features=["action"], histories=["items"], keys=["user_id"])
-    back = readers.read_feature_csv(spark, f"{p}/rows", [("action", 1, "string"), ("items", 1, "string"), ("user", 1, "long")])
+    own = first.withColumns({"label": (F.size("items") > 3).cast("int"), "size": F.size("items").cast("long")})
+    writers.write_history_csv(own, f"{p}/rows", labels=["label"], features=["action", "size"], histories=["items"], keys=["user_id"])
+    back = readers.read_feature_csv(spark, f"{p}/rows", [("label", 1, "int"), ("action", 1, "string"), ("size", 1, "long"), ("items", 1, "string"), ("user", 1, "long")])
     one = back.select("*", F.explode(F.filter(F.split("items", r"\|"), lambda x: x != "")).alias("tweet_id"))
     known = one.join(readers.read_id_map(spark, f"{p}/map"), "tweet_id")
     back_ids = ids.index_to_id(known.drop("tweet_id"), index.select(F.col("tweet_id").alias("id"), "index"), "tweet_index")
-    return back_ids.groupBy("user", "action", "items").agg(F.count("*").alias("n"), F.sum("tweet_index").alias("total"))
+    return back_ids.groupBy("user", "label", "action", "size", "items").agg(F.count("*").alias("n"), F.sum("tweet_index").alias("total"))
 
 
 @query("chunk_files", BASE + """SELECT 'train' AS part, CAST(engage_index % 3 AS INT) AS chunk, count(*) AS n, sum(engage_index) AS total FROM tgt WHERE split = 'train' GROUP BY ALL UNION ALL SELECT 'valid', 0, count(*), sum(engage_index) FROM tgt WHERE split = 'valid'""")
@@ -110,18 +111,21 @@ def corpus_lines(spark, d):
 
 
 @query("embedding_segments", """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS e FROM embeddings), w AS (SELECT id, e, row_number() OVER (ORDER BY id) - 1 AS "row" FROM v)
-SELECT "row", id, round(e[1]::DOUBLE, 5) AS first, round(e[2]::DOUBLE, 5) AS second, 0 AS wrong FROM w""")
+SELECT "row", id, round(e[1]::DOUBLE, 5) AS first, round(e[2]::DOUBLE, 5) AS second, (SELECT count(*) FROM v WHERE id % 50 = 7) AS wrong FROM w""")
 def embedding_segments(spark, d):
-    """Two segments of vectors of which the later one wins, put in row order, with a spot check of the first values."""
+    """Two segments of vectors of which the later one wins, put in row order, with a spot check of the first values against the
+    table's own, of which every fiftieth is made wrong."""
     v, p = vectors(spark, d), folder(spark)
     v.write.parquet(f"{p}/0")
     v.filter("id % 3 = 0").withColumn("vec", F.reverse("vec")).write.parquet(f"{p}/1")
     own = readers.read_embedding_segments(spark, [f"{p}/0", f"{p}/1"])
     rows = ids.assign_ids(own.withColumn("pos", F.col("id")), ["id"], "pos", name="row")
     out = writers.embedding_rows(rows, own)
-    expected = own.select("id", F.slice("vec", 1, 2).alias("head"))
+    raw = vectors(spark, d).withColumn("vec", F.when(F.col("id") % 3 == 0, F.reverse("vec")).otherwise(F.col("vec")))
+    head = F.slice("vec", 1, 2)
+    expected = raw.select("id", F.when(F.col("id") % 50 == 7, F.transform(head, lambda x: (x + 1).cast("float"))).otherwise(head).alias("head"))
     wrong = embeddings.check_values(own, expected).count()
-    return out.select("row", "id", r(F.col("vec")[0].cast("double"), 5).alias("first"), r(F.col("vec")[1].cast("double"), 5).alias("second"), F.lit(wrong).alias("wrong"))
+    return out.select("row", "id", r(F.col("vec")[0].cast("double"), 5).alias("first"), r(F.col("vec")[1].cast("double"), 5).alias("second"), F.lit(wrong).cast("long").alias("wrong"))
 
 
 @query("dictionary_reuse", """WITH a AS (SELECT DISTINCT lang || '-' || source AS c FROM documents WHERE doc_id % 2 = 0), p AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS cat FROM a WHERE c < 'en-src5'),
@@ -169,12 +173,14 @@ def dense_and_sparse(spark, d):
                         F.size("vec").alias("width"))
 
 
-@query("first_statistics", """WITH t AS (SELECT source AS key, arg_min(text, doc_id) AS text FROM documents GROUP BY source), w AS (SELECT key, list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\s_', '_', 'g'), '_\\s', '_', 'g'), '@ \\S+ ', '', 'g'), ' '), '[.,:;!?'')(}{]', '', 'g'), '\\s+'), lambda x: x <> '') AS w FROM t)
-SELECT key, CAST(len(w) AS DOUBLE) AS words, CAST(list_max(list_transform(w, lambda x: length(x))) AS DOUBLE) AS max_length FROM w""")
+@query("first_statistics", f"""WITH t AS (SELECT source AS key, arg_min(text, doc_id) AS text FROM documents GROUP BY source), c AS (SELECT key, {_CLEAN} AS c FROM t), w AS (SELECT key, c, {_WS.format(t='c')} AS w FROM c)
+SELECT key, CAST(len(regexp_extract_all(c, '[.|,:;!?'']')) AS DOUBLE) AS punctuation, CAST(len(w) AS DOUBLE) AS words,
+ CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) AS DOUBLE) AS capitalised, CAST(len(list_filter(w, lambda x: NOT regexp_matches(x, '\\p{{Ll}}'))) AS DOUBLE) AS uppercase,
+ CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS DOUBLE) AS max_length, round(coalesce(list_avg(list_transform(w, lambda x: length(x))), 0), 6) AS mean_length FROM w""")
 def first_statistics(spark, d):
-    """Statistics of each source's first text."""
+    """All statistics of each source's first text."""
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("source", "key")
-    return tx.first_statistics(docs, "key", "doc_id", "text").select("key", "words", "max_length")
+    return tx.first_statistics(docs, "key", "doc_id", "text").withColumn("mean_length", r(F.col("mean_length")))
 
 
 @query("mention_ids", f"""WITH t AS (SELECT doc_id AS tweet_id, {_TWEET} AS text FROM documents), x AS (SELECT tweet_id, 0 AS g, 0 AS p, nullif(regexp_extract(text, 'RT @ ([^,:]+) :', 1), '') AS name FROM t
@@ -212,14 +218,17 @@ def shuffled_rows(spark, d):
     return out.select("key", "at", splits.ith_choice(F.col("key"), 3, 3).alias("digits"))
 
 
-@query("sampled_rows", """SELECT count(*) AS rows, true AS plausible FROM documents""")
+_POISSON = [0.9048374180359595, 0.9953211598395555, 0.9998453469297354, 0.9999961531660748]
+
+
+@query("sampled_rows", """WITH x AS (SELECT doc_id, (CAST('0x' || substr(md5(doc_id || ':4'), 1, 12) AS BIGINT) + 1) / 281474976710656.0 AS u FROM documents)
+SELECT doc_id, CAST(u <= 0.1 AS INT) AS once, CAST(""" + " + ".join(f"CAST(u > {x} AS INT)" for x in _POISSON) + """ AS BIGINT) AS copies FROM x WHERE u <= 0.1 OR u > 0.9048374180359595""")
 def sampled_rows(spark, d):
-    """Whether a tenth of the rows, drawn with replacement, is about a tenth, and the same in a second draw."""
+    """A tenth of the rows, and a tenth drawn with replacement: which rows each draw has, and how often."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    n = docs.count()
-    a, b = (splits.sample_rows(docs, 0.1, replace=True, seed=4).agg(F.count("*"), F.sum("doc_id")).first() for _ in range(2))
-    ok = a == b and abs(a[0] - 0.1 * n) <= 6 * (0.1 * n) ** 0.5
-    return docs.agg(F.count("*").alias("rows")).withColumn("plausible", F.lit(ok))
+    once = splits.drawn_rows(docs, "doc_id", 0.1, seed=4).withColumn("once", F.lit(1))
+    more = splits.drawn_rows(docs, "doc_id", 0.1, replace=True, seed=4).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    return once.join(more, "doc_id", "full").select("doc_id", F.coalesce("once", F.lit(0)).alias("once"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
 
 
 @query("random_cells", """WITH c AS (SELECT range AS "row" FROM range((SELECT count(*) FROM documents))), x AS (SELECT "row", i, (CAST('0x' || substr(md5("row" || ':' || i || ':5'), 1, 12) AS BIGINT) + 1) / 281474976710656.0 AS u, (CAST('0x' || substr(md5("row" || ':' || i || ':6'), 1, 12) AS BIGINT) + 1) / 281474976710656.0 AS v FROM c, range(3) r(i))
@@ -231,10 +240,11 @@ def random_cells(spark, d):
     return a.join(b, ["row", "i"]).select("row", F.col("i").cast("long").alias("i"), r(F.col("even")).alias("even"), r(F.col("normal")).alias("normal"))
 
 
-@query("longest_texts", """SELECT doc_id, len(regexp_split_to_array(text, '[ \\n]+')) AS n FROM documents""")
+@query("longest_texts", """SELECT doc_id, len(regexp_split_to_array(text, '[ \\n]+')) AS n, row_number() OVER (ORDER BY len(regexp_split_to_array(text, '[ \\n]+')) DESC, doc_id) - 1 AS place FROM documents""")
 def longest_texts(spark, d):
     """Texts by falling number of tokens."""
-    return splits.longest_first(contents(spark, d), "tokens", "tweet_id").select(F.col("tweet_id").alias("doc_id"), F.size("tokens").cast("long").alias("n"))
+    rows = splits.longest_first(contents(spark, d).select("tweet_id", "tokens"), "tokens", "tweet_id")
+    return rows.select(F.col("tweet_id").alias("doc_id"), F.size("tokens").cast("long").alias("n"), "place")
 
 
 @query("labelled_predictions", BASE + _PRED + """SELECT engage_index, action, model, round(score, 6) AS score, label FROM pred""")

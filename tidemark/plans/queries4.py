@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import blend, increments, models, similarity, splits, transforms, trees, windows
+from tidemark.operators import blend, ids, increments, models, similarity, splits, transforms, trees, windows
 from tidemark.operators.impressions import ACTIONS, HOUR, contents
 from tidemark.operators.order import shared_folder, stored
 from tidemark.plans.queries import _ANY, _CON, _NEG, _WHIT, BASE, history_features, r, stored_log
@@ -203,3 +203,14 @@ def saved_scaler(spark, d):
     known = train.groupBy("col").agg(F.stddev_pop("value").alias("s")).filter("s > 0").select("col")
     out = PipelineModel.load(p).transform(m.filter("row % 2 = 1")).join(known, "col", "left_semi")
     return out.select("row", "col", r(F.col("value")).alias("value"))
+
+
+@query("token_tfidf", """WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS category FROM documents), nz AS (SELECT doc_id, category, count(*) AS n FROM tok GROUP BY ALL),
+f AS (SELECT category, count(*) AS df FROM nz GROUP BY category HAVING count(*) > 20), k AS (SELECT category, df, row_number() OVER (ORDER BY category) - 1 AS cat FROM f)
+SELECT doc_id AS "row", cat AS col, round(ln(1 + n) * ln((SELECT count(*) FROM documents) * 1.0 / df), 6) AS value FROM nz JOIN k USING (category)""")
+def token_tfidf(spark, d):
+    """Weights of the tokens of more than 20 items, by their uses and their items."""
+    c = contents(spark, d).select("tweet_id", "tokens")
+    m = ids.encode_frequent(c, "tweet_id", "tokens", 20).select(F.col("tweet_id").alias("row"), F.col("cat").alias("col"), "value")
+    m = stored(m)
+    return transforms.tf_idf(m, c.count()).apply(m).withColumn("value", r(F.col("value")))
