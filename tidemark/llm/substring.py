@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import M1, give_back, mix, numbered, partitions_for, read, text_batches, word_hashes
 
 #: Characters of text in a batch, about.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Bits of an edge that tell the edges of one node apart; the others are its node's.
 _LOW, _SHIFT = np.uint64((1 << 24) - 1), np.uint64(24)
 _WORD32 = np.uint64(0xFFFFFFFF)
