@@ -399,6 +399,13 @@ def test_recall_below_target_is_an_error(spark, monkeypatch):
         nn_descent.near_duplicates(df)
 
 
+def test_of_different_texts_under_one_id_the_smallest_stays(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "cab"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, None), (6, texts[2]), (7, texts[2] + " more")]
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame(spark, rows)).collect())
+    assert got == [(5, texts[1]), (6, texts[2])]
+
+
 def test_audit_needs_evidence(spark):
     """Without a link there is no figure; with components torn apart it is the share of links that stay inside."""
     nodes = spark.createDataFrame([(i, "a", np.eye(40)[i].tobytes()) for i in range(20)], "id long, label string, vec binary")

@@ -161,6 +161,15 @@ def test_language_training_is_repeatable_and_ignores_held_out_rows(spark):
     assert langid.reject(clash, langid.fit(docs, sample=40, epochs=1, noise=True)).columns == clash.columns
 
 
+def test_rejection_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "ein Text", 5), (2, "123", 6), (3, None, 7)], "doc_id long, text string, `odd``na me.x` int")
+    got = langid.reject(df, None)
+    assert got.columns == df.columns and [r["doc_id"] for r in got.collect()] == [1]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("odd`na me.x", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    got = langid.reject(docs, langid.fit(docs, noise=True))
+    assert got.columns == docs.columns and got.count() > 190 and {r["lang_pred"] for r in got.collect()} == {"x"}
+
+
 def plain_forward(net, window):
     """Probabilities of one window by convolutions written out."""
     pooled = []

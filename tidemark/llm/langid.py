@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm._common import bounded, free_name, give_back, read, text_batches
+from tidemark.llm._common import bounded, free_name, give_back, numbered, read, text_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -262,11 +262,13 @@ def reject(docs: DataFrame, net: Network | None, *, sure: float = 0.9, text_col:
     A text in some language stays however unsure which: texts that mix languages score low but are clean. All columns stay
     as they are. Without a network, or with one that knows no noise, only texts without a letter go.
     """
+    own, name = numbered(docs)  # so that no name of a caller's can clash or need quotes
+    text = name[text_col]
     if net is None or UNKNOWN not in net.languages:
-        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    got, pred, score = annotate(docs, net, text_col=text_col)
+        return own.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).toDF(*docs.columns)
+    got, pred, score = annotate(own, net, text_col=text)
     junk = (F.col(pred) == UNKNOWN) & ((F.col(score) >= sure) | (F.col(score) == 0))
-    return got.filter(~junk).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return got.filter(~junk).select(*name.values()).toDF(*docs.columns)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
