@@ -146,7 +146,7 @@ def grow(rows: DataFrame, depth: int, rate: float, penalty: float, least_hessian
         return tree
     tree.value[0], open_ = -rate * top["g"] / (top["h"] + penalty), [0]
     for _ in range(depth):
-        best = {r["node"]: r for r in splits(rows.withColumn("node", tree.node(F.col("bins"))), open_, penalty, least_hessian, least_gain).collect()}
+        best = {r["node"]: r for r in splits(rows.withColumn("node", tree.node(F.col("bins"))), min(open_), penalty, least_hessian, least_gain).collect()}
         open_ = []
         for node, r in best.items():
             tree.column[node], tree.bin[node], tree.gain[node] = r["column"], r["bin"], r["gain"]
@@ -158,10 +158,10 @@ def grow(rows: DataFrame, depth: int, rate: float, penalty: float, least_hessian
     return tree
 
 
-def splits(rows: DataFrame, nodes: list[int], penalty: float, least_hessian: float, least_gain: float) -> DataFrame:
-    """Best split of each of the nodes: node, gain, column, bin, and the sums of both sides. Equal gains (to nine digits of
+def splits(rows: DataFrame, first: int, penalty: float, least_hessian: float, least_gain: float) -> DataFrame:
+    """Best split of each node from ``first`` on, which are those of the level at hand: node, gain, column, bin, and the sums of both sides. Equal gains (to nine digits of
     the total) go to the first column, then the lowest bin."""
-    own = rows.filter(F.col("node").isin(nodes)).select("node", "g", "h", F.posexplode("bins").alias("column", "bin"))
+    own = rows.filter(F.col("node") >= first).select("node", "g", "h", F.posexplode("bins").alias("column", "bin"))
     sums = own.groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     order = W.partitionBy("node", "column").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     every = W.partitionBy("node", "column")  # a node's bins of a column
