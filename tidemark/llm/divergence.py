@@ -210,7 +210,9 @@ def corrections(entries: DataFrame) -> DataFrame:
     path = F.array_sort(F.collect_list(F.struct("at", "p", "none")))
     lists = entries.groupBy("lang", "term").agg(path.alias("path")).filter(F.size("path") > 1)
     rows = lists.groupBy("lang", "path").agg(F.count("*").alias("n"))
-    rows = rows.repartitionByRange(partitions_for(entries), "lang", "path").sortWithinPartitions("lang", "path")
+    # ranges by where paths begin: bounds come from a sample on the driver, which short keys keep small
+    begin = [F.get("path", F.lit(0))["at"], F.get("path", F.lit(0))["p"], F.get("path", F.lit(1))["at"], F.get("path", F.lit(1))["p"], F.get("path", F.lit(2))["at"]]
+    rows = rows.repartitionByRange(partitions_for(entries), "lang", *begin).sortWithinPartitions("lang", "path")
     rows = rows.select("lang", F.col("path.at").alias("at"), F.col("path.p").alias("p"), F.col("path.none").alias("none"), "n")
     return rows.mapInPandas(walked, "lang string, a long, b long, value long")
 
