@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import bounded, give_back, read, text_batches
 
 #: A lone space between two visible characters starts a match of the default pattern, so texts can be cut there.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 _BLANK = re.compile(r"[\s\x1c-\x1f\x85]")
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
@@ -71,7 +71,7 @@ def read_ranks(path: str) -> list[bytes]:
 class ByteBPE:
     """Encoder and decoder; remembers the ids of units of text between single spaces."""
 
-    def __init__(self, path: str, pattern: str, default: bool, keep: int = 250_000):
+    def __init__(self, path: str, pattern: str, default: bool, keep: int = 100_000):
         import regex
         import sentencepiece
 
