@@ -176,3 +176,19 @@ def test_running_sums_of_rows_that_tie(spark):
             assert got[r[1]] == (tp, n)
     plan = metrics.running(df.withColumn("n", F.lit(1)), "action", "score", ["label", "n"], "key")
     assert "_sub" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_cost_users_histories_not_creators_users(spark, monkeypatch):
+    """Every user acted with all of four creators: pairs of creators meet over users, no user meets all other users."""
+    made, join = [], similarity.grid_join
+
+    def counted(*args, **more):
+        out = join(*args, **more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "grid_join", counted)
+    df = spark.range(1000).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("creator_id"), F.lit(2).cast("long").alias("n"))
+    got = [r["score"] for r in similarity.item_scores(df, df.filter("user_id < 50")).collect()]
+    assert len(got) == 200 and all(abs(x - 4.0) < 1e-9 for x in got)
+    assert max(made) <= 1000 * 4 * 4

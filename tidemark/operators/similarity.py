@@ -170,17 +170,21 @@ def normalised(counts: DataFrame) -> DataFrame:
 def item_scores(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score of (user_id, creator_id): the sum, over creators the user acted with, of their rows' product with this one.
 
-    Rows of a user's creators are first added up per column; only the pairs asked for are scored.
+    Creators' rows are multiplied first, over the columns that two of them share: a user costs the square of the creators in
+    their own history, not the users of each of those. Only rows of the asked users' creators meet the creators asked for.
     """
     counts = stored(counts, "counts")
     m = stored(normalised(counts), "normalised")
     wanted = stored(pairs.select("user_id", "creator_id").distinct(), "wanted")
-    users = counts.join(wanted.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("creator_id").alias("row"))
-    # a creator that half of the users acted with is a row with as many columns: its users meet its columns block by block
-    sums = grid_join(stored(users, "users"), m, "row", "user_id", "col").groupBy("user_id", "col").agg(F.sum("value").alias("s"))
-    target = m.select(F.col("row").alias("creator_id"), "col", "value")
-    got = grid_join(wanted, stored(sums, "sums"), "user_id", "creator_id", "col").join(target, ["creator_id", "col"])
-    got = got.groupBy("user_id", "creator_id").agg(F.sum(F.col("s") * F.col("value")).alias("score"))
+    users = counts.join(wanted.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("creator_id").alias("own"))
+    users = stored(users, "users")
+    own = m.join(users.select(F.col("own").alias("row")).distinct(), "row", "left_semi").select("col", F.col("row").alias("own"), F.col("value").alias("x"))
+    asked = m.join(wanted.select(F.col("creator_id").alias("row")).distinct(), "row", "left_semi")
+    asked = asked.select("col", F.col("row").alias("creator_id"), F.col("value").alias("y"))
+    likes = grid_join(stored(own, "own"), stored(asked, "asked"), "col", "own", "creator_id")
+    likes = stored(likes.groupBy("own", "creator_id").agg(F.sum(F.col("x") * F.col("y")).alias("value")), "likes")
+    got = grid_join(wanted, users, "user_id", "creator_id", "own").join(small(likes), ["own", "creator_id"])
+    got = got.groupBy("user_id", "creator_id").agg(F.sum("value").alias("score"))
     return wanted.join(got, ["user_id", "creator_id"], "left").fillna(0.0, ["score"])
 
 
