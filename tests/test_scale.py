@@ -192,3 +192,11 @@ def test_scores_cost_users_histories_not_creators_users(spark, monkeypatch):
     got = [r["score"] for r in similarity.item_scores(df, df.filter("user_id < 50")).collect()]
     assert len(got) == 200 and all(abs(x - 4.0) < 1e-9 for x in got)
     assert max(made) <= 1000 * 4 * 4
+
+
+def test_cuts_of_running_sums_are_made_once(spark):
+    """Ranges of rows and their totals must come from the same cuts; a sketch that is worked out again may give others."""
+    df = spark.range(300).select(F.lit("a").alias("action"), F.col("id").alias("key"), (F.col("id") % 7).cast("double").alias("score"), F.lit(1).alias("n"))
+    for ties in (None, "key"):
+        plan = metrics.running(df, "action", "score", ["n"], ties)._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile_approx" not in plan

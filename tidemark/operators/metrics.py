@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.order import stored
+
 #: Rows of a range, about, and the smallest and largest number of ranges of a group.
 RANGE_ROWS, PARTS, MOST_PARTS = 1_000_000, 16, 4096
 
@@ -19,18 +21,20 @@ def running(rows: DataFrame, by: str, order: str, sums: list[str], ties: str | N
 
     The number of ranges a group is cut into grows with the rows. Rows that tie at a cut are a range of their own, and as most
     rows of a group may tie there (scores that were filled with 0), such a range is cut again by ``ties``. Cuts and totals have a row a group
-    and one a range; whether they are broadcast is left to their size.
+    and one a range; whether they are broadcast is left to their size. Rows and cuts are stored: a sketch that is made again merges its
+    parts in another order and gives other cuts, and totals by those don't fit the ranges.
     """
+    rows = stored(rows, "running")
     parts = min(MOST_PARTS, max(PARTS, rows.count() // RANGE_ROWS))
     at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = rows.groupBy(by).agg(F.percentile_approx(order, at, F.lit(100 * parts)).alias("_cuts"))
+    cuts = stored(rows.groupBy(by).agg(F.percentile_approx(order, at, F.lit(100 * parts)).alias("_cuts")), "cuts")
     own = rows.join(cuts, by)
     above = F.size(F.filter("_cuts", lambda c: c > F.col(order)))
     part = 2 * above + F.when(F.array_contains("_cuts", F.col(order)), 1).otherwise(0)  # what ties at a cut comes after what is above it
     own = own.withColumn("_part", part).drop("_cuts")
     if ties is not None:
         inner = own.filter("_part % 2 = 1").groupBy(by, "_part").agg(F.percentile_approx(ties, at, F.lit(100 * parts)).alias("_cuts"))
-        own = own.join(inner, [by, "_part"], "left").withColumn("_sub", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(ties))), F.lit(0))).drop("_cuts")
+        own = own.join(stored(inner, "cuts"), [by, "_part"], "left").withColumn("_sub", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(ties))), F.lit(0))).drop("_cuts")
     else:
         own = own.withColumn("_sub", F.lit(0))
     key = [by, "_part", "_sub"]
