@@ -202,3 +202,17 @@ def test_names_of_languages(spark):
     got = [r["n"] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(ids.language_name(F.col("c")).alias("n")).collect()]
     assert got == ["english", "swahili", "german", "other", "other"]
     assert sum(len(k) == 32 for k in ids.LANGUAGES) == 25
+
+
+def test_one_long_row_does_not_pad_the_others(spark):
+    def make():
+        def predict(arrays, masks):
+            assert arrays["x"].size <= models.CELLS  # all 3001 rows at once would be 60 million cells
+            return (arrays["x"] * masks["x"]).sum(axis=1) + arrays["id"]
+
+        return predict
+
+    n = F.when(F.col("id") == 1700, 20_000).otherwise(F.col("id") % 5)
+    df = spark.range(3001).select("id", F.array_repeat(F.lit(2), n.cast("int")).alias("x")).coalesce(1)
+    got = models.batch_score(df, ["id"], ["x", "id"], ["y"], make).collect()
+    assert [(r["id"], r["y"]) for r in got] == [(i, i + 2.0 * (20_000 if i == 1700 else i % 5)) for i in range(3001)]

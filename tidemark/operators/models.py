@@ -67,29 +67,50 @@ def made(token: str, make: Callable[[], Callable]) -> Callable:
     return _MADE[token]
 
 
+#: Cells of a padded array that the caller's function gets at once, about; one row may have more.
+CELLS = 1 << 20
+
+
+def padded_runs(sizes: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+    """Places of rows of about one size, shortest first, whose arrays padded to the longest hold at most ``cells`` (or one row)."""
+    order, start = np.argsort(sizes, kind="stable"), 0
+    for end in range(1, len(order) + 1):
+        if end == len(order) or sizes[order[end]] * (end + 1 - start) > cells:
+            yield order[start:end]
+            start = end
+
+
 def batch_score(df: DataFrame, keep: list[str], inputs: list[str], outputs: list[str], make: Callable[[], Callable]) -> DataFrame:
     """Scores with a caller's function from (padded arrays, masks) to probabilities.
 
     ``make`` runs once in each Python worker, which keeps its function for later tasks. Array columns are padded with zeros to
-    the longest of the batch, and come with 0/1 masks; scalars come as they are.
+    the longest of the batch, and come with 0/1 masks; scalars come as they are. A batch is a run of rows of about one size
+    with at most CELLS cells a column, so one long row doesn't widen thousands of others; scores go back to their rows.
     """
     token = uuid.uuid4().hex
+    most = CELLS
+    lists = [c for c in inputs if df.schema[c].dataType.typeName() == "array"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidemark.operators import models  # the worker's own module, which outlives the task
 
         predict = models.made(token, make)
         for b in batches:
-            arrays, masks = {}, {}
-            for c in inputs:
-                if len(b) and isinstance(b[c].iloc[0], (list, np.ndarray)):
-                    size = b[c].map(len).to_numpy()
-                    masks[c] = np.arange(size.max() if len(size) else 0)[None, :] < size[:, None]
-                    arrays[c] = np.zeros(masks[c].shape)
-                    arrays[c][masks[c]] = np.concatenate([np.asarray(v, "f8") for v in b[c]])
-                else:
-                    arrays[c] = b[c].to_numpy()
-            got = np.asarray(predict(arrays, masks)).reshape(len(b), len(outputs))
+            sizes = {c: b[c].map(len).to_numpy("i8") for c in lists}
+            longest = np.maximum.reduce([*sizes.values(), np.ones(len(b), "i8")])
+            got = np.zeros((len(b), len(outputs)))
+            for at in models.padded_runs(longest, most):
+                arrays, masks = {}, {}
+                for c in inputs:
+                    own = b[c].to_numpy()[at]
+                    if c in sizes:
+                        size = sizes[c][at]
+                        masks[c] = np.arange(size.max())[None, :] < size[:, None]
+                        arrays[c] = np.zeros(masks[c].shape)
+                        arrays[c][masks[c]] = np.concatenate([np.asarray(v, "f8") for v in own])
+                    else:
+                        arrays[c] = own
+                got[at] = np.asarray(predict(arrays, masks)).reshape(len(at), len(outputs))
             yield b[keep].assign(**{o: got[:, i] for i, o in enumerate(outputs)})
 
     kept = df.select(*keep).schema
