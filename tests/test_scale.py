@@ -200,3 +200,12 @@ def test_cuts_of_running_sums_are_made_once(spark):
     for ties in (None, "key"):
         plan = metrics.running(df, "action", "score", ["n"], ties)._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile_approx" not in plan
+
+
+@pytest.mark.parametrize("name", ["encode_tokens", "token_tfidf", "decode_whole", "masked_tokens"])
+def test_tokens_are_not_shuffled(spark, name):
+    """Texts are dealt by item once; tokens meet a broadcast dictionary where they are."""
+    from tidemark.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan

@@ -143,11 +143,15 @@ def char_ngrams(own: Column, least: int, most: int) -> Column:
     return F.flatten(F.transform(own, grams))
 
 
-def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame) -> DataFrame:
-    """Token ids -> text by a join with (token_id, piece); pieces that begin with ## continue the one before."""
+def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, *, size: str | None = None) -> DataFrame:
+    """Token ids -> text by a join with (token_id, piece); pieces that begin with ## continue the one before.
+
+    ``size`` names a column for the number of pieces. Rows dealt by ``key`` are exchanged no more if the vocabulary is broadcast.
+    """
     pos = df.select(key, F.posexplode(ids).alias("p", "token_id"))
     got = pos.join(vocabulary, "token_id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("p", "piece"))).alias("x"))
-    return got.select(key, F.replace(F.array_join("x.piece", " "), F.lit(" ##"), F.lit("")).alias("text"))
+    more = [F.size("x").cast("long").alias(size)] if size else []
+    return got.select(key, F.replace(F.array_join("x.piece", " "), F.lit(" ##"), F.lit("")).alias("text"), *more)
 
 
 def encode(df: DataFrame, key: str, own: str, vocabulary: DataFrame, *, most: int | None = 100, unknown: int = 0) -> DataFrame:
@@ -163,19 +167,24 @@ def mask_tokens(df: DataFrame, key: str, ids: str, *, mask: int, size: int, spec
     """Inputs and labels of masked training: of chosen places 80% get the mask, 10% another id, the rest stay; labels
     elsewhere are -100. Choices are hashes of key, place and seed, so reruns agree; ``portable`` ones (md5, slower) are the
     same in other engines."""
-    def draw(seed: int, n: int):
+    def draw(p: Column, seed: int, n: int):
         if portable:
-            own = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("p").cast("string"), F.lit(str(seed))))
+            own = F.md5(F.concat_ws(":", F.col(key).cast("string"), p.cast("string"), F.lit(str(seed))))
             return F.pmod(F.conv(F.substring(own, 1, 12), 16, 10).cast("long"), F.lit(n))
-        return F.pmod(F.xxhash64(key, "p", F.lit(seed)), F.lit(n))
+        return F.pmod(F.xxhash64(F.col(key), p, F.lit(seed)), F.lit(n))
 
     million = 1_000_000
-    pos = df.select(key, F.posexplode(ids).alias("p", "i"))
-    pos = pos.withColumns({"u": draw(seed, million) / million, "v": draw(seed + 1, million) / million, "w": draw(seed + 2, size).cast("int")})
-    chosen = (F.col("u") < rate) & (F.col("i") >= special)
-    new = F.when(chosen & (F.col("v") < 0.8), mask).when(chosen & (F.col("v") < 0.9), F.col("w")).otherwise(F.col("i"))
-    rows = F.sort_array(F.collect_list(F.struct("p", new.alias("input"), F.when(chosen, F.col("i")).otherwise(-100).alias("label"))))
-    return pos.groupBy(key).agg(rows.alias("x")).select(key, F.col("x.input").alias("inputs"), F.col("x.label").alias("labels"))
+    def chosen(i: Column, p: Column):
+        return F.coalesce((i >= special) & (draw(p, seed, million) / million < rate), F.lit(False))
+
+    def new(x: Column):
+        v, w = draw(x["p"], seed + 1, million) / million, draw(x["p"], seed + 2, size).cast("int")
+        return F.when(~x["chosen"], x["i"]).when(v < 0.8, mask).when(v < 0.9, w).otherwise(x["i"])
+
+    # within each row: nothing is exploded, and only chosen places draw again
+    rows = df.filter(F.size(ids) > 0).select(key, F.transform(ids, lambda i, p: F.struct(i.alias("i"), p.alias("p"), chosen(i, p).alias("chosen"))).alias("x"))
+    labels = F.transform("x", lambda x: F.when(x["chosen"], x["i"]).otherwise(-100))
+    return rows.select(key, F.transform("x", new).alias("inputs"), labels.alias("labels"))
 
 
 def fixed_blocks(df: DataFrame, key: str, own: str, n: int) -> DataFrame:

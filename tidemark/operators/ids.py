@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import global_index
+from tidemark.operators.order import global_index, small, stored
 
 # The log's codes of its most frequent languages, and two-letter codes of other sources; any other is "other".
 LANGUAGES = {
@@ -113,12 +113,13 @@ def encode_frequent(df: DataFrame, row: str, col: str, cutoff: int) -> DataFrame
     """Array of tokens -> (row, cat, value) for tokens of more than ``cutoff`` rows, numbered in their own order.
 
     The same as a dictionary of all tokens, ``encode_multihot`` and ``select_columns``, but repeats are counted before
-    anything is joined and only frequent tokens get a number.
+    anything is joined and only frequent tokens get a number. Counts are stored, and shuffled only if ``df`` isn't dealt by ``row``.
     """
     counts = df.select(row, F.explode(col).alias("category")).groupBy(row, "category").agg(F.count("*").cast("double").alias("value"))
+    counts = stored(counts, "counts")
     often = counts.groupBy("category").agg(F.count("*").alias("rows")).filter(F.col("rows") > cutoff)
     kept = global_index(often.filter("category is not null").select("category"), "category", name="cat")
-    return counts.join(kept, "category").select(row, "cat", "value")
+    return counts.join(small(stored(kept, "kept")), "category").select(row, "cat", "value")
 
 
 @dataclass

@@ -33,6 +33,13 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key into as many partitions as a shuffle has, or four for each of the input's: what is exploded from
+    them and grouped by the key (and more) isn't exchanged again."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions())
+    return df.repartition(parts, key)
+
+
 def global_index(df: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
     """Adds the 0-based position of every row in the given order.
 

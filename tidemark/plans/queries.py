@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import blend, embeddings, history, ids, metrics, similarity, splits, transforms
-from tidemark.operators.order import stored
+from tidemark.operators.order import dealt, small, stored
 from tidemark.operators.impressions import ACTIONS, DAY, HOUR, bounds, contents, from_events, labels, profiles, unpivot_actions
 
 QUERIES, ORACLES = {}, {}
@@ -135,13 +135,19 @@ def first_records(spark, d):
 _TOK = "SELECT doc_id AS tweet_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS category FROM documents"
 
 
+def item_tokens(spark, d):
+    """Items' tokens, dealt by the item while they are still texts."""
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("tweet_id"), "text")
+    return dealt(texts, "tweet_id").select("tweet_id", F.split("text", r"[ \n]+").alias("tokens"))
+
+
 @query("encode_tokens", f"""WITH tok AS ({_TOK}), dic AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS cat FROM (SELECT DISTINCT category FROM tok)),
 nz AS (SELECT tweet_id, cat, count(*) AS value FROM tok JOIN dic USING (category) GROUP BY ALL),
 keep AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS new FROM (SELECT cat FROM nz GROUP BY cat HAVING count(DISTINCT tweet_id) > 20))
 SELECT tweet_id, new AS cat, CAST(value AS DOUBLE) AS value FROM nz JOIN keep USING (cat)""")
 def encode_tokens(spark, d):
     """Token counts of items over the dictionary, cut to tokens of more than 20 items and renumbered."""
-    return ids.encode_frequent(contents(spark, d).select("tweet_id", "tokens"), "tweet_id", "tokens", 20)
+    return ids.encode_frequent(item_tokens(spark, d), "tweet_id", "tokens", 20)
 
 
 @query("encode_categories", """WITH dic AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS cat FROM (SELECT lang AS category FROM documents UNION SELECT source FROM documents))
@@ -253,10 +259,10 @@ v AS (SELECT piece, row_number() OVER (ORDER BY piece) AS token_id FROM (SELECT
 
 def vocabulary(spark, d):
     """Items' tokens, and a vocabulary (piece, token_id) of those that all texts use five times; 0 is the unknown one."""
-    c = contents(spark, d).select("tweet_id", "tokens")
-    used = c.select(F.explode("tokens").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 5")
+    c = item_tokens(spark, d)
+    used = contents(spark, d).select(F.explode("tokens").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 5")
     vocab = ids.dictionary(used, "piece").select(F.col("category").alias("piece"), (F.col("cat") + 1).alias("token_id"))
-    return c, vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long"))
+    return c, small(stored(vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long")), "vocabulary"))
 
 
 @query("encode_decode", _VOC + """ SELECT tweet_id, string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p) AS text FROM f LEFT JOIN v USING (piece) WHERE p <= 100 GROUP BY tweet_id""")
@@ -271,8 +277,7 @@ def decode_whole(spark, d):
     """Whole texts as ids of the vocabulary, and back."""
     c, vocab = vocabulary(spark, d)
     enc = tx.encode(c, "tweet_id", "tokens", vocab, most=None)
-    out = tx.decode(enc, "tweet_id", "ids", vocab).select("tweet_id", F.md5("text").alias("digest"))
-    return out.join(enc.select("tweet_id", F.size("ids").cast("long").alias("n")), "tweet_id")
+    return tx.decode(enc, "tweet_id", "ids", vocab, size="n").select("tweet_id", F.md5("text").alias("digest"), "n")
 
 
 @query("token_blocks", """WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM s),

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import blend, ids, increments, models, similarity, splits, transforms, trees, windows
 from tidemark.operators.impressions import ACTIONS, HOUR, contents
-from tidemark.operators.order import shared_folder, stored
-from tidemark.plans.queries import _ANY, _CON, _NEG, _WHIT, BASE, history_features, r, stored_log
+from tidemark.operators.order import shared_folder, small, stored
+from tidemark.plans.queries import _ANY, _CON, _NEG, _WHIT, BASE, history_features, item_tokens, r, stored_log
 from tidemark.plans.queries2 import keyed, matrix, vectors
 from tidemark.sources import readers
 
@@ -210,7 +210,9 @@ f AS (SELECT category, count(*) AS df FROM nz GROUP BY category HAVING count(*)
 SELECT doc_id AS "row", cat AS col, round(ln(1 + n) * ln((SELECT count(*) FROM documents) * 1.0 / df), 6) AS value FROM nz JOIN k USING (category)""")
 def token_tfidf(spark, d):
     """Weights of the tokens of more than 20 items, by their uses and their items."""
-    c = contents(spark, d).select("tweet_id", "tokens")
+    c = item_tokens(spark, d)
     m = ids.encode_frequent(c, "tweet_id", "tokens", 20).select(F.col("tweet_id").alias("row"), F.col("cat").alias("col"), "value")
     m = stored(m)
-    return transforms.tf_idf(m, c.count()).apply(m).withColumn("value", r(F.col("value")))
+    fitted = transforms.tf_idf(m, spark.read.parquet(f"{d}/documents.parquet").count())
+    fitted.params = small(stored(fitted.params))  # a row a token, so the weights join without shuffling the counts
+    return fitted.apply(m).withColumn("value", r(F.col("value")))
