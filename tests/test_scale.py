@@ -209,3 +209,16 @@ def test_tokens_are_not_shuffled(spark, name):
 
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+
+
+def test_labels_are_joined_once(spark):
+    """The check that no prediction lacks a label reads the joined rows; the result isn't joined again."""
+    from tidemark.operators import blend
+    from tidemark.plans import registry
+
+    assert "Join" not in registry.QUERIES["labelled_predictions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    preds = spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, score double")
+    truth = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "k int, label int")
+    assert sorted(tuple(r) for r in blend.labelled(preds, truth, ["k"]).collect()) == [(1, 0.5, 1), (2, 0.25, 0)]
+    with pytest.raises(ValueError, match="without a label"):
+        blend.labelled(preds, truth.filter("k = 1"), ["k"])

@@ -43,6 +43,17 @@ def check_complete(preds: DataFrame, labels: DataFrame, keys: list[str]) -> None
         raise ValueError("predictions without a label")
 
 
+def labelled(preds: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions with their labels, joined once and stored; raises if a prediction has none.
+
+    Both sides are shuffled a single time: the check reads what was stored.
+    """
+    own = stored(preds.join(labels.withColumn("_known", F.lit(True)), keys, "left"), "labelled")
+    if not own.filter("_known is null").isEmpty():
+        raise ValueError("predictions without a label")
+    return own.drop("_known")
+
+
 def average(preds: DataFrame) -> DataFrame:
     return preds.groupBy("tweet_id", "user_id", "action").agg(F.avg("score").alias("score"))
 

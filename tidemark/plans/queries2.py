@@ -261,7 +261,7 @@ _PRED = """, pred AS (SELECT tweet_id, user_id, action, model, (hashv % 9973 + C
 
 def predictions(spark, d):
     """Made-up scores of three models for every impression and action, above chance, with labels."""
-    imps = from_events(spark, d)
+    imps = stored(from_events(spark, d).drop("tweet_ts", "t", "follow"), "log")
     acts = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(i).alias("ai"), F.col(f"{a}_ts").isNotNull().cast("int").alias("label")) for i, a in enumerate(ACTIONS)])
     mods = F.array(*[F.struct(F.lit(f"m{i}").alias("model"), F.lit(i).alias("mi")) for i in range(3)])
     rows = imps.select("engage_index", "tweet_id", "user_id", F.explode(acts).alias("a")).withColumn("m", F.explode(mods))

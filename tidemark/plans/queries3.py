@@ -252,10 +252,8 @@ def labelled_predictions(spark, d):
     """Predictions joined with labels, of which none may lack one."""
     preds = keyed(spark, d)
     truth = preds.filter("model = 'm0'").select("tweet_id", "user_id", "action", "label")
-    keys = ["tweet_id", "user_id", "action"]
     own = preds.drop("label")
-    blend.check_complete(own, truth, keys)
-    return own.join(truth, keys).select("engage_index", "action", "model", r(F.col("score")).alias("score"), "label")
+    return blend.labelled(own, truth, ["tweet_id", "user_id", "action"]).select("engage_index", "action", "model", r(F.col("score")).alias("score"), "label")
 
 
 @query("feature_ranks")
