@@ -235,3 +235,68 @@ def test_profiles_are_a_row_a_user(spark):
     got = {r["user_id"]: r["profile"] for r in embeddings.profiles(hist, spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")).collect()}
     one = 70 ** -0.5
     assert np.allclose(got[7], [(one + 1) / 3, (one + 1) / 3] + [one / 2] * 68) and np.allclose(got[8], [0.0, 1.0]) and len(got) == 2
+
+
+def test_large_vocabularies_are_looked_up_in_groups(spark, monkeypatch):
+    """What a broadcast vocabulary gives, without exchanging tokens one by one: keys that repeat or are null, arrays that are
+    empty or null, null and unknown tokens."""
+    from tidemark.functions import text as tx
+    from tidemark.operators import ids
+
+    rnd = random.Random(2)
+    data = [(rnd.choice([None, *range(60)]), rnd.choice([None, [], *[[rnd.choice([None, *"abcdefghij"]) for _ in range(rnd.randrange(1, 9))]] * 8])) for _ in range(200)]
+    data += [(100, ["zz", None]), (101, ["<unk>"] * 3)]
+    df = spark.createDataFrame(data, "k long, w array<string>").repartition(3)
+    known = spark.createDataFrame([(c, i) for i, c in enumerate("acdeghi", 1)], "piece string, token_id long")
+    vocab = known.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long"))
+
+    def both():
+        enc = tx.encode(df, "k", "w", known, most=None)
+        dec = tx.decode(enc.withColumn("ids", F.concat("ids", F.array(F.lit(77).cast("long")))), "k", "ids", vocab, size="n")
+        plans = "".join(x._jdf.queryExecution().executedPlan().toString() for x in (enc, dec))
+        return [sorted(map(repr, map(tuple, x.collect()))) for x in (enc, dec)], plans
+
+    want, _ = both()
+    assert len(want[0]) == len({k for k, w in data if w}) and any("None" in x for x in want[0])
+    parts = [ids.looked_up(df, "k", "w", known, "piece", "token_id", missing=0, cells=n) for n in (1, 7, 1000)]
+    gone = ids.looked_up(df, "k", "w", known, "piece", "token_id", cells=5).collect()
+    assert all(sorted(map(repr, map(tuple, x.collect()))) == want[0] for x in parts)
+    assert {r[0]: [i for i in r[1]] for r in gone} == {k: [i for i in v if i] for k, v in map(eval, want[0]) if any(v)}
+    monkeypatch.setattr(order, "BROADCAST_ROWS", 3, raising=False)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, plans = both()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert got == want and "Generate" not in plans
+
+
+@pytest.mark.parametrize("name", ["decode_whole", "encode_decode", "masked_tokens"])
+def test_queries_by_a_large_vocabulary(spark, monkeypatch, name):
+    from tidemark.plans import registry
+
+    want = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(order, "BROADCAST_ROWS", 10, raising=False)
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema.simpleString() == want.schema.simpleString()
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_texts_that_use_the_unknown_piece(spark, tmp_path, monkeypatch, most):
+    """A text's own <unk> is one token, whether or not it is frequent."""
+    import duckdb
+
+    from tidemark.plans import registry
+
+    texts = ["<unk> <unk> a a a", "<unk> <unk> <unk> b", "a a b  c\n", "", None]
+    docs = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(order, "BROADCAST_ROWS", most, raising=False)
+    for name in ("decode_whole", "encode_decode", "masked_tokens"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name

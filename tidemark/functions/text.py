@@ -144,20 +144,35 @@ def char_ngrams(own: Column, least: int, most: int) -> Column:
 
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, *, size: str | None = None) -> DataFrame:
-    """Token ids -> text by a join with (token_id, piece); pieces that begin with ## continue the one before.
+    """Token ids -> text by a vocabulary (token_id, piece); pieces that begin with ## continue the one before.
 
-    ``size`` names a column for the number of pieces. Rows dealt by ``key`` are exchanged no more if the vocabulary is broadcast.
+    ``size`` names a column for the number of pieces. Rows dealt by ``key`` are exchanged no more if the vocabulary is small
+    enough to broadcast; by a larger one they are stored and looked up in groups.
     """
-    pos = df.select(key, F.posexplode(ids).alias("p", "token_id"))
-    got = pos.join(vocabulary, "token_id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("p", "piece"))).alias("x"))
+    from tidemark.operators.ids import looked_up
+    from tidemark.operators.order import few, stored
+
+    if few(vocabulary):
+        pos = df.select(key, F.posexplode(ids).alias("p", "token_id"))
+        got = pos.join(F.broadcast(vocabulary), "token_id").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("p", "piece"))).alias("x"))
+        got = got.select(key, F.col("x.piece").alias("x"))
+    else:
+        got = looked_up(stored(df.select(key, ids), "ids"), key, ids, vocabulary, "token_id", "piece").toDF(key, "x")
     more = [F.size("x").cast("long").alias(size)] if size else []
-    return got.select(key, F.replace(F.array_join("x.piece", " "), F.lit(" ##"), F.lit("")).alias("text"), *more)
+    return got.select(key, F.replace(F.array_join("x", " "), F.lit(" ##"), F.lit("")).alias("text"), *more)
 
 
-def encode(df: DataFrame, key: str, own: str, vocabulary: DataFrame, *, most: int | None = 100, unknown: int = 0) -> DataFrame:
-    """Tokens -> ids by a join with (piece, token_id), cut to ``most`` (None: all); others get the unknown id."""
-    cut = df.select(key, F.posexplode(F.slice(own, 1, most) if most else F.col(own)).alias("p", "piece"))
-    got = cut.join(vocabulary, "piece", "left").groupBy(key)
+def encode(df: DataFrame, key: str, own: Column | str, vocabulary: DataFrame, *, most: int | None = 100, unknown: int = 0) -> DataFrame:
+    """Tokens -> ids by a vocabulary (piece, token_id) of distinct pieces, cut to ``most`` (None: all); others get the unknown
+    id. Rows are dealt by ``key`` before tokens are made, so give ``own`` as an expression of shorter columns."""
+    from tidemark.operators.ids import looked_up
+    from tidemark.operators.order import dealt, few
+
+    own = F.slice(own, 1, most) if most else own
+    if not few(vocabulary):
+        return looked_up(df, key, own, vocabulary, "piece", "token_id", missing=unknown).toDF(key, "ids")
+    cut = dealt(df, key).select(key, F.posexplode(own).alias("p", "piece"))
+    got = cut.join(F.broadcast(vocabulary), "piece", "left").groupBy(key)
     got = got.agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("x"))
     return got.select(key, F.col("x.i").alias("ids"))
 

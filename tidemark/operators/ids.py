@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +125,49 @@ def encode_frequent(df: DataFrame, row: str, col: str, cutoff: int) -> DataFrame
     return counts.join(small(stored(kept, "kept")), "category").select(row, "cat", "value")
 
 
+def looked_up(df: DataFrame, key: str, own: Column | str, table: DataFrame, on: str, value: str, *, missing=None, cells: int = 1 << 21) -> DataFrame:
+    """(key, array) with the values that a table of distinct ``on`` has for an array's elements; those it lacks become
+    ``missing``, or go if that is None. Rows of one key become one, by place and value; a key without elements is left out.
+
+    For tables too large to broadcast: rows are dealt by key into groups of about ``cells`` elements, a group asks the table
+    once for each of its different elements, and answers meet its rows in Arrow. So elements aren't exchanged one by one.
+    """
+    kind = {c: table.schema[c].dataType.simpleString() for c in (on, value)}
+    own = (F.col(own) if isinstance(own, str) else own).cast(f"array<{kind[on]}>")
+    groups = (df.agg(F.sum(F.greatest(F.size(own), F.lit(0)).cast("long"))).first()[0] or 0) // cells + 1
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
+    # arrays are made after the exchange, which both uses of the rows share
+    rows = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups))).repartition(parts, "_group").select("_group", key, own.alias("_own"))
+
+    def asked(rows: pa.Table) -> pa.Table:
+        own = pc.unique(pc.list_flatten(rows["_own"])).drop_null()
+        return pa.table({"_group": pa.repeat(rows["_group"][0], len(own)), "_on": own})
+
+    def answered(rows: pa.Table, got: pa.Table) -> pa.Table:
+        sizes = pc.fill_null(pc.list_value_length(rows["_own"]), 0).to_numpy()
+        keys = rows[key].combine_chunks().dictionary_encode(null_encoding="encode")
+        owner = np.repeat(keys.indices.to_numpy(), sizes)
+        at = pc.index_in(pc.list_flatten(rows["_own"]), value_set=got["_on"]).combine_chunks()
+        values = got["_value"].combine_chunks().take(at)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if missing is None:
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            values, owner, place = values.filter(pa.array(known)), owner[known], place[known]
+        else:
+            values = values.fill_null(missing)
+        if len(keys.dictionary) < len(sizes):  # keys repeat
+            flat = pa.table({"owner": owner, "place": place, "value": values})
+            values = values.take(pc.sort_indices(flat, [(c, "ascending") for c in flat.column_names], null_placement="at_start"))
+        counts = np.bincount(owner, minlength=len(keys.dictionary))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.table({key: keys.dictionary, "_values": pa.ListArray.from_arrays(ends, values)}).filter(pa.array(counts > 0))
+
+    wanted = rows.groupBy("_group").applyInArrow(asked, f"_group long, _on {kind[on]}")
+    answers = wanted.join(table.select(F.col(on).alias("_on"), F.col(value).alias("_value")), "_on").select("_group", "_on", "_value")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, _values array<{kind[value]}>"
+    return rows.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(answered, schema)
+
+
 @dataclass
 class Dictionary:
     """A fitted dictionary (category, cat) that encodes other frames, and can be stored and read again."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOW = (1 << 33) - 1
+BROADCAST_ROWS = 1_000_000  # of short columns; larger tables are never sent to every executor
 
 
 def shared_folder(spark: SparkSession, name: str = "files") -> str:
@@ -28,9 +29,15 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def few(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a frame has at most ``rows`` rows (None: BROADCAST_ROWS)."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A stored frame of a few short columns with a broadcast hint if it has at most ``rows`` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:

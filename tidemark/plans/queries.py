@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import blend, embeddings, history, ids, metrics, similarity, splits, transforms
-from tidemark.operators.order import dealt, small, stored
+from tidemark.operators.order import dealt, stored
 from tidemark.operators.impressions import ACTIONS, DAY, HOUR, bounds, contents, from_events, labels, profiles, unpivot_actions
 
 QUERIES, ORACLES = {}, {}
@@ -135,10 +135,17 @@ def first_records(spark, d):
 _TOK = "SELECT doc_id AS tweet_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS category FROM documents"
 
 
+def item_texts(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("tweet_id"), "text")
+
+
+def tokens():
+    return F.split("text", r"[ \n]+")
+
+
 def item_tokens(spark, d):
     """Items' tokens, dealt by the item while they are still texts."""
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("tweet_id"), "text")
-    return dealt(texts, "tweet_id").select("tweet_id", F.split("text", r"[ \n]+").alias("tokens"))
+    return dealt(item_texts(spark, d), "tweet_id").select("tweet_id", tokens().alias("tokens"))
 
 
 @query("encode_tokens", f"""WITH tok AS ({_TOK}), dic AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS cat FROM (SELECT DISTINCT category FROM tok)),
@@ -258,25 +265,29 @@ v AS (SELECT piece, row_number() OVER (ORDER BY piece) AS token_id FROM (SELECT
 
 
 def vocabulary(spark, d):
-    """Items' tokens, and a vocabulary (piece, token_id) of those that all texts use five times; 0 is the unknown one."""
-    c = item_tokens(spark, d)
+    """Items' texts, and a vocabulary (piece, token_id) of the tokens that all texts use five times; 0 is the unknown one."""
     used = contents(spark, d).select(F.explode("tokens").alias("piece")).groupBy("piece").agg(F.count("*").alias("n")).filter("n >= 5")
     vocab = ids.dictionary(used, "piece").select(F.col("category").alias("piece"), (F.col("cat") + 1).alias("token_id"))
-    return c, small(stored(vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long")), "vocabulary"))
+    return item_texts(spark, d), stored(vocab.unionByName(spark.createDataFrame([("<unk>", 0)], "piece string, token_id long")), "vocabulary")
+
+
+def encoded(texts, vocab, **more):
+    """Ids of texts' tokens; a text's own <unk> is the piece of that name if there is one."""
+    return tx.encode(texts, "tweet_id", tokens(), vocab.filter("token_id > 0"), **more)
 
 
 @query("encode_decode", _VOC + """ SELECT tweet_id, string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p) AS text FROM f LEFT JOIN v USING (piece) WHERE p <= 100 GROUP BY tweet_id""")
 def encode_decode(spark, d):
     """Texts cut to a hundred tokens as ids of the vocabulary, and back."""
     c, vocab = vocabulary(spark, d)
-    return tx.decode(tx.encode(c, "tweet_id", "tokens", vocab), "tweet_id", "ids", vocab)
+    return tx.decode(encoded(c, vocab), "tweet_id", "ids", vocab)
 
 
 @query("decode_whole", _VOC + """ SELECT tweet_id, count(*) AS n, md5(string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p)) AS digest FROM f LEFT JOIN v USING (piece) GROUP BY tweet_id""")
 def decode_whole(spark, d):
     """Whole texts as ids of the vocabulary, and back."""
     c, vocab = vocabulary(spark, d)
-    enc = tx.encode(c, "tweet_id", "tokens", vocab, most=None)
+    enc = encoded(c, vocab, most=None)
     return tx.decode(enc, "tweet_id", "ids", vocab, size="n").select("tweet_id", F.md5("text").alias("digest"), "n")
 
 
@@ -296,7 +307,7 @@ SELECT tweet_id, md5(string_agg(CASE WHEN chosen AND d < 800000 THEN 4 WHEN chos
 def masked_tokens(spark, d):
     """Inputs and labels of masked training over whole texts; ids start after five special ones and the unknown one."""
     c, vocab = vocabulary(spark, d)
-    enc = tx.encode(c, "tweet_id", "tokens", vocab, most=None).select("tweet_id", F.transform("ids", lambda x: (x + 5).cast("int")).alias("ids"))
+    enc = encoded(c, vocab, most=None).select("tweet_id", F.transform("ids", lambda x: (x + 5).cast("int")).alias("ids"))
     out = tx.mask_tokens(enc, "tweet_id", "ids", mask=4, size=vocab.count() + 5, special=6, portable=True)
     return out.select("tweet_id", *[F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), " ")).alias(x) for x in ("inputs", "labels")])
 
