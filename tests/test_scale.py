@@ -284,13 +284,13 @@ def test_queries_by_a_large_vocabulary(spark, monkeypatch, name):
 
 
 @pytest.mark.parametrize("most", [10, 0])
-def test_texts_that_use_the_unknown_piece(spark, tmp_path, monkeypatch, most):
-    """A text's own <unk> is one token, whether or not it is frequent."""
+def test_texts_that_use_marks_of_pieces(spark, tmp_path, monkeypatch, most):
+    """A text's own <unk> is one token, whether or not it is frequent; words that begin with ## are words."""
     import duckdb
 
     from tidemark.plans import registry
 
-    texts = ["<unk> <unk> a a a", "<unk> <unk> <unk> b", "a a b  c\n", "", None]
+    texts = ["<unk> <unk> a a a", "<unk> <unk> <unk> b", "a a b  c\n", "", None, "## ##d ## ##d\n##d ## ##d ## ##d ##"]
     docs = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(order, "BROADCAST_ROWS", most, raising=False)

@@ -143,8 +143,9 @@ def char_ngrams(own: Column, least: int, most: int) -> Column:
     return F.flatten(F.transform(own, grams))
 
 
-def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, *, size: str | None = None) -> DataFrame:
-    """Token ids -> text by a vocabulary (token_id, piece); pieces that begin with ## continue the one before.
+def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, *, size: str | None = None, continues: str | None = "##") -> DataFrame:
+    """Token ids -> text by a vocabulary (token_id, piece); pieces that begin with ``continues`` continue the one before
+    (None: all are words).
 
     ``size`` names a column for the number of pieces. Rows dealt by ``key`` are exchanged no more if the vocabulary is small
     enough to broadcast; by a larger one they are stored and looked up in groups.
@@ -159,7 +160,8 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, *, size: st
     else:
         got = looked_up(stored(df.select(key, ids), "ids"), key, ids, vocabulary, "token_id", "piece").toDF(key, "x")
     more = [F.size("x").cast("long").alias(size)] if size else []
-    return got.select(key, F.replace(F.array_join("x", " "), F.lit(" ##"), F.lit("")).alias("text"), *more)
+    text = F.array_join("x", " ")
+    return got.select(key, (F.replace(text, F.lit(f" {continues}"), F.lit("")) if continues else text).alias("text"), *more)
 
 
 def encode(df: DataFrame, key: str, own: Column | str, vocabulary: DataFrame, *, most: int | None = 100, unknown: int = 0) -> DataFrame:

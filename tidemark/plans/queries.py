@@ -280,7 +280,7 @@ def encoded(texts, vocab, **more):
 def encode_decode(spark, d):
     """Texts cut to a hundred tokens as ids of the vocabulary, and back."""
     c, vocab = vocabulary(spark, d)
-    return tx.decode(encoded(c, vocab), "tweet_id", "ids", vocab)
+    return tx.decode(encoded(c, vocab), "tweet_id", "ids", vocab, continues=None)
 
 
 @query("decode_whole", _VOC + """ SELECT tweet_id, count(*) AS n, md5(string_agg(CASE WHEN v.piece IS NULL THEN '<unk>' ELSE f.piece END, ' ' ORDER BY p)) AS digest FROM f LEFT JOIN v USING (piece) GROUP BY tweet_id""")
@@ -288,7 +288,7 @@ def decode_whole(spark, d):
     """Whole texts as ids of the vocabulary, and back."""
     c, vocab = vocabulary(spark, d)
     enc = encoded(c, vocab, most=None)
-    return tx.decode(enc, "tweet_id", "ids", vocab, size="n").select("tweet_id", F.md5("text").alias("digest"), "n")
+    return tx.decode(enc, "tweet_id", "ids", vocab, size="n", continues=None).select("tweet_id", F.md5("text").alias("digest"), "n")
 
 
 @query("token_blocks", """WITH s AS (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM s),
